@@ -82,10 +82,12 @@ def cut_ends(
     n = len(buf)
     if n == 0:
         return []
-    if n <= min_size:
-        return [n]
     if switch is None:
         switch = switch_point(min_size, avg_size)
+    # smallest chunk a hash can cut: min_size, or the switch point if it is lower
+    min_size = max(1, min(min_size, switch))
+    if n <= min_size:
+        return [n]
     big = (1 << mask_bits) - 1
     small = big >> 1
     seg_len = max(4 * max_size, 1 << 20)

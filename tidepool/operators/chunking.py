@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import cdc
+from tidepool.session import spread
 
 
 def _binary_parts(arr: pa.Array):
@@ -45,7 +46,7 @@ def cdc_chunks(
     Empty or NULL content (a missing file) gives no rows.
     """
     params = dict(min_size=min_size, avg_size=avg_size, max_size=max_size, mask_bits=mask_bits, switch=switch)
-    src = files.select(*keys, F.col(content).alias("__content"))
+    src = spread(files.select(*keys, F.col(content).alias("__content")))
     key_fields = [src.schema[k] for k in keys]
     out_schema = T.StructType(
         key_fields

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -47,3 +48,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a DataFrame over the cluster's cores when it arrives in
+    fewer partitions (e.g. one large parquet row group) before CPU-heavy
+    Python tasks.  At scale the input already has more partitions than
+    cores and this is a no-op (no shuffle)."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

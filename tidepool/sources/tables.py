@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.schemas import FILE_COLS
+from tidepool.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; spread over the cores when the file is a single split
+    (a no-op at scale, where a table has many more splits than cores)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def binary_files(spark: SparkSession, path_glob: str, client_id: str = "local") -> DataFrame:
