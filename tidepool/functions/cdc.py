@@ -92,6 +92,8 @@ def cut_ends(
     small = big >> 1
     seg_len = max(4 * max_size, 1 << 20)
     first_block = max(256, 1 << max(mask_bits - 1, 0))
+    max_block = 1 << 16
+    scratch = np.empty(max(first_block, max_block), dtype=np.int64)
     ends: list[int] = []
     s = 0
     while s < n:
@@ -119,20 +121,26 @@ def cut_ends(
             while a < hard:
                 e = min(a + block, hard)
                 lo, hi = a - t0, e - t0
-                h = (g[lo:hi] - gs) % MOD * pw[lo:hi] % MOD
+                h = scratch[: hi - lo]
+                # h = 31^i * (G_i - G_(s-1)) mod p, masked; in place, no temporaries
+                np.subtract(g[lo:hi], gs, out=h)
+                np.remainder(h, MOD, out=h)
+                np.multiply(h, pw[lo:hi], out=h)
+                np.remainder(h, MOD, out=h)
                 if e <= sw:
-                    hit = (h & small) == 0
+                    np.bitwise_and(h, small, out=h)
                 elif a >= sw:
-                    hit = (h & big) == 0
+                    np.bitwise_and(h, big, out=h)
                 else:
                     k = sw - a
-                    hit = np.concatenate(((h[:k] & small) == 0, (h[k:] & big) == 0))
-                j = int(hit.argmax())
-                if hit[j]:
+                    np.bitwise_and(h[:k], small, out=h[:k])
+                    np.bitwise_and(h[k:], big, out=h[k:])
+                j = int(h.argmin())  # values are >= 0: the first zero if any
+                if h[j] == 0:
                     cut = a + j
                     break
                 a = e
-                block = min(block * 2, 1 << 20)
+                block = min(block * 2, max_block)
             ends.append(cut + 1)
             s = cut + 1
     return ends
@@ -203,3 +211,4 @@ def prefix_hash(data: bytes) -> int:
     for byte in data:
         h = (h * BASE + byte) % MOD
     return h
+
