@@ -206,3 +206,18 @@ def test_apply_changes_stream_equals_batch(spark):
 
 def test_ingest_uploads_stream_equals_batch(spark):
     assert _same(catalog.q_ingest_uploads(spark, SF_SMALL), catalog.q_finalize_files(spark, SF_SMALL))
+
+
+# ---------------------------------------------------------------- binary file source
+def test_binary_files_source_and_chunking(spark, tmp_path):
+    from tidepool.operators import chunking
+    from tidepool.sources.tables import binary_files
+    (tmp_path / "a.bin").write_bytes(b"A" * 100000)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    df = binary_files(spark, str(tmp_path / "*.bin"))
+    meta = {r["path"].rsplit("/", 1)[-1]: r for r in df.collect()}
+    assert meta["a.bin"]["size"] == 100000
+    assert meta["a.bin"]["hash"] == hashlib.sha256(b"A" * 100000).hexdigest()
+    assert meta["empty.bin"]["hash"] == hashlib.sha256(b"").hexdigest()
+    sizes = [r["size"] for r in chunking.cdc_chunks(df, ["path"]).orderBy("path", "chunk_index").collect()]
+    assert sizes == [49990, 49990, 20]

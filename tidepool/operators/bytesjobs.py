@@ -31,7 +31,7 @@ def window_fingerprints(docs: DataFrame, keys: list[str], content: str = "conten
                         window: int = 48, sample_mod: int = 1) -> DataFrame:
     """``(keys..., pos, fp)`` for every position whose last ``window`` bytes
     hash to ``fp`` with ``fp mod sample_mod = 0``; ``pos`` is the window's end byte."""
-    src = spread(docs.select(*keys, F.col(content).alias("__content")))
+    src = spread(docs.select(*keys, F.col(content).alias("__content")), keys)
     out_schema = T.StructType(
         [src.schema[k] for k in keys]
         + [T.StructField("pos", T.LongType(), False), T.StructField("fp", T.LongType(), False)]

@@ -46,7 +46,7 @@ def cdc_chunks(
     Empty or NULL content (a missing file) gives no rows.
     """
     params = dict(min_size=min_size, avg_size=avg_size, max_size=max_size, mask_bits=mask_bits, switch=switch)
-    src = spread(files.select(*keys, F.col(content).alias("__content")))
+    src = spread(files.select(*keys, F.col(content).alias("__content")), keys)
     key_fields = [src.schema[k] for k in keys]
     out_schema = T.StructType(
         key_fields

@@ -1,8 +1,9 @@
 """File and manifest tables: S2, S3, S10, S11, S12, P1, P2, W1, W2.
 
-Upserts are "latest row per key" over a log: ``max_by(struct, order)`` is a
-partial aggregate, so a hot key (one path written a million times) collapses
-map-side instead of landing whole in one task as a ``row_number`` window would.
+Upserts are "latest row per key" over a log, a top-1 per key that Spark
+plans with a partial limit before the shuffle, so a hot key (one path
+written a million times) collapses map-side instead of landing whole in
+one task.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from pyspark.sql import functions as F
 from tidepool.schemas import FILE_COLS
 
 
-def latest_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """INSERT OR REPLACE over a log; the row with the greatest ``order`` wins."""
-    value_cols = [c for c in log.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in value_cols])
-    ordering = F.struct(*[F.col(c) for c in order])
-    return (
-        log.groupBy(*keys)
-        .agg(F.max_by(packed, ordering).alias("__row"))
-        .select(*keys, *[F.col("__row." + c).alias(c) for c in value_cols])
-    )
+def latest_per_key(log: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
+    """INSERT OR REPLACE over a log; the row with the greatest ``order`` wins
+    (the smallest with ``first=True``).
+
+    ``row_number() = 1`` is planned with a partial ``WindowGroupLimit`` before
+    the shuffle: every map task keeps only its top row per key, so a key that
+    holds a third of the log still reduces map-side, and no struct-typed
+    sort aggregate is needed.
+    """
+    direction = F.asc if first else F.desc
+    w = Window.partitionBy(*keys).orderBy(*[direction(c) for c in order])
+    return log.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
 def upsert_files(base: DataFrame, updates: DataFrame) -> DataFrame:

@@ -13,9 +13,17 @@ def counter(log: DataFrame) -> DataFrame:
     return log.groupBy("name").agg(F.sum(F.coalesce("value", F.lit(1))).cast("long").alias("counter"))
 
 
-def gauge(log: DataFrame, order: list[str] = ("ts", "event_id")) -> DataFrame:
-    """Last value set per name, by ``order``."""
-    return log.groupBy("name").agg(F.max_by("value", F.struct(*order)).cast("long").alias("gauge"))
+def gauge(log: DataFrame) -> DataFrame:
+    """Last value set per name, by ``(ts, event_id)``.
+
+    Two hash aggregates with primitive buffers instead of one sort-based
+    aggregate over a struct ordering: the latest timestamp per name, then
+    among the rows at that timestamp the value of the greatest event id.
+    """
+    keyed = log.select("name", F.unix_micros("ts").alias("__t"), "event_id", "value")
+    last_t = keyed.groupBy("name").agg(F.max("__t").alias("__last"))
+    at_last = keyed.join(last_t, (keyed["name"] == last_t["name"]) & (keyed["__t"] == last_t["__last"]), "left_semi")
+    return at_last.groupBy("name").agg(F.max_by("value", "event_id").cast("long").alias("gauge"))
 
 
 def latency(log: DataFrame) -> DataFrame:
@@ -45,19 +53,18 @@ def throughput(log: DataFrame, as_of_ts: str) -> DataFrame:
 def metrics_report(log: DataFrame, as_of_ts: str) -> DataFrame:
     """All four families in long form ``(kind, name, stat, value)``; MB/s = B/s / 1024^2.
 
-    One scan and one shuffle: every statistic comes out of a single grouped
-    aggregate, then a per-name ``explode`` turns it into rows.
+    Every statistic but the gauge comes out of one hash aggregate; the gauge
+    (A8) is joined per name; a per-name ``explode`` turns it into rows.
     """
     g = log.groupBy("name").agg(
         F.sum(F.coalesce("value", F.lit(1))).cast("double").alias("counter"),
-        F.max_by("value", F.struct("ts", "event_id")).cast("double").alias("gauge"),
         F.count("value").cast("double").alias("count"),
         F.avg("value").alias("avg"),
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"),
         F.sum("value").alias("__bytes"),
         F.min(F.when(F.col("value") > 0, F.col("ts"))).alias("__start"),
-    )
+    ).join(gauge(log).select("name", F.col("gauge").cast("double").alias("gauge")), "name", "left")
     secs = F.floor(
         (F.unix_micros(F.lit(as_of_ts).cast("timestamp")) - F.unix_micros("__start")) / F.lit(1000000)
     ).cast("long")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.paths import hash_prefix
+from tidepool.operators.files import latest_per_key
 from tidepool.schemas import CHUNK_STORE
 
 
@@ -25,20 +26,19 @@ def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str]) -> D
     ``incoming`` has ``hash, data`` plus the ``order`` columns; hashes already
     in ``store`` are dropped (existing blobs are never rewritten).  The given
     hash is not verified (as in the reference); ``hash_ok`` reports it.
-    Picking the first writer is a partial ``min_by`` aggregate, so a hash
-    uploaded by a third of all clients still reduces map-side.
+    Picking the first writer is a top-1 per hash with a map-side partial
+    limit, so a hash uploaded by a third of all clients still reduces before
+    the shuffle.
     """
-    first = incoming.groupBy("hash").agg(
-        F.min_by(F.struct("data", *order), F.struct(*order)).alias("__w")
-    )
+    first = latest_per_key(incoming.select("hash", "data", *order), ["hash"], order, first=True)
     fresh = first.join(store.select("hash").distinct(), "hash", "left_anti")
     return fresh.select(
         hash_prefix("hash").alias("hash_prefix"),
         "hash",
-        F.length("__w.data").cast("int").alias("size"),
-        F.col("__w.data").alias("data"),
-        *[F.col("__w." + c).alias("first_" + c) for c in order],
-        (F.sha2("__w.data", 256) == F.col("hash")).alias("hash_ok"),
+        F.length("data").cast("int").alias("size"),
+        F.col("data"),
+        *[F.col(c).alias("first_" + c) for c in order],
+        (F.sha2("data", 256) == F.col("hash")).alias("hash_ok"),
     )
 
 

@@ -22,7 +22,7 @@ def first_local(local: DataFrame, order: str | None = None) -> DataFrame:
     """One local row per path; with an order column the first one wins."""
     if order is None:
         return local
-    return latest_per_key(local.withColumn("__neg", -F.col(order)), ["client_id", "path"], ["__neg"]).drop("__neg")
+    return latest_per_key(local, ["client_id", "path"], [order], first=True)
 
 
 def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int) -> DataFrame:

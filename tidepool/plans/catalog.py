@@ -18,6 +18,7 @@ from tidepool.plans import params as P
 from tidepool.schemas import FILE_COLS
 from tidepool.session import work_dir
 from tidepool.sources import tables as V
+from tidepool.streaming import admission as T4
 from tidepool.streaming import changes as T2
 from tidepool.streaming import uploads as T1
 
@@ -308,6 +309,25 @@ def q_token_bucket_rate_change(spark, sf):
     return ratelimit.admit_with_rate_changes(log, P.TOKEN_RATE, P.TOKEN_BURST)
 
 
+def q_token_bucket_admit_stream(spark, sf):
+    """T4 as a stateful stream over the transfer log, delivered in four time-ordered files."""
+    work = work_dir(spark, "admit-stream")
+    feed = f"{work}/feed"
+    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
+    us = F.unix_micros("ts")
+    cuts = log.select(us.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.0)
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = log
+        if lo is not None:
+            part = part.where(us > lo)
+        if hi is not None:
+            part = part.where(us <= hi)
+        part.coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    return T4.admit_stream(spark, stream, work, P.TOKEN_RATE, P.TOKEN_BURST)
+
+
 # ---------------------------------------------------------------- change feed and uploads (streaming)
 def q_apply_changes(spark, sf):
     return T2.apply_changes(V.change_log(spark, sf))

@@ -432,6 +432,7 @@ SELECT client_id, path, size, modified_time, hash, 1 AS version, false AS is_dir
 FROM st WHERE up_seq IS NOT NULL""",
 }
 ORACLE["apply_changes_stream"] = ORACLE["apply_changes"]
+ORACLE["token_bucket_admit_stream"] = ORACLE["token_bucket_admit"]
 ORACLE["ingest_uploads"] = ORACLE["finalize_files"]
 
 

@@ -50,13 +50,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a DataFrame over the cluster's cores when it arrives in
-    fewer partitions (e.g. one large parquet row group) before CPU-heavy
-    Python tasks.  At scale the input already has more partitions than
-    cores and this is a no-op (no shuffle)."""
+def spread(df, keys=None, min_partitions: int | None = None):
+    """Spread a DataFrame over the cluster's cores before CPU-heavy Python
+    tasks when it arrives in fewer partitions (e.g. one large parquet row
+    group).  Hash partitioning on ``keys`` (all columns if none) is
+    deterministic under task retries and needs no sort.  At scale the input
+    already has more partitions than cores and this is a no-op."""
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        return df.repartition(want, *[F.col(c) for c in (keys or df.columns)])
     return df

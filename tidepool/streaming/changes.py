@@ -6,10 +6,10 @@ Per path the result is the latest upsert's metadata, with ``deleted`` set
 when a tombstone came after it; paths that were only ever deleted have no
 row (tombstoning a missing file changes nothing).
 
-The fold is three associative aggregates per path (``max_by`` of metadata
-by seq, max upsert seq, max delete seq), so the batch job is one grouped
-aggregate with map-side partial aggregation, and the streaming job is the
-same aggregate kept in the state store.
+The fold is associative per path (latest upsert by seq, max upsert seq,
+max tombstone seq): the batch job is a map-side-limited top-1 plus a hash
+aggregate, and the streaming job keeps the same fold as a stateful
+aggregate (``max_by``) in the state store.
 """
 
 from __future__ import annotations
@@ -55,8 +55,16 @@ def state_to_files(state: DataFrame) -> DataFrame:
 
 
 def apply_changes(changes: DataFrame) -> DataFrame:
-    """Batch T2: the file table after applying the whole feed."""
-    return state_to_files(fold_state(touches(changes)))
+    """Batch T2: the file table after applying the whole feed.
+
+    Latest upsert per path is a top-1 with a map-side partial limit; the
+    last tombstone per path is a hash aggregate; one join combines them.
+    """
+    t = touches(changes)
+    ups = latest_per_key(t.where("is_upsert").select("client_id", "path", "metadata", "seq"),
+                         ["client_id", "path"], ["seq"]).withColumnRenamed("seq", "up_seq")
+    dels = t.where(~F.col("is_upsert")).groupBy("client_id", "path").agg(F.max("seq").alias("del_seq"))
+    return state_to_files(ups.join(dels, ["client_id", "path"], "left"))
 
 
 def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str, trigger_once: bool = True) -> DataFrame:
