@@ -20,7 +20,8 @@ def binary_files(spark: SparkSession, path_glob: str, client_id: str = "local")
     """Whole files as bytes (``binaryFile``) in the ``files`` shape plus ``content``.
 
     ``modificationTime`` becomes unix seconds; the hash is ``sha2`` on the
-    bytes (F3).  Missing paths simply produce no rows.
+    bytes (F3).  Missing paths simply produce no rows; Spark's file scan
+    also skips zero-length files (they would give no chunks either).
     """
     raw = spark.read.format("binaryFile").load(path_glob)
     return raw.select(
