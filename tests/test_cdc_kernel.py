@@ -111,3 +111,10 @@ def test_window_fingerprints_equal_sliding_update():
         if i >= w - 1:
             expect.append(h)
     assert cdc.window_fingerprints(buf, w).tolist() == expect
+
+
+def test_switch_parameter_variant():
+    # the declared-but-unused boundary rule switches masks at 65536 instead of 34816
+    rng = np.random.default_rng(21)
+    buf = rng.integers(0, 256, 400_000, dtype=np.uint8)
+    assert cdc.cut_ends(buf, switch=65536) == cdc.cut_ends_bytewise(buf.tobytes(), switch=65536)

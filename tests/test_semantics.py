@@ -221,3 +221,19 @@ def test_binary_files_source_and_chunking(spark, tmp_path):
     assert "empty.bin" not in meta or meta["empty.bin"]["hash"] == hashlib.sha256(b"").hexdigest()
     sizes = [r["size"] for r in chunking.cdc_chunks(df, ["path"]).orderBy("path", "chunk_index").collect()]
     assert sizes == [49990, 49990, 20]
+
+
+def test_file_hashes_missing_is_empty_string(spark):
+    files_df = spark.createDataFrame([("c", "a", b"x")], "client_id string, path string, content binary")
+    req = spark.createDataFrame([("c", "a"), ("c", "gone")], "client_id string, path string")
+    got = {r["path"]: r["hash"] for r in files.file_hashes(files_df, req).collect()}
+    assert got == {"a": hashlib.sha256(b"x").hexdigest(), "gone": ""}
+
+
+def test_sync_state_read_and_advance(spark):
+    server = _files(spark, [("c", "old", 5, "h", 1, False), ("c", "new", 50, "g", 1, True), ("d", "x", 1, "k", 1, False)])
+    state = spark.createDataFrame([("c", 10)], "client_id string, last_sync_time long")
+    sent = {(r["client_id"], r["path"]) for r in sync.incremental_sync(server, state).collect()}
+    assert sent == {("c", "new"), ("d", "x")}  # tombstones included; absent client starts at 0
+    nxt = sync.advance_sync_state(state, spark.createDataFrame([("c", 60), ("d", 3)], "client_id string, sync_time long"))
+    assert {r["client_id"]: r["last_sync_time"] for r in nxt.collect()} == {"c": 60, "d": 3}

@@ -66,18 +66,24 @@ def bandwidth_reduction(old_chunks: DataFrame, new_chunks: DataFrame, keys: list
     """A4: per file ``100 * (1 - new_bytes / original_bytes)`` of a version change.
 
     The server set is the old version's hashes of the same file; files with
-    a zero-byte original give NULL (``try_divide``).
+    a zero-byte original give NULL (``try_divide``).  The old side is
+    aggregated once by ``(file, hash)``; the server set and the per-file
+    totals both read that one aggregate (the exchange is reused), so the old
+    version is chunked once.
     """
-    server = old_chunks.select(*keys, "hash").distinct().withColumn("__known", F.lit(True))
+    old_ph = old_chunks.groupBy(*keys, "hash").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__b")
+    )
+    server = old_ph.select(*keys, "hash", F.lit(True).alias("__known"))
     marked = new_chunks.join(server, [*keys, "hash"], "left")
     new_side = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("modified_chunks"),
         F.sum(F.when(F.col("__known").isNull(), 1).otherwise(0)).cast("long").alias("new_chunks"),
         F.sum(F.when(F.col("__known").isNull(), F.col("size")).otherwise(0)).cast("long").alias("new_bytes"),
     )
-    old_side = old_chunks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("original_chunks"),
-        F.sum("size").cast("long").alias("original_bytes"),
+    old_side = old_ph.groupBy(*keys).agg(
+        F.sum("__n").alias("original_chunks"),
+        F.sum("__b").cast("long").alias("original_bytes"),
     )
     joined = old_side.join(new_side, keys, "full")
     return joined.select(

@@ -92,3 +92,14 @@ def tombstone(files: DataFrame, paths: DataFrame) -> DataFrame:
         .withColumn("deleted", F.col("deleted") | F.coalesce("__hit", F.lit(False)))
         .select(*FILE_COLS)
     )
+
+
+def file_hashes(files: DataFrame, requested: DataFrame) -> DataFrame:
+    """F3 for a set of paths: whole-file SHA-256 per requested ``(client_id, path)``;
+    a path with no file (or no content) gets ``""``, the reference's "missing" hash."""
+    have = files.select("client_id", "path", F.sha2("content", 256).alias("__h"))
+    return (
+        requested.select("client_id", "path").distinct()
+        .join(have, ["client_id", "path"], "left")
+        .select("client_id", "path", F.coalesce("__h", F.lit("")).alias("hash"))
+    )

@@ -101,3 +101,15 @@ def incremental_sync(files: DataFrame, sync_state: DataFrame) -> DataFrame:
         .where(F.col("modified_time") > F.coalesce("__since", F.lit(0)))
         .drop("__since")
     )
+
+
+def advance_sync_state(state: DataFrame, synced: DataFrame) -> DataFrame:
+    """T3 write side: new ``last_sync_time`` per client = the latest of the
+    stored value and the ``sync_time`` of this round (absent client = 0).
+
+    A grouped max over the union, so it is idempotent under replays.
+    """
+    rows = state.select("client_id", "last_sync_time").unionByName(
+        synced.select("client_id", F.col("sync_time").alias("last_sync_time"))
+    )
+    return rows.groupBy("client_id").agg(F.max("last_sync_time").alias("last_sync_time"))
