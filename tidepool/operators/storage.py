@@ -8,10 +8,15 @@ shuffles before them move only ``hash`` and ``size``.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions.paths import hash_prefix
+from tidepool.operators.chunking import _binary_parts
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import CHUNK_STORE
 
@@ -80,44 +85,111 @@ def upload_complete(manifest: DataFrame, announced: DataFrame, file_keys: list[s
 
 
 def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> DataFrame:
-    """Manifest joined to the store, bytes concatenated in index order.
+    """J6 verification: manifest joined to the store, each file's bytes hashed
+    in ``chunk_index`` order without ever holding the whole file.
 
-    A missing or empty chunk fails the file (``ok = false``, no bytes).
+    Rows are hash-partitioned by file and sorted by index; one Arrow pass
+    feeds the chunks of each file into an incremental SHA-256 (memory: one
+    chunk).  A missing or empty chunk fails the file (``ok = false``, size
+    and hash NULL).  Output: ``file_keys..., chunks, ok, size, hash``.
     """
     blobs = store.select("hash", "data")
     joined = manifest.select(*file_keys, "chunk_index", "hash").join(blobs, "hash", "left")
+    ordered = (
+        joined.select(*file_keys, "chunk_index", "data")
+        .repartition(*file_keys)
+        .sortWithinPartitions(*file_keys, "chunk_index")
+    )
+    out_schema = T.StructType(
+        [ordered.schema[k] for k in file_keys]
+        + [
+            T.StructField("chunks", T.IntegerType(), False),
+            T.StructField("ok", T.BooleanType(), False),
+            T.StructField("size", T.LongType(), True),
+            T.StructField("hash", T.StringType(), True),
+        ]
+    )
+    n_keys = len(file_keys)
+    data_pos = n_keys + 1
+
+    def run(batches):
+        cur, digest, size, count, bad = None, None, 0, 0, False
+        out = {f.name: [] for f in out_schema.fields}
+
+        def emit():
+            for i, k in enumerate(file_keys):
+                out[k].append(cur[i])
+            out["chunks"].append(count)
+            out["ok"].append(not bad)
+            out["size"].append(None if bad else size)
+            out["hash"].append(None if bad else digest.hexdigest())
+
+        def flush():
+            cols = [pa.array(out[f.name], type=types[f.name]) for f in out_schema.fields]
+            for v in out.values():
+                v.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
+
+        types = {"chunks": pa.int32(), "ok": pa.bool_(), "size": pa.int64(), "hash": pa.string()}
+        for rb in batches:
+            for i, k in enumerate(file_keys):
+                types[k] = rb.schema.field(i).type
+            keys = list(zip(*[rb.column(i).to_pylist() for i in range(n_keys)]))
+            offsets, data, nulls = _binary_parts(rb.column(data_pos))
+            nulls = nulls.to_numpy(zero_copy_only=False)
+            for r, key in enumerate(keys):
+                if key != cur:
+                    if cur is not None:
+                        emit()
+                    cur, digest, size, count, bad = key, hashlib.sha256(), 0, 0, False
+                count += 1
+                a, b = int(offsets[r]), int(offsets[r + 1])
+                if nulls[r] or b == a:
+                    bad = True
+                elif not bad:
+                    digest.update(data[a:b])
+                    size += b - a
+            if len(out["chunks"]):
+                yield flush()
+        if cur is not None:
+            emit()
+            yield flush()
+
+    return ordered.mapInArrow(run, out_schema)
+
+
+def reassemble_bytes(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> DataFrame:
+    """J6 with the rebuilt bytes as a column (``content``), for files that fit
+    in a row: ordered ``listagg`` of the chunk bytes per file."""
+    blobs = store.select("hash", "data")
+    joined = manifest.select(*file_keys, "chunk_index", "hash").join(blobs, "hash", "left")
     agg = joined.groupBy(*file_keys).agg(
         F.count(F.lit(1)).cast("int").alias("chunks"),
         F.count_if(F.col("data").isNull() | (F.length("data") == 0)).alias("__bad"),
         F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk_index)").alias("__bytes"),
     )
     ok = F.col("__bad") == 0
-    return agg.select(
-        *file_keys,
-        "chunks",
-        ok.alias("ok"),
-        F.when(ok, F.col("__bytes")).alias("content"),
-    )
+    return agg.select(*file_keys, "chunks", ok.alias("ok"), F.when(ok, F.col("__bytes")).alias("content"))
 
 
 def finalize_files(
     reassembled: DataFrame, complete: DataFrame, file_keys: list[str], finalized_at: int
 ) -> DataFrame:
-    """Files rows for uploads that are complete and rebuilt.
+    """Files rows for uploads that are complete and rebuilt (``reassemble`` output).
 
-    size and whole-file SHA-256 from the rebuilt bytes, ``version = 1``,
+    size and whole-file SHA-256 of the rebuilt bytes, ``version = 1``,
     ``deleted = false``, mtime = ``finalized_at`` (passed in, not read from a clock).
     An announced total of 0 finalises to the empty file.
     """
     done = complete.where("complete").select(*file_keys, "total_chunks")
     j = done.join(reassembled, file_keys, "left")
-    content = F.when(F.col("total_chunks") == 0, F.lit(b"").cast("binary")).otherwise(F.col("content"))
-    good = j.where((F.col("total_chunks") == 0) | F.col("ok"))
+    empty = F.col("total_chunks") == 0
+    good = j.where(empty | F.col("ok"))
     return good.select(
         *file_keys,
-        F.length(content).cast("long").alias("size"),
+        F.when(empty, F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"),
         F.lit(finalized_at).cast("long").alias("modified_time"),
-        F.sha2(content, 256).alias("hash"),
+        F.when(empty, F.sha2(F.lit(b"").cast("binary"), 256)).otherwise(F.col("hash")).alias("hash"),
         F.lit(1).alias("version"),
         F.lit(False).alias("is_directory"),
         F.lit(False).alias("deleted"),

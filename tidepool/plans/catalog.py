@@ -220,9 +220,7 @@ def q_upload_complete(spark, sf):
 
 def q_reassemble(spark, sf):
     conv = V.conv_chunks(spark, sf)
-    r = storage.reassemble(conv, _conv_store(spark, sf), CONV_KEYS)
-    return r.select(*CONV_KEYS, "chunks", "ok", F.length("content").cast("long").alias("size"),
-                    F.sha2("content", 256).alias("hash"))
+    return storage.reassemble(conv, _conv_store(spark, sf), CONV_KEYS)
 
 
 def q_finalize_files(spark, sf):

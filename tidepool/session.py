@@ -58,6 +58,8 @@ def spread(df, keys=None, min_partitions: int | None = None):
     already has more partitions than cores and this is a no-op."""
     from pyspark.sql import functions as F
 
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:

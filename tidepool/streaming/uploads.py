@@ -32,7 +32,7 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _manifest(spark: SparkSession, work: str) -> DataFrame:
+def _manifest(spark: SparkSession, work: str, touched: DataFrame | None = None) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType(
@@ -48,6 +48,8 @@ def _manifest(spark: SparkSession, work: str) -> DataFrame:
         ]
     )
     log = _read_or_empty(spark, f"{work}/manifest_log", schema)
+    if touched is not None:  # only the files of this batch: W2 runs on their rows alone
+        log = log.join(touched, FILE_KEYS, "left_semi")
     return latest_per_key(log, ["client_id", "file_path", "chunk_index"], ["batch_id"])
 
 
@@ -88,7 +90,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
     touched = rows.select(*FILE_KEYS).distinct()
     rows.unpersist()
 
-    manifest = _manifest(spark, work).join(touched, FILE_KEYS, "left_semi")
+    manifest = _manifest(spark, work, touched)
     announced = manifest.groupBy(*FILE_KEYS).agg(F.max("total_chunks").alias("total_chunks"))
     complete = storage.upload_complete(manifest, announced, FILE_KEYS)
     store = spark.read.schema(CHUNK_STORE).parquet(store_path)
