@@ -90,8 +90,12 @@ def cut_ends(
         return [n]
     big = (1 << mask_bits) - 1
     small = big >> 1
-    seg_len = max(4 * max_size, 1 << 20)
-    first_block = max(256, 1 << max(mask_bits - 1, 0))
+    seg_len = min(max(4 * max_size, 1 << 20), 1 << 24)
+    if max_size >= seg_len:
+        raise ValueError("max_size must be below 16 MiB")
+    # blocks start small (a cut right after min_size is common, e.g. zero runs)
+    # and double up to 64 Ki positions
+    first_block = max(256, 1 << max(mask_bits - 6, 0))
     max_block = 1 << 16
     scratch = np.empty(max(first_block, max_block), dtype=np.int64)
     ends: list[int] = []
@@ -104,7 +108,11 @@ def cut_ends(
         seg_end = min(n, t0 + seg_len)
         length = seg_end - t0
         pw, inv = power_tables(length)
-        g = np.cumsum(buf[t0:seg_end].astype(np.int64) * inv[:length] % MOD)
+        # b * 31^-j < 2^38, so a running sum of up to 2^24 terms stays below
+        # 2^62: no reduction is needed before the scan reduces differences
+        g = buf[t0:seg_end].astype(np.int64)
+        np.multiply(g, inv[:length], out=g)
+        np.cumsum(g, out=g)
         while s < seg_end:
             if n - s <= min_size:
                 ends.append(n)
