@@ -237,3 +237,28 @@ def test_sync_state_read_and_advance(spark):
     assert sent == {("c", "new"), ("d", "x")}  # tombstones included; absent client starts at 0
     nxt = sync.advance_sync_state(state, spark.createDataFrame([("c", 60), ("d", 3)], "client_id string, sync_time long"))
     assert {r["client_id"]: r["last_sync_time"] for r in nxt.collect()} == {"c": 60, "d": 3}
+
+
+# ---------------------------------------------------------------- skew
+def test_hot_file_offsets_and_positions_with_small_blocks(spark):
+    # one file holds most rows; blocks of 7 force the two-level path
+    rows = [("c", "hot", i, f"h{i % 5}", 0, 1 + i % 13) for i in range(500)] + \
+           [("c", "cold", i, "x", 0, 10) for i in range(3)]
+    man = spark.createDataFrame(rows, "client_id string, file_path string, chunk_index int, hash string, offset long, size int")
+    got = {(r["file_path"], r["chunk_index"]): r["offset"] for r in files.chunk_offsets(man, block=7).collect()}
+    run = 0
+    for i in range(500):
+        assert got[("hot", i)] == run
+        run += 1 + i % 13
+    assert [got[("cold", i)] for i in range(3)] == [0, 10, 20]
+    pos = {(r["file_path"], r["chunk_index"]): r["position"] for r in files.file_chunks(man, block=7).collect()}
+    assert all(pos[("hot", i)] == i + 1 for i in range(500))
+
+
+def test_hot_key_upsert_reduces_before_shuffle(spark):
+    log = spark.createDataFrame([("c", "p", i, f"h{i}") for i in range(3000)] + [("c", "q", 1, "z")],
+                                "client_id string, path string, seq long, hash string")
+    out = files.latest_per_key(log, ["client_id", "path"], ["seq"])
+    assert {r["path"]: r["hash"] for r in out.collect()} == {"p": "h2999", "q": "z"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -46,14 +46,30 @@ def upsert_manifest(log: DataFrame, order: list[str]) -> DataFrame:
     return latest.select(*cols)
 
 
-def chunk_offsets(manifest: DataFrame) -> DataFrame:
-    """Running byte offset in index order, per file (exclusive prefix sum)."""
-    w = (
-        Window.partitionBy("client_id", "file_path")
-        .orderBy("chunk_index")
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _blocked_prefix(manifest: DataFrame, keys: list[str], value, out: str, block: int) -> DataFrame:
+    """Exclusive running sum of ``value`` in ``chunk_index`` order per file,
+    computed in two levels so no window partition exceeds ``block`` rows:
+    totals per (file, index block) -> running sum over blocks -> running sum
+    inside each (file, block).  A file holding a third of all chunks is
+    split into many small window partitions instead of one huge one."""
+    b = F.floor(F.col("chunk_index") / F.lit(block)).cast("long")
+    rows = manifest.withColumn("__b", b).withColumn("__v", value)
+    per_block = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__bt"))
+    over_blocks = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select(*keys, "__b", F.coalesce(F.sum("__bt").over(over_blocks), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.join(starts, [*keys, "__b"])
+        .withColumn(out, (F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).cast("long"))
+        .drop("__b", "__v", "__base")
     )
-    return manifest.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
+
+
+def chunk_offsets(manifest: DataFrame, block: int = 4096) -> DataFrame:
+    """Running byte offset in index order, per file (exclusive prefix sum of sizes)."""
+    cols = manifest.columns
+    out = _blocked_prefix(manifest.drop("offset"), ["client_id", "file_path"], F.col("size"), "offset", block)
+    return out.select(*cols)
 
 
 def live_files(files: DataFrame, client_id: str | None = None) -> DataFrame:
@@ -62,12 +78,12 @@ def live_files(files: DataFrame, client_id: str | None = None) -> DataFrame:
     return out if client_id is None else out.where(F.col("client_id") == client_id)
 
 
-def file_chunks(manifest: DataFrame) -> DataFrame:
-    """S3/O1: each file's chunk hashes in index order, as ranked rows."""
-    w = Window.partitionBy("client_id", "file_path").orderBy("chunk_index")
-    return manifest.select(
-        "client_id", "file_path", "chunk_index", "hash", F.row_number().over(w).cast("int").alias("position")
-    )
+def file_chunks(manifest: DataFrame, block: int = 4096) -> DataFrame:
+    """S3/O1: each file's chunk hashes in index order, as ranked rows
+    (``position`` 1..n), with the same two-level split as W1."""
+    base = manifest.select("client_id", "file_path", "chunk_index", "hash")
+    out = _blocked_prefix(base, ["client_id", "file_path"], F.lit(1), "__before", block)
+    return out.select("client_id", "file_path", "chunk_index", "hash", (F.col("__before") + 1).cast("int").alias("position"))
 
 
 def file_metadata(files: DataFrame, wanted: DataFrame) -> DataFrame:
