@@ -46,7 +46,9 @@ def stem(path) -> Column:
 def conflict_name(path, client_id, at_ts) -> Column:
     """``parent/stem (conflicted copy <client> YYYY-MM-DD HH-MM-SS)[.ext]``.
 
-    ``at_ts`` is a timestamp column (the resolution time, session zone UTC).
+    ``at_ts`` is the resolution time: a TIMESTAMP is printed in the session
+    zone (the reference prints local time); pass a TIMESTAMP_NTZ wall clock
+    (``timeutil.utc_wall_clock``) for a zone-independent name.
     """
     p = _c(path)
     ext = extension(p)

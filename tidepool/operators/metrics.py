@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.timeutil import literal_epoch_micros
+
 
 def counter(log: DataFrame) -> DataFrame:
     """Sum of increments per name (missing value = increment of 1)."""
@@ -44,7 +46,7 @@ def throughput(log: DataFrame, as_of_ts: str) -> DataFrame:
         F.min(F.when(F.col("value") > 0, F.col("ts"))).alias("start_ts"),
     )
     secs = F.floor(
-        (F.unix_micros(F.lit(as_of_ts).cast("timestamp")) - F.unix_micros("start_ts")) / F.lit(1000000)
+        (literal_epoch_micros(as_of_ts) - F.unix_micros("start_ts")) / F.lit(1000000)
     ).cast("long")
     bps = F.when((F.col("total_bytes") > 0) & (secs > 0), F.col("total_bytes") / secs).otherwise(F.lit(0.0))
     return g.select("name", "total_bytes", secs.alias("elapsed_s"), bps.alias("bytes_per_sec"))
@@ -66,7 +68,7 @@ def metrics_report(log: DataFrame, as_of_ts: str) -> DataFrame:
         F.min(F.when(F.col("value") > 0, F.col("ts"))).alias("__start"),
     ).join(gauge(log).select("name", F.col("gauge").cast("double").alias("gauge")), "name", "left")
     secs = F.floor(
-        (F.unix_micros(F.lit(as_of_ts).cast("timestamp")) - F.unix_micros("__start")) / F.lit(1000000)
+        (literal_epoch_micros(as_of_ts) - F.unix_micros("__start")) / F.lit(1000000)
     ).cast("long")
     bps = F.when((F.col("__bytes") > 0) & (secs > 0), F.col("__bytes") / secs).otherwise(F.lit(0.0))
     item = lambda kind, stat, v: F.struct(F.lit(kind).alias("kind"), F.lit(stat).alias("stat"), v.alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.paths import conflict_name
+from tidepool.functions.timeutil import utc_wall_clock
 from tidepool.operators.files import latest_per_key
 
 
@@ -88,7 +89,7 @@ def resolve(path, strategy, at_ts, client_label: str = "local") -> Column:
 def resolve_conflicts(conflict_rows: DataFrame, resolved_at: int, strategy: str | None = None) -> DataFrame:
     """F10 with the library's meaning: detect (J4), pick a strategy (F8 unless
     one is given), and compute the resolved path (F7) in one table job."""
-    at = F.timestamp_seconds(F.lit(resolved_at))
+    at = utc_wall_clock(resolved_at)
     strat = auto_strategy() if strategy is None else F.lit(strategy)
     return conflict_rows.withColumn("strategy", strat).withColumn("resolved_path", resolve("path", "strategy", at))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import paths
+from tidepool.functions.timeutil import utc_wall_clock
 from tidepool.operators import bytesjobs, chunking, delta, files, metrics, ratelimit, storage, sync
 from tidepool.plans import params as P
 from tidepool.schemas import FILE_COLS
@@ -185,7 +186,7 @@ def q_resolve_conflicts(spark, sf):
 
 def q_conflict_name(spark, sf):
     pg = V.page_files(spark, sf)
-    at = F.timestamp_seconds(F.lit(P.RESOLVED_AT))
+    at = utc_wall_clock(P.RESOLVED_AT)
     return pg.select(
         "page_id", "path",
         paths.stem("path").alias("stem"),

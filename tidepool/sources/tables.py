@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions.timeutil import ntz_to_instant
 from tidepool.schemas import FILE_COLS
 
 
@@ -123,7 +124,7 @@ def conv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", ntz_to_instant("ts"))
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_log_of(events: DataFrame) -> DataFrame:
     """The change-feed projection of an events DataFrame (batch or streaming)."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = events.withColumn("ts", ntz_to_instant("ts"))
     base = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/k"),
                     F.get_json_object("props", "$.k"))
     kind = (
