@@ -262,3 +262,23 @@ def test_hot_key_upsert_reduces_before_shuffle(spark):
     assert {r["path"]: r["hash"] for r in out.collect()} == {"p": "h2999", "q": "z"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_reupload_with_fewer_chunks_is_rejected_by_stream(spark, tmp_path):
+    from tidepool.streaming import uploads
+
+    def feed(rows):
+        return spark.createDataFrame(
+            [(f"c:{f}", "c", f, seq, (i, 0, len(d), hashlib.sha256(d).hexdigest(), d), total)
+             for (f, seq, i, d, total) in rows], uploads.UPLOAD)
+
+    d = str(tmp_path / "feed")
+    feed([("f", 1, 0, b"aa", 3), ("f", 2, 1, b"bb", 3), ("f", 3, 2, b"cc", 3)]).coalesce(1).write.parquet(d)
+    out = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=5)
+    first = out.collect()
+    assert [(r["path"], r["size"], r["hash"]) for r in first] == [("f", 6, hashlib.sha256(b"aabbcc").hexdigest())]
+    # second upload announces 2 chunks; the stale index 2 stays, so the count (3) != 2: not finalised
+    feed([("f", 4, 0, b"xx", 2), ("f", 5, 1, b"yy", 2)]).coalesce(1).write.mode("append").parquet(d)
+    again = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=9).collect()
+    assert [(r["path"], r["hash"], r["modified_time"]) for r in again] == [
+        ("f", hashlib.sha256(b"aabbcc").hexdigest(), 5)]

@@ -87,11 +87,11 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
         )
         .write.mode("append").parquet(f"{work}/manifest_log")
     )
-    touched = rows.select(*FILE_KEYS).distinct()
-    rows.unpersist()
+    # the announced total is the one of this upload: its first message in the batch
+    announced = rows.groupBy(*FILE_KEYS).agg(F.min_by("total_chunks", "seq").alias("total_chunks"))
+    touched = announced.select(*FILE_KEYS)
 
     manifest = _manifest(spark, work, touched)
-    announced = manifest.groupBy(*FILE_KEYS).agg(F.max("total_chunks").alias("total_chunks"))
     complete = storage.upload_complete(manifest, announced, FILE_KEYS)
     store = spark.read.schema(CHUNK_STORE).parquet(store_path)
     rebuilt = storage.reassemble(manifest.join(complete.where("complete").select(*FILE_KEYS), FILE_KEYS, "left_semi"),
@@ -103,6 +103,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("append").parquet(f"{work}/files_log")
     )
+    rows.unpersist()
 
 
 def ingest_uploads(spark: SparkSession, feed_dir: str, work: str, finalized_at: int,
