@@ -148,14 +148,13 @@ def chunk_exists(probe: DataFrame, manifest: DataFrame, store: DataFrame) -> Dat
 def identical_files(files: DataFrame, keys: list[str]) -> DataFrame:
     """J8 set form: files sharing a whole-file SHA-256 with another file.
 
-    One row per such file with its group size and the group's first key;
-    pairs are never emitted.  The "missing" hash ``""`` never matches.
+    One row per such file with its group size; pairs are never emitted.
+    The "missing" hash ``""`` never matches.  The group count is a hash
+    aggregate (partial before the shuffle), so a hash shared by a third of
+    all files reduces map-side; the join back is skew-split by AQE.
     """
     valid = files.where(F.col("hash") != "")
-    groups = valid.groupBy("hash").agg(
-        F.count(F.lit(1)).cast("long").alias("copies"),
-        F.min(keys[-1]).alias("first_" + keys[-1]),
-    ).where(F.col("copies") > 1)
+    groups = valid.groupBy("hash").agg(F.count(F.lit(1)).cast("long").alias("copies")).where(F.col("copies") > 1)
     return valid.select(*keys, "hash").join(groups, "hash", "inner")
 
 

@@ -270,9 +270,9 @@ SELECT p.hash,
        EXISTS (SELECT 1 FROM conv c WHERE c.hash = p.hash) AS in_store
 FROM probe p""",
     "identical_files": _with(SRC_FILES) + """
-SELECT f.hash, f.client_id, f.path, CAST(g.copies AS BIGINT) AS copies, g.first_path
+SELECT f.hash, f.client_id, f.path, CAST(g.copies AS BIGINT) AS copies
 FROM src_files f JOIN (
-  SELECT hash, count(*) AS copies, min(path) AS first_path FROM src_files WHERE hash <> ''
+  SELECT hash, count(*) AS copies FROM src_files WHERE hash <> ''
   GROUP BY hash HAVING count(*) > 1) g ON g.hash = f.hash""",
     # ------------------------------------------------------------ file tables
     "live_files": _with(SERVER_FILES) + f"SELECT {FILE_COLS} FROM server_files WHERE NOT deleted",
