@@ -197,20 +197,35 @@ def cut_ends_bytewise(
     return ends
 
 
-def window_fingerprints(buf: np.ndarray, window: int) -> np.ndarray:
+def window_fingerprints(buf: np.ndarray, window: int, segment: int = 1 << 22) -> np.ndarray:
     """Hash of the last ``window`` bytes at each position ``i >= window - 1``.
 
     Equals sliding ``h = (h - out * 31^(w-1)) * 31 + in`` from a hash built by
     appending the first ``window`` bytes; returned as int64 array of length
-    ``max(0, n - window + 1)``.
+    ``max(0, n - window + 1)``.  Works on segments of ``segment`` bytes that
+    overlap by ``window - 1``, so memory stays bounded for any row size.
     """
     n = len(buf)
     if n < window:
         return np.empty(0, dtype=np.int64)
-    pw, inv = power_tables(n)
-    g = np.cumsum(buf.astype(np.int64) * inv[:n] % MOD)
-    prev = np.concatenate(([0], g[: n - window]))
-    return (g[window - 1 :] - prev) % MOD * pw[window - 1 : n] % MOD
+    out = np.empty(n - window + 1, dtype=np.int64)
+    step = max(segment, 2 * window)
+    first = window - 1  # first position with a full window
+    while first < n:
+        t0 = first - (window - 1)
+        end = min(n, first + step)
+        length = end - t0
+        pw, inv = power_tables(length)
+        g = buf[t0:end].astype(np.int64)
+        np.multiply(g, inv[:length], out=g)
+        np.cumsum(g, out=g)  # < 2^62 for segments below 2^24 bytes
+        prev = np.concatenate(([0], g[: length - window]))
+        fp = (g[window - 1 :] - prev) % MOD
+        fp *= pw[window - 1 : length]
+        fp %= MOD
+        out[first - (window - 1) : end - (window - 1)] = fp
+        first = end
+    return out
 
 
 def prefix_hash(data: bytes) -> int:
