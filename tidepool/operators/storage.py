@@ -48,10 +48,16 @@ def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str]) -> D
 
 
 def write_store(rows: DataFrame, path: str) -> None:
-    """Append new blobs, clustered by prefix so each task writes few folders."""
+    """Append new blobs to the prefix-partitioned store.
+
+    Range partitioning on ``hash`` gives every task one contiguous hash
+    range: it writes into one or two ``hash_prefix`` folders only, files
+    come out evenly sized, and the task count follows the data (shuffle
+    partitions / AQE) instead of being capped at 256 prefixes.
+    """
     (
         rows.select("hash_prefix", "hash", "size", "data")
-        .repartition("hash_prefix")
+        .repartitionByRange("hash")
         .write.mode("append")
         .partitionBy("hash_prefix")
         .parquet(path)
