@@ -39,13 +39,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (local tests) a folder of our own is created and registered.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote session has no SparkContext
+        sc = None
+    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not base:
         base = tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+        if sc:
+            sc.setCheckpointDir(base)
+    elif sc and not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
 
@@ -60,8 +65,12 @@ def spread(df, keys=None, min_partitions: int | None = None):
 
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        spark = df.sparkSession
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote session without RDDs: leave as is
+        return df
+    if have < want:
         return df.repartition(want, *[F.col(c) for c in (keys or df.columns)])
     return df
