@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MICRO = 1_000_000
+from tidepool.functions.bucket import MICRO, Bucket
+
 
 
 def _ordered(log: DataFrame, cols: list) -> DataFrame:
@@ -39,49 +40,83 @@ def _batches_by_key(batches):
         yield rb, cols, list(zip(starts.tolist(), ends.tolist()))
 
 
-def admit(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
-    """T4: non-blocking ``tryAcquire`` per row of ``(key, ts, event_id, bytes)``.
-
-    Refill ``min(tokens + elapsed * rate, burst)``; admit and deduct iff
-    ``tokens >= bytes``.  Buckets start full; ``burst`` defaults to ``rate``.
-    """
-    burst = rate if not burst else burst
-    cap = burst * MICRO
-    out_schema = T.StructType([
-        T.StructField("key", T.StringType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("bytes", T.LongType()),
-        T.StructField("admitted", T.BooleanType()),
-        T.StructField("tokens_after", T.LongType()),
-    ])
+def _fold(log: DataFrame, cols: list, out_schema: T.StructType, step, rate: int, burst: int | None) -> DataFrame:
+    """Sorted per-key fold: ``step(bucket, row_arrays, i)`` returns the output values of row ``i``."""
+    names = [f.name for f in out_schema.fields]
+    n_fixed = 3  # key, event_id, ts_us pass through
 
     def run(batches):
-        cur_key, tokens, last = None, cap, 0
+        cur_key, bucket = None, None
         for rb, c, runs in _batches_by_key(batches):
-            ts, need = c["ts_us"], c["bytes"]
-            admitted = np.zeros(rb.num_rows, dtype=bool)
-            after = np.zeros(rb.num_rows, dtype=np.int64)
+            outs = [[] for _ in names[n_fixed:]]
             for s, e in runs:
                 k = c["key"][s]
                 if k != cur_key:
-                    cur_key, tokens, last = k, cap, int(ts[s])
+                    cur_key, bucket = k, Bucket(rate, burst)
                 for i in range(s, e):
-                    t = int(ts[i])
-                    tokens = min(tokens + (t - last) * rate, cap)
-                    last = t
-                    want = int(need[i]) * MICRO
-                    if tokens >= want:
-                        tokens -= want
-                        admitted[i] = True
-                    after[i] = tokens
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("key"), rb.column("event_id"), rb.column("ts_us"), rb.column("bytes"),
-                 pa.array(admitted), pa.array(after)],
-                names=[f.name for f in out_schema.fields],
-            )
-
-    return _ordered(log, ["bytes"]).mapInArrow(run, out_schema)
+                    for lst, v in zip(outs, step(bucket, c, i)):
+                        lst.append(v)
+            arrays = [rb.column("key"), rb.column("event_id"), rb.column("ts_us")]
+            arrays += [pa.array(v, type=_ARROW[f.dataType.typeName()]) for v, f in zip(outs, out_schema.fields[n_fixed:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return _ordered(log, cols).mapInArrow(run, out_schema)
+
+
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "integer": pa.int32()}
+_HEAD = [
+    T.StructField("key", T.StringType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts_us", T.LongType()),
+]
+
+
+def admit_step(bucket: Bucket, c, i):
+    ok = bucket.try_acquire(int(c["ts_us"][i]), int(c["bytes"][i]))
+    return int(c["bytes"][i]), ok, bucket.tokens
+
+
+def shape_step(bucket: Bucket, c, i):
+    t = int(c["ts_us"][i])
+    rel = bucket.acquire(t, int(c["bytes"][i]))
+    return int(c["bytes"][i]), rel, None if rel is None else rel - t
+
+
+def rate_change_step(bucket: Bucket, c, i):
+    t, b, nr = int(c["ts_us"][i]), int(c["bytes"][i]), c["new_rate"][i]
+    if nr is not None and not (isinstance(nr, float) and np.isnan(nr)):
+        bucket.set_rate(t, int(nr))
+        return "rate", b, None, bucket.rate, bucket.available()
+    ok = bucket.try_acquire(t, b)
+    return "request", b, ok, bucket.rate, bucket.available()
+
+
+ADMIT_SCHEMA = T.StructType(_HEAD + [
+    T.StructField("bytes", T.LongType()),
+    T.StructField("admitted", T.BooleanType()),
+    T.StructField("tokens_after", T.LongType()),
+])
+SHAPE_SCHEMA = T.StructType(_HEAD + [
+    T.StructField("bytes", T.LongType()),
+    T.StructField("release_us", T.LongType()),
+    T.StructField("wait_us", T.LongType()),
+])
+RATE_SCHEMA = T.StructType(_HEAD + [
+    T.StructField("kind", T.StringType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("admitted", T.BooleanType()),
+    T.StructField("rate_after", T.LongType()),
+    T.StructField("available_after", T.LongType()),
+])
+
+
+def admit(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
+    """T4: non-blocking ``tryAcquire`` per row of ``(key, ts, event_id, bytes)``.
+
+    Refill ``min(tokens + elapsed * rate, burst)``; admit and deduct iff
+    ``tokens >= bytes``.  Buckets start full; ``burst`` defaults to ``rate``.
+    """
+    return _fold(log, ["bytes"], ADMIT_SCHEMA, admit_step, rate, burst)
 
 
 def shape(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
@@ -91,52 +126,7 @@ def shape(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
     least 1 ms) and retry.  A request above ``burst`` never completes: its
     release is NULL and it does not hold up the queue.
     """
-    burst = rate if not burst else burst
-    cap = burst * MICRO
-    out_schema = T.StructType([
-        T.StructField("key", T.StringType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("bytes", T.LongType()),
-        T.StructField("release_us", T.LongType()),
-        T.StructField("wait_us", T.LongType()),
-    ])
-
-    def run(batches):
-        cur_key, tokens, last, free_at = None, cap, 0, 0
-        for rb, c, runs in _batches_by_key(batches):
-            ts, need = c["ts_us"], c["bytes"]
-            release = [None] * rb.num_rows
-            wait = [None] * rb.num_rows
-            for s, e in runs:
-                k = c["key"][s]
-                if k != cur_key:
-                    cur_key, tokens, last, free_at = k, cap, int(ts[s]), int(ts[s])
-                for i in range(s, e):
-                    b = int(need[i])
-                    if b > burst:
-                        continue
-                    t = max(int(ts[i]), free_at)
-                    want = b * MICRO
-                    tokens = min(tokens + (t - last) * rate, cap)
-                    last = t
-                    while tokens < want:
-                        short = b - max(0, tokens) // MICRO
-                        ms = max(1, short * 1000 // rate)
-                        t += ms * 1000
-                        tokens = min(tokens + ms * 1000 * rate, cap)
-                        last = t
-                    tokens -= want
-                    free_at = t
-                    release[i] = t
-                    wait[i] = t - int(ts[i])
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("key"), rb.column("event_id"), rb.column("ts_us"), rb.column("bytes"),
-                 pa.array(release, pa.int64()), pa.array(wait, pa.int64())],
-                names=[f.name for f in out_schema.fields],
-            )
-
-    return _ordered(log, ["bytes"]).mapInArrow(run, out_schema)
+    return _fold(log, ["bytes"], SHAPE_SCHEMA, shape_step, rate, burst)
 
 
 def admit_with_rate_changes(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
@@ -147,51 +137,4 @@ def admit_with_rate_changes(log: DataFrame, rate: int, burst: int | None = None)
     the next refill).  ``available_after`` is ``floor(max(0, tokens))``
     without a refill, as ``available()`` reports it.
     """
-    burst = rate if not burst else burst
-    out_schema = T.StructType([
-        T.StructField("key", T.StringType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("bytes", T.LongType()),
-        T.StructField("admitted", T.BooleanType()),
-        T.StructField("rate_after", T.LongType()),
-        T.StructField("available_after", T.LongType()),
-    ])
-
-    def run(batches):
-        cur_key, tokens, last, r, cap = None, burst * MICRO, 0, rate, burst * MICRO
-        for rb, c, runs in _batches_by_key(batches):
-            ts, need, new_rate = c["ts_us"], c["bytes"], c["new_rate"]
-            n = rb.num_rows
-            kind, admitted, rate_after, avail = [None] * n, [None] * n, [0] * n, [0] * n
-            for s, e in runs:
-                k = c["key"][s]
-                if k != cur_key:
-                    cur_key, r, cap = k, rate, burst * MICRO
-                    tokens, last = cap, int(ts[s])
-                for i in range(s, e):
-                    nr = new_rate[i]
-                    if nr is not None and not (isinstance(nr, float) and np.isnan(nr)):
-                        r = int(nr)
-                        cap = r * MICRO
-                        kind[i] = "rate"
-                    else:
-                        t = int(ts[i])
-                        tokens = min(tokens + (t - last) * r, cap)
-                        last = t
-                        want = int(need[i]) * MICRO
-                        ok = tokens >= want
-                        if ok:
-                            tokens -= want
-                        kind[i], admitted[i] = "request", ok
-                    rate_after[i] = r
-                    avail[i] = max(0, tokens) // MICRO
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("key"), rb.column("event_id"), rb.column("ts_us"), pa.array(kind, pa.string()),
-                 rb.column("bytes"), pa.array(admitted, pa.bool_()), pa.array(rate_after, pa.int64()),
-                 pa.array(avail, pa.int64())],
-                names=[f.name for f in out_schema.fields],
-            )
-
-    return _ordered(log, ["bytes", "new_rate"]).mapInArrow(run, out_schema)
+    return _fold(log, ["bytes", "new_rate"], RATE_SCHEMA, rate_change_step, rate, burst)

@@ -308,13 +308,12 @@ def q_token_bucket_rate_change(spark, sf):
     return ratelimit.admit_with_rate_changes(log, P.TOKEN_RATE, P.TOKEN_BURST)
 
 
-def q_token_bucket_admit_stream(spark, sf):
-    """T4 as a stateful stream over the transfer log, delivered in four time-ordered files."""
-    work = work_dir(spark, "admit-stream")
-    feed = f"{work}/feed"
-    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
+def _time_ordered_feed(spark, log: DataFrame, feed: str, parts: int = 4) -> DataFrame:
+    """Write ``log`` as ``parts`` files in time order (quantiles of ``ts``) and
+    return a stream over them, one file per micro-batch."""
     us = F.unix_micros("ts")
-    cuts = log.select(us.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.0)
+    qs = [i / parts for i in range(1, parts)]
+    cuts = log.select(us.alias("t")).approxQuantile("t", qs, 0.0)
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = log
@@ -323,8 +322,32 @@ def q_token_bucket_admit_stream(spark, sf):
         if hi is not None:
             part = part.where(us <= hi)
         part.coalesce(1).write.mode("append").parquet(feed)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    return T4.admit_stream(spark, stream, work, P.TOKEN_RATE, P.TOKEN_BURST)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+
+
+def q_token_bucket_admit_stream(spark, sf):
+    """T4 as a stateful stream over the transfer log, delivered in four time-ordered files."""
+    work = work_dir(spark, "admit-stream")
+    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
+    stream = _time_ordered_feed(spark, log, f"{work}/feed")
+    return T4.bucket_stream(spark, stream, work, "admit", P.TOKEN_RATE, P.TOKEN_BURST)
+
+
+def q_token_bucket_shape_stream(spark, sf):
+    """T5 as a stateful stream (FIFO queue end kept in the state)."""
+    work = work_dir(spark, "shape-stream")
+    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
+    stream = _time_ordered_feed(spark, log, f"{work}/feed")
+    return T4.bucket_stream(spark, stream, work, "shape", P.TOKEN_RATE, P.TOKEN_BURST)
+
+
+def q_token_bucket_rate_change_stream(spark, sf):
+    """T6 as a stateful stream: rate changes persist in the key's state."""
+    work = work_dir(spark, "rate-stream")
+    log = V.transfer_log(spark, sf).select(
+        "key", "ts", "event_id", "bytes", F.when(F.col("event_type") == "error", F.col("bytes")).alias("new_rate"))
+    stream = _time_ordered_feed(spark, log, f"{work}/feed")
+    return T4.bucket_stream(spark, stream, work, "rate", P.TOKEN_RATE, P.TOKEN_BURST)
 
 
 # ---------------------------------------------------------------- change feed and uploads (streaming)

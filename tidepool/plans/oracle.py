@@ -433,6 +433,8 @@ FROM st WHERE up_seq IS NOT NULL""",
 }
 ORACLE["apply_changes_stream"] = ORACLE["apply_changes"]
 ORACLE["token_bucket_admit_stream"] = ORACLE["token_bucket_admit"]
+ORACLE["token_bucket_shape_stream"] = ORACLE["token_bucket_shape"]
+ORACLE["token_bucket_rate_change_stream"] = ORACLE["token_bucket_rate_change"]
 ORACLE["ingest_uploads"] = ORACLE["finalize_files"]
 
 

@@ -1,11 +1,16 @@
-"""T4 in Structured Streaming: token-bucket admission per key with state.
-
-``applyInPandasWithState`` keeps ``(tokens_us, last_us)`` per key in the
-state store (RocksDB on a cluster); each micro-batch sorts a key's new rows
-by ``(ts, event_id)`` and folds them with the same integer rule as the batch
-job (``tidepool.operators.ratelimit.admit``).  A watermark on ``ts`` lets
-idle keys time out: a bucket idle longer than ``burst / rate`` seconds is
-full again, so dropping its state changes no decision.
+"""T4/T5/T6 in Structured Streaming: token buckets with per-key state.
+
+``applyInPandasWithState`` keeps each key's bucket (rate, burst, tokens,
+last refill, queue end) in the state store (RocksDB on a cluster); every
+micro-batch sorts a key's new rows by ``(ts, event_id)`` and applies the
+same per-row rules as the batch folds (``functions.bucket.Bucket`` with the
+step functions of ``operators.ratelimit``), so a stream delivered in time
+order gives the batch result.
+
+For T4/T5 a watermark on ``ts`` lets idle keys time out: a bucket idle for
+``burst / rate`` seconds after its last refill and its queue end is full
+again, exactly the state a new key starts with.  T6 keeps its state (a rate
+change is permanent).  Memory per key is bounded by one micro-batch.
 """
 
 from __future__ import annotations
@@ -17,63 +22,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-MICRO = 1_000_000
+from tidepool.functions.bucket import Bucket
+from tidepool.operators import ratelimit
 
-OUT_SCHEMA = "key string, event_id long, ts_us long, bytes long, admitted boolean, tokens_after long"
-STATE_SCHEMA = "tokens long, last long"
+STATE_SCHEMA = "rate long, burst long, tokens long, last long, free_at long"
 
+MODES = {
+    "admit": (ratelimit.admit_step, ratelimit.ADMIT_SCHEMA, ["bytes"], True),
+    "shape": (ratelimit.shape_step, ratelimit.SHAPE_SCHEMA, ["bytes"], True),
+    "rate": (ratelimit.rate_change_step, ratelimit.RATE_SCHEMA, ["bytes", "new_rate"], False),
+}
 
-def admit_fn(rate: int, burst: int):
-    cap = burst * MICRO
+
+def _state_fn(mode: str, rate: int, burst: int):
+    step, schema, _, expires = MODES[mode]
+    out_names = [f.name for f in schema.fields][3:]
+    idle_ms = math.ceil(burst / rate) * 1000
 
     def fold(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            tokens, last = state.get
-        else:
-            tokens, last = cap, None
-        outs = []
-        for pdf in pdfs:
-            outs.append(pdf)
-        if not outs:
+        parts = list(pdfs)
+        if not parts:
             return
-        rows = pd.concat(outs).sort_values(["ts_us", "event_id"], kind="stable")
-        ts = rows["ts_us"].to_numpy()
-        need = rows["bytes"].to_numpy()
-        admitted, after = [], []
-        for t, b in zip(ts.tolist(), need.tolist()):
-            if last is None:
-                last = t
-            tokens = min(tokens + (t - last) * rate, cap)
-            last = t
-            want = b * MICRO
-            ok = tokens >= want
-            if ok:
-                tokens -= want
-            admitted.append(ok)
-            after.append(tokens)
-        state.update((tokens, last))
-        # full again after burst/rate seconds of silence: safe to forget
-        state.setTimeoutTimestamp(last // 1000 + math.ceil(burst / rate) * 1000 + 1)
-        yield pd.DataFrame({
-            "key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "ts_us": ts,
-            "bytes": need, "admitted": admitted, "tokens_after": after,
-        })
+        rows = pd.concat(parts).sort_values(["ts_us", "event_id"], kind="stable")
+        c = {col: rows[col].to_numpy() for col in rows.columns}
+        bucket = Bucket(rate, burst, state=tuple(state.get) if state.exists else None)
+        outs = [step(bucket, c, i) for i in range(len(rows))]
+        state.update(bucket.state())
+        if expires:
+            end = max(v for v in (bucket.last, bucket.free_at) if v is not None)
+            state.setTimeoutTimestamp(end // 1000 + idle_ms + 1)
+        cols = {"key": c["key"], "event_id": c["event_id"], "ts_us": c["ts_us"]}
+        for j, name in enumerate(out_names):
+            cols[name] = [o[j] for o in outs]
+        yield pd.DataFrame(cols)
 
     return fold
 
 
-def admit_stream(spark: SparkSession, stream: DataFrame, work: str, rate: int, burst: int | None = None) -> DataFrame:
-    """Run T4 over a stream of ``(key, ts, event_id, bytes)`` to completion; return the decisions."""
+def bucket_stream(spark: SparkSession, stream: DataFrame, work: str, mode: str, rate: int,
+                  burst: int | None = None) -> DataFrame:
+    """Run a token-bucket stream (``mode`` = admit | shape | rate) to completion.
+
+    ``stream`` has ``key, ts, event_id, bytes`` (+ ``new_rate`` for ``rate``);
+    returns the per-row decisions with the batch job's columns.
+    """
     burst = rate if not burst else burst
-    rows = stream.select("key", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", "bytes")
-    out = (
-        rows.withWatermark("ts", f"{math.ceil(burst / rate)} seconds")
-        .groupBy("key")
-        .applyInPandasWithState(admit_fn(rate, burst), OUT_SCHEMA, STATE_SCHEMA, "append",
-                                GroupStateTimeout.EventTimeTimeout)
+    _, schema, extra, expires = MODES[mode]
+    rows = stream.select("key", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", *extra)
+    if expires:
+        rows = rows.withWatermark("ts", f"{math.ceil(burst / rate)} seconds")
+    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    out = rows.groupBy("key").applyInPandasWithState(
+        _state_fn(mode, rate, burst), schema, STATE_SCHEMA, "append", timeout
     )
     q = (
         out.writeStream.outputMode("append")
@@ -84,4 +87,9 @@ def admit_stream(spark: SparkSession, stream: DataFrame, work: str, rate: int, b
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/decisions")
+    return spark.read.schema(schema).parquet(f"{work}/decisions")
+
+
+def admit_stream(spark: SparkSession, stream: DataFrame, work: str, rate: int, burst: int | None = None) -> DataFrame:
+    """T4 streaming (see ``bucket_stream``)."""
+    return bucket_stream(spark, stream, work, "admit", rate, burst)
