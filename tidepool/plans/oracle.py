@@ -368,15 +368,13 @@ need AS (
 SELECT client_id, file_path, chunk_index, hash, size,
        chunk_index = max(chunk_index) OVER (PARTITION BY client_id, file_path) AS is_last
 FROM need""",
-    "apply_delta": _with(CONV) + """
-SELECT client_id, file_path, CAST(count(*) AS INTEGER) AS chunks,
-       CAST(strlen(string_agg(text, '' ORDER BY chunk_index)) AS BIGINT) AS payload_size,
-       sum(size) <= strlen(string_agg(text, '' ORDER BY chunk_index)) AS ok,
-       CASE WHEN sum(size) <= strlen(string_agg(text, '' ORDER BY chunk_index))
-            THEN CAST(sum(size) AS BIGINT) END AS written_bytes,
-       CASE WHEN sum(size) <= strlen(string_agg(text, '' ORDER BY chunk_index))
-            THEN sha256(array_slice(encode(string_agg(text, '' ORDER BY chunk_index)), 1, sum(size))) END AS hash
-FROM conv GROUP BY client_id, file_path""",
+    "apply_delta": _ver_cdc()[:-1] + """,
+need AS (SELECT path, count(*) AS chunks, sum(size) AS need FROM n_chunks GROUP BY path)
+SELECT n.path, CAST(n.chunks AS INTEGER) AS chunks, CAST(octet_length(o.content) AS BIGINT) AS payload_size,
+       n.need <= octet_length(o.content) AS ok,
+       CASE WHEN n.need <= octet_length(o.content) THEN CAST(n.need AS BIGINT) END AS written_bytes,
+       CASE WHEN n.need <= octet_length(o.content) THEN sha256(array_slice(o.content, 1, n.need)) END AS hash
+FROM need n JOIN old_files o ON o.path = n.path""",
     "storage_stats": _with(CONV, CONV_STORE, SERVER_FILES) + """
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM conv_store) AS total_chunks,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM conv_store) AS total_bytes,
