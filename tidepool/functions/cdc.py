@@ -37,8 +37,19 @@ DEFAULT_MASK_BITS = 16
 
 INV_BASE = pow(BASE, MOD - 2, MOD)  # 838709685
 
-_POW: np.ndarray = np.ones(1, dtype=np.int64)
-_INV: np.ndarray = np.ones(1, dtype=np.int64)
+class _PowerCache:
+    """Per-process cache of 31^k and 31^-k mod p; pickles as empty, so task
+    closures never carry a cache grown in the driver."""
+
+    def __init__(self):
+        self.pow = np.ones(1, dtype=np.int64)
+        self.inv = np.ones(1, dtype=np.int64)
+
+    def __reduce__(self):
+        return (_PowerCache, ())
+
+
+_CACHE = _PowerCache()
 
 
 def _grow(table: np.ndarray, base: int, n: int) -> np.ndarray:
@@ -60,10 +71,9 @@ def _grow(table: np.ndarray, base: int, n: int) -> np.ndarray:
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Return (31^k mod p, 31^-k mod p) for k < n (cached per process)."""
-    global _POW, _INV
-    _POW = _grow(_POW, BASE, n)
-    _INV = _grow(_INV, INV_BASE, n)
-    return _POW, _INV
+    _CACHE.pow = _grow(_CACHE.pow, BASE, n)
+    _CACHE.inv = _grow(_CACHE.inv, INV_BASE, n)
+    return _CACHE.pow, _CACHE.inv
 
 
 def switch_point(min_size: int, avg_size: int) -> int:
