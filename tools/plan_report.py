@@ -39,9 +39,9 @@ KINDS = [
 
 REVIEW = """## Review at 100 TB scale
 
-* No `SortAggregate` remains: every grouped aggregate has primitive buffers
-  (hash aggregate with a partial step before its shuffle); the `listagg`
-  that builds W3 payloads is an object hash aggregate.  Upserts and first
+* No `SortAggregate` or object aggregate remains: every grouped aggregate
+  has primitive buffers (hash aggregate with a partial step before its
+  shuffle), and no query concatenates a group's bytes.  Upserts and first
   writers show `WindowGroupLimit` twice: the partial top-1 before the
   shuffle and the final one after it.
 * Broadcasts below are AQE decisions from runtime sizes (the 10 MB
