@@ -282,6 +282,9 @@ def test_reupload_with_fewer_chunks_is_rejected_by_stream(spark, tmp_path):
     again = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=9).collect()
     assert [(r["path"], r["hash"], r["modified_time"]) for r in again] == [
         ("f", hashlib.sha256(b"aabbcc").hexdigest(), 5)]
+    resp = sorted((r["batch_id"], r["success"], r["chunks_received"], r["message"])
+                  for r in uploads.upload_responses(spark, str(tmp_path / "work")).collect())
+    assert resp == [(0, True, 3, ""), (1, False, None, "Failed to finalize file")]
 
 
 def test_store_compaction_round_trip(spark, tmp_path):
@@ -297,3 +300,11 @@ def test_store_compaction_round_trip(spark, tmp_path):
     assert packed[hashlib.sha256(b"x" * 5000).hexdigest()]["data"].__len__() < 100
     back = bytesjobs.read_compacted(spark, packed_dir).collect()
     assert len(back) == 3 and all(r["hash_ok"] for r in back)
+
+
+def test_download_status_not_found_and_tombstones(spark):
+    from tidepool.operators import delta
+    base = _files(spark, [("c", "a", 5, "h", 1, False), ("c", "t", 6, "g", 1, True)])
+    req = spark.createDataFrame([("c", "a"), ("c", "t"), ("c", "zz")], "client_id string, path string")
+    got = {r["path"]: r["status"] for r in delta.download_status(req, base).collect()}
+    assert got == {"a": "OK", "t": "OK", "zz": "NOT_FOUND"}

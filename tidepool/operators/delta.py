@@ -158,6 +158,18 @@ def identical_files(files: DataFrame, keys: list[str]) -> DataFrame:
     return valid.select(*keys, "hash").join(groups, "hash", "inner")
 
 
+def download_status(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """J7 status per requested ``(client_id, path)``: ``OK`` when a files row
+    exists (tombstoned files included, as the metadata lookup returns them),
+    ``NOT_FOUND`` otherwise."""
+    known = files.select("client_id", "path").distinct().withColumn("__k", F.lit(True))
+    return (
+        requests.select("client_id", "path").distinct()
+        .join(known, ["client_id", "path"], "left")
+        .select("client_id", "path", F.when(F.col("__k"), "OK").otherwise("NOT_FOUND").alias("status"))
+    )
+
+
 def download_plan(manifest: DataFrame, client_hashes: DataFrame, file_keys: list[str]) -> DataFrame:
     """The chunks of each file that the client does not hold yet.
 

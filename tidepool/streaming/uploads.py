@@ -103,6 +103,21 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("append").parquet(f"{work}/files_log")
     )
+    # the upload's response: success and chunks_received only when finalised
+    got = rows.groupBy(*FILE_KEYS).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    ok = F.col("complete") & F.col("__fin").isNotNull()
+    (
+        complete.join(got, FILE_KEYS).join(
+            done.select(*FILE_KEYS, F.lit(True).alias("__fin")), FILE_KEYS, "left")
+        .select(
+            *FILE_KEYS,
+            F.lit(batch_id).cast("long").alias("batch_id"),
+            ok.alias("success"),
+            F.when(ok, F.col("__n")).alias("chunks_received"),
+            F.when(ok, F.lit("")).otherwise(F.lit("Failed to finalize file")).alias("message"),
+        )
+        .write.mode("append").parquet(f"{work}/responses_log")
+    )
     rows.unpersist()
 
 
@@ -120,6 +135,12 @@ def ingest_uploads(spark: SparkSession, feed_dir: str, work: str, finalized_at:
     return _files(spark, work)
 
 
+def upload_responses(spark: SparkSession, work: str) -> DataFrame:
+    """Per upload and micro-batch: ``success``, ``chunks_received`` (set only on
+    success) and ``message``, as the upload RPC answers."""
+    return spark.read.parquet(f"{work}/responses_log")
+
+
 def upload_feed(conv: DataFrame) -> DataFrame:
     """Upload messages derived from chunk rows: each carries the announced total."""
     total = conv.groupBy("client_id", "file_path").agg((F.max("chunk_index") + 1).cast("int").alias("total_chunks"))
