@@ -73,3 +73,22 @@ def test_chunks_reassemble_to_file_hash(spark):
     assert hashlib.sha256(whole).hexdigest() == hashlib.sha256(payload).hexdigest()
     offs = [(r["offset"], r["size"]) for r in ch.orderBy("chunk_index").collect()]
     assert all(a[0] + a[1] == b[0] for a, b in zip(offs, offs[1:]))
+
+
+@pytest.mark.parametrize("seg", [50_000, 1_048_576 + 3])
+def test_segmented_files_chunk_like_whole_files(spark, seg):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    files = {
+        "a": np.concatenate([rng.integers(0, 256, 1_500_000, dtype=np.uint8), np.zeros(200_000, np.uint8)]).tobytes(),
+        "b": (b"The quick brown fox jumps over the lazy dog. " * 40000),
+        "c": b"tiny",
+    }
+    whole = spark.createDataFrame(list(files.items()), "path string, content binary")
+    rows = [(p, i // seg, d[i:i + seg]) for p, d in files.items() for i in range(0, len(d), seg)]
+    segs = spark.createDataFrame(rows[::-1], "path string, seg long, content binary")  # any input order
+    cols = ["path", "chunk_index", "offset", "size", "hash"]
+    for kw in ({}, dict(min_size=64, avg_size=512, max_size=4096, mask_bits=9)):
+        a = sorted(tuple(r) for r in chunking.cdc_chunks(whole, ["path"], **kw).select(*cols).collect())
+        b = sorted(tuple(r) for r in chunking.cdc_chunks_segmented(segs, ["path"], **kw).select(*cols).collect())
+        assert a == b and len(a) > 10

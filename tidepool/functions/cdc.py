@@ -87,8 +87,14 @@ def cut_ends(
     max_size: int = DEFAULT_MAX,
     mask_bits: int = DEFAULT_MASK_BITS,
     switch: int | None = None,
+    final: bool = True,
 ) -> list[int]:
-    """Exclusive end offsets of the chunks of ``buf`` (uint8 array)."""
+    """Exclusive end offsets of the chunks of ``buf`` (uint8 array).
+
+    With ``final=False`` the buffer is a prefix of a longer file: the end of
+    the buffer is not a cut, and the open chunk after the last returned end
+    is left for the caller to carry into the next segment.
+    """
     n = len(buf)
     if n == 0:
         return []
@@ -97,7 +103,7 @@ def cut_ends(
     # smallest chunk a hash can cut: min_size, or the switch point if it is lower
     min_size = max(1, min(min_size, switch))
     if n <= min_size:
-        return [n]
+        return [n] if final else []
     big = (1 << mask_bits) - 1
     small = big >> 1
     seg_len = min(max(4 * max_size, 1 << 20), 1 << 24)
@@ -112,7 +118,8 @@ def cut_ends(
     s = 0
     while s < n:
         if n - s <= min_size:
-            ends.append(n)
+            if final:
+                ends.append(n)
             break
         t0 = s
         seg_end = min(n, t0 + seg_len)
@@ -125,12 +132,14 @@ def cut_ends(
         np.cumsum(g, out=g)
         while s < seg_end:
             if n - s <= min_size:
-                ends.append(n)
+                if final:
+                    ends.append(n)
                 s = n
                 break
             hard = min(s + max_size, n)
             if hard > seg_end:
                 break  # chunk may run past this segment: start a new one at s
+            forced = final or s + max_size <= n  # a max-size cut, or the last byte
             gs = g[s - t0 - 1] if s > t0 else 0
             sw = s + switch - 1  # first position judged with the big mask
             a = s + min_size - 1
@@ -159,6 +168,9 @@ def cut_ends(
                     break
                 a = e
                 block = min(block * 2, max_block)
+            else:
+                if not forced:  # no cut before the end of a non-final buffer: leave it open
+                    return ends
             ends.append(cut + 1)
             s = cut + 1
     return ends

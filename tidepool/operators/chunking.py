@@ -123,3 +123,87 @@ def chunk_stats(files: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFra
         )
     )
 
+
+
+def cdc_chunks_segmented(
+    segments: DataFrame,
+    keys: list[str],
+    seg_col: str = "seg",
+    content: str = "content",
+    **params,
+) -> DataFrame:
+    """C1 for files stored as ordered segments (files beyond the 2 GB value
+    limit, or any file split into parts): same rows as ``cdc_chunks`` on the
+    whole file.
+
+    Segments are hash-partitioned by file and sorted by ``seg_col``; one Arrow
+    pass per partition chunks each segment with the open chunk of the
+    previous one carried in front of it (at most ``max_size`` bytes), so a
+    task holds one segment plus one chunk whatever the file size.
+    """
+    src = (
+        segments.select(*keys, seg_col, F.col(content).alias("__content"))
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, seg_col)
+    )
+    out_schema = T.StructType(
+        [src.schema[k] for k in keys]
+        + [
+            T.StructField("chunk_index", T.IntegerType(), False),
+            T.StructField("offset", T.LongType(), False),
+            T.StructField("size", T.IntegerType(), False),
+            T.StructField("hash", T.StringType(), False),
+        ]
+    )
+    n_keys = len(keys)
+
+    def run(batches):
+        cur, carry, base, idx = None, np.empty(0, np.uint8), 0, 0
+        out = {f.name: [] for f in out_schema.fields}
+        types = {"chunk_index": pa.int32(), "offset": pa.int64(), "size": pa.int32(), "hash": pa.string()}
+
+        def emit(key, piece, offset):
+            nonlocal idx
+            for i, k in enumerate(keys):
+                out[k].append(key[i])
+            out["chunk_index"].append(idx)
+            out["offset"].append(offset)
+            out["size"].append(len(piece))
+            out["hash"].append(hashlib.sha256(piece).hexdigest())
+            idx += 1
+
+        def flush():
+            cols = [pa.array(out[f.name], type=types[f.name]) for f in out_schema.fields]
+            for v in out.values():
+                v.clear()
+            return pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
+
+        for rb in batches:
+            for i, k in enumerate(keys):
+                types[k] = rb.schema.field(i).type
+            key_rows = list(zip(*[rb.column(i).to_pylist() for i in range(n_keys)]))
+            offsets, data, nulls = _binary_parts(rb.column(n_keys + 1))
+            nulls = nulls.to_numpy(zero_copy_only=False)
+            for r, key in enumerate(key_rows):
+                if key != cur:
+                    if cur is not None and len(carry):
+                        emit(cur, carry, base)  # the file's last chunk
+                    cur, carry, base, idx = key, np.empty(0, np.uint8), 0, 0
+                if nulls[r]:
+                    continue
+                seg = data[int(offsets[r]) : int(offsets[r + 1])]
+                part = np.concatenate((carry, seg)) if len(carry) else seg
+                prev = 0
+                for e in cdc.cut_ends(part, final=False, **params):
+                    emit(key, part[prev:e], base + prev)
+                    prev = e
+                carry = part[prev:].copy()
+                base += prev
+            if out["chunk_index"]:
+                yield flush()
+        if cur is not None and len(carry):
+            emit(cur, carry, base)
+        if out["chunk_index"]:
+            yield flush()
+
+    return src.mapInArrow(run, out_schema)
