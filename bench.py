@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -20,6 +21,7 @@ from tidepool.plans.catalog import QUERIES  # noqa: E402
 from tidepool.session import local_session  # noqa: E402
 
 WARM_DIR = "/root/testdata/sf0.001"
+REPEATS = int(os.environ.get("BENCH_REPEATS", 3))
 
 HEADLINE = [
     "cdc_chunks",
@@ -82,12 +84,15 @@ def main() -> None:
     for name in HEADLINE:
         QUERIES[name](spark, WARM_DIR).write.format("noop").mode("overwrite").save()
 
-    times: dict[str, float] = {}
-    for name in HEADLINE:
-        df = QUERIES[name](spark, sf_dir)
-        t = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t, 3)
+    # each query runs REPEATS times; the median is reported (robust to noise)
+    runs: dict[str, list[float]] = {name: [] for name in HEADLINE}
+    for _ in range(REPEATS):
+        for name in HEADLINE:
+            df = QUERIES[name](spark, sf_dir)
+            t = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            runs[name].append(time.perf_counter() - t)
+    times = {name: round(statistics.median(v), 3) for name, v in runs.items()}
 
     doc_bytes = (
         spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -102,6 +107,8 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
+        "repeats": REPEATS,
+        "timing": "warm, median of repeats, noop sink",
         "documents_mb": round(mb, 3),
         "cdc_mb_per_s_total": round(mb / times["cdc_chunks"], 2),
         "cdc_mb_per_s_per_core": round(mb / times["cdc_chunks"] / cpus, 2),

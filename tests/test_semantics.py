@@ -308,3 +308,20 @@ def test_download_status_not_found_and_tombstones(spark):
     req = spark.createDataFrame([("c", "a"), ("c", "t"), ("c", "zz")], "client_id string, path string")
     got = {r["path"]: r["status"] for r in delta.download_status(req, base).collect()}
     assert got == {"a": "OK", "t": "OK", "zz": "NOT_FOUND"}
+
+
+def test_client_tables_partition_pruning(spark, tmp_path):
+    base = _files(spark, [("c1", "a", 5, "h", 1, False), ("c2", "b", 6, "g", 1, False)])
+    root = str(tmp_path / "clients")
+    files.write_client_tables(base, root)
+    one = spark.read.parquet(root).where("client_id = 'c2'")
+    assert [r["path"] for r in one.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(client_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_defaults_use_the_clock(spark):
+    rows = spark.createDataFrame([("c", "p", "l", 1, 1, "r", 1, 1)],
+                                 "client_id string, path string, local_hash string, local_modified_time long, "
+                                 "local_version int, remote_hash string, remote_modified_time long, remote_version int")
+    r = sync.resolve_conflicts(rows).collect()[0]
+    assert r["strategy"] == "KEEP_BOTH" and r["resolved_path"].startswith("p (conflicted copy local 20")

@@ -119,3 +119,10 @@ def file_hashes(files: DataFrame, requested: DataFrame) -> DataFrame:
         .join(have, ["client_id", "path"], "left")
         .select("client_id", "path", F.coalesce("__h", F.lit("")).alias("hash"))
     )
+
+
+def write_client_tables(files: DataFrame, root: str, mode: str = "append") -> None:
+    """The per-client metadata tables as one parquet table partitioned
+    by ``client_id`` (``root/client_id=<id>/``); readers filtering one client
+    prune to its folder."""
+    files.repartition("client_id", "path").write.mode(mode).partitionBy("client_id").parquet(root)

@@ -179,14 +179,16 @@ def reassemble_bytes(manifest: DataFrame, store: DataFrame, file_keys: list[str]
 
 
 def finalize_files(
-    reassembled: DataFrame, complete: DataFrame, file_keys: list[str], finalized_at: int
+    reassembled: DataFrame, complete: DataFrame, file_keys: list[str], finalized_at: int | None = None
 ) -> DataFrame:
     """Files rows for uploads that are complete and rebuilt (``reassemble`` output).
 
     size and whole-file SHA-256 of the rebuilt bytes, ``version = 1``,
-    ``deleted = false``, mtime = ``finalized_at`` (passed in, not read from a clock).
-    An announced total of 0 finalises to the empty file.
+    ``deleted = false``, mtime = ``finalized_at`` (F9: pass it in; only when it
+    is omitted the query's start time is used).  An announced total of 0
+    finalises to the empty file.
     """
+    mtime = F.unix_timestamp() if finalized_at is None else F.lit(finalized_at)
     done = complete.where("complete").select(*file_keys, "total_chunks")
     j = done.join(reassembled, file_keys, "left")
     empty = F.col("total_chunks") == 0
@@ -194,7 +196,7 @@ def finalize_files(
     return good.select(
         *file_keys,
         F.when(empty, F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"),
-        F.lit(finalized_at).cast("long").alias("modified_time"),
+        mtime.cast("long").alias("modified_time"),
         F.when(empty, F.sha2(F.lit(b"").cast("binary"), 256)).otherwise(F.col("hash")).alias("hash"),
         F.lit(1).alias("version"),
         F.lit(False).alias("is_directory"),

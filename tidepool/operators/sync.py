@@ -86,10 +86,13 @@ def resolve(path, strategy, at_ts, client_label: str = "local") -> Column:
     )
 
 
-def resolve_conflicts(conflict_rows: DataFrame, resolved_at: int, strategy: str | None = None) -> DataFrame:
+def resolve_conflicts(conflict_rows: DataFrame, resolved_at: int | None = None,
+                      strategy: str | None = None) -> DataFrame:
     """F10 with the library's meaning: detect (J4), pick a strategy (F8 unless
-    one is given), and compute the resolved path (F7) in one table job."""
-    at = utc_wall_clock(resolved_at)
+    one is given), and compute the resolved path (F7) in one table job.
+    ``resolved_at`` (unix seconds, printed as UTC) defaults to the query's
+    start time in the session zone, as the reference prints local time."""
+    at = F.current_timestamp() if resolved_at is None else utc_wall_clock(resolved_at)
     strat = auto_strategy() if strategy is None else F.lit(strategy)
     return conflict_rows.withColumn("strategy", strat).withColumn("resolved_path", resolve("path", "strategy", at))
 

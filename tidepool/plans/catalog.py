@@ -69,6 +69,22 @@ def q_cdc_chunks_small(spark, sf):
     return _doc_chunks(spark, sf, small=True).select(*CHUNK_COLS)
 
 
+def q_cdc_chunks_segmented(spark, sf):
+    """C1 over documents delivered as 1,000-byte segments (Spark splits them);
+    chunks straddle segment borders and must equal whole-document chunking."""
+    src = V.src_files(spark, sf).select(*DOC_KEYS, "content")
+    seg = 1000
+    parts = src.select(
+        *DOC_KEYS, "content",
+        F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / seg).cast("int"))).alias("seg"),
+    ).where(F.length("content") > 0)
+    segments = parts.select(
+        *DOC_KEYS, F.col("seg").cast("long").alias("seg"),
+        F.substring("content", F.col("seg") * seg + 1, F.lit(seg)).alias("content"),
+    )
+    return chunking.cdc_chunks_segmented(segments, DOC_KEYS, "seg", "content", **P.SMALL).select(*CHUNK_COLS)
+
+
 def q_chunk_stats(spark, sf):
     return chunking.chunk_stats(V.src_files(spark, sf), _doc_chunks(spark, sf, small=True), DOC_KEYS)
 

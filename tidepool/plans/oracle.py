@@ -430,6 +430,7 @@ SELECT client_id, path, size, modified_time, hash, 1 AS version, false AS is_dir
 FROM st WHERE up_seq IS NOT NULL""",
 }
 ORACLE["apply_changes_stream"] = ORACLE["apply_changes"]
+ORACLE["cdc_chunks_segmented"] = ORACLE["cdc_chunks_small"]
 ORACLE["token_bucket_admit_stream"] = ORACLE["token_bucket_admit"]
 ORACLE["token_bucket_shape_stream"] = ORACLE["token_bucket_shape"]
 ORACLE["token_bucket_rate_change_stream"] = ORACLE["token_bucket_rate_change"]
