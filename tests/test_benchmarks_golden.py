@@ -92,3 +92,18 @@ def test_segmented_files_chunk_like_whole_files(spark, seg):
         a = sorted(tuple(r) for r in chunking.cdc_chunks(whole, ["path"], **kw).select(*cols).collect())
         b = sorted(tuple(r) for r in chunking.cdc_chunks_segmented(segs, ["path"], **kw).select(*cols).collect())
         assert a == b and len(a) > 10
+
+
+def test_documents_sf001_golden(spark):
+    """FIXTURES golden values for documents at sf0.01, defaults and small parameters."""
+    from conftest import SF_MID
+    from tidepool.plans import catalog
+
+    small = catalog.q_dedup_report(spark, SF_MID).collect()[0]
+    assert (small["total_chunks"], small["unique_chunks"]) == (6848, 6290)
+    assert (small["total_bytes"], small["unique_bytes"]) == (2472458, 2284112)
+    assert small["dedup_ratio"] == pytest.approx(7.6178, abs=1e-4)
+    default = delta.dedup_report(catalog.q_cdc_chunks(spark, SF_MID)).collect()[0]
+    assert (default["total_chunks"], default["unique_chunks"]) == (1017, 943)
+    assert (default["total_bytes"], default["unique_bytes"]) == (2472458, 2308497)
+    assert default["dedup_ratio"] == pytest.approx(6.6315, abs=1e-4)
