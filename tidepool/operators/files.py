@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.schemas import FILE_COLS
+from tidepool.session import spread
 
 
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
@@ -25,6 +26,10 @@ def latest_per_key(log: DataFrame, keys: list[str], order: list[str], first: boo
     """
     direction = F.asc if first else F.desc
     w = Window.partitionBy(*keys).orderBy(*[direction(c) for c in order])
+    # a log in fewer splits than cores is partitioned by the keys up front (the
+    # window then needs no other shuffle); otherwise the plan keeps its
+    # map-side partial limit
+    log = spread(log, keys)
     return log.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
