@@ -66,6 +66,10 @@ def spread(df, keys=None, min_partitions: int | None = None):
     if df.isStreaming:
         return df
     try:
+        # only plain scans are spread; a plan that already shuffles is left as
+        # is (counting its partitions would run its shuffle stages once more)
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         spark = df.sparkSession
         want = min_partitions or spark.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
