@@ -17,7 +17,7 @@ from tidepool.functions.timeutil import utc_wall_clock
 from tidepool.operators import bytesjobs, chunking, delta, files, metrics, ratelimit, storage, sync
 from tidepool.plans import params as P
 from tidepool.schemas import FILE_COLS
-from tidepool.session import work_dir
+from tidepool.session import spread, work_dir
 from tidepool.sources import tables as V
 from tidepool.streaming import admission as T4
 from tidepool.streaming import changes as T2
@@ -86,7 +86,8 @@ def q_cdc_chunks_segmented(spark, sf):
 
 
 def q_chunk_stats(spark, sf):
-    return chunking.chunk_stats(V.src_files(spark, sf), _doc_chunks(spark, sf, small=True), DOC_KEYS)
+    src = spread(V.src_files(spark, sf), DOC_KEYS)  # one scan feeds both the files and the chunker
+    return chunking.chunk_stats(src, chunking.cdc_chunks(src, DOC_KEYS, "content", **P.SMALL), DOC_KEYS)
 
 
 def q_dedup_report(spark, sf):

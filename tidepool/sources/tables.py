@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.timeutil import ntz_to_instant
+from tidepool.session import spread
 from tidepool.schemas import FILE_COLS
 
 
@@ -83,8 +84,12 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """old_files / new_files: the same documents before and after an edit."""
-    d = table(spark, sf_dir, "documents")
+    """old_files / new_files: the same documents before and after an edit.
+
+    Both versions are projections of one (spread) scan, so a single-split
+    table is read and shuffled once and both branches reuse that exchange.
+    """
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), ["doc_id"])
     old = d.select(_doc_path().alias("path"), F.encode("text", "UTF-8").alias("content"))
     edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     new = d.select(_doc_path().alias("path"), F.encode(edited, "UTF-8").alias("content"))
