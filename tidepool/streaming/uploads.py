@@ -44,13 +44,15 @@ def _manifest(spark: SparkSession, work: str, touched: DataFrame | None = None)
             T.StructField("offset", T.LongType()),
             T.StructField("size", T.IntegerType()),
             T.StructField("total_chunks", T.IntegerType()),
+            T.StructField("seq", T.LongType()),
             T.StructField("batch_id", T.LongType()),
         ]
     )
     log = _read_or_empty(spark, f"{work}/manifest_log", schema)
     if touched is not None:  # only the files of this batch: W2 runs on their rows alone
         log = log.join(touched, FILE_KEYS, "left_semi")
-    return latest_per_key(log, ["client_id", "file_path", "chunk_index"], ["batch_id"])
+    # last write wins: later batch, then later message within the batch
+    return latest_per_key(log, ["client_id", "file_path", "chunk_index"], ["batch_id", "seq"])
 
 
 def _files(spark: SparkSession, work: str) -> DataFrame:
@@ -83,6 +85,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
             F.lit(0).cast("long").alias("offset"),
             F.length("data").cast("int").alias("size"),
             "total_chunks",
+            "seq",
             F.lit(batch_id).cast("long").alias("batch_id"),
         )
         .write.mode("append").parquet(f"{work}/manifest_log")
