@@ -118,3 +118,34 @@ def test_switch_parameter_variant():
     rng = np.random.default_rng(21)
     buf = rng.integers(0, 256, 400_000, dtype=np.uint8)
     assert cdc.cut_ends(buf, switch=65536) == cdc.cut_ends_bytewise(buf.tobytes(), switch=65536)
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    data=st.binary(min_size=0, max_size=6000),
+    min_size=st.integers(1, 300),
+    span=st.integers(-250, 600),
+    max_extra=st.integers(0, 3000),
+    mask_bits=st.integers(1, 12),
+    seg=st.integers(1, 2500),
+)
+def test_property_vectorised_and_segmented_equal_bytewise(data, min_size, span, max_extra, mask_bits, seg):
+    params = dict(min_size=min_size, avg_size=min_size + span, max_size=min_size + max_extra + 1, mask_bits=mask_bits)
+    buf = np.frombuffer(data, dtype=np.uint8)
+    expect = cdc.cut_ends_bytewise(data, **params)
+    assert cdc.cut_ends(buf, **params) == expect
+    # the same file fed in segments with the open chunk carried over
+    carry, base, ends = np.empty(0, np.uint8), 0, []
+    for i in range(0, len(buf), seg):
+        part = np.concatenate((carry, buf[i:i + seg]))
+        got = cdc.cut_ends(part, final=False, **params)
+        ends += [base + e for e in got]
+        last = got[-1] if got else 0
+        carry, base = part[last:], base + last
+    if len(carry):
+        ends.append(base + len(carry))
+    assert ends == expect
