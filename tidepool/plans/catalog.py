@@ -72,16 +72,16 @@ def q_cdc_chunks_small(spark, sf):
 def q_cdc_chunks_segmented(spark, sf):
     """C1 over documents delivered as 1,000-byte segments (Spark splits them);
     chunks straddle segment borders and must equal whole-document chunking."""
-    src = V.src_files(spark, sf).select(*DOC_KEYS, "content")
+    src = V.src_files(spark, sf).select(*DOC_KEYS, "content").where(F.length("content") > 0)
     seg = 1000
-    parts = src.select(
-        *DOC_KEYS, "content",
-        F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / seg).cast("int"))).alias("seg"),
-    ).where(F.length("content") > 0)
-    segments = parts.select(
-        *DOC_KEYS, F.col("seg").cast("long").alias("seg"),
-        F.substring("content", F.col("seg") * seg + 1, F.lit(seg)).alias("content"),
+    last = F.floor((F.length("content") - 1) / seg).cast("int")
+    # one array of segment structs per document, then one row per segment
+    # (no row ever carries the whole document next to its segment)
+    pieces = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(i.cast("long").alias("seg"), F.substring("content", i * seg + 1, F.lit(seg)).alias("content")),
     )
+    segments = src.select(*DOC_KEYS, F.inline(pieces))
     return chunking.cdc_chunks_segmented(segments, DOC_KEYS, "seg", "content", **P.SMALL).select(*CHUNK_COLS)
 
 
