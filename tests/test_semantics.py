@@ -325,3 +325,23 @@ def test_defaults_use_the_clock(spark):
                                  "local_version int, remote_hash string, remote_modified_time long, remote_version int")
     r = sync.resolve_conflicts(rows).collect()[0]
     assert r["strategy"] == "KEEP_BOTH" and r["resolved_path"].startswith("p (conflicted copy local 20")
+
+
+def test_sync_changes_first_local_row_wins(spark):
+    server = _files(spark, [("c", "p", 5, "h1", 1, False)])
+    local = spark.createDataFrame([("c", "p", "h1", 0), ("c", "p", "zz", 1)],
+                                  "client_id string, path string, hash string, pos long")
+    assert sync.sync_changes(server, local, 0, local_order="pos").collect() == []
+    swapped = local.withColumn("pos", 1 - F.col("pos"))
+    got = [(r["path"], r["type"]) for r in sync.sync_changes(server, swapped, 0, local_order="pos").collect()]
+    assert got == [("p", "MODIFIED")]
+
+
+def test_upload_takes_path_from_first_message(spark, tmp_path):
+    from tidepool.streaming import uploads
+    msgs = [("u1", "c", "right", 1, (0, 0, 2, hashlib.sha256(b"ab").hexdigest(), b"ab"), 2),
+            ("u1", "c", "wrong", 2, (1, 0, 2, hashlib.sha256(b"cd").hexdigest(), b"cd"), 9)]
+    d = str(tmp_path / "feed")
+    spark.createDataFrame(msgs, uploads.UPLOAD).coalesce(1).write.parquet(d)
+    out = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=1).collect()
+    assert [(r["path"], r["size"], r["hash"]) for r in out] == [("right", 4, hashlib.sha256(b"abcd").hexdigest())]

@@ -26,7 +26,8 @@ def first_local(local: DataFrame, order: str | None = None) -> DataFrame:
     return latest_per_key(local, ["client_id", "path"], [order], first=True)
 
 
-def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int) -> DataFrame:
+def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int,
+                 local_order: str | None = None) -> DataFrame:
     """Changes the server reports to each client.
 
     Live server rows are compared with the client's list on path: a
@@ -34,7 +35,10 @@ def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int
     ``modified_time`` is after the client's ``last_sync_time``.  Never
     DELETED/RENAMED; local-only rows are ignored.  ``last_sync`` is either a
     constant or a ``(client_id, last_sync_time)`` table (absent client = 0).
+    A client list with repeated paths needs ``local_order`` (its list
+    position): the first row per path is the one compared.
     """
+    local = first_local(local, local_order)
     live = server.where(~F.col("deleted")).select("client_id", "path", "modified_time", F.col("hash").alias("server_hash"))
     loc = local.select("client_id", "path", F.col("hash").alias("local_hash"))
     joined = live.join(loc, ["client_id", "path"], "left")

@@ -69,8 +69,14 @@ def _files(spark: SparkSession, work: str) -> DataFrame:
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: str, finalized_at: int) -> None:
     store_path = f"{work}/chunk_store"
-    rows = batch.select(
-        "client_id", "file_path", "seq", "total_chunks",
+    # client, path and announced total of an upload come from its first message
+    first = batch.groupBy("upload_id").agg(
+        F.min_by(F.struct("client_id", "file_path", "total_chunks"), "seq").alias("__first"))
+    rows = batch.join(first, "upload_id").select(
+        F.col("__first.client_id").alias("client_id"),
+        F.col("__first.file_path").alias("file_path"),
+        "seq",
+        F.col("__first.total_chunks").alias("total_chunks"),
         F.col("chunk.index").alias("chunk_index"),
         F.col("chunk.hash").alias("hash"),
         F.col("chunk.data").alias("data"),
