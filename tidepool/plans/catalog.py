@@ -388,7 +388,7 @@ def q_apply_changes_stream(spark, sf):
 def q_ingest_uploads(spark, sf):
     work = work_dir(spark, "ingest-uploads")
     feed = f"{work}/feed"
-    T1.upload_feed(V.conv_chunks(spark, sf)).repartition(4, "file_path").write.parquet(feed)
+    T1.upload_feed(V.conv_chunks(spark, sf)).repartition(2, "file_path").write.parquet(feed)
     return T1.ingest_uploads(spark, feed, work, P.FINALIZED_AT)
 
 

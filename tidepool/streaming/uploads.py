@@ -11,6 +11,10 @@ Per micro-batch (``foreachBatch``):
 3. S6: uploads whose manifest count reached the announced ``total_chunks``
    (A6) and are not finalised yet are rebuilt (J6) and appended to the
    files log.  "The stream ends" becomes "the count is complete".
+
+Each micro-batch appends at most one file per touched ``hash_prefix``
+folder; with tiny batches that is many small files, so a deployment sizes
+triggers (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) for large batches.
 """
 
 from __future__ import annotations
