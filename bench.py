@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line.  Each query is executed in full with the ``noop``
-sink (no collect to the driver).  Chunking throughput is reported as MB/s
+sink (no collect to the driver), after one untimed warm-up pass on sf0.001;
+the reported time per query is the median of ``$BENCH_REPEATS`` (3) runs.  Chunking throughput is reported as MB/s
 in total and per core, next to the reference's single-thread numbers.
 """
 
