@@ -345,3 +345,15 @@ def test_upload_takes_path_from_first_message(spark, tmp_path):
     spark.createDataFrame(msgs, uploads.UPLOAD).coalesce(1).write.parquet(d)
     out = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=1).collect()
     assert [(r["path"], r["size"], r["hash"]) for r in out] == [("right", 4, hashlib.sha256(b"abcd").hexdigest())]
+
+
+def test_store_lookup_by_hash_is_pushed_to_the_scan(spark, tmp_path):
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), str(i).encode(), i) for i in range(200)]
+    inc = spark.createDataFrame(rows, "hash string, data binary, seq long")
+    d = str(tmp_path / "store")
+    storage.write_store(storage.new_store_rows(inc, storage.empty_store(spark), ["seq"]), d)
+    h = rows[7][0]
+    q = spark.read.parquet(d).where((F.col("hash_prefix") == h[:2]) & (F.col("hash") == h))
+    assert [r["data"] for r in q.collect()] == [b"7"]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(hash), EqualTo(hash," in plan and "PartitionFilters: [isnotnull(hash_prefix" in plan

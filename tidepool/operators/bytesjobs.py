@@ -157,7 +157,7 @@ def compact_store(spark, store_path: str, out_path: str) -> None:
     packed = compress_chunks(store, "data").select(
         "hash_prefix", "hash", "size", "codec", F.col("stored").alias("data")
     )
-    packed.repartitionByRange("hash").write.partitionBy("hash_prefix").parquet(out_path)
+    packed.repartitionByRange("hash").sortWithinPartitions("hash").write.partitionBy("hash_prefix").parquet(out_path)
 
 
 def read_compacted(spark, path: str) -> DataFrame:
