@@ -23,7 +23,8 @@ from tidepool.session import spread
 def _binary_parts(arr: pa.Array):
     """(offsets, data) numpy views of a (large_)binary Arrow array, zero-copy."""
     arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
-    off_type = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
+    wide = pa.types.is_large_binary(arr.type) or pa.types.is_large_string(arr.type)
+    off_type = np.int64 if wide else np.int32
     bufs = arr.buffers()
     offsets = np.frombuffer(bufs[1], dtype=off_type)[arr.offset : arr.offset + len(arr) + 1]
     data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.empty(0, np.uint8)
