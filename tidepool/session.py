@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -78,3 +79,26 @@ def spread(df, keys=None, min_partitions: int | None = None):
     if have < want:
         return df.repartition(want, *[F.col(c) for c in (keys or df.columns)])
     return df
+
+
+@contextlib.contextmanager
+def stream_partitions(spark: SparkSession):
+    """Start a stateful stream with at most 2 x cores state partitions.
+
+    A stream fixes its state partitioning at its first start (recorded in
+    the checkpoint) and runs on a copy of the session's settings, so the
+    session's own ``spark.sql.shuffle.partitions`` is restored right after
+    ``start()``.  On a large cluster (cores >> 200) nothing changes.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    try:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001 - remote session: keep the setting
+            cores = None
+        if cores:
+            spark.conf.set(key, str(max(1, min(int(old), 2 * cores))))
+        yield
+    finally:
+        spark.conf.set(key, old)

@@ -24,6 +24,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidepool.functions.bucket import Bucket
 from tidepool.operators import ratelimit
+from tidepool.session import stream_partitions
 
 STATE_SCHEMA = "rate long, burst long, tokens long, last long, free_at long"
 
@@ -78,14 +79,15 @@ def bucket_stream(spark: SparkSession, stream: DataFrame, work: str, mode: str,
     out = rows.groupBy("key").applyInPandasWithState(
         _state_fn(mode, rate, burst), schema, STATE_SCHEMA, "append", timeout
     )
-    q = (
-        out.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{work}/decisions")
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stream_partitions(spark):
+        q = (
+            out.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{work}/decisions")
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     q.awaitTermination()
     return spark.read.schema(schema).parquet(f"{work}/decisions")
 

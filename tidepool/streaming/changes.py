@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import FILE_COLS
+from tidepool.session import stream_partitions
 
 META_COLS = [c for c in FILE_COLS if c not in ("client_id", "path")]
 
@@ -81,13 +82,14 @@ def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str, trig
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
 
-    q = (
-        agg.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .foreachBatch(sink)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stream_partitions(spark):
+        q = (
+            agg.writeStream.outputMode("update")
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .foreachBatch(sink)
+            .trigger(availableNow=True)
+            .start()
+        )
     q.awaitTermination()
     log = spark.read.parquet(log_path)
     latest = latest_per_key(log, ["client_id", "path"], ["batch_id"]).drop("batch_id")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import storage
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import CHUNK_STORE, FILE_COLS, FILES, UPLOAD
+from tidepool.session import stream_partitions
 
 FILE_KEYS = ["client_id", "file_path"]
 
@@ -138,12 +139,13 @@ def ingest_uploads(spark: SparkSession, feed_dir: str, work: str, finalized_at:
                    files_per_trigger: int = 1) -> DataFrame:
     """Run the upload stream over ``feed_dir`` to completion; return the files table."""
     stream = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", files_per_trigger).parquet(feed_dir)
-    q = (
-        stream.writeStream.option("checkpointLocation", f"{work}/checkpoint")
-        .foreachBatch(lambda df, bid: process_batch(spark, df, bid, work, finalized_at))
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stream_partitions(spark):
+        q = (
+            stream.writeStream.option("checkpointLocation", f"{work}/checkpoint")
+            .foreachBatch(lambda df, bid: process_batch(df.sparkSession, df, bid, work, finalized_at))
+            .trigger(availableNow=True)
+            .start()
+        )
     q.awaitTermination()
     return _files(spark, work)
 
