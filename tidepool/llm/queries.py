@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidepool.llm.op03_token_counts import op3_token_counts
 from tidepool.llm.op05_decontaminate import op5_decontaminate
 from tidepool.llm.op06_minhash import op6_minhash_near_dedup
 from tidepool.llm.op07_quality import op7_quality_rules
@@ -9,6 +10,7 @@ from tidepool.llm.op08_warc import OP8_SQL, op8_warc
 from tidepool.llm.op10_mixing import op10_entropy_mix
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
