@@ -7,6 +7,7 @@ from tidepool.llm.op05_decontaminate import op5_decontaminate
 from tidepool.llm.op06_minhash import op6_minhash_near_dedup
 from tidepool.llm.op07_quality import op7_quality_rules
 from tidepool.llm.op08_warc import OP8_SQL, op8_warc
+from tidepool.llm.op09_token_files import op9_token_files
 from tidepool.llm.op10_mixing import op10_entropy_mix
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_token_files": op9_token_files,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
