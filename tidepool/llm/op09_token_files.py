@@ -182,7 +182,7 @@ def _counts(dtype: str):
 
 def _encoded(sent, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, file_no = sent.value, TaskContext.get().partitionId()
+        f, file_no = Frequencies(sent.value), TaskContext.get().partitionId()
         ids, parts, held, block_no, first, offset = [], [], 0, 0, 0, 0
 
         def block() -> pa.RecordBatch:
@@ -210,7 +210,7 @@ def _encoded(sent, dtype: str):
 
 def _decoded(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = sent.value
+        f = Frequencies(sent.value)
         for batch in batches:
             for row in batch.to_pylist():
                 if zlib.crc32(row["payload"]) != row["crc32"]:
@@ -238,22 +238,22 @@ def write_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = E
     ids = spark.read.schema("id long, ids binary").parquet(packed)
     counted = ids.mapInArrow(_counts(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted.coalesce(1).write.parquet(f"{path}/frequencies")
-    sent = spark.sparkContext.broadcast(read_frequencies(spark, path))
+    sent = spark.sparkContext.broadcast(read_counts(spark, path))
     in_order = ids.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     in_order.mapInArrow(_encoded(sent, dtype), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_frequencies(spark: SparkSession, path: str) -> Frequencies:
-    """The table of a folder: one row per token that occurs, so at most the vocabulary."""
+def read_counts(spark: SparkSession, path: str) -> np.ndarray:
+    """Token counts of a folder: one row per token that occurs, so at most the vocabulary."""
     rows = spark.read.schema("token long, n long").parquet(f"{path}/frequencies").toPandas()
     counts = np.zeros(int(rows.token.max()) + 1 if len(rows) else 1, np.int64)
     counts[rows.token.to_numpy()] = rows.n.to_numpy()
-    return Frequencies(counts)
+    return counts
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the blocks."""
-    sent = spark.sparkContext.broadcast(read_frequencies(spark, path))
+    sent = spark.sparkContext.broadcast(read_counts(spark, path))
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # one row per file: its tokens, and those of all files before it
     files = blocks.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"))
