@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidepool.llm.op01_html import op1_html_text
+from tidepool.llm.op02_secrets import op2_secret_scan
 from tidepool.llm.op03_token_counts import op3_token_counts
 from tidepool.llm.op05_decontaminate import op5_decontaminate
 from tidepool.llm.op06_minhash import op6_minhash_near_dedup
@@ -11,6 +13,8 @@ from tidepool.llm.op09_token_files import op9_token_files
 from tidepool.llm.op10_mixing import op10_entropy_mix
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
