@@ -9,7 +9,7 @@ article (``article`` or ``main``), lines outside it have length 0, too, and part
 taken out inside it leave no line at all.
 
 Sums of lengths over windows of ``WIDTH`` lines then show the article: sums rise from
-0, surge to at least ``SURGE`` characters (or all there is, on a short page), and
+0, surge to at least ``SURGE`` characters (or the page's highest sum, if less), and
 dive to 0 again.  Lines with text between such a rise and its dive are kept, all
 stretches with a surge in page order.
 
@@ -170,10 +170,8 @@ def main_lines(lines: list[tuple[str, bool, bool, int]]) -> list[str]:
             counts = not boilerplate and not marked and link_chars <= LINK_SHARE * len(text)
             rows.append((text, len(text) if counts else 0))
     lengths = [n for _, n in rows]
-    surge = min(SURGE, sum(lengths))
-    if not surge:
-        return []
     window = [sum(lengths[k : k + WIDTH]) for k in range(len(lengths))]
+    surge = min(SURGE, max(window, default=0))
     kept: list[str] = []
     begin = 0
     for k in range(len(rows) + 1):
