@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidepool.llm.op01_html import op1_html_text
 from tidepool.llm.op02_secrets import op2_secret_scan
 from tidepool.llm.op03_token_counts import op3_token_counts
+from tidepool.llm.op04_suffix_dedup import op4_suffix_dedup
 from tidepool.llm.op05_decontaminate import op5_decontaminate
 from tidepool.llm.op06_minhash import op6_minhash_near_dedup
 from tidepool.llm.op07_quality import op7_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
