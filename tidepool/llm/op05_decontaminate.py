@@ -297,6 +297,24 @@ def _pass(sent, text_col: str, out: str):
     return search
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the hit spans; what stood around a span is parted by a line feed.
+
+    Documents of which nothing but hits was left are dropped; columns stay as they are.
+    """
+    hits = F.col("_hits")
+    spans, text = hits["spans"], F.col(text_col)
+    n = (F.size(spans) / 2).cast("int")
+    # piece k lies between the end of span k - 1 and the start of span k
+    start = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(spans, 2 * k - 1))
+    piece = lambda k: F.when(k == n, F.substring(text, start(k) + 1, F.length(text))).otherwise(
+        F.substring(text, start(k) + 1, F.get(spans, 2 * k) - start(k))
+    )
+    cut = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), n), piece), lambda x: F.trim(x) != ""), "\n")
+    found = with_hits(docs, benchmark, text_col, out="_hits").filter((hits["n_hit"] == 0) | (hits["n_hit"] < hits["n_words"]))
+    return found.withColumn(text_col, F.when(hits["n_hit"] > 0, cut).otherwise(text)).drop("_hits")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.col("hits")
     items = F.array_join(hits["items"], ",")
