@@ -3,8 +3,8 @@
 Each line of a document is judged by three rules; lines that fail are taken
 out, and a document that loses too much of its text is rejected:
 
-* punctuation - the line has hardly any letters or digits, or it is mostly
-  symbols (``#*$%&|<>``);
+* punctuation - the line has no letter or digit, or too many symbols
+   (``#*$%&|<>``);
 * navigation  - a short line of menu entries between separators, or a few
   words of which most are menu words;
 * boilerplate - a line with a stock phrase (cookies, copyright, scripts to be
@@ -25,40 +25,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import WS, let, table, text_of, words_of
+from tidepool.llm.common import let, table, text_of, words_of
 
-SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 WINDOW = 5
 
-# a document is rejected when the failing lines hold more than this share of its word characters
+# a document is rejected when the failing lines hold more than this share of its characters
 MAX_LOST = 0.5
 # a line fails when symbols are more than this share of its characters
 MAX_SYMBOL_SHARE = 0.15
 # repeated lines fail from this many characters on (shorter ones occur in verse, tables, dialogue)
 MIN_REPEAT_CHARS = 20
+# longer lines are prose, whatever they mention
+MENU_CHARS, NAVIGATION_CHARS, BOILERPLATE_CHARS = 60, 200, 400
 
+SYMBOLS_RE = r"[#*$%&|<>]+"
+HAS_WORD_RE = r"[^\x20\x09-\x0D]"
+HAS_LETTER_RE = r"[\p{L}\p{N}]"
 SEPARATORS_RE = r"(?:\||»|›|•|·|→|::|>)"
 MENU_RE = (
     r"(?i)^\W*(?:(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|"
     r"previous|prev|back|top|back to top|share|tweet|print|sitemap|faq|help|read more|more|skip to content|"
     r"click here)\b\W*)+$"
 )
-BOILERPLATE_RE = (
-    r"(?i)(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|we use cookies|uses cookies|"
-    r"accept (?:all )?cookies|enable javascript|javascript is (?:disabled|required)|lorem ipsum|"
-    r"subscribe to our newsletter|sign up for our|follow us on)"
-)
+BOILERPLATE = (
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "uses cookies",
+    "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled", "javascript is required", "lorem ipsum",
+    "subscribe to our newsletter", "sign up for our", "follow us on",
+)
 
 
-def squeezed(text: Column) -> Column:
-    """``text`` without white space."""
-    return F.translate(text, WS, "")
+def n_symbols_of(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS_RE, ""))
 
 
-def n_chars_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def has_phrase(lower: Column) -> Column:
+    found = F.contains(lower, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        found = found | F.contains(lower, F.lit(phrase))
+    return found
 
 
 def repeated_words(words: Column) -> Column:
@@ -100,15 +106,18 @@ def repeated_words(words: Column) -> Column:
     return let(words, gate)
 
 
-def bad_line(line: Column, seen: Column) -> Column:
-    """True if the line fails a rule; ``seen``: an equal line stands before it."""
-    chars = F.length(squeezed(line))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
-    n_words = F.size(words_of(line))
-    punctuation = (letters * 4 < chars) | (n_chars_of(line, SYMBOLS) > chars * MAX_SYMBOL_SHARE)
-    navigation = ((n_words <= 25) & (F.size(F.split(line, SEPARATORS_RE)) > 3)) | ((n_words <= 6) & line.rlike(MENU_RE))
-    boilerplate = ((n_words <= 60) & line.rlike(BOILERPLATE_RE)) | (seen & (chars >= MIN_REPEAT_CHARS))
-    return (chars > 0) & (punctuation | navigation | boilerplate)
+def bad_line(line: Column, seen: Column, doc: Column) -> Column:
+    """True if the line fails a rule.
+
+    ``seen``: an equal line stands before it; ``doc``: whether the whole text has
+    symbols and stock phrases at all, so that most lines skip those searches.
+    """
+    chars = F.length(line)
+    symbols = F.when(doc["symbols"], n_symbols_of(line)).otherwise(0)
+    punctuation = (symbols > chars * MAX_SYMBOL_SHARE) | ~line.rlike(HAS_LETTER_RE)
+    navigation = ((chars <= MENU_CHARS) & line.rlike(MENU_RE)) | ((chars <= NAVIGATION_CHARS) & (F.size(F.split(line, SEPARATORS_RE)) > 3))
+    boilerplate = (doc["phrase"] & (chars <= BOILERPLATE_CHARS) & has_phrase(F.lower(line))) | (seen & (chars >= MIN_REPEAT_CHARS))
+    return line.rlike(HAS_WORD_RE) & (punctuation | navigation | boilerplate)
 
 
 def judged(docs: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
@@ -120,8 +129,8 @@ def judged(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Dat
     """
     text = text_of(text_col)
 
-    def lines_struct(lines: Column) -> Column:
-        # first index of each line: equal lines share it, so "seen before" needs no pair of lines
+    def seen_before(lines: Column) -> Column:
+        # equal lines meet in sorted order: no pair of lines is compared twice
         order = F.sort_array(F.transform(lines, lambda x, i: F.struct(x.alias("l"), i.alias("i"))))
         again = let(
             order,
@@ -130,41 +139,55 @@ def judged(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Dat
                 lambda j: F.struct(F.get(s, j)["i"].alias("i"), F.coalesce(F.get(s, j)["l"] == F.get(s, j - 1)["l"], F.lit(False)).alias("seen")),
             ),
         )
-        return let(F.sort_array(again), lambda a: F.zip_with(lines, a, lambda x, s: F.struct(x.alias("l"), bad_line(x, s["seen"]).alias("bad"))))
+        none = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lit(False).alias("seen")))
+        return F.when(F.size(lines) == F.size(F.array_distinct(lines)), none).otherwise(F.sort_array(again))
 
-    lines = F.split(text, "\n")
-    with_words = F.filter(lines, lambda x: squeezed(x) != "")
-    marked = let(lines, lines_struct)
-    chars = F.length(squeezed(text))
-    base = docs.withColumn(
-        out,
-        F.struct(
-            F.size(words_of(text)).cast("long").alias("n_words"),
-            chars.cast("long").alias("word_chars"),
-            n_chars_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-            let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(words_of(text)).cast("long").alias("n_repeat_words"),
-            let(
-                marked,
-                lambda m: F.struct(
-                    F.size(F.filter(m, lambda x: x["bad"])).cast("long").alias("n_bad_lines"),
-                    F.length(squeezed(F.array_join(F.transform(F.filter(m, lambda x: x["bad"]), lambda x: x["l"]), ""))).cast("long").alias("lost_chars"),
-                    F.array_join(F.transform(F.filter(m, lambda x: ~x["bad"]), lambda x: x["l"]), "\n").alias("cleaned"),
-                ),
-            ).alias("lines"),
-        ),
-    )
+    def judge_lines(lines: Column, doc: Column) -> Column:
+        marked = let(seen_before(lines), lambda a: F.zip_with(lines, a, lambda x, s: F.struct(x.alias("l"), bad_line(x, s["seen"], doc).alias("bad"))))
+        with_words = F.filter(lines, lambda x: x.rlike(HAS_WORD_RE))
+        return let(
+            marked,
+            lambda m: F.struct(
+                let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                F.size(F.filter(m, lambda x: x["bad"])).cast("long").alias("n_bad_lines"),
+                F.aggregate(m, F.lit(0), lambda t, x: t + F.when(x["bad"], F.length(x["l"])).otherwise(0)).cast("long").alias("lost_chars"),
+                F.array_join(F.transform(F.filter(m, lambda x: ~x["bad"]), lambda x: x["l"]), "\n").alias("cleaned"),
+            ),
+        )
+
+    def judge_words(words: Column) -> Column:
+        return let(
+            words,
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.aggregate(w, F.lit(0), lambda t, x: t + F.length(x)).cast("long").alias("word_chars"),
+                repeated_words(w).cast("long").alias("n_repeat_words"),
+            ),
+        )
+
+    def judge(text: Column) -> Column:
+        return let(
+            F.struct(n_symbols_of(text).cast("long").alias("n_symbols"), has_phrase(F.lower(text)).alias("phrase")),
+            lambda d: F.struct(
+                judge_words(words_of(text)).alias("words"),
+                d["n_symbols"].alias("n_symbols"),
+                let(F.struct((d["n_symbols"] > 0).alias("symbols"), d["phrase"].alias("phrase")), lambda doc: let(F.split(text, "\n"), lambda x: judge_lines(x, doc))).alias("lines"),
+                F.length(text).cast("long").alias("chars"),
+            ),
+        )
+
+    base = docs.withColumn(out, let(text, judge))
     q = F.col(out)
-    failed = (q["n_words"] < MIN_WORDS) | (q["n_repeat_words"] * 100 > q["n_words"] * MAX_REPEAT_PCT)
+    words, lines = q["words"], q["lines"]
+    failed = (words["n_words"] < MIN_WORDS) | (words["n_repeat_words"] * 100 > words["n_words"] * MAX_REPEAT_PCT)
     return base.withColumn(
         out,
         F.struct(
-            *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-            *[q["lines"][c].alias(c) for c in ("n_bad_lines", "lost_chars", "cleaned")],
-            failed.alias("base_failed"),
-            (~failed & (q["lines"]["lost_chars"] <= q["word_chars"] * MAX_LOST)).alias("kept"),
+            words["n_words"], words["word_chars"], q["n_symbols"], lines["n_dup_lines"], words["n_repeat_words"], lines["n_bad_lines"],
+            lines["lost_chars"], lines["cleaned"], failed.alias("base_failed"),
+            (~failed & (lines["lost_chars"] <= q["chars"] * MAX_LOST)).alias("kept"),
         ),
-    )
+    )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
