@@ -41,6 +41,7 @@ CHUNK_BYTES = 32 << 20  # benchmark text that one pass holds in memory
 _TABLE = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -259,7 +260,7 @@ def batch_hits(texts: list[str | None], earlier: list[dict] | None, p: Patterns)
         ranges, spans = [], []
         if names:
             ranges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]).astype(np.int8))).tolist()
-            at = [m.span() for m in _WORD.finditer(text)]
+            at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
             spans = [at[x][0] if k % 2 == 0 else at[x - 1][1] for k, x in enumerate(ranges)]
         out.append({"n_words": n, "n_hit": int(own.sum()), "items": sorted(names), "ranges": ranges, "spans": spans})
     return out
@@ -277,14 +278,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     for k in range(n_chunks):
         # an item is never split: repeated item ids land in one chunk
         chunk = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("name"), F.lit(n_chunks)) == k).collect()]
-        sent = spark.sparkContext.broadcast(Patterns(chunk))
+        sent = spark.sparkContext.broadcast(vars(Patterns(chunk)))  # plain values load before any module does
         rows = rows.mapInArrow(_pass(sent, text_col, out), schema)
     return rows
 
 
 def _pass(sent, text_col: str, out: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
+        p = Patterns.__new__(Patterns)
+        vars(p).update(sent.value)
         for batch in batches:
             names = batch.schema.names
             earlier = batch.column(names.index(out)).to_pylist() if out in names else None
