@@ -50,7 +50,7 @@ def test_delta_benchmark_golden(spark, pct, old_n, new_n, new_chunks, distinct_n
     assert (r["original_chunks"], r["modified_chunks"], r["new_chunks"]) == (old_n, new_n, new_chunks)
     assert r["new_bytes"] == new_bytes
     assert r["bandwidth_reduction"] == pytest.approx(saved, abs=1e-3)
-    s = delta.delta_summary(delta.mark_new(n, o, ["path"]), ["path"]).collect()[0]
+    s = delta.delta_summary(o, n, ["path"]).collect()[0]
     assert s["new_chunks"] == new_chunks and s["bytes_to_transfer"] == new_bytes
     assert s["existing_chunks"] == new_n - new_chunks
     assert delta.delta_new(n, o, ["path"]).select("hash").distinct().count() == distinct_new
@@ -60,7 +60,7 @@ def test_empty_and_missing_files_give_no_chunks(spark):
     files = spark.createDataFrame([("empty", b""), ("missing", None), ("one", b"x")], "path string, content binary")
     rows = chunking.cdc_chunks(files, ["path"]).collect()
     assert [(r["path"], r["size"], r["offset"]) for r in rows] == [("one", 1, 0)]
-    stats = {r["path"]: r for r in chunking.chunk_stats(files, chunking.cdc_chunks(files, ["path"]), ["path"]).collect()}
+    stats = {r["path"]: r for r in chunking.chunk_stats(files, ["path"]).collect()}
     assert (stats["empty"]["total_chunks"], stats["empty"]["avg_size"]) == (0, 0.0)
 
 

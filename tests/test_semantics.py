@@ -26,37 +26,51 @@ def test_burst_then_refuse(spark):
     assert [r["admitted"] for r in out] == [True, False]
 
 
-def test_blocking_two_megabytes_take_a_second(spark):
-    mb = 1024 * 1024
-    out = ratelimit.shape(_log(spark, [("k", 0, mb), ("k", 0, mb)]), rate=mb).orderBy("event_id").collect()
-    assert out[0]["wait_us"] == 0
-    assert out[1]["release_us"] - out[0]["release_us"] >= 900_000
-
-
-def test_request_above_burst_never_completes(spark):
-    out = ratelimit.shape(_log(spark, [("k", 0, 10), ("k", 5, 5000), ("k", 9, 10)]), rate=100, burst=1000)
-    got = {r["event_id"]: r["release_us"] for r in out.collect()}
-    assert got[1] is None and got[0] is not None and got[2] is not None
-
-
-def test_rate_change_sets_rate_and_burst(spark):
-    log = spark.createDataFrame(
-        [("k", T0, 0, 0, 2048), ("k", T0, 1, 2048, None), ("k", T0 + dt.timedelta(seconds=10), 2, 3000, None)],
-        "key string, ts timestamp, event_id long, bytes long, new_rate long")
-    out = ratelimit.admit_with_rate_changes(log, rate=1024).orderBy("event_id").collect()
-    assert out[0]["kind"] == "rate" and out[0]["rate_after"] == 2048 and out[0]["available_after"] == 1024
-    # 1024 tokens (no top-up on setRate) < 2048; ten seconds later capped at the new burst 2048 < 3000
-    assert out[1]["admitted"] is False and out[1]["available_after"] == 1024
-    assert out[2]["admitted"] is False and out[2]["available_after"] == 2048
-
+def test_null_keys_sizes_and_long_gaps(spark):
+    day = 86_400_000_000
+    rows = [(None, 0, 10), (None, 0, 2000), ("k", 0, 900), ("k", 365 * day, 1000), ("k", 365 * day, 1), ("k", 365 * day, 2**60)]
+    got = [r["admitted"] for r in ratelimit.admit(_log(spark, rows), rate=10**9, burst=1000).orderBy("event_id").collect()]
+    assert got == [True, False, True, True, False, False]
+    log = _log(spark, [("k", 0, 5)]).withColumn("bytes", F.lit(None).cast("long"))
+    assert [r["admitted"] for r in ratelimit.admit(log, 10).collect()] == [True]
+
+
+def test_admission_stream_decides_every_row_across_batches(spark, tmp_path):
+    # key b arrives 10 s behind key a, and one row of a comes late: no row is dropped
+    from tidepool.streaming.admission import admission_stream
+
+    parts = [[("a", 0, 20), ("b", 0, 5)], [("a", 10_000_000, 15), ("a", 2_000_000, 1)], [("b", 1_000_000, 40), (None, 1, 3), ("b", 1_500_000, 18)]]
+    log = str(tmp_path / "log")
+    n = 0
+    got = None
+    for rows in parts:
+        df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), n + i, b) for i, (k, us, b) in enumerate(rows)],
+                                   "key string, ts timestamp, event_id long, bytes long")
+        n += len(rows)
+        df.write.mode("append").parquet(log)
+        stream = spark.readStream.schema(df.schema).parquet(log)
+        got = admission_stream(spark, stream, str(tmp_path / "work"), rate=10, burst=20).orderBy("event_id").collect()
+        assert len(got) == n
+    # batch 1 leaves a 0 and b 15; a is full again at 10 s (5 left after 15), the late row takes 1 more;
+    # b has 20 at 1 s: 40 is refused, and 18 fits
+    assert [r["admitted"] for r in got] == [True, True, True, True, False, True, True]
+
+
+def test_stream_in_time_order_equals_batch(spark, tmp_path):
+    import random
 
-def test_lower_rate_clamps_only_at_next_refill(spark):
-    log = spark.createDataFrame(
-        [("k", T0, 0, 0, 100), ("k", T0, 1, 50, None)],
-        "key string, ts timestamp, event_id long, bytes long, new_rate long")
-    out = ratelimit.admit_with_rate_changes(log, rate=1024).orderBy("event_id").collect()
-    assert out[0]["available_after"] == 1024  # available() does not refill or clamp
-    assert out[1]["admitted"] is True and out[1]["available_after"] == 50
+    from tidepool.streaming.admission import admission_stream
+    rnd = random.Random(8)
+    rows, t = [], 0
+    for _ in range(600):
+        t += rnd.randint(0, 900_000)
+        rows.append((rnd.choice("abc"), t, rnd.randint(1, 4000)))
+    whole = _log(spark, rows)
+    log = str(tmp_path / "log")
+    for a in range(0, 600, 150):
+        whole.where((F.col("event_id") >= a) & (F.col("event_id") < a + 150)).coalesce(1).write.mode("append").parquet(log)
+        out = admission_stream(spark, spark.readStream.schema(whole.schema).parquet(log), str(tmp_path / "work"), 1000, 5000)
+    assert _same(out, ratelimit.admit(whole, 1000, 5000))
 
 
 def test_admit_matches_float_simulation(spark):
@@ -187,11 +201,40 @@ def test_apply_delta_overrun_and_trailing(spark):
     assert not got["g"]["ok"] and got["g"]["hash"] is None
 
 
-def test_decompress_flags_corrupt_rows(spark):
-    from tidepool.operators import bytesjobs
-    df = spark.createDataFrame([("h", "zlib", b"not zlib at all")], "hash string, codec string, stored binary")
-    r = bytesjobs.decompress_chunks(df).collect()[0]
-    assert r["restored"] is None and r["error"] and r["hash_ok"] is False
+def test_apply_delta_of_an_empty_chunk_list_writes_an_empty_file(spark):
+    lists = spark.createDataFrame([], "file_path string, chunk_index int, size int")
+    pay = spark.createDataFrame([("f", b"abc")], "file_path string, payload binary")
+    r = storage.apply_delta(lists, pay, ["file_path"]).collect()[0]
+    assert r["ok"] and r["written_bytes"] == 0 and bytes(r["content"]) == b"" and r["hash"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_emptied_file_has_a_summary_row(spark):
+    from tidepool.operators import delta
+    old = spark.createDataFrame([("f", "h1", 5), ("g", "h2", 3)], "path string, hash string, size int")
+    new = old.where("path = 'g'")
+    names = spark.createDataFrame([("f",), ("g",), ("never",)], "path string")
+    got = {r["path"]: tuple(r)[1:] for r in delta.delta_summary(old, new, ["path"], names).collect()}
+    assert got == {"f": (0, 0, 0, 0), "g": (0, 1, 0, 0), "never": (0, 0, 0, 0)}
+    assert {r["path"]: r["bandwidth_reduction"] for r in delta.bandwidth_reduction(old, new, ["path"], names).collect()} == {
+        "f": 100.0, "g": 100.0, "never": None}
+
+
+def test_upsert_takes_the_last_update_of_a_path(spark):
+    base = _files(spark, [("c", "p", 1, "base", 1, False), ("c", "q", 1, "kept", 1, False)])
+    updates = _files(spark, [("c", "p", 1, f"u{i}", 1, False) for i in range(3)]).withColumn("pos", F.substring("hash", 2, 1).cast("int"))
+    assert {r["path"]: r["hash"] for r in files.upsert_files(base, updates, "pos").collect()} == {"p": "u2", "q": "kept"}
+
+
+def test_repeated_local_rows_report_a_path_once(spark):
+    server = _files(spark, [("c", "p", 5, "s", 1, False)])
+    local = _files(spark, [("c", "p", 1, "l", 1, False)] * 3)
+    assert [(r["path"], r["type"]) for r in sync.sync_changes(server, local, 0).collect()] == [("p", "MODIFIED")]
+
+
+def test_local_edit_conflicts_with_a_server_delete(spark):
+    server = _files(spark, [("c", "p", 5, "s", 1, True)])
+    local = _files(spark, [("c", "p", 6, "l", 1, False)])
+    assert [r["path"] for r in sync.conflicts(local, server).collect()] == ["p"]
 
 
 # ---------------------------------------------------------------- streaming == batch
@@ -204,10 +247,6 @@ def test_apply_changes_stream_equals_batch(spark):
     assert _same(catalog.q_apply_changes_stream(spark, SF_SMALL), catalog.q_apply_changes(spark, SF_SMALL))
 
 
-def test_ingest_uploads_stream_equals_batch(spark):
-    assert _same(catalog.q_ingest_uploads(spark, SF_SMALL), catalog.q_finalize_files(spark, SF_SMALL))
-
-
 # ---------------------------------------------------------------- binary file source
 def test_binary_files_source_and_chunking(spark, tmp_path):
     from tidepool.operators import chunking
@@ -218,16 +257,17 @@ def test_binary_files_source_and_chunking(spark, tmp_path):
     meta = {r["path"].rsplit("/", 1)[-1]: r for r in df.collect()}
     assert meta["a.bin"]["size"] == 100000
     assert meta["a.bin"]["hash"] == hashlib.sha256(b"A" * 100000).hexdigest()
-    assert "empty.bin" not in meta or meta["empty.bin"]["hash"] == hashlib.sha256(b"").hexdigest()
+    assert (meta["empty.bin"]["size"], meta["empty.bin"]["hash"]) == (0, hashlib.sha256(b"").hexdigest())
+    assert binary_files(spark, str(tmp_path / "nothing*")).count() == 0
     sizes = [r["size"] for r in chunking.cdc_chunks(df, ["path"]).orderBy("path", "chunk_index").collect()]
     assert sizes == [49990, 49990, 20]
 
 
 def test_file_hashes_missing_is_empty_string(spark):
-    files_df = spark.createDataFrame([("c", "a", b"x")], "client_id string, path string, content binary")
-    req = spark.createDataFrame([("c", "a"), ("c", "gone")], "client_id string, path string")
+    files_df = spark.createDataFrame([("c", "a", b"x"), ("c", "e", b"")], "client_id string, path string, content binary")
+    req = spark.createDataFrame([("c", "a"), ("c", "e"), ("c", "gone")], "client_id string, path string")
     got = {r["path"]: r["hash"] for r in files.file_hashes(files_df, req).collect()}
-    assert got == {"a": hashlib.sha256(b"x").hexdigest(), "gone": ""}
+    assert got == {"a": hashlib.sha256(b"x").hexdigest(), "e": hashlib.sha256(b"").hexdigest(), "gone": ""}
 
 
 def test_sync_state_read_and_advance(spark):
@@ -264,42 +304,63 @@ def test_hot_key_upsert_reduces_before_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_reupload_with_fewer_chunks_is_rejected_by_stream(spark, tmp_path):
+def _feed(spark, rows):
+    """(upload, client, path, seq, index, data, total) as upload messages."""
+    from tidepool.streaming import uploads
+
+    return spark.createDataFrame(
+        [(u, c, f, seq, (i, 0, len(d), hashlib.sha256(d).hexdigest(), d), total) for (u, c, f, seq, i, d, total) in rows], uploads.UPLOAD)
+
+
+def _deliver(spark, tmp_path, rows, at):
     from tidepool.streaming import uploads
 
-    def feed(rows):
-        return spark.createDataFrame(
-            [(f"c:{f}", "c", f, seq, (i, 0, len(d), hashlib.sha256(d).hexdigest(), d), total)
-             for (f, seq, i, d, total) in rows], uploads.UPLOAD)
+    d, work = str(tmp_path / "feed"), str(tmp_path / "work")
+    _feed(spark, rows).coalesce(1).write.mode("append").parquet(d)
+    uploads.run_uploads(spark, d, work, at)
+    return uploads.uploaded_files(spark, work).collect(), uploads.upload_responses(spark, work)
+
 
-    d = str(tmp_path / "feed")
-    feed([("f", 1, 0, b"aa", 3), ("f", 2, 1, b"bb", 3), ("f", 3, 2, b"cc", 3)]).coalesce(1).write.parquet(d)
-    out = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=5)
-    first = out.collect()
+def test_reupload_with_fewer_chunks_is_rejected_by_stream(spark, tmp_path):
+    first, _ = _deliver(spark, tmp_path, [("u", "c", "f", 1, 0, b"aa", 3), ("u", "c", "f", 2, 1, b"bb", 3), ("u", "c", "f", 3, 2, b"cc", 3)], 5)
     assert [(r["path"], r["size"], r["hash"]) for r in first] == [("f", 6, hashlib.sha256(b"aabbcc").hexdigest())]
-    # second upload announces 2 chunks; the stale index 2 stays, so the count (3) != 2: not finalised
-    feed([("f", 4, 0, b"xx", 2), ("f", 5, 1, b"yy", 2)]).coalesce(1).write.mode("append").parquet(d)
-    again = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=9).collect()
-    assert [(r["path"], r["hash"], r["modified_time"]) for r in again] == [
-        ("f", hashlib.sha256(b"aabbcc").hexdigest(), 5)]
-    resp = sorted((r["batch_id"], r["success"], r["chunks_received"], r["message"])
-                  for r in uploads.upload_responses(spark, str(tmp_path / "work")).collect())
-    assert resp == [(0, True, 3, ""), (1, False, None, "Failed to finalize file")]
-
-
-def test_store_compaction_round_trip(spark, tmp_path):
-    from tidepool.operators import bytesjobs
-    rows = [(b"x" * 5000), (b"short"), (bytes(range(256)) * 10)]
-    inc = spark.createDataFrame([(hashlib.sha256(d).hexdigest(), d, i) for i, d in enumerate(rows)],
-                                "hash string, data binary, seq long")
-    store_dir, packed_dir = str(tmp_path / "store"), str(tmp_path / "packed")
-    storage.write_store(storage.new_store_rows(inc, storage.empty_store(spark), ["seq"]), store_dir)
-    bytesjobs.compact_store(spark, store_dir, packed_dir)
-    packed = {r["hash"]: r for r in spark.read.parquet(packed_dir).collect()}
-    assert {r["codec"] for r in packed.values()} == {"zlib", "none"}
-    assert packed[hashlib.sha256(b"x" * 5000).hexdigest()]["data"].__len__() < 100
-    back = bytesjobs.read_compacted(spark, packed_dir).collect()
-    assert len(back) == 3 and all(r["hash_ok"] for r in back)
+    # the second upload announces 2 chunks; the stale index 2 stays, so the count (3) != 2: not finalised
+    again, resp = _deliver(spark, tmp_path, [("v", "c", "f", 4, 0, b"xx", 2), ("v", "c", "f", 5, 1, b"yy", 2)], 9)
+    assert [(r["path"], r["hash"], r["modified_time"]) for r in again] == [("f", hashlib.sha256(b"aabbcc").hexdigest(), 5)]
+    assert sorted((r["batch_id"], r["success"], r["chunks_received"]) for r in resp.collect()) == [(0, True, 3), (1, False, None)]
+
+
+def test_upload_over_two_batches_keeps_its_first_header(spark, tmp_path):
+    from tidepool.streaming import uploads
+
+    first, resp = _deliver(spark, tmp_path, [("u", "c", "right", 1, 0, b"ab", 2)], 1)
+    assert first == [] and [r["success"] for r in resp.collect()] == [False]
+    # the second message comes alone and names nothing (or something else)
+    second, resp = _deliver(spark, tmp_path, [("u", "", "", 2, 1, b"cd", 0)], 2)
+    assert [(r["client_id"], r["path"], r["size"], r["hash"]) for r in second] == [("c", "right", 4, hashlib.sha256(b"abcd").hexdigest())]
+    assert sorted((r["batch_id"], r["success"], r["reason"]) for r in resp.collect()) == [(0, False, uploads.NOT_COMPLETE), (1, True, None)]
+    # replaying the second batch stores nothing twice and doesn't answer twice
+    work = str(tmp_path / "work")
+    uploads.process_batch(spark, _feed(spark, [("u", "", "", 2, 1, b"cd", 0)]), 1, work, 2)
+    assert len(uploads.uploaded_files(spark, work).collect()) == 1 and uploads.upload_responses(spark, work).count() == 2
+    assert spark.read.parquet(f"{work}/chunk_store").count() == 2
+
+
+def test_unreadable_log_is_an_error(spark, tmp_path):
+    from tidepool.streaming import uploads
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        uploads._log(spark, str(tmp_path / "log"), uploads.UPLOADS_LOG).collect()
+    assert uploads._log(spark, str(tmp_path / "absent"), uploads.UPLOADS_LOG).count() == 0
+
+
+def test_reassembled_bytes(spark):
+    man = _chunks(spark, [("c", "f", 1, b"cd", None, 1), ("c", "f", 0, b"ab", None, 2)])
+    store = storage.new_store_rows(man, storage.empty_store(spark), ["seq"])
+    r = storage.reassemble(man, store, ["client_id", "file_path"], with_content=True).collect()[0]
+    assert bytes(r["content"]) == b"abcd" and r["chunks"] == 2
 
 
 def test_download_status_not_found_and_tombstones(spark):
@@ -337,16 +398,6 @@ def test_sync_changes_first_local_row_wins(spark):
     assert got == [("p", "MODIFIED")]
 
 
-def test_upload_takes_path_from_first_message(spark, tmp_path):
-    from tidepool.streaming import uploads
-    msgs = [("u1", "c", "right", 1, (0, 0, 2, hashlib.sha256(b"ab").hexdigest(), b"ab"), 2),
-            ("u1", "c", "wrong", 2, (1, 0, 2, hashlib.sha256(b"cd").hexdigest(), b"cd"), 9)]
-    d = str(tmp_path / "feed")
-    spark.createDataFrame(msgs, uploads.UPLOAD).coalesce(1).write.parquet(d)
-    out = uploads.ingest_uploads(spark, d, str(tmp_path / "work"), finalized_at=1).collect()
-    assert [(r["path"], r["size"], r["hash"]) for r in out] == [("right", 4, hashlib.sha256(b"abcd").hexdigest())]
-
-
 def test_store_lookup_by_hash_is_pushed_to_the_scan(spark, tmp_path):
     rows = [(hashlib.sha256(str(i).encode()).hexdigest(), str(i).encode(), i) for i in range(200)]
     inc = spark.createDataFrame(rows, "hash string, data binary, seq long")

@@ -1,78 +1,56 @@
-"""Token-bucket rules for one key, in exact integer micro-tokens.
+"""Token-bucket decisions for the ordered requests of one key, as array operations.
 
-A small per-row helper shared by the batch folds (``operators.ratelimit``)
-and the streaming state functions (``streaming.admission``), so both apply
-the same rules:
+Let ``d`` be what is missing to a full bucket when a request arrives.  While
+requests are admitted, ``d`` is a waiting-time recursion: it grows by the cost of
+each and shrinks with time, never below 0,
 
-* refill: ``tokens = min(tokens + elapsed_us * rate, burst)`` (micro-tokens);
-* ``try_acquire``: admit and deduct iff ``tokens >= bytes``; a refusal costs nothing;
-* ``acquire`` (blocking, FIFO per key): while short, wait
-  ``(bytes - available) / rate`` truncated to ms (at least 1 ms) and retry;
-  a request above ``burst`` never completes (``None``) and holds nothing up;
-* ``set_rate``: ``rate = burst = new``; tokens are clamped at the next refill;
-* ``available``: ``floor(max(0, tokens))`` without a refill.
+    d_i = max(0, d_(i-1) + cost_(i-1) - gain_i),
 
-The bucket starts full at the time of its first row.
+so with ``x_i`` the running sum of ``cost_(i-1) - gain_i`` it is ``x_i`` less its
+running minimum.  A request is admitted iff ``d_i + cost_i`` fits the bucket, and
+a whole run is decided by one running sum up to the first request that doesn't;
+that one costs nothing, and the next run starts from its ``d``.
+
+Amounts are exact integers in micro-tokens (bytes x 1,000,000).
 """
 
 from __future__ import annotations
 
-MICRO = 1_000_000
-
-
-class Bucket:
-    __slots__ = ("rate", "burst", "tokens", "last", "free_at")
-
-    def __init__(self, rate: int, burst: int | None = None, state: tuple | None = None):
-        if state is not None:
-            self.rate, self.burst, self.tokens, self.last, self.free_at = state
-            return
-        self.rate = rate
-        self.burst = burst if burst else rate
-        self.tokens = self.burst * MICRO
-        self.last = None
-        self.free_at = None
+import numpy as np
 
-    def state(self) -> tuple:
-        return (self.rate, self.burst, self.tokens, self.last, self.free_at)
-
-    def _refill(self, t_us: int) -> None:
-        if self.last is None:
-            self.last = t_us
-        self.tokens = min(self.tokens + (t_us - self.last) * self.rate, self.burst * MICRO)
-        self.last = t_us
-
-    def try_acquire(self, t_us: int, nbytes: int) -> bool:
-        self._refill(t_us)
-        want = nbytes * MICRO
-        if self.tokens >= want:
-            self.tokens -= want
-            return True
-        return False
-
-    def acquire(self, t_us: int, nbytes: int) -> int | None:
-        """Release time (us) of a blocking request arriving at ``t_us``."""
-        if nbytes > self.burst:
-            if self.last is None:
-                self.last = t_us
-            return None
-        t = t_us if self.free_at is None else max(t_us, self.free_at)
-        self._refill(t)
-        want = nbytes * MICRO
-        while self.tokens < want:
-            short = nbytes - max(0, self.tokens) // MICRO
-            ms = max(1, short * 1000 // self.rate)
-            t += ms * 1000
-            self._refill(t)
-        self.tokens -= want
-        self.free_at = t
-        return t
+MICRO = 1_000_000
 
-    def set_rate(self, t_us: int, rate: int) -> None:
-        if self.last is None:  # the bucket's clock starts with its first row
-            self.last = t_us
-        self.rate = rate
-        self.burst = rate
 
-    def available(self) -> int:
-        return max(0, self.tokens) // MICRO
+def decide(ts_us: np.ndarray, nbytes: np.ndarray, rate: int, burst: int, missing: int, last_us: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(admitted, missing after each request, missing, last_us) of requests in time order.
+
+    ``missing`` and ``last_us`` are the bucket's state before the first request: what
+    it lacked to full, and when.  A request dated before ``last_us`` gains nothing and
+    doesn't turn the clock back.
+    """
+    n, cap = len(ts_us), burst * MICRO
+    clock = np.maximum.accumulate(np.concatenate(([last_us], ts_us)))
+    # after burst / rate seconds any bucket is full: longer gaps count as that, so products stay small
+    gain = np.minimum(np.diff(clock), -(-cap // rate)) * rate
+    # more than the bucket holds is refused whatever the exact size
+    cost = np.minimum(nbytes, burst + 1) * MICRO
+    admitted, after = np.zeros(n, bool), np.empty(n, np.int64)
+    at, run = 0, 32
+    while at < n:
+        end = min(n, at + run)
+        step = -gain[at:end]
+        step[0] += missing
+        step[1:] += cost[at : end - 1]
+        x = np.cumsum(step)
+        d = x - np.minimum(np.minimum.accumulate(x), 0)
+        refused = d + cost[at:end] > cap
+        k = int(refused.argmax()) if refused.any() else end - at
+        admitted[at : at + k] = True
+        after[at : at + k] = d[:k] + cost[at : at + k]
+        if k < end - at:
+            after[at + k] = missing = int(d[k])
+            at, run = at + k + 1, max(8, run // 2)
+        else:
+            missing = int(after[end - 1])
+            at, run = end, run * 2
+    return admitted, after, missing, int(clock[-1])

@@ -9,17 +9,18 @@ A cut happens after byte ``i`` when the open chunk has ``c`` bytes and
 * ``c >= switch`` and ``h & big_mask == 0`` (``mask_bits`` low bits), or
 * ``c == max_size``, or ``i`` is the last byte.
 
-Because the hash is a prefix hash (it never drops bytes), it has the closed
-form ``h_i = 31^(i-t) * (G_i - G_(s-1))`` with ``G`` the cumulative sum of
-``b_j * 31^-(j-t)`` over a segment starting at ``t``.  That turns the byte
-loop into vectorised prefix sums; only the search for the next cut is
-sequential, one numpy block scan per chunk.
+Because the hash is a prefix hash (it never drops bytes), it has a closed form
+over a block of positions that starts at ``t``: with ``G_k`` the running sum of
+``b_(t+j) * 31^-j`` and ``H`` the hash of the open chunk's bytes before ``t``,
+``h_(t+k) = 31^k * (G_k + 31 * H)``; a chunk that starts inside the block
+subtracts the running sum up to its start instead.  That turns the byte loop
+into vector operations on blocks that stay in the cache; only the hash and
+the length of the open chunk go from block to block, and from segment to
+segment of a file.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
 # ---------------------------------------------------------------------------
@@ -36,14 +37,17 @@ DEFAULT_MAX = 1048576
 DEFAULT_MASK_BITS = 16
 
 INV_BASE = pow(BASE, MOD - 2, MOD)  # 838709685
+_MOD64 = np.uint64(MOD)
+BLOCK = 1 << 16  # positions that are looked at together; their arrays fit the cache
+
 
 class _PowerCache:
     """Per-process cache of 31^k and 31^-k mod p; pickles as empty, so task
     closures never carry a cache grown in the driver."""
 
     def __init__(self):
-        self.pow = np.ones(1, dtype=np.int64)
-        self.inv = np.ones(1, dtype=np.int64)
+        self.pow = np.ones(1, dtype=np.uint64)
+        self.inv = np.ones(1, dtype=np.uint64)
 
     def __reduce__(self):
         return (_PowerCache, ())
@@ -59,12 +63,12 @@ def _grow(table: np.ndarray, base: int, n: int) -> np.ndarray:
     size = len(table)
     while size < n:
         size *= 2
-    out = np.empty(size, dtype=np.int64)
+    out = np.empty(size, dtype=np.uint64)
     out[: len(table)] = table
     k = len(table)
     while k < size:
         step = min(k, size - k)
-        out[k : k + step] = out[:step] * pow(base, k, MOD) % MOD
+        out[k : k + step] = out[:step] * np.uint64(pow(base, k, MOD)) % _MOD64
         k += step
     return out
 
@@ -80,180 +84,106 @@ def switch_point(min_size: int, avg_size: int) -> int:
     return min_size + (avg_size - min_size) // 2
 
 
-def cut_ends(
+def reduce_mod(x: np.ndarray, q: np.ndarray) -> None:
+    """``x %= MOD`` in place (uint64); numpy divides by a scalar much faster than it takes remainders."""
+    np.floor_divide(x, _MOD64, out=q)
+    np.multiply(q, _MOD64, out=q)
+    np.subtract(x, q, out=x)
+
+
+def scan_cuts(
     buf: np.ndarray,
     min_size: int = DEFAULT_MIN,
     avg_size: int = DEFAULT_AVG,
     max_size: int = DEFAULT_MAX,
     mask_bits: int = DEFAULT_MASK_BITS,
     switch: int | None = None,
-    final: bool = True,
-) -> list[int]:
-    """Exclusive end offsets of the chunks of ``buf`` (uint8 array).
+    h: int = 0,
+    open_len: int = 0,
+) -> tuple[list[int], int, int]:
+    """(ends, h, open_len): exclusive ends of the chunks that close inside ``buf``.
 
-    With ``final=False`` the buffer is a prefix of a longer file: the end of
-    the buffer is not a cut, and the open chunk after the last returned end
-    is left for the caller to carry into the next segment.
+    ``h`` and ``open_len`` are the hash and the length of the chunk that is open
+    before ``buf``, and in the result of the one that is open after it.
     """
-    n = len(buf)
-    if n == 0:
-        return []
     if switch is None:
         switch = switch_point(min_size, avg_size)
     # smallest chunk a hash can cut: min_size, or the switch point if it is lower
-    min_size = max(1, min(min_size, switch))
-    if n <= min_size:
-        return [n] if final else []
-    big = (1 << mask_bits) - 1
-    small = big >> 1
-    seg_len = min(max(4 * max_size, 1 << 20), 1 << 24)
-    if max_size >= seg_len:
-        raise ValueError("max_size must be below 16 MiB")
-    # blocks start small (a cut right after min_size is common, e.g. zero runs)
-    # and double up to 64 Ki positions
-    first_block = max(256, 1 << max(mask_bits - 6, 0))
-    max_block = 1 << 16
-    scratch = np.empty(max(first_block, max_block), dtype=np.int64)
+    least = max(1, min(min_size, switch))
+    big = np.uint64((1 << mask_bits) - 1)
+    small = big >> np.uint64(1)
+    # scans start small (a cut right after min_size is common, e.g. zero runs) and double
+    first_step = max(256, 1 << max(mask_bits - 6, 0))
+    pw, inv = power_tables(BLOCK)
+    scratch, quotient = np.empty(BLOCK, np.uint64), np.empty(BLOCK, np.uint64)
     ends: list[int] = []
-    s = 0
-    while s < n:
-        if n - s <= min_size:
-            if final:
-                ends.append(n)
-            break
-        t0 = s
-        seg_end = min(n, t0 + seg_len)
-        length = seg_end - t0
-        pw, inv = power_tables(length)
-        # b * 31^-j < 2^38, so a running sum of up to 2^24 terms stays below
-        # 2^62: no reduction is needed before the scan reduces differences
-        g = buf[t0:seg_end].astype(np.int64)
-        np.multiply(g, inv[:length], out=g)
-        np.cumsum(g, out=g)
-        while s < seg_end:
-            if n - s <= min_size:
-                if final:
-                    ends.append(n)
-                s = n
-                break
-            hard = min(s + max_size, n)
-            if hard > seg_end:
-                break  # chunk may run past this segment: start a new one at s
-            forced = final or s + max_size <= n  # a max-size cut, or the last byte
-            gs = g[s - t0 - 1] if s > t0 else 0
+    n, s = len(buf), -open_len
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        # b * 31^-j < 2^38: 2^16 terms and the carried hash stay far below 2^64
+        g = np.cumsum(buf[lo:hi] * inv[: hi - lo], dtype=np.uint64)
+        add = BASE * h % MOD
+        while s < hi:
+            hard = s + max_size
+            stop, a, step, cut = min(hi, hard), max(lo, s + least - 1), first_step, None
             sw = s + switch - 1  # first position judged with the big mask
-            a = s + min_size - 1
-            block = first_block
-            cut = hard - 1
-            while a < hard:
-                e = min(a + block, hard)
-                lo, hi = a - t0, e - t0
-                h = scratch[: hi - lo]
-                # h = 31^i * (G_i - G_(s-1)) mod p, masked; in place, no temporaries
-                np.subtract(g[lo:hi], gs, out=h)
-                np.remainder(h, MOD, out=h)
-                np.multiply(h, pw[lo:hi], out=h)
-                np.remainder(h, MOD, out=h)
-                if e <= sw:
-                    np.bitwise_and(h, small, out=h)
-                elif a >= sw:
-                    np.bitwise_and(h, big, out=h)
-                else:
-                    k = sw - a
-                    np.bitwise_and(h[:k], small, out=h[:k])
-                    np.bitwise_and(h[k:], big, out=h[k:])
-                j = int(h.argmin())  # values are >= 0: the first zero if any
-                if h[j] == 0:
+            while a < stop:
+                e = min(a + step, stop)
+                v, q = scratch[: e - a], quotient[: e - a]
+                np.add(g[a - lo : e - lo], np.uint64(add), out=v)
+                reduce_mod(v, q)
+                np.multiply(v, pw[a - lo : e - lo], out=v)
+                reduce_mod(v, q)
+                k = min(max(sw - a, 0), e - a)
+                np.bitwise_and(v[:k], small, out=v[:k])
+                np.bitwise_and(v[k:], big, out=v[k:])
+                j = int(v.argmin())  # the first zero, if any
+                if v[j] == 0:
                     cut = a + j
                     break
-                a = e
-                block = min(block * 2, max_block)
-            else:
-                if not forced:  # no cut before the end of a non-final buffer: leave it open
-                    return ends
+                a, step = e, step * 2
+            if cut is None:
+                if hard > hi:
+                    break  # open beyond this block
+                cut = hard - 1
             ends.append(cut + 1)
             s = cut + 1
-    return ends
+            add = MOD - int(g[cut - lo]) % MOD
+        h = (int(g[-1]) + add) % MOD * int(pw[hi - lo - 1]) % MOD if s < hi else 0
+    return ends, h, n - s
 
 
-def chunk_rows(buf: np.ndarray, **params) -> list[tuple[int, int, str]]:
-    """(offset, size, sha256 hex) per chunk of ``buf``."""
-    out = []
-    start = 0
-    for end in cut_ends(buf, **params):
-        out.append((start, end - start, hashlib.sha256(buf[start:end]).hexdigest()))
-        start = end
-    return out
-
-
-def cut_ends_bytewise(
-    data: bytes,
-    min_size: int = DEFAULT_MIN,
-    avg_size: int = DEFAULT_AVG,
-    max_size: int = DEFAULT_MAX,
-    mask_bits: int = DEFAULT_MASK_BITS,
-    switch: int | None = None,
-) -> list[int]:
-    """Byte-at-a-time form of the same rule; the test oracle for ``cut_ends``."""
-    if switch is None:
-        switch = switch_point(min_size, avg_size)
-    big = (1 << mask_bits) - 1
-    small = big >> 1
-    ends = []
-    h = 0
-    start = 0
-    n = len(data)
-    for i, byte in enumerate(data):
-        h = (h * BASE + byte) % MOD
-        c = i + 1 - start
-        if min_size <= c < switch:
-            cut = (h & small) == 0
-        elif c >= switch:
-            cut = (h & big) == 0
-        else:
-            cut = False
-        if cut or c >= max_size or i == n - 1:
-            ends.append(i + 1)
-            start = i + 1
-            h = 0
-    return ends
+def cut_ends(buf: np.ndarray, min_size: int = DEFAULT_MIN, avg_size: int = DEFAULT_AVG, max_size: int = DEFAULT_MAX,
+             mask_bits: int = DEFAULT_MASK_BITS, switch: int | None = None) -> list[int]:
+    """Exclusive end offsets of the chunks of a whole file (uint8 array)."""
+    n = len(buf)
+    least = min_size if switch is None else min(min_size, switch)
+    if n <= min(least, max_size):  # no byte but the last can end a chunk
+        return [n] if n else []
+    ends, _, open_len = scan_cuts(buf, min_size, avg_size, max_size, mask_bits, switch)
+    return ends + [n] if open_len else ends
 
 
-def window_fingerprints(buf: np.ndarray, window: int, segment: int = 1 << 22) -> np.ndarray:
+def window_fingerprints(buf: np.ndarray, window: int) -> np.ndarray:
     """Hash of the last ``window`` bytes at each position ``i >= window - 1``.
 
     Equals sliding ``h = (h - out * 31^(w-1)) * 31 + in`` from a hash built by
-    appending the first ``window`` bytes; returned as int64 array of length
-    ``max(0, n - window + 1)``.  Works on segments of ``segment`` bytes that
-    overlap by ``window - 1``, so memory stays bounded for any row size.
+    appending the first ``window`` bytes; uint64, ``max(0, n - window + 1)`` long.
+    Blocks overlap by ``window - 1`` bytes, so memory stays bounded for any row.
     """
     n = len(buf)
-    if n < window:
-        return np.empty(0, dtype=np.int64)
-    out = np.empty(n - window + 1, dtype=np.int64)
-    step = max(segment, 2 * window)
-    first = window - 1  # first position with a full window
-    while first < n:
-        t0 = first - (window - 1)
-        end = min(n, first + step)
-        length = end - t0
-        pw, inv = power_tables(length)
-        g = buf[t0:end].astype(np.int64)
-        np.multiply(g, inv[:length], out=g)
-        np.cumsum(g, out=g)  # < 2^62 for segments below 2^24 bytes
-        prev = np.concatenate(([0], g[: length - window]))
-        fp = (g[window - 1 :] - prev) % MOD
-        fp *= pw[window - 1 : length]
-        fp %= MOD
-        out[first - (window - 1) : end - (window - 1)] = fp
-        first = end
+    out = np.empty(max(0, n - window + 1), dtype=np.uint64)
+    block = max(BLOCK, 2 * window)
+    pw, inv = power_tables(block)
+    quotient = np.empty(block, np.uint64)
+    for t in range(0, len(out), block - window + 1):
+        end = min(n, t + block)
+        g = np.cumsum(buf[t:end] * inv[: end - t], dtype=np.uint64)
+        fp = out[t : end - window + 1]
+        fp[:] = g[window - 1 :]
+        fp[1:] -= g[: end - t - window]
+        q = quotient[: len(fp)]
+        reduce_mod(fp, q)
+        np.multiply(fp, pw[window - 1 : end - t], out=fp)
+        reduce_mod(fp, q)
     return out
-
-
-def prefix_hash(data: bytes) -> int:
-    """``h = (31 * h + b) mod p`` over all bytes (the chunker's hash)."""
-    h = 0
-    for byte in data:
-        h = (h * BASE + byte) % MOD
-    return h
-

@@ -1,37 +1,21 @@
-"""Byte-level jobs as Spark tasks: C3 window fingerprints, C4/C5 zlib codec, P5.
-
-Each is a ``mapInArrow`` over a binary column: the per-row work is a small
-numpy/zlib helper; Spark partitions the rows and shuffles the results.
-"""
+"""Byte-level jobs as Spark tasks: C3 window fingerprints and their roll-up."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import cdc
 from tidepool.operators.chunking import _binary_parts
-from tidepool.session import spread
-
-# Fixed value: chunks below this many bytes are stored uncompressed.
-COMPRESS_THRESHOLD = 1024
-
 
-def should_compress(size) -> Column:
-    """P5: ``size >= 1024``."""
-    return (F.col(size) if isinstance(size, str) else size) >= COMPRESS_THRESHOLD
 
-
-def window_fingerprints(docs: DataFrame, keys: list[str], content: str = "content",
-                        window: int = 48, sample_mod: int = 1) -> DataFrame:
-    """``(keys..., pos, fp)`` for every position whose last ``window`` bytes
-    hash to ``fp`` with ``fp mod sample_mod = 0``; ``pos`` is the window's end byte."""
-    src = spread(docs.select(*keys, F.col(content).alias("__content")), keys)
+def window_fingerprints(docs: DataFrame, keys: list[str], content: str = "content", window: int = 48) -> DataFrame:
+    """``(keys..., pos, fp)`` for every position with a full window of ``window``
+    bytes; ``pos`` is the window's end byte."""
+    src = docs.select(*keys, F.col(content).alias("__content"))
     out_schema = T.StructType(
         [src.schema[k] for k in keys]
         + [T.StructField("pos", T.LongType(), False), T.StructField("fp", T.LongType(), False)]
@@ -42,127 +26,53 @@ def window_fingerprints(docs: DataFrame, keys: list[str], content: str = "conten
         for rb in batches:
             offsets, data, nulls = _binary_parts(rb.column(n_keys))
             nulls = nulls.to_numpy(zero_copy_only=False)
-            rows, poss, fps = [], [], []
             for r in range(rb.num_rows):
                 if nulls[r]:
                     continue
-                buf = data[int(offsets[r]) : int(offsets[r + 1])]
-                fp = cdc.window_fingerprints(buf, window)
-                if len(fp) == 0:
-                    continue
-                pos = np.arange(window - 1, len(buf), dtype=np.int64)
-                if sample_mod > 1:
-                    keep = fp % sample_mod == 0
-                    fp, pos = fp[keep], pos[keep]
-                rows.append(np.full(len(fp), r, dtype=np.int64))
-                poss.append(pos)
-                fps.append(fp)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                pos_arr, fp_arr = pa.array(np.concatenate(poss)), pa.array(np.concatenate(fps))
-            else:
-                take = pa.array([], pa.int64())
-                pos_arr, fp_arr = pa.array([], pa.int64()), pa.array([], pa.int64())
-            cols = [rb.column(i).take(take) for i in range(n_keys)] + [pos_arr, fp_arr]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
+                fp = cdc.window_fingerprints(data[int(offsets[r]) : int(offsets[r + 1])], window)
+                if len(fp):
+                    take = pa.array(np.full(len(fp), r))
+                    pos = np.arange(window - 1, window - 1 + len(fp), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [rb.column(i).take(take) for i in range(n_keys)] + [pa.array(pos), pa.array(fp.view(np.int64))],
+                        names=[f.name for f in out_schema.fields],
+                    )
 
     return src.mapInArrow(run, out_schema)
 
 
-def shared_passages(fingerprints: DataFrame, doc_key: str) -> DataFrame:
-    """Roll-up of C3: fingerprints seen in more than one document.
+def shared_passages(docs: DataFrame, content: str = "content", window: int = 48) -> DataFrame:
+    """Roll-up of C3: every fingerprint seen in more than one document (row), with
+    its documents and occurrences.
 
-    Partial aggregation by ``(fp, doc)`` first, so a fingerprint repeated
-    thousands of times inside one document (boilerplate) shrinks map-side.
+    A document is whole in its row, so occurrences are counted in the task, first
+    per document and then per batch; one row per fingerprint and batch is shuffled.
     """
-    per_doc = fingerprints.groupBy("fp", doc_key).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        per_doc.groupBy("fp")
-        .agg(F.count(F.lit(1)).cast("long").alias("n_docs"), F.sum("__n").cast("long").alias("n_occurrences"))
-        .where(F.col("n_docs") > 1)
-    )
-
-
-def _codec_job(chunks: DataFrame, data_col: str, compress: bool) -> DataFrame:
-    src = chunks.withColumn("__data", F.col(data_col))
-    names = src.columns
-    idx = names.index("__data")
-    out_schema = T.StructType(
-        [f for f in src.schema.fields if f.name != "__data"]
-        + ([T.StructField("codec", T.StringType(), False)] if compress else [])
-        + [T.StructField("out", T.BinaryType(), True), T.StructField("error", T.StringType(), True)]
-    )
+    src = docs.select(F.col(content).alias("__content"))
 
     def run(batches):
         for rb in batches:
-            vals = rb.column(idx).to_pylist()
-            codecs = rb.column(names.index("codec")).to_pylist() if (not compress and "codec" in names) else None
-            outs, errs, tags = [], [], []
-            for i, v in enumerate(vals):
-                if v is None:
-                    outs.append(None); errs.append(None); tags.append("none")
-                    continue
-                if compress:
-                    if len(v) >= COMPRESS_THRESHOLD:
-                        outs.append(zlib.compress(v)); tags.append("zlib")
-                    else:
-                        outs.append(v); tags.append("none")
-                    errs.append(None)
-                else:
-                    if codecs is not None and codecs[i] == "none" or len(v) == 0:
-                        outs.append(v); errs.append(None)
-                        continue
-                    try:
-                        outs.append(zlib.decompress(v)); errs.append(None)
-                    except zlib.error as exc:
-                        outs.append(None); errs.append(str(exc))
-            cols = [rb.column(j) for j, nme in enumerate(names) if nme != "__data"]
-            if compress:
-                cols.append(pa.array(tags, pa.string()))
-            cols += [pa.array(outs, pa.binary()), pa.array(errs, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
-
-    return src.mapInArrow(run, out_schema)
-
-
-def compress_chunks(chunks: DataFrame, data_col: str = "data") -> DataFrame:
-    """C4: zlib (default level) for chunks of at least 1024 bytes, others stored as is.
-
-    Adds ``codec``, ``stored`` (bytes as stored) and ``stored_size``.
-    """
-    out = _codec_job(chunks, data_col, compress=True)
-    return out.drop("error").withColumnRenamed("out", "stored").withColumn("stored_size", F.length("stored").cast("int"))
-
-
-def decompress_chunks(stored: DataFrame, data_col: str = "stored") -> DataFrame:
-    """Inverse of C4; corrupt input is flagged (``error``), not fatal.
-
-    ``hash_ok`` compares SHA-256 of the restored bytes with ``hash`` when present.
-    """
-    out = _codec_job(stored, data_col, compress=False).withColumnRenamed("out", "restored")
-    if "hash" in stored.columns:
-        out = out.withColumn("hash_ok", F.coalesce(F.sha2("restored", 256) == F.col("hash"), F.lit(False)))
-    return out
-
-
-def compact_store(spark, store_path: str, out_path: str) -> None:
-    """C4 write-back: rewrite a chunk store with zlib-compressed blobs.
-
-    Reads the prefix-partitioned store, compresses blobs of at least 1024
-    bytes (others stay raw), and writes ``hash_prefix, hash, size, codec,
-    data`` range-partitioned on ``hash`` into ``out_path`` (a new version
-    folder; the store being read is never overwritten).
-    """
-    store = spark.read.parquet(store_path).select("hash_prefix", "hash", "size", "data")
-    packed = compress_chunks(store, "data").select(
-        "hash_prefix", "hash", "size", "codec", F.col("stored").alias("data")
-    )
-    packed.repartitionByRange("hash").sortWithinPartitions("hash").write.partitionBy("hash_prefix").parquet(out_path)
-
-
-def read_compacted(spark, path: str) -> DataFrame:
-    """Blobs of a compacted store restored to raw bytes (C5), with ``hash_ok``."""
-    stored = spark.read.parquet(path).withColumnRenamed("data", "stored")
-    return decompress_chunks(stored, "stored").select(
-        "hash_prefix", "hash", "size", F.col("restored").alias("data"), "hash_ok", "error"
-    )
+            offsets, data, nulls = _binary_parts(rb.column(0))
+            nulls = nulls.to_numpy(zero_copy_only=False)
+            per_doc = [
+                np.unique(cdc.window_fingerprints(data[int(offsets[r]) : int(offsets[r + 1])], window), return_counts=True)
+                for r in range(rb.num_rows) if not nulls[r]
+            ]
+            if not per_doc:
+                continue
+            fps = np.concatenate([f for f, _ in per_doc])
+            counts = np.concatenate([c for _, c in per_doc])
+            order = np.argsort(fps, kind="stable")
+            fps, counts = fps[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, np.int64)
+            n_docs = np.diff(np.append(first, len(fps)))
+            occurrences = np.add.reduceat(counts, first) if len(fps) else counts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fps[first].view(np.int64)), pa.array(n_docs.astype(np.int64)), pa.array(occurrences.astype(np.int64))],
+                names=["fp", "n_docs", "n_occurrences"],
+            )
+
+    counted = src.mapInArrow(run, "fp long, n_docs long, n_occurrences long")
+    return counted.groupBy("fp").agg(
+        F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_occurrences").cast("long").alias("n_occurrences")
+    ).where(F.col("n_docs") > 1)

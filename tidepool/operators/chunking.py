@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import cdc
-from tidepool.session import spread
 
 
 def _binary_parts(arr: pa.Array):
@@ -47,7 +46,7 @@ def cdc_chunks(
     Empty or NULL content (a missing file) gives no rows.
     """
     params = dict(min_size=min_size, avg_size=avg_size, max_size=max_size, mask_bits=mask_bits, switch=switch)
-    src = spread(files.select(*keys, F.col(content).alias("__content")), keys)
+    src = files.select(*keys, F.col(content).alias("__content"))
     key_fields = [src.schema[k] for k in keys]
     out_schema = T.StructType(
         key_fields
@@ -100,30 +99,32 @@ def cdc_chunks(
     return src.mapInArrow(run, out_schema)
 
 
-def chunk_stats(files: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+def chunk_stats(files: DataFrame, keys: list[str], content: str = "content", **params) -> DataFrame:
     """A1: per file count/min/max/avg chunk size; files without chunks give zeros.
 
-    Partial aggregation runs before the shuffle on the file key; the join
-    back to ``files`` only carries one row per file.
+    A file is one row of the scan, so its statistics come straight from the
+    kernel: no shuffle, no join, and chunks are not hashed.
     """
-    per_file = chunks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_chunks"),
-        F.min("size").cast("long").alias("min_size"),
-        F.max("size").cast("long").alias("max_size"),
-        F.avg("size").alias("avg_size"),
-    )
-    return (
-        files.select(*keys)
-        .join(per_file, keys, "left")
-        .select(
-            *keys,
-            F.coalesce("total_chunks", F.lit(0)).cast("long").alias("total_chunks"),
-            F.coalesce("min_size", F.lit(0)).cast("long").alias("min_size"),
-            F.coalesce("max_size", F.lit(0)).cast("long").alias("max_size"),
-            F.coalesce("avg_size", F.lit(0.0)).alias("avg_size"),
-        )
-    )
+    src = files.select(*keys, F.col(content).alias("__content"))
+    stats = [("total_chunks", T.LongType(), pa.int64()), ("min_size", T.LongType(), pa.int64()),
+             ("max_size", T.LongType(), pa.int64()), ("avg_size", T.DoubleType(), pa.float64())]
+    out_schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, t, False) for n, t, _ in stats])
+    n_keys = len(keys)
 
+    def run(batches):
+        for rb in batches:
+            offsets, data, nulls = _binary_parts(rb.column(n_keys))
+            nulls = nulls.to_numpy(zero_copy_only=False)
+            rows = []
+            for r in range(rb.num_rows):
+                ends = [] if nulls[r] else cdc.cut_ends(data[int(offsets[r]) : int(offsets[r + 1])], **params)
+                sizes = np.diff(ends, prepend=0)
+                rows.append((len(ends), int(sizes.min()), int(sizes.max()), ends[-1] / len(ends)) if ends else (0, 0, 0, 0.0))
+            figures = list(zip(*rows)) or [()] * len(stats)
+            cols = [rb.column(i) for i in range(n_keys)] + [pa.array(c, t) for c, (_, _, t) in zip(figures, stats)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
+
+    return src.mapInArrow(run, out_schema)
 
 
 def cdc_chunks_segmented(
@@ -138,9 +139,10 @@ def cdc_chunks_segmented(
     whole file.
 
     Segments are hash-partitioned by file and sorted by ``seg_col``; one Arrow
-    pass per partition chunks each segment with the open chunk of the
-    previous one carried in front of it (at most ``max_size`` bytes), so a
-    task holds one segment plus one chunk whatever the file size.
+    pass per partition scans each byte once and carries the open chunk as its
+    rolling hash, length and SHA-256 state, so a task holds one segment
+    whatever the file size.  The segments of one file go through one task in
+    order: the cuts of a file chain from its first byte.
     """
     src = (
         segments.select(*keys, seg_col, F.col(content).alias("__content"))
@@ -159,19 +161,20 @@ def cdc_chunks_segmented(
     n_keys = len(keys)
 
     def run(batches):
-        cur, carry, base, idx = None, np.empty(0, np.uint8), 0, 0
+        cur, h, open_len, digest, base, idx = None, 0, 0, hashlib.sha256(), 0, 0
         out = {f.name: [] for f in out_schema.fields}
         types = {"chunk_index": pa.int32(), "offset": pa.int64(), "size": pa.int32(), "hash": pa.string()}
 
-        def emit(key, piece, offset):
-            nonlocal idx
-            for i, k in enumerate(keys):
-                out[k].append(key[i])
+        def emit():
+            """The open chunk of the current file ends here."""
+            nonlocal digest, open_len, base, idx
+            for k, v in zip(keys, cur):
+                out[k].append(v)
             out["chunk_index"].append(idx)
-            out["offset"].append(offset)
-            out["size"].append(len(piece))
-            out["hash"].append(hashlib.sha256(piece).hexdigest())
-            idx += 1
+            out["offset"].append(base)
+            out["size"].append(open_len)
+            out["hash"].append(digest.hexdigest())
+            digest, base, open_len, idx = hashlib.sha256(), base + open_len, 0, idx + 1
 
         def flush():
             cols = [pa.array(out[f.name], type=types[f.name]) for f in out_schema.fields]
@@ -187,24 +190,25 @@ def cdc_chunks_segmented(
             nulls = nulls.to_numpy(zero_copy_only=False)
             for r, key in enumerate(key_rows):
                 if key != cur:
-                    if cur is not None and len(carry):
-                        emit(cur, carry, base)  # the file's last chunk
-                    cur, carry, base, idx = key, np.empty(0, np.uint8), 0, 0
+                    if open_len:
+                        emit()
+                    cur, h, open_len, digest, base, idx = key, 0, 0, hashlib.sha256(), 0, 0
                 if nulls[r]:
                     continue
-                seg = data[int(offsets[r]) : int(offsets[r + 1])]
-                part = np.concatenate((carry, seg)) if len(carry) else seg
+                part = data[int(offsets[r]) : int(offsets[r + 1])]
+                ends, h, _ = cdc.scan_cuts(part, **params, h=h, open_len=open_len)
                 prev = 0
-                for e in cdc.cut_ends(part, final=False, **params):
-                    emit(key, part[prev:e], base + prev)
+                for e in ends:
+                    digest.update(part[prev:e])
+                    open_len += e - prev
+                    emit()
                     prev = e
-                carry = part[prev:].copy()
-                base += prev
+                digest.update(part[prev:])
+                open_len += len(part) - prev
             if out["chunk_index"]:
                 yield flush()
-        if cur is not None and len(carry):
-            emit(cur, carry, base)
-        if out["chunk_index"]:
+        if open_len:
+            emit()
             yield flush()
 
     return src.mapInArrow(run, out_schema)

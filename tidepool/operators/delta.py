@@ -34,68 +34,71 @@ def delta_new(local: DataFrame, server_hashes: DataFrame, keys: list[str] = ())
     ``keys`` scopes the server set (e.g. per file path); empty = one global set.
     """
     on = [*keys, "hash"]
-    return local.join(server_hashes.select(*on), on, "left_anti")
+    return local.join(server_hashes.select(*on).distinct(), on, "left_anti")
 
 
 def delta_existing(local: DataFrame, server_hashes: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Local chunks whose hash the server already has."""
     on = [*keys, "hash"]
-    return local.join(server_hashes.select(*on), on, "left_semi")
+    return local.join(server_hashes.select(*on).distinct(), on, "left_semi")
 
 
-def delta_summary(marked: DataFrame, keys: list[str]) -> DataFrame:
+def _both_sides(old_chunks: DataFrame, new_chunks: DataFrame, keys: list[str], files: DataFrame | None) -> DataFrame:
+    """Per (file, hash): counts, bytes and size on each side, from one tagged union.
+
+    One shuffle with partial aggregation, no join: a hash is new if the old side
+    counts none.  ``files`` (optional) adds a row per file, so files without chunks
+    on either side are reported, too.
+    """
+    side = lambda df, old: df.select(*keys, "hash", F.lit(old).alias("__old"), F.lit(1).alias("__c"), F.col("size").cast("long").alias("__s"))
+    rows = side(old_chunks, True).unionByName(side(new_chunks, False))
+    if files is not None:
+        rows = rows.unionByName(files.select(
+            *keys, F.lit(None).cast("string").alias("hash"), F.lit(True).alias("__old"), F.lit(0).alias("__c"), F.lit(0).cast("long").alias("__s")
+        ))
+    old = F.col("__old")
+    return rows.groupBy(*keys, "hash").agg(
+        F.sum(F.when(old, F.col("__c")).otherwise(0)).alias("old_n"),
+        F.sum(F.when(old, F.col("__s")).otherwise(0)).alias("old_bytes"),
+        F.sum(F.when(~old, F.col("__c")).otherwise(0)).alias("new_n"),
+        F.sum(F.when(~old, F.col("__s")).otherwise(0)).alias("new_bytes"),
+        F.max("__s").alias("size"),
+    )
+
+
+def delta_summary(old_chunks: DataFrame, new_chunks: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
     """A3: per file new/existing counts and ``bytes_to_transfer`` (duplicates charged).
 
     ``distinct_new_bytes`` counts each new hash once per file (an extra column).
+    A file of ``files`` without new chunks (emptied by the edit) reports zeros.
     """
-    first_seen = marked.groupBy(*keys, "hash").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.first("is_new").alias("is_new"),
-        F.first("size").alias("size"),
-        F.sum("size").alias("__bytes"),
-    )
-    return first_seen.groupBy(*keys).agg(
-        F.sum(F.when(F.col("is_new"), F.col("__n")).otherwise(0)).cast("long").alias("new_chunks"),
-        F.sum(F.when(~F.col("is_new"), F.col("__n")).otherwise(0)).cast("long").alias("existing_chunks"),
-        F.sum(F.when(F.col("is_new"), F.col("__bytes")).otherwise(0)).cast("long").alias("bytes_to_transfer"),
-        F.sum(F.when(F.col("is_new"), F.col("size")).otherwise(0)).cast("long").alias("distinct_new_bytes"),
+    is_new = F.col("old_n") == 0
+    pick = lambda when, col: F.sum(F.when(when, F.col(col)).otherwise(0)).cast("long")
+    return _both_sides(old_chunks, new_chunks, keys, files).groupBy(*keys).agg(
+        pick(is_new, "new_n").alias("new_chunks"),
+        pick(~is_new, "new_n").alias("existing_chunks"),
+        pick(is_new, "new_bytes").alias("bytes_to_transfer"),
+        pick(is_new & (F.col("new_n") > 0), "size").alias("distinct_new_bytes"),
     )
 
 
-def bandwidth_reduction(old_chunks: DataFrame, new_chunks: DataFrame, keys: list[str]) -> DataFrame:
+def bandwidth_reduction(old_chunks: DataFrame, new_chunks: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
     """A4: per file ``100 * (1 - new_bytes / original_bytes)`` of a version change.
 
     The server set is the old version's hashes of the same file; files with
-    a zero-byte original give NULL (``try_divide``).  The old side is
-    aggregated once by ``(file, hash)``; the server set and the per-file
-    totals both read that one aggregate (the exchange is reused), so the old
-    version is chunked once.
+    a zero-byte original give NULL (``try_divide``).
     """
-    old_ph = old_chunks.groupBy(*keys, "hash").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__b")
-    )
-    server = old_ph.select(*keys, "hash", F.lit(True).alias("__known"))
-    marked = new_chunks.join(server, [*keys, "hash"], "left")
-    new_side = marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("modified_chunks"),
-        F.sum(F.when(F.col("__known").isNull(), 1).otherwise(0)).cast("long").alias("new_chunks"),
-        F.sum(F.when(F.col("__known").isNull(), F.col("size")).otherwise(0)).cast("long").alias("new_bytes"),
-    )
-    old_side = old_ph.groupBy(*keys).agg(
-        F.sum("__n").alias("original_chunks"),
-        F.sum("__b").cast("long").alias("original_bytes"),
-    )
-    joined = old_side.join(new_side, keys, "full")
-    return joined.select(
-        *keys,
-        F.coalesce("original_chunks", F.lit(0)).cast("long").alias("original_chunks"),
-        F.coalesce("modified_chunks", F.lit(0)).cast("long").alias("modified_chunks"),
-        F.coalesce("new_chunks", F.lit(0)).cast("long").alias("new_chunks"),
-        F.coalesce("original_bytes", F.lit(0)).cast("long").alias("original_bytes"),
-        F.coalesce("new_bytes", F.lit(0)).cast("long").alias("new_bytes"),
-        (F.lit(100.0) * (F.lit(1.0) - F.try_divide(F.coalesce("new_bytes", F.lit(0)).cast("double"),
-                                                   F.col("original_bytes").cast("double")))).alias("bandwidth_reduction"),
+    is_new = F.col("old_n") == 0
+    total = lambda col: F.sum(col).cast("long")
+    g = _both_sides(old_chunks, new_chunks, keys, files).groupBy(*keys).agg(
+        total("old_n").alias("original_chunks"),
+        total("new_n").alias("modified_chunks"),
+        total(F.when(is_new, F.col("new_n")).otherwise(0)).alias("new_chunks"),
+        total("old_bytes").alias("original_bytes"),
+        total(F.when(is_new, F.col("new_bytes")).otherwise(0)).alias("new_bytes"),
     )
+    share = F.try_divide(F.col("new_bytes").cast("double"), F.col("original_bytes").cast("double"))
+    return g.withColumn("bandwidth_reduction", F.lit(100.0) * (F.lit(1.0) - share))
 
 
 def dedup_report(chunks: DataFrame) -> DataFrame:
@@ -170,6 +173,18 @@ def download_status(requests: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def download_response(requests: DataFrame, files: DataFrame, manifest: DataFrame, client_hashes: DataFrame,
+                      file_keys: list[str]) -> DataFrame:
+    """J7 as one result: the status of every requested file with its remaining chunks.
+
+    A known file without anything left has one row with NULL chunk columns, and so
+    does a file that isn't found.  ``is_last`` marks
+    the highest remaining index of a file.
+    """
+    status = download_status(requests, files).withColumnsRenamed({"client_id": file_keys[0], "path": file_keys[1]})
+    return status.join(download_plan(manifest, client_hashes, file_keys), file_keys, "left")
+
+
 def download_plan(manifest: DataFrame, client_hashes: DataFrame, file_keys: list[str]) -> DataFrame:
     """The chunks of each file that the client does not hold yet.
 
@@ -177,6 +192,7 @@ def download_plan(manifest: DataFrame, client_hashes: DataFrame, file_keys: list
     ``is_last`` marks the highest remaining index per file.
     """
     need = manifest.join(client_hashes.select(*file_keys, "hash").distinct(), [*file_keys, "hash"], "left_anti")
+    # both readers of ``need`` share the exchanges below its join; a file's maximum needs no window over the file
     last = need.groupBy(*file_keys).agg(F.max("chunk_index").alias("__last"))
     return need.join(last, file_keys).select(
         *file_keys, "chunk_index", "hash", "size", (F.col("chunk_index") == F.col("__last")).alias("is_last")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.schemas import FILE_COLS
-from tidepool.session import spread
 
 
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
@@ -26,17 +25,14 @@ def latest_per_key(log: DataFrame, keys: list[str], order: list[str], first: boo
     """
     direction = F.asc if first else F.desc
     w = Window.partitionBy(*keys).orderBy(*[direction(c) for c in order])
-    # a log in fewer splits than cores is partitioned by the keys up front (the
-    # window then needs no other shuffle); otherwise the plan keeps its
-    # map-side partial limit
-    log = spread(log, keys)
     return log.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
-def upsert_files(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Whole-row replace by ``(client_id, path)``; updates win over the base."""
-    log = base.select(*FILE_COLS, F.lit(0).alias("__seq")).unionByName(
-        updates.select(*FILE_COLS, F.lit(1).alias("__seq"))
+def upsert_files(base: DataFrame, updates: DataFrame, order: str) -> DataFrame:
+    """Whole-row replace by ``(client_id, path)``; updates win over the base,
+    and of several updates of a path the one with the greatest ``order`` does."""
+    log = base.select(*FILE_COLS, F.lit(None).cast(updates.schema[order].dataType).alias("__seq")).unionByName(
+        updates.select(*FILE_COLS, F.col(order).alias("__seq"))
     )
     return latest_per_key(log, ["client_id", "path"], ["__seq"]).drop("__seq")
 
@@ -58,7 +54,8 @@ def _blocked_prefix(manifest: DataFrame, keys: list[str], value, out: str, block
     inside each (file, block).  A file holding a third of all chunks is
     split into many small window partitions instead of one huge one."""
     b = F.floor(F.col("chunk_index") / F.lit(block)).cast("long")
-    rows = manifest.withColumn("__b", b).withColumn("__v", value)
+    rows = manifest.withColumn("__b", b).withColumn("__v", value).repartition(*keys, "__b")
+    # totals, rows and the inner window all read this one exchange by (file, block)
     per_block = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__bt"))
     over_blocks = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(*keys, "__b", F.coalesce(F.sum("__bt").over(over_blocks), F.lit(0)).alias("__base"))
@@ -116,9 +113,11 @@ def tombstone(files: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def file_hashes(files: DataFrame, requested: DataFrame) -> DataFrame:
-    """F3 for a set of paths: whole-file SHA-256 per requested ``(client_id, path)``;
-    a path with no file (or no content) gets ``""``, the reference's "missing" hash."""
-    have = files.select("client_id", "path", F.sha2("content", 256).alias("__h"))
+    """F3 for a set of paths: whole-file SHA-256 per requested ``(client_id, path)``.
+
+    An empty file has the hash of zero bytes; only a path without a file gets ``""``.
+    """
+    have = files.select("client_id", "path", F.sha2(F.coalesce("content", F.lit(b"").cast("binary")), 256).alias("__h"))
     return (
         requested.select("client_id", "path").distinct()
         .join(have, ["client_id", "path"], "left")

@@ -1,10 +1,11 @@
-"""Token buckets over transfer logs: T4 admit, T5 shape, T6 rate changes.
-
-A bucket is an order-dependent, non-linear fold (rejected requests cost
-nothing), so it is not a window sum.  The plan hash-partitions by key,
-sorts within partitions by ``(key, ts, event_id)`` (external sort, spills),
-and folds each key in one streaming pass over Arrow batches with O(1) state.
-Tokens are exact integers in micro-tokens (elapsed microseconds x rate).
+"""Token buckets over transfer logs: T4 admission decisions.
+
+A refused request costs nothing, so decisions are no plain window sum.  The plan
+hash-partitions by key, sorts within partitions by ``(key, ts, event_id)``
+(external sort, spills), and decides each key's rows batch by batch with running
+sums (``functions.bucket``); a key's state between batches is two numbers.  One
+key's requests depend on each other in order, so they pass through one task, in
+bounded memory.
 """
 
 from __future__ import annotations
@@ -15,126 +16,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.bucket import MICRO, Bucket
-
-
-
-def _ordered(log: DataFrame, cols: list) -> DataFrame:
-    return (
-        log.select("key", F.unix_micros("ts").alias("ts_us"), "event_id", *cols)
-        .repartition("key")
-        .sortWithinPartitions("key", "ts_us", "event_id")
-    )
-
-
-def _batches_by_key(batches):
-    """Yield (arrays-dict, start, end, key) runs of equal keys, batch by batch."""
-    for rb in batches:
-        cols = {name: rb.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(rb.schema.names)}
-        keys = cols["key"]
-        n = len(keys)
-        if n == 0:
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        ends = np.concatenate((starts[1:], [n]))
-        yield rb, cols, list(zip(starts.tolist(), ends.tolist()))
-
+from tidepool.functions.bucket import MICRO, decide
 
-def _fold(log: DataFrame, cols: list, out_schema: T.StructType, step, rate: int, burst: int | None) -> DataFrame:
-    """Sorted per-key fold: ``step(bucket, row_arrays, i)`` returns the output values of row ``i``."""
-    names = [f.name for f in out_schema.fields]
-    n_fixed = 3  # key, event_id, ts_us pass through
-
-    def run(batches):
-        cur_key, bucket = None, None
-        for rb, c, runs in _batches_by_key(batches):
-            outs = [[] for _ in names[n_fixed:]]
-            for s, e in runs:
-                k = c["key"][s]
-                if k != cur_key:
-                    cur_key, bucket = k, Bucket(rate, burst)
-                for i in range(s, e):
-                    for lst, v in zip(outs, step(bucket, c, i)):
-                        lst.append(v)
-            arrays = [rb.column("key"), rb.column("event_id"), rb.column("ts_us")]
-            arrays += [pa.array(v, type=_ARROW[f.dataType.typeName()]) for v, f in zip(outs, out_schema.fields[n_fixed:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return _ordered(log, cols).mapInArrow(run, out_schema)
-
-
-_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "integer": pa.int32()}
-_HEAD = [
+ADMIT_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("event_id", T.LongType()),
     T.StructField("ts_us", T.LongType()),
-]
-
-
-def admit_step(bucket: Bucket, c, i):
-    ok = bucket.try_acquire(int(c["ts_us"][i]), int(c["bytes"][i]))
-    return int(c["bytes"][i]), ok, bucket.tokens
-
-
-def shape_step(bucket: Bucket, c, i):
-    t = int(c["ts_us"][i])
-    rel = bucket.acquire(t, int(c["bytes"][i]))
-    return int(c["bytes"][i]), rel, None if rel is None else rel - t
-
-
-def rate_change_step(bucket: Bucket, c, i):
-    t, b, nr = int(c["ts_us"][i]), int(c["bytes"][i]), c["new_rate"][i]
-    if nr is not None and not (isinstance(nr, float) and np.isnan(nr)):
-        bucket.set_rate(t, int(nr))
-        return "rate", b, None, bucket.rate, bucket.available()
-    ok = bucket.try_acquire(t, b)
-    return "request", b, ok, bucket.rate, bucket.available()
-
-
-ADMIT_SCHEMA = T.StructType(_HEAD + [
     T.StructField("bytes", T.LongType()),
     T.StructField("admitted", T.BooleanType()),
     T.StructField("tokens_after", T.LongType()),
 ])
-SHAPE_SCHEMA = T.StructType(_HEAD + [
-    T.StructField("bytes", T.LongType()),
-    T.StructField("release_us", T.LongType()),
-    T.StructField("wait_us", T.LongType()),
-])
-RATE_SCHEMA = T.StructType(_HEAD + [
-    T.StructField("kind", T.StringType()),
-    T.StructField("bytes", T.LongType()),
-    T.StructField("admitted", T.BooleanType()),
-    T.StructField("rate_after", T.LongType()),
-    T.StructField("available_after", T.LongType()),
-])
+# a decision, or (``is_state``) a key's bucket after its last row, in ``tokens_after`` and ``ts_us``
+FOLD_SCHEMA = T.StructType([*ADMIT_SCHEMA.fields, T.StructField("is_state", T.BooleanType())])
 
 
-def admit(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
-    """T4: non-blocking ``tryAcquire`` per row of ``(key, ts, event_id, bytes)``.
+def fold(rows: DataFrame, rate: int, burst: int) -> DataFrame:
+    """Decisions and final states for ``(key, ts_us, event_id, bytes, is_state, tokens)`` rows.
 
-    Refill ``min(tokens + elapsed * rate, burst)``; admit and deduct iff
-    ``tokens >= bytes``.  Buckets start full; ``burst`` defaults to ``rate``.
+    A state row (``is_state``, with the bucket's ``tokens`` at ``ts_us``) comes before
+    its key's requests; a key without one starts full at its first request.  Rows with
+    a NULL key share a bucket; a NULL time or size counts as the bucket's time or 0.
     """
-    return _fold(log, ["bytes"], ADMIT_SCHEMA, admit_step, rate, burst)
-
-
-def shape(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
-    """T5: blocking ``acquire``: release time per request, FIFO per key.
+    ordered = rows.select("key", F.col("is_state"), "ts_us", "event_id", "bytes", "tokens").repartition("key").sortWithinPartitions(
+        F.col("key").asc_nulls_first(), F.col("is_state").desc(), F.col("ts_us").asc_nulls_first(), "event_id"
+    )
+    cap = burst * MICRO
 
-    While short, wait ``(bytes - available) / rate`` truncated to ms (at
-    least 1 ms) and retry.  A request above ``burst`` never completes: its
-    release is NULL and it does not hold up the queue.
-    """
-    return _fold(log, ["bytes"], SHAPE_SCHEMA, shape_step, rate, burst)
+    def run(batches):
+        key, known, missing, last = None, False, 0, None
+
+        def state_row():
+            return pa.RecordBatch.from_arrays([
+                pa.array([key], pa.string()), pa.array([None], pa.int64()), pa.array([last], pa.int64()), pa.array([None], pa.int64()),
+                pa.array([None], pa.bool_()), pa.array([cap - missing], pa.int64()), pa.array([True]),
+            ], names=FOLD_SCHEMA.names)
+
+        for rb in batches:
+            keys = rb.column("key")
+            n = len(keys)
+            if not n:
+                continue
+            ids = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist()
+            is_state = rb.column("is_state").to_numpy(zero_copy_only=False)
+            ts_null = rb.column("ts_us").is_null().to_numpy(zero_copy_only=False)
+            ts = rb.column("ts_us").fill_null(np.iinfo(np.int64).min).to_numpy()
+            size = rb.column("bytes").fill_null(0).to_numpy()
+            tokens = rb.column("tokens").fill_null(0).to_numpy()
+            admitted, after = np.zeros(n, bool), np.zeros(n, np.int64)
+            for s, e in zip(starts, [*starts[1:], n]):
+                k = keys[s].as_py()
+                if not known or k != key:
+                    if known:
+                        yield state_row()
+                    key, known, missing, last = k, True, 0, None
+                while s < e and is_state[s]:
+                    missing, last = cap - int(tokens[s]), int(ts[s])
+                    s += 1
+                if s == e:
+                    continue
+                if last is None:
+                    last = int(ts[s:e][~ts_null[s:e]][0]) if not ts_null[s:e].all() else 0
+                admitted[s:e], left, missing, last = decide(ts[s:e], size[s:e], rate, burst, missing, last)
+                after[s:e] = cap - left
+            keep = np.flatnonzero(~is_state)
+            if len(keep):
+                out = rb.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([
+                    out.column("key"), out.column("event_id"), out.column("ts_us"), out.column("bytes"),
+                    pa.array(admitted[keep]), pa.array(after[keep]), pa.array(np.zeros(len(keep), bool)),
+                ], names=FOLD_SCHEMA.names)
+        if known:
+            yield state_row()
+
+    return ordered.mapInArrow(run, FOLD_SCHEMA)
+
+
+def requests(log: DataFrame) -> DataFrame:
+    """A transfer log ``(key, ts, event_id, bytes)`` as rows for ``fold``."""
+    return log.select(
+        "key", F.lit(False).alias("is_state"), F.unix_micros("ts").alias("ts_us"), "event_id", "bytes", F.lit(None).cast("long").alias("tokens")
+    )
 
 
-def admit_with_rate_changes(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
-    """Requests and ``setRate`` control rows in one ordered fold.
+def admit(log: DataFrame, rate: int, burst: int | None = None) -> DataFrame:
+    """T4: a decision per row of ``(key, ts, event_id, bytes)``.
 
-    ``log`` has ``key, ts, event_id, bytes, new_rate``; rows with a non-null
-    ``new_rate`` set ``rate = burst = new_rate`` (tokens are clamped only at
-    the next refill).  ``available_after`` is ``floor(max(0, tokens))``
-    without a refill, as ``available()`` reports it.
+    Tokens refill with time up to ``burst``; a request is admitted, and its bytes are
+    taken, iff there are as many.  Buckets start full; ``burst`` defaults to ``rate``.
     """
-    return _fold(log, ["bytes", "new_rate"], RATE_SCHEMA, rate_change_step, rate, burst)
+    return fold(requests(log), rate, burst or rate).where(~F.col("is_state")).drop("is_state")

@@ -1,9 +1,9 @@
 """Content-addressed chunk store and file reassembly: S4, S5, S6, A5, A6, J6, W3.
 
-The store is parquet partitioned by ``hash_prefix`` (256 folders, like the
-reference's ``chunks/<2 hex>/`` directories); joins carry ``hash_prefix`` as
-well so dynamic partition pruning can skip folders.  Bytes join last: the
-shuffles before them move only ``hash`` and ``size``.
+The store is parquet partitioned by ``hash_prefix`` (256 folders ``<2 hex>``),
+each file sorted by hash.  New blobs are chosen on ``hash`` and order columns
+alone (S4); bytes are fetched for the chosen rows.  A lookup by hash (S5, J6)
+moves the bytes it reads once to the request, and J6 once more to the file.
 """
 
 from __future__ import annotations
@@ -28,16 +28,18 @@ def empty_store(spark: SparkSession) -> DataFrame:
 def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str]) -> DataFrame:
     """Chunks to append to the store, each hash once, first writer wins.
 
-    ``incoming`` has ``hash, data`` plus the ``order`` columns; hashes already
-    in ``store`` are dropped (existing blobs are never rewritten).  The given
-    hash is not verified (as in the reference); ``hash_ok`` reports it.
-    Picking the first writer is a top-1 per hash with a map-side partial
-    limit, so a hash uploaded by a third of all clients still reduces before
-    the shuffle.
+    ``incoming`` has ``hash, data`` plus the ``order`` columns, which tell its rows
+    apart; hashes already in ``store`` are dropped (existing blobs are never
+    rewritten).  The given hash is not verified; ``hash_ok`` reports it.
+
+    First writers are a top-1 per hash with a map-side partial limit, and the
+    anti-join reads hashes only: bytes move once, for the winners, by (hash, order),
+    which no hash makes hot.
     """
-    first = latest_per_key(incoming.select("hash", "data", *order), ["hash"], order, first=True)
+    first = latest_per_key(incoming.select("hash", *order), ["hash"], order, first=True)
     fresh = first.join(store.select("hash").distinct(), "hash", "left_anti")
-    return fresh.select(
+    blobs = incoming.select("hash", *order, "data").join(fresh, ["hash", *order], "left_semi")
+    return blobs.select(
         hash_prefix("hash").alias("hash_prefix"),
         "hash",
         F.length("data").cast("int").alias("size"),
@@ -93,14 +95,16 @@ def upload_complete(manifest: DataFrame, announced: DataFrame, file_keys: list[s
     )
 
 
-def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> DataFrame:
-    """J6 verification: manifest joined to the store, each file's bytes hashed
-    in ``chunk_index`` order without ever holding the whole file.
+def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str], with_content: bool = False) -> DataFrame:
+    """Manifest joined to the store, each file's bytes put together in
+    ``chunk_index`` order.
 
-    Rows are hash-partitioned by file and sorted by index; one Arrow pass
-    feeds the chunks of each file into an incremental SHA-256 (memory: one
-    chunk).  A missing or empty chunk fails the file (``ok = false``, size
-    and hash NULL).  Output: ``file_keys..., chunks, ok, size, hash``.
+    Rows are hash-partitioned by file and sorted by index; one Arrow pass feeds
+    the chunks of each file into an incremental SHA-256 (memory: one chunk; one
+    file with ``with_content``, which adds the bytes as ``content``).  A hash
+    chains, so one file's chunks pass through one task.  A missing or empty chunk
+    fails the file (``ok = false``, size, hash and content NULL).
+    Output: ``file_keys..., chunks, ok, size, hash[, content]``.
     """
     blobs = store.select("hash", "data")
     joined = manifest.select(*file_keys, "chunk_index", "hash").join(blobs, "hash", "left")
@@ -117,12 +121,14 @@ def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> D
             T.StructField("size", T.LongType(), True),
             T.StructField("hash", T.StringType(), True),
         ]
+        + ([T.StructField("content", T.BinaryType(), True)] if with_content else [])
     )
     n_keys = len(file_keys)
     data_pos = n_keys + 1
 
     def run(batches):
         cur, digest, size, count, bad = None, None, 0, 0, False
+        pieces = []
         out = {f.name: [] for f in out_schema.fields}
 
         def emit():
@@ -132,6 +138,9 @@ def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> D
             out["ok"].append(not bad)
             out["size"].append(None if bad else size)
             out["hash"].append(None if bad else digest.hexdigest())
+            if with_content:
+                out["content"].append(None if bad else b"".join(pieces))
+            pieces.clear()
 
         def flush():
             cols = [pa.array(out[f.name], type=types[f.name]) for f in out_schema.fields]
@@ -139,7 +148,7 @@ def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> D
                 v.clear()
             return pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
 
-        types = {"chunks": pa.int32(), "ok": pa.bool_(), "size": pa.int64(), "hash": pa.string()}
+        types = {"chunks": pa.int32(), "ok": pa.bool_(), "size": pa.int64(), "hash": pa.string(), "content": pa.binary()}
         for rb in batches:
             for i, k in enumerate(file_keys):
                 types[k] = rb.schema.field(i).type
@@ -158,6 +167,8 @@ def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> D
                 elif not bad:
                     digest.update(data[a:b])
                     size += b - a
+                    if with_content:
+                        pieces.append(data[a:b].tobytes())
             if len(out["chunks"]):
                 yield flush()
         if cur is not None:
@@ -167,20 +178,6 @@ def reassemble(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> D
     return ordered.mapInArrow(run, out_schema)
 
 
-def reassemble_bytes(manifest: DataFrame, store: DataFrame, file_keys: list[str]) -> DataFrame:
-    """J6 with the rebuilt bytes as a column (``content``), for files that fit
-    in a row: ordered ``listagg`` of the chunk bytes per file."""
-    blobs = store.select("hash", "data")
-    joined = manifest.select(*file_keys, "chunk_index", "hash").join(blobs, "hash", "left")
-    agg = joined.groupBy(*file_keys).agg(
-        F.count(F.lit(1)).cast("int").alias("chunks"),
-        F.count_if(F.col("data").isNull() | (F.length("data") == 0)).alias("__bad"),
-        F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk_index)").alias("__bytes"),
-    )
-    ok = F.col("__bad") == 0
-    return agg.select(*file_keys, "chunks", ok.alias("ok"), F.when(ok, F.col("__bytes")).alias("content"))
-
-
 def finalize_files(
     reassembled: DataFrame, complete: DataFrame, file_keys: list[str], finalized_at: int | None = None
 ) -> DataFrame:
@@ -237,20 +234,25 @@ def apply_delta(chunk_lists: DataFrame, payloads: DataFrame, file_keys: list[str
     Offsets are the running sum of sizes (own offsets ignored), so the
     pieces tile the payload from byte 0 and their concatenation is the
     payload's first ``sum(size)`` bytes: one partial aggregate per file and
-    one join to the payload, never a copy of the payload per chunk.  The
+    one join to the payload, never a copy of the payload per chunk (``content`` is
+    NULL-free where ``ok``).  The
     file fails when the sizes overrun the payload; trailing bytes are ignored.
     """
     need = chunk_lists.groupBy(*file_keys).agg(
-        F.count(F.lit(1)).cast("int").alias("chunks"),
+        F.count(F.lit(1)).cast("int").alias("__chunks"),
         F.sum("size").cast("long").alias("__need"),
     )
-    j = need.join(payloads.select(*file_keys, "payload"), file_keys)
-    ok = F.col("__need") <= F.length("payload")
+    # every payload has a result: an empty chunk list writes an empty file
+    j = payloads.select(*file_keys, "payload").join(need, file_keys, "left")
+    needed = F.coalesce("__need", F.lit(0))
+    ok = needed <= F.length("payload")
+    written = F.substring("payload", 1, needed.cast("int"))
     return j.select(
         *file_keys,
-        "chunks",
+        F.coalesce("__chunks", F.lit(0)).alias("chunks"),
         F.length("payload").cast("long").alias("payload_size"),
         ok.alias("ok"),
-        F.when(ok, F.col("__need")).alias("written_bytes"),
-        F.when(ok, F.sha2(F.substring("payload", 1, F.col("__need").cast("int")), 256)).alias("hash"),
+        F.when(ok, needed).alias("written_bytes"),
+        F.when(ok, F.sha2(written, 256)).alias("hash"),
+        F.when(ok, written).alias("content"),
     )

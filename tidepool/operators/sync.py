@@ -19,15 +19,13 @@ def has_conflict(local_hash, remote_hash, local_version, remote_version) -> Colu
     return (local_hash != remote_hash) & (local_version > 0) & (remote_version > 0)
 
 
-def first_local(local: DataFrame, order: str | None = None) -> DataFrame:
-    """One local row per path; with an order column the first one wins."""
-    if order is None:
-        return local
-    return latest_per_key(local, ["client_id", "path"], [order], first=True)
+def first_local(local: DataFrame, order: str | list[str]) -> DataFrame:
+    """One local row per path: the first in ``order`` (the position in the client's list)."""
+    return latest_per_key(local, ["client_id", "path"], [order] if isinstance(order, str) else order, first=True)
 
 
 def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int,
-                 local_order: str | None = None) -> DataFrame:
+                 local_order: str | list[str] = ("modified_time", "hash")) -> DataFrame:
     """Changes the server reports to each client.
 
     Live server rows are compared with the client's list on path: a
@@ -35,10 +33,10 @@ def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int
     ``modified_time`` is after the client's ``last_sync_time``.  Never
     DELETED/RENAMED; local-only rows are ignored.  ``last_sync`` is either a
     constant or a ``(client_id, last_sync_time)`` table (absent client = 0).
-    A client list with repeated paths needs ``local_order`` (its list
-    position): the first row per path is the one compared.
+    Of a path that the client's list repeats, the first row in ``local_order``
+    (its list position) is compared, so a path is reported once.
     """
-    local = first_local(local, local_order)
+    local = first_local(local, list(local_order) if not isinstance(local_order, str) else local_order)
     live = server.where(~F.col("deleted")).select("client_id", "path", "modified_time", F.col("hash").alias("server_hash"))
     loc = local.select("client_id", "path", F.col("hash").alias("local_hash"))
     joined = live.join(loc, ["client_id", "path"], "left")
@@ -55,14 +53,15 @@ def sync_changes(server: DataFrame, local: DataFrame, last_sync: DataFrame | int
 
 
 def conflicts(local: DataFrame, server: DataFrame) -> DataFrame:
-    """ConflictInfo rows of local vs live server state on the same path."""
+    """ConflictInfo rows of local vs server state on the same path; a path that the
+    server has deleted still conflicts with a local edit."""
     loc = local.select(
         "client_id", "path",
         F.col("hash").alias("local_hash"),
         F.col("modified_time").alias("local_modified_time"),
         F.col("version").alias("local_version"),
     )
-    srv = server.where(~F.col("deleted")).select(
+    srv = server.select(
         "client_id", "path",
         F.col("hash").alias("remote_hash"),
         F.col("modified_time").alias("remote_modified_time"),
@@ -111,6 +110,23 @@ def incremental_sync(files: DataFrame, sync_state: DataFrame) -> DataFrame:
     )
 
 
+def sync_response(server: DataFrame, local: DataFrame, last_sync: DataFrame | int, server_time: int,
+                  local_order: str | list[str] = ("modified_time", "hash")) -> DataFrame:
+    """The answer to a sync request, one row per change or conflict: J3 and J4 with the server's time.
+
+    Rows: ``client_id, kind (CHANGE | CONFLICT), path, type, local_hash, remote_hash, server_time``.
+    """
+    changed = sync_changes(server, local, last_sync, local_order).select(
+        "client_id", F.lit("CHANGE").alias("kind"), "path", "type",
+        F.lit(None).cast("string").alias("local_hash"), F.lit(None).cast("string").alias("remote_hash"),
+    )
+    order = list(local_order) if not isinstance(local_order, str) else local_order
+    disputed = conflicts(first_local(local, order), server).select(
+        "client_id", F.lit("CONFLICT").alias("kind"), "path", auto_strategy().alias("type"), "local_hash", "remote_hash"
+    )
+    return changed.unionByName(disputed).withColumn("server_time", F.lit(server_time).cast("long"))
+
+
 def advance_sync_state(state: DataFrame, synced: DataFrame) -> DataFrame:
     """T3 write side: new ``last_sync_time`` per client = the latest of the
     stored value and the ``sync_time`` of this round (absent client = 0).

@@ -17,7 +17,7 @@ from tidepool.functions.timeutil import utc_wall_clock
 from tidepool.operators import bytesjobs, chunking, delta, files, metrics, ratelimit, storage, sync
 from tidepool.plans import params as P
 from tidepool.schemas import FILE_COLS
-from tidepool.session import spread, work_dir
+from tidepool.session import work_dir
 from tidepool.sources import tables as V
 from tidepool.streaming import admission as T4
 from tidepool.streaming import changes as T2
@@ -86,8 +86,13 @@ def q_cdc_chunks_segmented(spark, sf):
 
 
 def q_chunk_stats(spark, sf):
-    src = spread(V.src_files(spark, sf), DOC_KEYS)  # one scan feeds both the files and the chunker
-    return chunking.chunk_stats(src, chunking.cdc_chunks(src, DOC_KEYS, "content", **P.SMALL), DOC_KEYS)
+    return chunking.chunk_stats(V.src_files(spark, sf), DOC_KEYS, "content", **P.SMALL)
+
+
+def q_cdc_chunks_switch(spark, sf):
+    """The variant whose switch point is a parameter."""
+    src = V.src_files(spark, sf)
+    return chunking.cdc_chunks(src, DOC_KEYS, "content", **P.SMALL, switch=P.SWITCH).select(*CHUNK_COLS)
 
 
 def q_dedup_report(spark, sf):
@@ -111,12 +116,12 @@ def q_delta_existing(spark, sf):
 
 def q_delta_summary(spark, sf):
     old, new = _version_chunks(spark, sf)
-    return delta.delta_summary(delta.mark_new(new, old, ["path"]), ["path"])
+    return delta.delta_summary(old, new, ["path"], V.version_pair(spark, sf)[1].select("path"))
 
 
 def q_bandwidth_reduction(spark, sf):
     old, new = _version_chunks(spark, sf)
-    return delta.bandwidth_reduction(old, new, ["path"])
+    return delta.bandwidth_reduction(old, new, ["path"], V.version_pair(spark, sf)[1].select("path"))
 
 
 def q_chunk_exists(spark, sf):
@@ -137,7 +142,22 @@ def q_file_chunks(spark, sf):
 
 
 def q_file_metadata(spark, sf):
-    return files.file_metadata(V.server_files(spark, sf), V.local_files(spark, sf))
+    return files.file_metadata(V.server_copy(spark, sf), V.local_files(spark, sf))
+
+
+def q_scan_files(spark, sf):
+    """The table folder's own Parquet files as scanned binary files."""
+    f = V.binary_files(spark, f"{sf}/documents.parquet")
+    name = F.element_at(F.split("path", "/"), -1)
+    return f.select(name.alias("name"), "size", "hash", "version", "deleted", F.length("content").cast("long").alias("n_bytes"))
+
+
+def q_file_hashes(spark, sf):
+    """F3 for requested paths: some files are empty, some requests have no file."""
+    new = V.version_pair(spark, sf)[1].select(F.lit("c0").alias("client_id"), "path", "content")
+    asked = V.server_files(spark, sf).select(F.lit("c0").alias("client_id"), "path")
+    absent = asked.select("client_id", F.concat("path", F.lit(".bak")).alias("path"))
+    return files.file_hashes(new, asked.unionByName(absent))
 
 
 def q_modified_since(spark, sf):
@@ -146,11 +166,11 @@ def q_modified_since(spark, sf):
 
 def q_tombstone(spark, sf):
     req = V.src_files(spark, sf).where(F.col("path").contains(f"/{P.TOMBSTONE_LANG}/"))
-    return files.tombstone(V.server_files(spark, sf), req)
+    return files.tombstone(V.server_copy(spark, sf), req)
 
 
 def q_upsert_files(spark, sf):
-    return files.upsert_files(V.server_files(spark, sf), V.local_files(spark, sf))
+    return files.upsert_files(V.server_copy(spark, sf), V.local_files(spark, sf), "list_pos")
 
 
 def q_upsert_manifest(spark, sf):
@@ -177,16 +197,32 @@ def q_client_namespace(spark, sf):
 
 # ---------------------------------------------------------------- sync and conflicts
 def q_sync_changes(spark, sf):
-    return sync.sync_changes(V.server_files(spark, sf), V.local_files(spark, sf), P.LAST_SYNC_TIME)
+    return sync.sync_changes(V.server_copy(spark, sf), V.local_files(spark, sf), P.LAST_SYNC_TIME, "list_pos")
+
+
+def q_sync_response(spark, sf):
+    """The whole answer to a sync request: changes, conflicts and the server's time."""
+    return sync.sync_response(V.server_copy(spark, sf), V.local_files(spark, sf), P.LAST_SYNC_TIME, P.SERVER_TIME, "list_pos")
 
 
 def q_incremental_sync(spark, sf):
-    state = V.local_files(spark, sf).groupBy("client_id").agg(F.max("modified_time").alias("last_sync_time"))
-    return sync.incremental_sync(V.server_files(spark, sf), state)
+    return sync.incremental_sync(V.server_copy(spark, sf), _sync_state(spark, sf))
+
+
+def _sync_state(spark, sf):
+    return V.local_files(spark, sf).groupBy("client_id").agg(F.max("modified_time").alias("last_sync_time"))
+
+
+def q_advance_sync_state(spark, sf):
+    """T3 write side: every client moves on to the newest row it was sent."""
+    sent = sync.incremental_sync(V.server_copy(spark, sf), _sync_state(spark, sf))
+    return sync.advance_sync_state(
+        _sync_state(spark, sf), sent.groupBy("client_id").agg(F.max("modified_time").alias("sync_time"))
+    )
 
 
 def _conflicts(spark, sf):
-    return sync.conflicts(V.local_files(spark, sf), V.server_files(spark, sf))
+    return sync.conflicts(sync.first_local(V.local_files(spark, sf), "list_pos"), V.server_copy(spark, sf))
 
 
 def q_conflicts(spark, sf):
@@ -227,41 +263,59 @@ def q_fetch_chunks(spark, sf):
                       F.sha2("data", 256).alias("data_hash"))
 
 
-def _announced(conv: DataFrame) -> DataFrame:
-    return conv.groupBy(*CONV_KEYS).agg((F.max("chunk_index") + 1).cast("int").alias("total_chunks"))
-
-
 def q_upload_complete(spark, sf):
     conv = V.conv_chunks(spark, sf)
-    return storage.upload_complete(conv, _announced(conv), CONV_KEYS)
+    return storage.upload_complete(conv, V.announced(conv), CONV_KEYS)
+
+
+def _kept_store(spark, sf) -> DataFrame:
+    """A chunk store that has lost the blobs only some conversations' first turns held."""
+    conv = V.conv_chunks(spark, sf).where((F.col("conv_id") % 17 != 3) | (F.col("chunk_index") != 0))
+    return storage.new_store_rows(conv, storage.empty_store(spark), ["conv_id", "chunk_index"]).select(
+        "hash_prefix", "hash", "size", "data"
+    )
 
 
 def q_reassemble(spark, sf):
-    conv = V.conv_chunks(spark, sf)
-    return storage.reassemble(conv, _conv_store(spark, sf), CONV_KEYS)
+    """J6 with the rebuilt bytes (here text, so they are shown decoded)."""
+    rebuilt = storage.reassemble(V.conv_chunks(spark, sf), _kept_store(spark, sf), CONV_KEYS, with_content=True)
+    return rebuilt.withColumn("content", F.decode("content", "UTF-8"))
 
 
 def q_finalize_files(spark, sf):
     conv = V.conv_chunks(spark, sf)
-    complete = storage.upload_complete(conv, _announced(conv), CONV_KEYS)
-    rebuilt = storage.reassemble(conv, _conv_store(spark, sf), CONV_KEYS)
+    complete = storage.upload_complete(conv, V.announced(conv), CONV_KEYS)
+    rebuilt = storage.reassemble(conv, _kept_store(spark, sf), CONV_KEYS)
     done = storage.finalize_files(rebuilt, complete, CONV_KEYS, P.FINALIZED_AT)
     return done.withColumnRenamed("file_path", "path").select(*FILE_COLS)
 
 
+def _held(conv: DataFrame) -> DataFrame:
+    return conv.where(F.col("role") == "user").select(*CONV_KEYS, "hash")
+
+
 def q_download_plan(spark, sf):
     conv = V.conv_chunks(spark, sf)
-    have = conv.where(F.col("role") == "user").select(*CONV_KEYS, "hash")
-    return delta.download_plan(conv.select(*CONV_KEYS, "chunk_index", "hash", "size"), have, CONV_KEYS)
+    return delta.download_plan(conv.select(*CONV_KEYS, "chunk_index", "hash", "size"), _held(conv), CONV_KEYS)
+
+
+def q_download_response(spark, sf):
+    """J7 as one answer: requests for every file and for some that don't exist."""
+    conv = V.conv_chunks(spark, sf)
+    known = conv.select("client_id", F.col("file_path").alias("path")).distinct()
+    asked = known.unionByName(known.select("client_id", F.concat("path", F.lit(".bak")).alias("path")))
+    return delta.download_response(asked, known, conv.select(*CONV_KEYS, "chunk_index", "hash", "size"), _held(conv), CONV_KEYS)
 
 
 def q_apply_delta(spark, sf):
-    """The new version's chunk list applied to the old version's bytes:
-    unedited files rebuild exactly, edited (longer) ones overrun and fail."""
+    """The new version's chunk list applied to the old version's bytes: unedited
+    files rebuild exactly, cut ones to their new length, emptied ones to nothing,
+    and grown ones overrun and fail."""
     old, new = V.version_pair(spark, sf)
     chunks = chunking.cdc_chunks(new, ["path"], "content", **P.SMALL)
-    return storage.apply_delta(chunks.select("path", "chunk_index", "size"),
+    done = storage.apply_delta(chunks.select("path", "chunk_index", "size"),
                                old.withColumnRenamed("content", "payload"), ["path"])
+    return done.withColumn("content", F.hex("content"))
 
 
 def q_storage_stats(spark, sf):
@@ -291,23 +345,7 @@ def q_metrics_report(spark, sf):
 
 # ---------------------------------------------------------------- byte jobs
 def q_window_fingerprints(spark, sf):
-    src = V.src_files(spark, sf).select("doc_id", "content")
-    fps = bytesjobs.window_fingerprints(src, ["doc_id"], "content", P.FP_WINDOW, P.FP_SAMPLE)
-    return bytesjobs.shared_passages(fps, "doc_id")
-
-
-def _compressed(spark, sf):
-    store = _conv_store(spark, sf)
-    return bytesjobs.compress_chunks(store.select("hash", "size", "data"))
-
-
-def q_compress_chunks(spark, sf):
-    return _compressed(spark, sf).select("hash", "size", "codec", "stored_size")
-
-
-def q_decompress_chunks(spark, sf):
-    back = bytesjobs.decompress_chunks(_compressed(spark, sf).drop("data"), "stored")
-    return back.select("hash", "size", "codec", F.length("restored").cast("int").alias("restored_size"), "hash_ok")
+    return bytesjobs.shared_passages(V.src_files(spark, sf), "content", P.FP_WINDOW)
 
 
 # ---------------------------------------------------------------- token buckets
@@ -315,57 +353,17 @@ def q_token_bucket_admit(spark, sf):
     return ratelimit.admit(V.transfer_log(spark, sf), P.TOKEN_RATE, P.TOKEN_BURST)
 
 
-def q_token_bucket_shape(spark, sf):
-    return ratelimit.shape(V.transfer_log(spark, sf), P.TOKEN_RATE, P.TOKEN_BURST)
-
-
-def q_token_bucket_rate_change(spark, sf):
-    log = V.transfer_log(spark, sf).withColumn(
-        "new_rate", F.when(F.col("event_type") == "error", F.col("bytes"))
-    )
-    return ratelimit.admit_with_rate_changes(log, P.TOKEN_RATE, P.TOKEN_BURST)
-
-
-def _time_ordered_feed(spark, log: DataFrame, feed: str, parts: int = 4) -> DataFrame:
-    """Write ``log`` as ``parts`` files in time order (quantiles of ``ts``) and
-    return a stream over them, one file per micro-batch."""
-    us = F.unix_micros("ts")
-    qs = [i / parts for i in range(1, parts)]
-    cuts = log.select(us.alias("t")).approxQuantile("t", qs, 0.01)  # any monotone split works
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = log
-        if lo is not None:
-            part = part.where(us > lo)
-        if hi is not None:
-            part = part.where(us <= hi)
-        part.coalesce(1).write.mode("append").parquet(feed)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+def _events_stream(spark, sf) -> DataFrame:
+    """The events table itself as a stream (a micro-batch per arriving set of files)."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # as a pattern: a stream takes a single file only by one
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 def q_token_bucket_admit_stream(spark, sf):
-    """T4 as a stateful stream over the transfer log, delivered in four time-ordered files."""
-    work = work_dir(spark, "admit-stream")
-    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
-    stream = _time_ordered_feed(spark, log, f"{work}/feed")
-    return T4.bucket_stream(spark, stream, work, "admit", P.TOKEN_RATE, P.TOKEN_BURST)
-
-
-def q_token_bucket_shape_stream(spark, sf):
-    """T5 as a stateful stream (FIFO queue end kept in the state)."""
-    work = work_dir(spark, "shape-stream")
-    log = V.transfer_log(spark, sf).select("key", "ts", "event_id", "bytes")
-    stream = _time_ordered_feed(spark, log, f"{work}/feed")
-    return T4.bucket_stream(spark, stream, work, "shape", P.TOKEN_RATE, P.TOKEN_BURST)
-
-
-def q_token_bucket_rate_change_stream(spark, sf):
-    """T6 as a stateful stream: rate changes persist in the key's state."""
-    work = work_dir(spark, "rate-stream")
-    log = V.transfer_log(spark, sf).select(
-        "key", "ts", "event_id", "bytes", F.when(F.col("event_type") == "error", F.col("bytes")).alias("new_rate"))
-    stream = _time_ordered_feed(spark, log, f"{work}/feed")
-    return T4.bucket_stream(spark, stream, work, "rate", P.TOKEN_RATE, P.TOKEN_BURST)
+    """T4 as a stateful stream over the events table."""
+    log = V.transfer_log_of(_events_stream(spark, sf)).select("key", "ts", "event_id", "bytes")
+    return T4.admission_stream(spark, log, work_dir(spark, "admit-stream"), P.TOKEN_RATE, P.TOKEN_BURST)
 
 
 # ---------------------------------------------------------------- change feed and uploads (streaming)
@@ -374,22 +372,29 @@ def q_apply_changes(spark, sf):
 
 
 def q_apply_changes_stream(spark, sf):
-    """T2 as a Structured Streaming job over the events file, same result as the batch fold."""
-    work = work_dir(spark, "apply-changes")
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    feed = f"{work}/feed"
-    # events in several files so the stream runs several micro-batches
-    ev.repartition(4, "user_id").write.parquet(feed)
-    raw = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    changes = V.change_log_of(raw)
-    return T2.apply_changes_stream(spark, changes, work)
+    """T2 as a Structured Streaming job over the events table, same result as the batch fold."""
+    return T2.apply_changes_stream(spark, V.change_log_of(_events_stream(spark, sf)), work_dir(spark, "apply-changes"))
 
 
-def q_ingest_uploads(spark, sf):
+def _ingested(spark, sf) -> str:
+    """T1 over two deliveries: every upload's messages are split between them, and only
+    first messages name client, path and total."""
     work = work_dir(spark, "ingest-uploads")
-    feed = f"{work}/feed"
-    T1.upload_feed(V.conv_chunks(spark, sf)).repartition(2, "file_path").write.parquet(feed)
-    return T1.ingest_uploads(spark, feed, work, P.FINALIZED_AT)
+    conv = V.conv_chunks(spark, sf)
+    feed = T1.upload_feed(conv, V.announced(conv))
+    for part in (0, 1):
+        feed.where(F.col("chunk.index") % 2 == part).write.mode("append").parquet(f"{work}/feed/delivery={part}")
+        T1.run_uploads(spark, f"{work}/feed", work, P.FINALIZED_AT)
+    return work
+
+
+def q_ingest_uploads(spark, sf):
+    return T1.uploaded_files(spark, _ingested(spark, sf))
+
+
+def q_upload_responses(spark, sf):
+    """T1's answers per file and delivery."""
+    return T1.upload_responses(spark, _ingested(spark, sf))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

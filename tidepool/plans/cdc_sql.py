@@ -25,10 +25,11 @@ def _pow_expr(col: str, base: int) -> str:
 
 
 def cdc_cte(files: str, keys: list[str], min_size: int = DEFAULT_MIN, avg_size: int = DEFAULT_AVG,
-            max_size: int = DEFAULT_MAX, mask_bits: int = DEFAULT_MASK_BITS, prefix: str = "c") -> str:
+            max_size: int = DEFAULT_MAX, mask_bits: int = DEFAULT_MASK_BITS, prefix: str = "c", switch: int | None = None) -> str:
     """CTE text defining ``{prefix}_chunks(keys..., chunk_index, offset, size, hash)``
     from a CTE ``files(keys..., content BLOB)``.  Must sit inside WITH RECURSIVE."""
-    sw = switch_point(min_size, avg_size)
+    sw = switch_point(min_size, avg_size) if switch is None else switch
+    min_size = min(min_size, sw)
     big = (1 << mask_bits) - 1
     small = big >> 1
     k = ", ".join(keys)

@@ -1,8 +1,8 @@
 """DuckDB oracle SQL for every registered query (same names as the catalog).
 
 Views of the driver tables are repeated here as CTEs with the same
-definitions as ``tidepool.sources.tables``.  Only ``compress_chunks`` has
-no SQL form (DuckDB has no zlib).
+definitions as ``tidepool.sources.tables``.  ``scan_files`` has no SQL form
+(it reads the table's folder as binary files).
 """
 
 from __future__ import annotations
@@ -24,23 +24,29 @@ SRC_FILES = f"""src_files AS (
          CAST(0 AS BIGINT) AS last_sync_time, encode(text) AS content
   FROM documents)"""
 
-SERVER_FILES = f"""server_files AS (
+SERVER_FILES = f"""server_all AS (
   SELECT source AS client_id, {DOC_PATH} AS path, CAST(octet_length(encode(t)) AS BIGINT) AS size,
-         doc_id AS modified_time, sha256(encode(t)) AS hash, 1 AS version, false AS is_directory,
-         (doc_id % 11 = 0) AS deleted, CAST(0 AS BIGINT) AS last_sync_time
-  FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS t
-        FROM documents WHERE doc_id % 10 <> 0))"""
+         CAST(doc_id + (doc_id // 7 % 5 - 2) * 10 AS BIGINT) AS modified_time, sha256(encode(t)) AS hash, 1 AS version,
+         false AS is_directory, (doc_id % 11 = 0) AS deleted, CAST(0 AS BIGINT) AS last_sync_time, doc_id
+  FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS t FROM documents)),
+server_files AS (SELECT * EXCLUDE (doc_id) FROM server_all WHERE doc_id % 10 <> 0)"""
 
-LOCAL_FILES = f"""local_files AS (
-  SELECT source AS client_id, {DOC_PATH} AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size,
-         doc_id AS modified_time, sha256(encode(text)) AS hash, CAST(doc_id % 4 AS INTEGER) AS version,
-         false AS is_directory, false AS deleted, CAST(0 AS BIGINT) AS last_sync_time
-  FROM documents WHERE doc_id % 3 <> 0)"""
+LOCAL_FILES = f"""local_list AS (
+  SELECT source AS client_id, {DOC_PATH} AS path, CAST(octet_length(encode(t)) AS BIGINT) AS size,
+         doc_id AS modified_time, sha256(encode(t)) AS hash, CAST(doc_id % 4 AS INTEGER) AS version,
+         false AS is_directory, false AS deleted, CAST(0 AS BIGINT) AS last_sync_time, list_pos
+  FROM (SELECT *, text AS t, doc_id * 2 AS list_pos FROM documents WHERE doc_id % 3 <> 0
+        UNION ALL
+        SELECT *, text || ' later', doc_id * 2 + 1 FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 15 = 1)),
+local_files AS (SELECT * FROM local_list QUALIFY row_number() OVER (PARTITION BY client_id, path ORDER BY list_pos) = 1),
+local_last AS (SELECT * FROM local_list QUALIFY row_number() OVER (PARTITION BY client_id, path ORDER BY list_pos DESC) = 1)"""
 
 VERSIONS = f"""old_files AS (SELECT {DOC_PATH} AS path, encode(text) AS content FROM documents),
 new_files AS (
   SELECT {DOC_PATH} AS path,
-         encode(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END) AS content
+         encode(CASE WHEN doc_id % 7 = 0 THEN text || ' edited'
+                     WHEN doc_id % 7 = 3 THEN substring(text, 1, CAST(length(text) // 2 AS BIGINT))
+                     WHEN doc_id % 31 = 5 THEN '' ELSE text END) AS content
   FROM documents)"""
 
 MANIFEST = """manifest AS (
@@ -55,12 +61,21 @@ MANIFEST = """manifest AS (
 CONV = """conv AS (
   SELECT 'c0' AS client_id, CAST(conv_id AS VARCHAR) AS file_path, CAST(turn AS INTEGER) AS chunk_index,
          conv_id, role, text, encode(text) AS data, CAST(octet_length(encode(text)) AS INTEGER) AS size,
-         sha256(encode(text)) AS hash
-  FROM conversations)"""
+         sha256(encode(CASE WHEN conv_id % 13 = 5 AND turn = 1 THEN text || '!' ELSE text END)) AS hash
+  FROM conversations),
+announced AS (
+  SELECT client_id, file_path,
+         CAST(max(chunk_index) + 1 + CASE WHEN any_value(conv_id) % 9 = 4 THEN 1 ELSE 0 END AS INTEGER) AS total_chunks
+  FROM conv GROUP BY client_id, file_path)"""
 
 CONV_STORE = """conv_store AS (
-  SELECT substring(hash, 1, 2) AS hash_prefix, hash, size, data FROM (
-    SELECT hash, size, data, row_number() OVER (PARTITION BY hash ORDER BY conv_id, chunk_index) AS rn FROM conv)
+  SELECT substring(hash, 1, 2) AS hash_prefix, hash, size, data, text FROM (
+    SELECT hash, size, data, text, row_number() OVER (PARTITION BY hash ORDER BY conv_id, chunk_index) AS rn FROM conv)
+  WHERE rn = 1),
+kept_store AS (
+  SELECT hash, size, data, text FROM (
+    SELECT hash, size, data, text, row_number() OVER (PARTITION BY hash ORDER BY conv_id, chunk_index) AS rn FROM conv
+    WHERE conv_id % 17 <> 3 OR chunk_index <> 0)
   WHERE rn = 1)"""
 
 PROBE = """probe AS (
@@ -131,8 +146,8 @@ def _conflict_name(p: str, client: str, at_seconds: int) -> str:
     return f"(CASE WHEN contains({p}, '/') THEN regexp_extract({p}, '^(.*)/[^/]*$', 1) || '/' || {name} ELSE {name} END)"
 
 
-def _doc_cdc(small: bool) -> str:
-    kw = SMALL if small else {}
+def _doc_cdc(small: bool, **more) -> str:
+    kw = (SMALL if small else {}) | more
     src = f"src AS (SELECT source AS client_id, {DOC_PATH} AS path, encode(text) AS content FROM documents)"
     return _with(src, cdc_cte("src", ["client_id", "path"], **kw).strip(), recursive=True)
 
@@ -147,18 +162,25 @@ CONFLICTS = """conflicts AS (
          l.version AS local_version, s.hash AS remote_hash, s.modified_time AS remote_modified_time,
          s.version AS remote_version
   FROM local_files l JOIN server_files s ON l.client_id = s.client_id AND l.path = s.path
-  WHERE NOT s.deleted AND l.hash <> s.hash AND l.version > 0 AND s.version > 0)"""
+  WHERE l.hash <> s.hash AND l.version > 0 AND s.version > 0)"""
 
 STRATEGY = ("CASE WHEN local_modified_time > remote_modified_time THEN 'KEEP_LOCAL' "
             "WHEN remote_modified_time > local_modified_time THEN 'KEEP_REMOTE' ELSE 'KEEP_BOTH' END")
 
-REASSEMBLED = """rebuilt AS (
-  SELECT client_id, file_path, CAST(count(*) AS INTEGER) AS chunks,
+def _rebuilt(store: str) -> str:
+    return f"""rebuilt AS (
+  SELECT c.client_id, c.file_path, CAST(count(*) AS INTEGER) AS chunks,
          count(*) FILTER (WHERE s.data IS NULL OR octet_length(s.data) = 0) = 0 AS ok,
-         string_agg(c.text, '' ORDER BY c.chunk_index) AS content,
-         CAST(max(c.chunk_index) + 1 AS INTEGER) AS total_chunks
-  FROM conv c LEFT JOIN conv_store s USING (hash)
-  GROUP BY client_id, file_path)"""
+         string_agg(s.text, '' ORDER BY c.chunk_index) AS content, any_value(a.total_chunks) AS total_chunks
+  FROM conv c LEFT JOIN {store} s USING (hash) JOIN announced a ON a.client_id = c.client_id AND a.file_path = c.file_path
+  GROUP BY c.client_id, c.file_path)"""
+
+
+FINALIZED = f"""
+SELECT client_id, file_path AS path, CAST(strlen(content) AS BIGINT) AS size,
+       CAST({P.FINALIZED_AT} AS BIGINT) AS modified_time, sha256(content) AS hash, 1 AS version,
+       false AS is_directory, false AS deleted, CAST(0 AS BIGINT) AS last_sync_time
+FROM rebuilt WHERE ok AND chunks = total_chunks"""
 
 
 def _token_admit() -> str:
@@ -172,46 +194,6 @@ def _token_admit() -> str:
         "SELECT key, event_id, ts_us, bytes, admitted, tokens AS tokens_after FROM b WHERE rn > 0"
 
 
-def _token_shape() -> str:
-    return _with(TRANSFER, f"""b(key, rn, event_id, ts_us, bytes, tokens, last, free_at, release_us) AS (
-  SELECT key, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, CAST({CAP} AS BIGINT), ts_us, ts_us, NULL::BIGINT
-  FROM tl WHERE rn = 1
-  UNION ALL
-  SELECT key, rn, event_id, ts_us, bytes,
-         CASE WHEN skip THEN tok WHEN t1 >= want THEN t1 - want ELSE least(t1 + ms * 1000 * {RATE}, {CAP}) - want END,
-         CASE WHEN skip THEN last WHEN t1 >= want THEN st ELSE st + ms * 1000 END,
-         CASE WHEN skip THEN free_at WHEN t1 >= want THEN st ELSE st + ms * 1000 END,
-         CASE WHEN skip THEN NULL WHEN t1 >= want THEN st ELSE st + ms * 1000 END
-  FROM (SELECT *, greatest(1, ((bytes - t1 // {MICRO}) * 1000) // {RATE}) AS ms FROM (
-          SELECT n.key, n.rn, n.event_id, n.ts_us, n.bytes, n.bytes > {P.TOKEN_BURST} AS skip,
-                 n.bytes * {MICRO} AS want, p.tokens AS tok, p.last, p.free_at,
-                 greatest(n.ts_us, p.free_at) AS st,
-                 least(p.tokens + (greatest(n.ts_us, p.free_at) - p.last) * {RATE}, {CAP}) AS t1
-          FROM b p JOIN tl n ON n.key = p.key AND n.rn = p.rn + 1)))""", recursive=True) + \
-        "SELECT key, event_id, ts_us, bytes, release_us, release_us - ts_us AS wait_us FROM b WHERE rn > 0"
-
-
-def _token_rate_change() -> str:
-    return _with(TRANSFER, f"""b(key, rn, event_id, ts_us, kind, bytes, admitted, tokens, last, r, cap) AS (
-  SELECT key, 0, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BOOLEAN,
-         CAST({CAP} AS BIGINT), ts_us, CAST({RATE} AS BIGINT), CAST({CAP} AS BIGINT) FROM tl WHERE rn = 1
-  UNION ALL
-  SELECT key, rn, event_id, ts_us,
-         CASE WHEN is_rate THEN 'rate' ELSE 'request' END,
-         bytes,
-         CASE WHEN is_rate THEN NULL ELSE t1 >= want END,
-         CASE WHEN is_rate THEN tok WHEN t1 >= want THEN t1 - want ELSE t1 END,
-         CASE WHEN is_rate THEN last ELSE ts_us END,
-         CASE WHEN is_rate THEN bytes ELSE r END,
-         CASE WHEN is_rate THEN bytes * {MICRO} ELSE cap END
-  FROM (SELECT n.key, n.rn, n.event_id, n.ts_us, n.bytes, n.event_type = 'error' AS is_rate,
-               n.bytes * {MICRO} AS want, p.tokens AS tok, p.last, p.r, p.cap,
-               least(p.tokens + (n.ts_us - p.last) * p.r, p.cap) AS t1
-        FROM b p JOIN tl n ON n.key = p.key AND n.rn = p.rn + 1))""", recursive=True) + \
-        f"""SELECT key, event_id, ts_us, kind, bytes, admitted, r AS rate_after,
-       greatest(0, tokens) // {MICRO} AS available_after FROM b WHERE rn > 0"""
-
-
 ORACLE: dict[str, str] = {
     # ------------------------------------------------------------ chunking
     "cdc_chunks": _doc_cdc(False) + 'SELECT client_id, path, chunk_index, "offset", size, hash FROM c_chunks',
@@ -228,6 +210,7 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_chunks, CAST(count(*) AS BIG
        100.0 * (1.0 - CAST(sum(first_size) AS DOUBLE) / CAST(sum(bytes) AS DOUBLE)) AS dedup_ratio,
        100.0 * (1.0 - CAST(sum(first_size) AS DOUBLE) / CAST(sum(bytes) AS DOUBLE)) AS storage_saving
 FROM (SELECT hash, count(*) AS n, sum(size) AS bytes, min(size) AS first_size FROM c_chunks GROUP BY hash)""",
+    "cdc_chunks_switch": _doc_cdc(True, switch=P.SWITCH) + 'SELECT client_id, path, chunk_index, "offset", size, hash FROM c_chunks',
     "distinct_hashes": _doc_cdc(True) + "SELECT DISTINCT hash FROM c_chunks",
     # ------------------------------------------------------------ delta
     "delta_new": _ver_cdc() + """
@@ -242,12 +225,12 @@ marked AS (
   FROM n_chunks n),
 ph AS (SELECT path, hash, count(*) AS n, any_value(is_new) AS is_new, any_value(size) AS size, sum(size) AS bytes
        FROM marked GROUP BY path, hash)
-SELECT path,
-       CAST(sum(CASE WHEN is_new THEN n ELSE 0 END) AS BIGINT) AS new_chunks,
-       CAST(sum(CASE WHEN NOT is_new THEN n ELSE 0 END) AS BIGINT) AS existing_chunks,
-       CAST(sum(CASE WHEN is_new THEN bytes ELSE 0 END) AS BIGINT) AS bytes_to_transfer,
-       CAST(sum(CASE WHEN is_new THEN size ELSE 0 END) AS BIGINT) AS distinct_new_bytes
-FROM ph GROUP BY path""",
+SELECT f.path,
+       CAST(coalesce(sum(CASE WHEN is_new THEN n END), 0) AS BIGINT) AS new_chunks,
+       CAST(coalesce(sum(CASE WHEN NOT is_new THEN n END), 0) AS BIGINT) AS existing_chunks,
+       CAST(coalesce(sum(CASE WHEN is_new THEN bytes END), 0) AS BIGINT) AS bytes_to_transfer,
+       CAST(coalesce(sum(CASE WHEN is_new THEN size END), 0) AS BIGINT) AS distinct_new_bytes
+FROM new_files f LEFT JOIN ph ON ph.path = f.path GROUP BY f.path""",
     "bandwidth_reduction": _ver_cdc()[:-1] + """,
 known AS (SELECT DISTINCT path, hash FROM o_chunks),
 new_side AS (
@@ -256,14 +239,15 @@ new_side AS (
          sum(CASE WHEN k.hash IS NULL THEN n.size ELSE 0 END) AS new_bytes
   FROM n_chunks n LEFT JOIN known k ON k.path = n.path AND k.hash = n.hash GROUP BY n.path),
 old_side AS (SELECT path, count(*) AS original_chunks, sum(size) AS original_bytes FROM o_chunks GROUP BY path)
-SELECT coalesce(o.path, n.path) AS path,
+SELECT f.path,
        CAST(coalesce(original_chunks, 0) AS BIGINT) AS original_chunks,
        CAST(coalesce(modified_chunks, 0) AS BIGINT) AS modified_chunks,
        CAST(coalesce(new_chunks, 0) AS BIGINT) AS new_chunks,
        CAST(coalesce(original_bytes, 0) AS BIGINT) AS original_bytes,
        CAST(coalesce(new_bytes, 0) AS BIGINT) AS new_bytes,
-       100.0 * (1.0 - CAST(coalesce(new_bytes, 0) AS DOUBLE) / CAST(original_bytes AS DOUBLE)) AS bandwidth_reduction
-FROM old_side o FULL JOIN new_side n ON o.path = n.path""",
+       CASE WHEN original_bytes > 0
+            THEN 100.0 * (1.0 - CAST(coalesce(new_bytes, 0) AS DOUBLE) / CAST(original_bytes AS DOUBLE)) END AS bandwidth_reduction
+FROM new_files f LEFT JOIN old_side o ON o.path = f.path LEFT JOIN new_side n ON n.path = f.path""",
     "chunk_exists": _with(MANIFEST, CONV, PROBE) + """
 SELECT p.hash,
        EXISTS (SELECT 1 FROM manifest m WHERE m.hash = p.hash) AS in_manifest,
@@ -275,7 +259,10 @@ FROM src_files f JOIN (
   SELECT hash, count(*) AS copies FROM src_files WHERE hash <> ''
   GROUP BY hash HAVING count(*) > 1) g ON g.hash = f.hash""",
     # ------------------------------------------------------------ file tables
-    "live_files": _with(SERVER_FILES) + f"SELECT {FILE_COLS} FROM server_files WHERE NOT deleted",
+    "live_files": _with(SERVER_FILES) + f"SELECT {FILE_COLS} FROM server_all WHERE NOT deleted",
+    "file_hashes": _with(VERSIONS) + f"""
+SELECT 'c0' AS client_id, path, sha256(content) AS hash FROM new_files
+UNION ALL SELECT 'c0', path || '.bak', '' FROM new_files""",
     "file_chunks": _with(MANIFEST) + """
 SELECT client_id, file_path, chunk_index, hash,
        CAST(row_number() OVER (PARTITION BY client_id, file_path ORDER BY chunk_index) AS INTEGER) AS position
@@ -283,7 +270,7 @@ FROM manifest""",
     "file_metadata": _with(SERVER_FILES, LOCAL_FILES) + f"""
 SELECT {FILE_COLS} FROM server_files s
 WHERE EXISTS (SELECT 1 FROM local_files l WHERE l.client_id = s.client_id AND l.path = s.path)""",
-    "modified_since": _with(SERVER_FILES) + f"SELECT {FILE_COLS} FROM server_files WHERE modified_time > {P.MODIFIED_SINCE}",
+    "modified_since": _with(SERVER_FILES) + f"SELECT {FILE_COLS} FROM server_all WHERE modified_time > {P.MODIFIED_SINCE}",
     "tombstone": _with(SRC_FILES, SERVER_FILES) + f"""
 SELECT client_id, path, size, modified_time, hash, version, is_directory,
        deleted OR EXISTS (SELECT 1 FROM src_files r WHERE r.client_id = s.client_id AND r.path = s.path
@@ -291,7 +278,7 @@ SELECT client_id, path, size, modified_time, hash, version, is_directory,
        last_sync_time
 FROM server_files s""",
     "upsert_files": _with(SERVER_FILES, LOCAL_FILES) + f"""
-SELECT {FILE_COLS} FROM local_files
+SELECT {FILE_COLS} FROM local_last
 UNION ALL
 SELECT {FILE_COLS} FROM server_files s
 WHERE NOT EXISTS (SELECT 1 FROM local_files l WHERE l.client_id = s.client_id AND l.path = s.path)""",
@@ -308,7 +295,7 @@ FROM (SELECT DISTINCT hash FROM conv)""",
     "client_namespace": _with(SERVER_FILES) + """
 SELECT client_id, path, 'clients/' || client_id || '/' || path AS target_path,
        'clients/' || client_id || '/metadata.db' AS metadata_db
-FROM server_files""",
+FROM server_all""",
     # ------------------------------------------------------------ sync and conflicts
     "sync_changes": _with(SERVER_FILES, LOCAL_FILES) + f"""
 SELECT * FROM (
@@ -318,6 +305,24 @@ SELECT * FROM (
   FROM server_files s LEFT JOIN local_files l ON l.client_id = s.client_id AND l.path = s.path
   WHERE NOT s.deleted)
 WHERE type IS NOT NULL""",
+    "sync_response": _with(SERVER_FILES, LOCAL_FILES, CONFLICTS) + f"""
+SELECT client_id, 'CHANGE' AS kind, path, type, NULL::VARCHAR AS local_hash, NULL::VARCHAR AS remote_hash,
+       CAST({P.SERVER_TIME} AS BIGINT) AS server_time FROM (
+  SELECT s.client_id, s.path,
+         CASE WHEN l.hash IS NOT NULL AND l.hash <> s.hash THEN 'MODIFIED'
+              WHEN l.hash IS NULL AND s.modified_time > {P.LAST_SYNC_TIME} THEN 'CREATED' END AS type
+  FROM server_files s LEFT JOIN local_files l ON l.client_id = s.client_id AND l.path = s.path
+  WHERE NOT s.deleted) WHERE type IS NOT NULL
+UNION ALL
+SELECT client_id, 'CONFLICT', path, {STRATEGY}, local_hash, remote_hash, {P.SERVER_TIME} FROM conflicts""",
+    "advance_sync_state": _with(SERVER_FILES, LOCAL_FILES) + """
+SELECT t.client_id, CAST(greatest(t.last_sync_time, coalesce(max(s.modified_time), 0)) AS BIGINT) AS last_sync_time
+FROM (SELECT client_id, max(modified_time) AS last_sync_time FROM local_files GROUP BY client_id) t
+LEFT JOIN server_files s ON s.client_id = t.client_id
+GROUP BY t.client_id, t.last_sync_time
+UNION ALL
+SELECT client_id, CAST(max(modified_time) AS BIGINT) FROM server_files
+WHERE client_id NOT IN (SELECT client_id FROM local_files) AND modified_time > 0 GROUP BY client_id""",
     "incremental_sync": _with(SERVER_FILES, LOCAL_FILES) + f"""
 SELECT {', '.join('s.' + c for c in FILE_COLS.split(', '))}
 FROM server_files s
@@ -347,19 +352,27 @@ SELECT p.hash, s.hash IS NOT NULL AS found,
        sha256(coalesce(s.data, ''::BLOB)) AS data_hash
 FROM probe p LEFT JOIN conv_store s ON s.hash = p.hash""",
     "upload_complete": _with(CONV) + """
-SELECT client_id, file_path, CAST(max(chunk_index) + 1 AS INTEGER) AS total_chunks,
-       CAST(count(*) AS INTEGER) AS received_chunks, count(*) = max(chunk_index) + 1 AS complete
-FROM conv GROUP BY client_id, file_path""",
-    "reassemble": _with(CONV, CONV_STORE, REASSEMBLED) + """
+SELECT c.client_id, c.file_path, any_value(a.total_chunks) AS total_chunks,
+       CAST(count(*) AS INTEGER) AS received_chunks, count(*) = any_value(a.total_chunks) AS complete
+FROM conv c JOIN announced a ON a.client_id = c.client_id AND a.file_path = c.file_path GROUP BY c.client_id, c.file_path""",
+    "reassemble": _with(CONV, CONV_STORE, _rebuilt("kept_store")) + """
 SELECT client_id, file_path, chunks, ok,
        CASE WHEN ok THEN CAST(strlen(content) AS BIGINT) END AS size,
-       CASE WHEN ok THEN sha256(content) END AS hash
+       CASE WHEN ok THEN sha256(content) END AS hash, CASE WHEN ok THEN content END AS content
 FROM rebuilt""",
-    "finalize_files": _with(CONV, CONV_STORE, REASSEMBLED) + f"""
-SELECT client_id, file_path AS path, CAST(strlen(content) AS BIGINT) AS size,
-       CAST({P.FINALIZED_AT} AS BIGINT) AS modified_time, sha256(content) AS hash, 1 AS version,
-       false AS is_directory, false AS deleted, CAST(0 AS BIGINT) AS last_sync_time
-FROM rebuilt WHERE ok AND chunks = total_chunks""",
+    "finalize_files": _with(CONV, CONV_STORE, _rebuilt("kept_store")) + FINALIZED,
+    "download_response": _with(CONV)[:-1] + """,
+need AS (
+  SELECT c.* FROM conv c
+  WHERE NOT EXISTS (SELECT 1 FROM conv h WHERE h.role = 'user' AND h.client_id = c.client_id
+                    AND h.file_path = c.file_path AND h.hash = c.hash)),
+known AS (SELECT DISTINCT client_id, file_path FROM conv)
+SELECT k.client_id, k.file_path, 'OK' AS status, n.chunk_index, n.hash, n.size,
+       CASE WHEN n.chunk_index IS NOT NULL
+            THEN n.chunk_index = max(n.chunk_index) OVER (PARTITION BY k.client_id, k.file_path) END AS is_last
+FROM known k LEFT JOIN need n ON n.client_id = k.client_id AND n.file_path = k.file_path
+UNION ALL
+SELECT client_id, file_path || '.bak', 'NOT_FOUND', NULL, NULL, NULL, NULL FROM known""",
     "download_plan": _with(CONV)[:-1] + """,
 need AS (
   SELECT c.* FROM conv c
@@ -369,16 +382,19 @@ SELECT client_id, file_path, chunk_index, hash, size,
        chunk_index = max(chunk_index) OVER (PARTITION BY client_id, file_path) AS is_last
 FROM need""",
     "apply_delta": _ver_cdc()[:-1] + """,
-need AS (SELECT path, count(*) AS chunks, sum(size) AS need FROM n_chunks GROUP BY path)
-SELECT n.path, CAST(n.chunks AS INTEGER) AS chunks, CAST(octet_length(o.content) AS BIGINT) AS payload_size,
-       n.need <= octet_length(o.content) AS ok,
-       CASE WHEN n.need <= octet_length(o.content) THEN CAST(n.need AS BIGINT) END AS written_bytes,
-       CASE WHEN n.need <= octet_length(o.content) THEN sha256(array_slice(o.content, 1, n.need)) END AS hash
-FROM need n JOIN old_files o ON o.path = n.path""",
+need AS (SELECT path, count(*) AS chunks, sum(size) AS need FROM n_chunks GROUP BY path),
+j AS (SELECT o.path, coalesce(n.chunks, 0) AS chunks, coalesce(n.need, 0) AS need, o.content
+      FROM old_files o LEFT JOIN need n ON n.path = o.path)
+SELECT path, CAST(chunks AS INTEGER) AS chunks, CAST(octet_length(content) AS BIGINT) AS payload_size,
+       need <= octet_length(content) AS ok,
+       CASE WHEN need <= octet_length(content) THEN CAST(need AS BIGINT) END AS written_bytes,
+       CASE WHEN need = 0 THEN sha256('') WHEN need <= octet_length(content) THEN sha256(array_slice(content, 1, need)) END AS hash,
+       CASE WHEN need = 0 THEN '' WHEN need <= octet_length(content) THEN hex(array_slice(content, 1, need)) END AS content
+FROM j""",
     "storage_stats": _with(CONV, CONV_STORE, SERVER_FILES) + """
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM conv_store) AS total_chunks,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM conv_store) AS total_bytes,
-       (SELECT CAST(count(*) AS BIGINT) FROM server_files WHERE NOT deleted) AS total_files,
+       (SELECT CAST(count(*) AS BIGINT) FROM server_all WHERE NOT deleted) AS total_files,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM conv)
          - (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM conv_store) AS deduplicated_bytes""",
     # ------------------------------------------------------------ metrics
@@ -416,13 +432,8 @@ UNION ALL SELECT 'throughput', name, 'mb_per_sec',
   CASE WHEN total_bytes > 0 AND secs > 0 THEN total_bytes / secs ELSE 0.0 END / 1024.0 / 1024.0 FROM g""",
     # ------------------------------------------------------------ byte jobs
     "window_fingerprints": "",  # filled below
-    "decompress_chunks": _with(CONV, CONV_STORE) + """
-SELECT hash, size, CASE WHEN size >= 1024 THEN 'zlib' ELSE 'none' END AS codec, size AS restored_size, true AS hash_ok
-FROM conv_store""",
     # ------------------------------------------------------------ token buckets
     "token_bucket_admit": _token_admit(),
-    "token_bucket_shape": _token_shape(),
-    "token_bucket_rate_change": _token_rate_change(),
     # ------------------------------------------------------------ change feed and uploads
     "apply_changes": _with(CHANGES) + """
 SELECT client_id, path, size, modified_time, hash, 1 AS version, false AS is_directory,
@@ -432,16 +443,24 @@ FROM st WHERE up_seq IS NOT NULL""",
 ORACLE["apply_changes_stream"] = ORACLE["apply_changes"]
 ORACLE["cdc_chunks_segmented"] = ORACLE["cdc_chunks_small"]
 ORACLE["token_bucket_admit_stream"] = ORACLE["token_bucket_admit"]
-ORACLE["token_bucket_shape_stream"] = ORACLE["token_bucket_shape"]
-ORACLE["token_bucket_rate_change_stream"] = ORACLE["token_bucket_rate_change"]
-ORACLE["ingest_uploads"] = ORACLE["finalize_files"]
+ORACLE["ingest_uploads"] = _with(CONV, CONV_STORE, _rebuilt("conv_store")) + FINALIZED
+# an upload is answered in every delivery that holds messages of it; it succeeds in the last one, if at all
+ORACLE["upload_responses"] = _with(CONV, CONV_STORE, _rebuilt("conv_store"))[:-1] + """,
+parts AS (SELECT client_id, file_path, chunk_index % 2 AS part, count(*) AS n FROM conv GROUP BY ALL),
+answers AS (
+  SELECT p.client_id, p.file_path, CAST(p.part AS BIGINT) AS batch_id,
+         sum(p.n) OVER (PARTITION BY p.client_id, p.file_path ORDER BY p.part) = r.total_chunks AND r.ok AS success, r.chunks
+  FROM parts p JOIN rebuilt r ON r.client_id = p.client_id AND r.file_path = p.file_path)
+SELECT client_id, file_path, batch_id, success, CASE WHEN success THEN chunks END AS chunks_received,
+       CASE WHEN NOT success THEN 'INCOMPLETE_OR_BROKEN' END AS reason
+FROM answers"""
 
 
 def _fingerprints_sql() -> str:
     from tidepool.functions.cdc import BASE, INV_BASE, MOD
     from tidepool.plans.cdc_sql import POW_BITS, _pow_expr
 
-    w, m = P.FP_WINDOW, P.FP_SAMPLE
+    w = P.FP_WINDOW
     return f"""WITH
 d AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents),
 bytes AS (
@@ -458,9 +477,9 @@ g AS (
 fp AS (
   SELECT doc_id, i, pi * ((gi - coalesce(lag(gi, {w}) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MOD}) % {MOD} AS fp
   FROM g),
-sampled AS (SELECT doc_id, fp FROM fp WHERE i >= {w - 1} AND fp % {m} = 0)
+full_windows AS (SELECT doc_id, fp FROM fp WHERE i >= {w - 1})
 SELECT fp, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_occurrences
-FROM sampled GROUP BY fp HAVING count(DISTINCT doc_id) > 1"""
+FROM full_windows GROUP BY fp HAVING count(DISTINCT doc_id) > 1"""
 
 
 ORACLE["window_fingerprints"] = _fingerprints_sql()

@@ -17,17 +17,6 @@ FILES = T.StructType(
 )
 FILE_COLS = [f.name for f in FILES.fields]
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("client_id", T.StringType(), False),
-        T.StructField("file_path", T.StringType(), False),
-        T.StructField("chunk_index", T.IntegerType(), False),
-        T.StructField("hash", T.StringType(), False),
-        T.StructField("offset", T.LongType(), False),
-        T.StructField("size", T.IntegerType(), False),
-    ]
-)
-
 CHUNK_STORE = T.StructType(
     [
         T.StructField("hash_prefix", T.StringType(), False),
@@ -57,6 +46,3 @@ UPLOAD = T.StructType(
         T.StructField("total_chunks", T.IntegerType(), False),
     ]
 )
-
-CHANGE_TYPES = ("CREATED", "MODIFIED", "DELETED", "RENAMED")
-STRATEGIES = ("KEEP_LOCAL", "KEEP_REMOTE", "KEEP_BOTH", "MANUAL")

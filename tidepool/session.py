@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
@@ -22,7 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
@@ -35,70 +34,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a folder of our own is created and registered.
+    Without the setting, a session on one machine (``local[...]``, as in tests)
+    gets a folder of its own; on a cluster that is an error.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - a remote session has no SparkContext
-        sc = None
-    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", base)
-        if sc:
-            sc.setCheckpointDir(base)
-    elif sc and not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
-
-
-def spread(df, keys=None, min_partitions: int | None = None):
-    """Spread a DataFrame over the cluster's cores before CPU-heavy Python
-    tasks when it arrives in fewer partitions (e.g. one large parquet row
-    group).  Hash partitioning on ``keys`` (all columns if none) is
-    deterministic under task retries and needs no sort.  At scale the input
-    already has more partitions than cores and this is a no-op."""
-    from pyspark.sql import functions as F
-
-    if df.isStreaming:
-        return df
-    try:
-        # only plain scans are spread; a plan that already shuffles is left as
-        # is (counting its partitions would run its shuffle stages once more)
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        spark = df.sparkSession
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a remote session without RDDs: leave as is
-        return df
-    if have < want:
-        return df.repartition(want, *[F.col(c) for c in (keys or df.columns)])
-    return df
-
-
-@contextlib.contextmanager
-def stream_partitions(spark: SparkSession):
-    """Start a stateful stream with at most 2 x cores state partitions.
-
-    A stream fixes its state partitioning at its first start (recorded in
-    the checkpoint) and runs on a copy of the session's settings, so the
-    session's own ``spark.sql.shuffle.partitions`` is restored right after
-    ``start()``.  On a large cluster (cores >> 200) nothing changes.
-    """
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    try:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-        except Exception:  # noqa: BLE001 - remote session: keep the setting
-            cores = None
-        if cores:
-            spark.conf.set(key, str(max(1, min(int(old), 2 * cores))))
-        yield
-    finally:
-        spark.conf.set(key, old)
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

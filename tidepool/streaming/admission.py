@@ -1,97 +1,41 @@
-"""T4/T5/T6 in Structured Streaming: token buckets with per-key state.
-
-``applyInPandasWithState`` keeps each key's bucket (rate, burst, tokens,
-last refill, queue end) in the state store (RocksDB on a cluster); every
-micro-batch sorts a key's new rows by ``(ts, event_id)`` and applies the
-same per-row rules as the batch folds (``functions.bucket.Bucket`` with the
-step functions of ``operators.ratelimit``), so a stream delivered in time
-order gives the batch result.
-
-For T4/T5 a watermark on ``ts`` lets idle keys time out: a bucket idle for
-``burst / rate`` seconds after its last refill and its queue end is full
-again, exactly the state a new key starts with.  T6 keeps its state (a rate
-change is permanent).  Memory per key is bounded by one micro-batch.
+"""T4 in Structured Streaming: token buckets with a state per key and no late-row loss.
+
+Every micro-batch is joined to the buckets' states by the same sorted fold as the
+batch job (``operators.ratelimit.fold``): state rows come first under their key, so
+there is no join and no row of a key is held beyond an Arrow batch.  Decisions and
+states are written per batch id in the shared folder; a replayed batch reads the
+states of the batch before it and overwrites its own folders.  There is no
+watermark: every input row yields a decision, a late one at the bucket's own time.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidepool.functions.bucket import Bucket
 from tidepool.operators import ratelimit
-from tidepool.session import stream_partitions
-
-STATE_SCHEMA = "rate long, burst long, tokens long, last long, free_at long"
-
-MODES = {
-    "admit": (ratelimit.admit_step, ratelimit.ADMIT_SCHEMA, ["bytes"], True),
-    "shape": (ratelimit.shape_step, ratelimit.SHAPE_SCHEMA, ["bytes"], True),
-    "rate": (ratelimit.rate_change_step, ratelimit.RATE_SCHEMA, ["bytes", "new_rate"], False),
-}
-
 
-def _state_fn(mode: str, rate: int, burst: int):
-    step, schema, _, expires = MODES[mode]
-    out_names = [f.name for f in schema.fields][3:]
-    idle_ms = math.ceil(burst / rate) * 1000
 
-    def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(pdfs)
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(["ts_us", "event_id"], kind="stable")
-        c = {col: rows[col].to_numpy() for col in rows.columns}
-        bucket = Bucket(rate, burst, state=tuple(state.get) if state.exists else None)
-        outs = [step(bucket, c, i) for i in range(len(rows))]
-        state.update(bucket.state())
-        if expires:
-            end = max(v for v in (bucket.last, bucket.free_at) if v is not None)
-            state.setTimeoutTimestamp(end // 1000 + idle_ms + 1)
-        cols = {"key": c["key"], "event_id": c["event_id"], "ts_us": c["ts_us"]}
-        for j, name in enumerate(out_names):
-            cols[name] = [o[j] for o in outs]
-        yield pd.DataFrame(cols)
-
-    return fold
-
-
-def bucket_stream(spark: SparkSession, stream: DataFrame, work: str, mode: str, rate: int,
-                  burst: int | None = None) -> DataFrame:
-    """Run a token-bucket stream (``mode`` = admit | shape | rate) to completion.
-
-    ``stream`` has ``key, ts, event_id, bytes`` (+ ``new_rate`` for ``rate``);
-    returns the per-row decisions with the batch job's columns.
-    """
-    burst = rate if not burst else burst
-    _, schema, extra, expires = MODES[mode]
-    rows = stream.select("key", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", *extra)
-    if expires:
-        rows = rows.withWatermark("ts", f"{math.ceil(burst / rate)} seconds")
-    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
-    out = rows.groupBy("key").applyInPandasWithState(
-        _state_fn(mode, rate, burst), schema, STATE_SCHEMA, "append", timeout
+def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: str, rate: int, burst: int) -> None:
+    rows = ratelimit.requests(batch)
+    if batch_id > 0:
+        states = spark.read.schema(ratelimit.FOLD_SCHEMA).parquet(f"{work}/folded/batch_id={batch_id - 1}").where("is_state")
+        rows = rows.unionByName(states.select(
+            "key", "is_state", "ts_us", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("bytes"),
+            F.col("tokens_after").alias("tokens"),
+        ))
+    ratelimit.fold(rows, rate, burst).write.mode("overwrite").parquet(f"{work}/folded/batch_id={batch_id}")
+
+
+def admission_stream(spark: SparkSession, stream: DataFrame, work: str, rate: int, burst: int | None = None) -> DataFrame:
+    """Run the stream over ``(key, ts, event_id, bytes)`` to completion; return its decisions."""
+    burst = burst or rate
+    q = (
+        stream.writeStream.option("checkpointLocation", f"{work}/checkpoint")
+        .foreachBatch(lambda df, i: process_batch(df.sparkSession, df, i, work, rate, burst))
+        .trigger(availableNow=True)
+        .start()
     )
-    with stream_partitions(spark):
-        q = (
-            out.writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{work}/decisions")
-            .option("checkpointLocation", f"{work}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{work}/decisions")
-
-
-def admit_stream(spark: SparkSession, stream: DataFrame, work: str, rate: int, burst: int | None = None) -> DataFrame:
-    """T4 streaming (see ``bucket_stream``)."""
-    return bucket_stream(spark, stream, work, "admit", rate, burst)
+    folded = spark.read.schema(ratelimit.FOLD_SCHEMA).parquet(f"{work}/folded")
+    return folded.where(~F.col("is_state")).select(*ratelimit.ADMIT_SCHEMA.names)

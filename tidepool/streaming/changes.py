@@ -7,9 +7,8 @@ when a tombstone came after it; paths that were only ever deleted have no
 row (tombstoning a missing file changes nothing).
 
 The fold is associative per path (latest upsert by seq, max upsert seq,
-max tombstone seq): the batch job is a map-side-limited top-1 plus a hash
-aggregate, and the streaming job keeps the same fold as a stateful
-aggregate (``max_by``) in the state store.
+max tombstone seq): the batch job is one aggregate, and the streaming job
+keeps the same aggregate in the state store.
 """
 
 from __future__ import annotations
@@ -19,24 +18,26 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import FILE_COLS
-from tidepool.session import stream_partitions
 
 META_COLS = [c for c in FILE_COLS if c not in ("client_id", "path")]
 
 
 def touches(changes: DataFrame) -> DataFrame:
-    """One row per (path touched, seq): ``is_upsert`` with metadata, or a tombstone."""
-    up = changes.where(F.col("type").isin("CREATED", "MODIFIED", "RENAMED")).select(
-        "client_id", "path", "seq", F.lit(True).alias("is_upsert"), "metadata"
-    )
-    null_meta = F.lit(None).cast(changes.schema["metadata"].dataType)
-    gone = changes.where(F.col("type") == "DELETED").select(
-        "client_id", "path", "seq", F.lit(False).alias("is_upsert"), null_meta.alias("metadata")
-    )
-    moved = changes.where((F.col("type") == "RENAMED") & F.col("old_path").isNotNull()).select(
-        "client_id", F.col("old_path").alias("path"), "seq", F.lit(False).alias("is_upsert"), null_meta.alias("metadata")
+    """One row per (path touched, seq): ``is_upsert`` with metadata, or a tombstone.
+
+    Both touches of a rename come out of one pass over the feed.
+    """
+    nothing = F.lit(None).cast(changes.schema["metadata"].dataType)
+    touch = lambda path, up, meta: F.struct(path.alias("path"), F.lit(up).alias("is_upsert"), meta.alias("metadata"))
+    kind = F.col("type")
+    upsert = touch(F.col("path"), True, F.col("metadata"))
+    rows = (
+        F.when(kind.isin("CREATED", "MODIFIED"), F.array(upsert))
+        .when(kind == "DELETED", F.array(touch(F.col("path"), False, nothing)))
+        .when((kind == "RENAMED") & F.col("old_path").isNotNull(), F.array(upsert, touch(F.col("old_path"), False, nothing)))
+        .when(kind == "RENAMED", F.array(upsert))
     )
-    return up.unionByName(gone).unionByName(moved)
+    return changes.where(rows.isNotNull()).select("client_id", "seq", F.inline(rows)).select("client_id", "path", "seq", "is_upsert", "metadata")
 
 
 def fold_state(t: DataFrame) -> DataFrame:
@@ -58,17 +59,13 @@ def state_to_files(state: DataFrame) -> DataFrame:
 def apply_changes(changes: DataFrame) -> DataFrame:
     """Batch T2: the file table after applying the whole feed.
 
-    Latest upsert per path is a top-1 with a map-side partial limit; the
-    last tombstone per path is a hash aggregate; one join combines them.
+    One pass over the feed and one aggregate per path (partial before the
+    shuffle, so a path with most of the feed reduces map-side).
     """
-    t = touches(changes)
-    ups = latest_per_key(t.where("is_upsert").select("client_id", "path", "metadata", "seq"),
-                         ["client_id", "path"], ["seq"]).withColumnRenamed("seq", "up_seq")
-    dels = t.where(~F.col("is_upsert")).groupBy("client_id", "path").agg(F.max("seq").alias("del_seq"))
-    return state_to_files(ups.join(dels, ["client_id", "path"], "left"))
+    return state_to_files(fold_state(touches(changes)))
 
 
-def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str, trigger_once: bool = True) -> DataFrame:
+def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     """Streaming T2: the same fold as a stateful streaming aggregate.
 
     Output mode ``update`` emits the changed per-path states each
@@ -82,14 +79,13 @@ def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str, trig
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
 
-    with stream_partitions(spark):
-        q = (
-            agg.writeStream.outputMode("update")
-            .option("checkpointLocation", f"{work}/checkpoint")
-            .foreachBatch(sink)
-            .trigger(availableNow=True)
-            .start()
-        )
+    q = (
+        agg.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .foreachBatch(sink)
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
     log = spark.read.parquet(log_path)
     latest = latest_per_key(log, ["client_id", "path"], ["batch_id"]).drop("batch_id")
