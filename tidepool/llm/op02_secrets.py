@@ -45,8 +45,9 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE_RE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 FDR = 0.01
 MAX_Z = 3.3  # two-sided bound on runs and serial correlation of a random string
-# excess of ordinary writing over uniform counts, k * sum of squared symbol frequencies - 1
-LETTER_EXCESS = {"hex": 0.9, "base32": 1.1, "alnum": 2.8, "base64": 3.0}
+# excess over uniform counts, k * sum of squared symbol frequencies - 1, of the evenest ordinary writing
+# (identifiers of many words in mixed case; running text lies higher)
+LETTER_EXCESS = {"hex": 0.8, "base32": 0.8, "alnum": 1.6, "base64": 1.8}
 # (name, its strings, alphabet in order); the first that fits is taken
 ENCODINGS = (
     ("hex", r"[0-9A-F]+", "0123456789ABCDEF"),
