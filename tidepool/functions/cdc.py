@@ -38,6 +38,8 @@ DEFAULT_MASK_BITS = 16
 
 INV_BASE = pow(BASE, MOD - 2, MOD)  # 838709685
 _MOD64 = np.uint64(MOD)
+# a scan for the next cut starts small (a cut right after min_size is common, e.g. zero runs)
+FIRST_STEP, MAX_STEP = 256, 1 << 13
 BLOCK = 1 << 16  # positions that are looked at together; their arrays fit the cache
 
 
@@ -112,20 +114,21 @@ def scan_cuts(
     least = max(1, min(min_size, switch))
     big = np.uint64((1 << mask_bits) - 1)
     small = big >> np.uint64(1)
-    # scans start small (a cut right after min_size is common, e.g. zero runs) and double
-    first_step = max(256, 1 << max(mask_bits - 6, 0))
     pw, inv = power_tables(BLOCK)
-    scratch, quotient = np.empty(BLOCK, np.uint64), np.empty(BLOCK, np.uint64)
-    ends: list[int] = []
     n, s = len(buf), -open_len
+    # written in place throughout: fresh arrays would cost more than the arithmetic
+    sums, scratch, quotient = np.empty((3, min(n, BLOCK)), np.uint64)
+    ends: list[int] = []
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
         # b * 31^-j < 2^38: 2^16 terms and the carried hash stay far below 2^64
-        g = np.cumsum(buf[lo:hi] * inv[: hi - lo], dtype=np.uint64)
+        g, v = sums[: hi - lo], scratch[: hi - lo]
+        np.multiply(buf[lo:hi], inv[: hi - lo], out=v)
+        np.cumsum(v, out=g)
         add = BASE * h % MOD
         while s < hi:
             hard = s + max_size
-            stop, a, step, cut = min(hi, hard), max(lo, s + least - 1), first_step, None
+            stop, a, step, cut = min(hi, hard), max(lo, s + least - 1), FIRST_STEP, None
             sw = s + switch - 1  # first position judged with the big mask
             while a < stop:
                 e = min(a + step, stop)
@@ -141,7 +144,7 @@ def scan_cuts(
                 if v[j] == 0:
                     cut = a + j
                     break
-                a, step = e, step * 2
+                a, step = e, min(step * 4, MAX_STEP)
             if cut is None:
                 if hard > hi:
                     break  # open beyond this block
@@ -175,10 +178,12 @@ def window_fingerprints(buf: np.ndarray, window: int) -> np.ndarray:
     out = np.empty(max(0, n - window + 1), dtype=np.uint64)
     block = max(BLOCK, 2 * window)
     pw, inv = power_tables(block)
-    quotient = np.empty(block, np.uint64)
+    sums, quotient = np.empty((2, min(n, block)), np.uint64)
     for t in range(0, len(out), block - window + 1):
         end = min(n, t + block)
-        g = np.cumsum(buf[t:end] * inv[: end - t], dtype=np.uint64)
+        g, v = sums[: end - t], quotient[: end - t]
+        np.multiply(buf[t:end], inv[: end - t], out=v)
+        np.cumsum(v, out=g)
         fp = out[t : end - window + 1]
         fp[:] = g[window - 1 :]
         fp[1:] -= g[: end - t - window]

@@ -39,26 +39,20 @@ KINDS = [
 
 REVIEW = """## Review at 100 TB scale
 
-* No `SortAggregate` or object aggregate remains: every grouped aggregate
-  has primitive buffers (hash aggregate with a partial step before its
-  shuffle), and no query concatenates a group's bytes.  Upserts and first
-  writers show `WindowGroupLimit` twice: the partial top-1 before the
-  shuffle and the final one after it.
+* Grouped aggregates have primitive buffers (hash aggregate with a partial
+  step before the shuffle); only the change feed's fold keeps a struct per
+  path and sorts.  Upserts and first writers show `WindowGroupLimit` twice:
+  the partial top-1 before the shuffle and the final one after it.
 * Broadcasts below are AQE decisions from runtime sizes (the 10 MB
-  auto-broadcast check); no operator forces `broadcast()`, so a side that
-  grows with the data falls back to a shuffled join.  At these sizes the
-  small sides (server hash sets, per-file maxima, sync state) broadcast.
-* Chunking (`Python` = `MapInArrow`) is preceded by one hash shuffle only
-  because each driver table is a single parquet row group; on a cluster
-  input with more splits than cores skips it (`session.spread`).
-* `bandwidth_reduction` chunks the old version once: the aggregate by
-  `(file, hash)` feeds both the server set and the per-file totals and its
-  exchange is reused (`reused` = 1; the reused stage still prints its
-  Python node, hence three `Python` nodes for two versions).
+  auto-broadcast check); no operator forces one, so a side that grows with
+  the data falls back to a shuffled join.
+* Chunking, statistics and fingerprints read their files where the scan puts
+  them: no shuffle before the Python stage, at any number of splits or cores.
+* `delta_summary` and `bandwidth_reduction` union both versions with a tag:
+  one aggregate by `(file, hash)`, one by file, no join.
 * W1/S3 (`chunk_offsets`, `file_chunks`) run the two-level prefix: block
   totals, a window over blocks, a window inside blocks.
-* Filters on columns of the driver tables reach the scan (`modified_since`:
-  `doc_id > 500`); projections prune to the columns used (ReadSchema).
+* Filters on plain columns of the driver tables reach the scan; projections prune to the columns used (ReadSchema).
 * Streaming queries run to completion inside the call; the returned plan
   reads their output tables, so it shows only the read-back.
 """
