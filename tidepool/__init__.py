@@ -3,10 +3,7 @@ admission) as Spark DataFrame and Structured Streaming jobs."""
 
 import sys
 
-try:  # ship our task-side helpers inside the pickled functions, so workers
-    # need no installed copy of this package (no --py-files step required)
-    from pyspark import cloudpickle as _cp
+from pyspark import cloudpickle as _cp
 
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older pyspark: fall back to --py-files
-    pass
+# functions run in the workers travel by value: no installed copy of this package is needed there
+_cp.register_pickle_by_value(sys.modules[__name__])
