@@ -132,6 +132,12 @@ def test_switch_parameter_variant():
     assert cdc.cut_ends(buf, switch=65536) == cuts_by_definition(buf.tobytes(), switch=65536)
 
 
+def test_switch_point_below_the_minimum_cuts_short_files():
+    params = dict(min_size=8, avg_size=1, max_size=79, mask_bits=1)
+    for data in (b"\xd9\x10A\xa8\x9c", b"abcdefg", b"A" * 8):
+        assert cdc.cut_ends(np.frombuffer(data, np.uint8), **params) == cuts_by_definition(data, **params)
+
+
 def test_max_size_beyond_any_block():
     # no upper limit on max_size: hash state is carried from block to block
     buf = np.random.default_rng(9).integers(0, 256, 400_000, dtype=np.uint8)

@@ -160,7 +160,7 @@ def cut_ends(buf: np.ndarray, min_size: int = DEFAULT_MIN, avg_size: int = DEFAU
              mask_bits: int = DEFAULT_MASK_BITS, switch: int | None = None) -> list[int]:
     """Exclusive end offsets of the chunks of a whole file (uint8 array)."""
     n = len(buf)
-    least = min_size if switch is None else min(min_size, switch)
+    least = min(min_size, switch_point(min_size, avg_size) if switch is None else switch)
     if n <= min(least, max_size):  # no byte but the last can end a chunk
         return [n] if n else []
     ends, _, open_len = scan_cuts(buf, min_size, avg_size, max_size, mask_bits, switch)
