@@ -9,9 +9,10 @@ from tidepool.llm.op04_suffix_dedup import op4_suffix_dedup
 from tidepool.llm.op05_decontaminate import op5_decontaminate
 from tidepool.llm.op06_minhash import op6_minhash_near_dedup
 from tidepool.llm.op07_quality import op7_quality_rules
-from tidepool.llm.op08_warc import OP8_SQL, op8_warc
+from tidepool.llm.op08_warc import op8_warc
 from tidepool.llm.op09_token_files import op9_token_files
 from tidepool.llm.op10_mixing import op10_entropy_mix
+from tidepool.llm.oracle import ORACLE
 
 QUERIES = {
     "op1_html_text": op1_html_text,
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_entropy_mix": op10_entropy_mix,
 }
 
-ORACLE: dict[str, str] = {"op8_warc": OP8_SQL}
+__all__ = ["ORACLE", "QUERIES"]
