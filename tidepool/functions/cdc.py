@@ -39,17 +39,18 @@ DEFAULT_MASK_BITS = 16
 INV_BASE = pow(BASE, MOD - 2, MOD)  # 838709685
 _MOD64 = np.uint64(MOD)
 # a scan for the next cut starts small (a cut right after min_size is common, e.g. zero runs)
-FIRST_STEP, MAX_STEP = 256, 1 << 13
+FIRST_STEP, MAX_STEP = 512, 1 << 13
 BLOCK = 1 << 16  # positions that are looked at together; their arrays fit the cache
 
 
 class _PowerCache:
-    """Per-process cache of 31^k and 31^-k mod p; pickles as empty, so task
+    """Per-process cache of 31^k and 31^-k mod p and of masks; pickles as empty, so task
     closures never carry a cache grown in the driver."""
 
     def __init__(self):
         self.pow = np.ones(1, dtype=np.uint64)
         self.inv = np.ones(1, dtype=np.uint64)
+        self.masks: dict[tuple[int, int], np.ndarray] = {}
 
     def __reduce__(self):
         return (_PowerCache, ())
@@ -82,6 +83,16 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _CACHE.pow, _CACHE.inv
 
 
+def _masks(switch: int, mask_bits: int) -> np.ndarray:
+    """Mask of each chunk size, from 1 up to the switch point and one scan beyond."""
+    key = (switch, mask_bits)
+    if key not in _CACHE.masks:
+        masks = np.full(switch + MAX_STEP, np.uint64((1 << mask_bits) - 1))
+        masks[: switch - 1] >>= np.uint64(1)
+        _CACHE.masks[key] = masks
+    return _CACHE.masks[key]
+
+
 def switch_point(min_size: int, avg_size: int) -> int:
     return min_size + (avg_size - min_size) // 2
 
@@ -113,7 +124,7 @@ def scan_cuts(
     # smallest chunk a hash can cut: min_size, or the switch point if it is lower
     least = max(1, min(min_size, switch))
     big = np.uint64((1 << mask_bits) - 1)
-    small = big >> np.uint64(1)
+    masks = _masks(switch, mask_bits)
     pw, inv = power_tables(BLOCK)
     n, s = len(buf), -open_len
     # written in place throughout: fresh arrays would cost more than the arithmetic
@@ -129,17 +140,15 @@ def scan_cuts(
         while s < hi:
             hard = s + max_size
             stop, a, step, cut = min(hi, hard), max(lo, s + least - 1), FIRST_STEP, None
-            sw = s + switch - 1  # first position judged with the big mask
+            shift = np.uint64(add)
             while a < stop:
                 e = min(a + step, stop)
                 v, q = scratch[: e - a], quotient[: e - a]
-                np.add(g[a - lo : e - lo], np.uint64(add), out=v)
+                np.add(g[a - lo : e - lo], shift, out=v)
                 reduce_mod(v, q)
                 np.multiply(v, pw[a - lo : e - lo], out=v)
                 reduce_mod(v, q)
-                k = min(max(sw - a, 0), e - a)
-                np.bitwise_and(v[:k], small, out=v[:k])
-                np.bitwise_and(v[k:], big, out=v[k:])
+                np.bitwise_and(v, masks[a - s : e - s] if a - s < switch else big, out=v)
                 j = int(v.argmin())  # the first zero, if any
                 if v[j] == 0:
                     cut = a + j
