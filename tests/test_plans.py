@@ -51,6 +51,14 @@ def test_exchanges(spark, name, most):
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= most
 
 
+@pytest.mark.parametrize("name", ["chunk_offsets", "file_chunks"])
+def test_blocked_prefix_runs_its_input_once(spark, name):
+    df = Q[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Scan parquet") == 1
+
+
 def test_change_feed_is_scanned_once(spark):
     assert _plan(spark, "apply_changes").count("FileScan") == 1
 

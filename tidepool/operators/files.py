@@ -54,9 +54,12 @@ def _blocked_prefix(manifest: DataFrame, keys: list[str], value, out: str, block
     inside each (file, block).  A file holding a third of all chunks is
     split into many small window partitions instead of one huge one."""
     b = F.floor(F.col("chunk_index") / F.lit(block)).cast("long")
-    rows = manifest.withColumn("__b", b).withColumn("__v", value).repartition(*keys, "__b")
-    # totals, rows and the inner window all read this one exchange by (file, block)
-    per_block = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__bt"))
+    # rows without a file or an index have no place; the join would infer this for one of its sides only
+    rows = manifest.withColumn("__b", b).withColumn("__v", value).dropna(subset=[*keys, "__b"]).repartition(*keys, "__b")
+    # totals and rows read this one exchange by (file, block): the checksum refers to every column, else the
+    # totals would ask for a narrower exchange of their own and everything below would run twice
+    per_block = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__bt"), F.bit_xor(F.xxhash64(*rows.columns)).alias("__sum"))
+    per_block = per_block.where(F.col("__sum").isNotNull())
     over_blocks = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(*keys, "__b", F.coalesce(F.sum("__bt").over(over_blocks), F.lit(0)).alias("__base"))
     inside = Window.partitionBy(*keys, "__b").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
