@@ -8,6 +8,9 @@ one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +58,8 @@ def _blocked_prefix(manifest: DataFrame, keys: list[str], value, out: str, block
     split into many small window partitions instead of one huge one."""
     b = F.floor(F.col("chunk_index") / F.lit(block)).cast("long")
     # rows without a file or an index have no place; the join would infer this for one of its sides only
-    rows = manifest.withColumn("__b", b).withColumn("__v", value).dropna(subset=[*keys, "__b"]).repartition(*keys, "__b")
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "__b")])
+    rows = manifest.withColumn("__b", b).withColumn("__v", value).where(placed).repartition(*keys, "__b")
     # totals and rows read this one exchange by (file, block): the checksum refers to every column, else the
     # totals would ask for a narrower exchange of their own and everything below would run twice
     per_block = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__bt"), F.bit_xor(F.xxhash64(*rows.columns)).alias("__sum"))
