@@ -44,7 +44,7 @@ DEPTH = 100
 GRAM = 32
 _SPAN = DEPTH - GRAM + 1  # grams in a window
 PIECE = 1 << 21  # bytes whose suffixes are looked at together
-HOT = 4096
+HOT = 1024  # kinds of runs at an anchor that one task compares
 BLOCK = 16
 TASK_SUFFIXES = 1 << 20
 _LAST = np.iinfo(np.int64).max
