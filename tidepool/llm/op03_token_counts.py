@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidepool.llm.common import shared_dir, table, text_of
+from tidepool.llm.common import shared_dir, stored, table, text_of
 from tidepool.llm.tokens import file_digest, pieces
 
 LIMIT = 1024
+ROWS = 256
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -48,8 +49,10 @@ def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            counts = [p.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            for a in range(0, batch.num_rows, ROWS):  # texts of a few rows at a time
+                part = batch.slice(a, ROWS)
+                counts = [p.count(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return count
 
@@ -68,7 +71,10 @@ def counted(docs: DataFrame, tokenizer_file: str, cache: str, id_col: str = "doc
     # copies under one id are still there; they meet as digests only
     new = todo.mapInArrow(_counter(tokenizer_file), "digest binary, n_tokens long").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return names.join(_cache(spark, cache, version), "digest", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens")
+    # written out, so that the join meets a plain exchange: copies of one text are many rows of one digest,
+    # which Spark deals out to several tasks only then
+    counts = stored(_cache(spark, cache, version), "counts")
+    return names.join(counts, "digest", "left").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
