@@ -66,7 +66,7 @@ def final_plan(df) -> str:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session(8)
+    spark = local_session(8, shuffle_partitions=8)
     print("# Physical plans of the registered queries\n")
     print(f"Final adaptive plans at `{sf}` on local[8] (`tools/plan_report.py`). "
           "Counts are plan nodes; 'pushed' lists filters pushed into parquet scans.\n")
