@@ -18,13 +18,19 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
+from types import ModuleType
 
 import numpy as np
 
-MEMO_ENTRIES = 600_000  # pieces a worker remembers; beyond, it starts over
+MEMO_ENTRIES = 300_000  # pieces in a generation of a worker's memo; two generations are held
 
 _LETTERS = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if chr(c).isalpha())
 _ALPHA = re.compile(f"[{_LETTERS}]+").fullmatch
+# ASCII punctuation (no apostrophe) after a Latin letter or digit, up to the end of a word: a run of its own
+_PUNCTUATION = r"[!-&(-/:-@\[-`{-~]"
+_TAIL = re.compile(rf"{_PUNCTUATION}(?<=[0-9a-zß-öø-ÿ].){_PUNCTUATION}*+(?=[ \n]|\Z)")
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -38,7 +44,11 @@ def file_digest(path: str) -> str:
 
 
 class Pieces(dict):
-    """piece -> ids as bytes (little-endian), filled by the library on first use."""
+    """piece -> ids as bytes (little-endian), filled by the library on first use.
+
+    When a generation is full, the one before it goes; pieces still in use come over
+    to the new one, so frequent words stay and memory is bounded.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,28 +59,43 @@ class Pieces(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
+        self.older: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kind = _cut_rule(spec)
         if self.kind:
             pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self._mapped = {ord(c): pre(c.lower() if self.kind == "words" else c)[0][0] for c in _LETTERS}
+            self._tokenize = self.tokenizer.model.tokenize
             self._space = pre(" a")[0][0][:-1] if self.kind == "spaced" else ""
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _model(self, mapped: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.dtype).tobytes()
+        return self._packed([t.id for t in self._tokenize(mapped)])
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
             self.clear()
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         if self.kind == "words":
             if not piece:
                 ids = b""
             elif _ALPHA(piece):
                 lower = piece.lower()
-                ids = self._model(piece.translate(self._mapped)) if lower == piece else self[lower]
+                # lower-case ASCII letters are their own byte symbols
+                ids = self._model(piece if piece.isascii() else piece.translate(self._mapped)) if lower == piece else self[lower]
             elif len(piece) > 1 and piece[-1] in ",." and _ALPHA(piece[-2]):
                 ids = self[piece[:-1]] + self[piece[-1]]
             else:
@@ -87,6 +112,9 @@ class Pieces(dict):
     def cut(self, text: str) -> list[str]:
         """Pieces of ``text`` whose ids make up its ids."""
         if self.kind == "words":
+            # Latin text in lower case has far fewer different pieces; special tokens and other scripts stay as they are
+            if _is_latin(text) and "<|" not in text:
+                text = _TAIL.sub(r" \g<0>", text.lower())
             return text.replace("\n", " ").split(" ")
         if self.kind == "spaced":
             if _SPACES.search(text):
@@ -104,6 +132,14 @@ class Pieces(dict):
         return len(self.ids(text)) // self.dtype.itemsize
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _cut_rule(spec: dict) -> str | None:
     """Where the pre-tokenizer always cuts: "words", "spaced" or None (unknown)."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -121,12 +157,13 @@ def _cut_rule(spec: dict) -> str | None:
     return None
 
 
-_open: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """The worker's memo for a tokenizer file; kept from task to task."""
-    if path not in _open:
-        _open.clear()
-        _open[path] = Pieces(path)
-    return _open[path]
+    """The worker's memo for a tokenizer file, kept from task to task.
+
+    Functions of this package travel to the workers by value, each task with globals
+    of its own; the memo therefore hangs on the process.
+    """
+    held = sys.modules.setdefault("_tidepool_memo", ModuleType("_tidepool_memo"))
+    if getattr(held, "path", None) != path:
+        held.path, held.memo = path, Pieces(path)
+    return held.memo
