@@ -114,11 +114,14 @@ def test_lines_are_judged_before_documents(spark):
         (3, "\n".join(["Home", "Menu", "Login", "We use cookies to make this better for you and us."] * 3) + "\nreal words here"),
         (4, prose + "\n----------\n" + other + "\nAll rights reserved."),
         (5, " ".join("word%d###$$$" % i for i in range(40))),
+        (6, " | ".join("entry%d" % i for i in range(100))),
+        (7, prose + " One | two. " + other),
     ]
     got = {r["doc_id"]: r["quality"] for r in op07_quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["kept"] and got[1]["cleaned"] == rows[0][1] and got[1]["n_bad_lines"] == 0
     assert got[2]["kept"] and not got[2]["cleaned"].startswith("Home")
-    assert not got[3]["kept"] and not got[5]["kept"]
+    assert not got[3]["kept"] and not got[5]["kept"] and not got[6]["kept"]
+    assert got[7]["kept"] and got[7]["n_bad_lines"] == 0
     assert got[4]["kept"] and got[4]["n_bad_lines"] == 2 and "reserved" not in got[4]["cleaned"]
 
 

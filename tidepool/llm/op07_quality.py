@@ -5,8 +5,8 @@ out, and a document that loses too much of its text is rejected:
 
 * punctuation - the line has no letter or digit, or too many symbols
    (``#*$%&|<>``);
-* navigation  - a short line of menu entries between separators, or a few
-  words of which most are menu words;
+* navigation  - four or more short entries between separators, or a few
+  menu words and nothing else;
 * boilerplate - a line with a stock phrase (cookies, copyright, scripts to be
   enabled, placeholder text), or a line of some length seen before in the
   document.
@@ -22,6 +22,9 @@ row's work is O(n log n) in its words.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,14 @@ MAX_SYMBOL_SHARE = 0.15
 # repeated lines fail from this many characters on (shorter ones occur in verse, tables, dialogue)
 MIN_REPEAT_CHARS = 20
 # longer lines are prose, whatever they mention
-MENU_CHARS, NAVIGATION_CHARS, BOILERPLATE_CHARS = 60, 200, 400
+MENU_CHARS, BOILERPLATE_CHARS = 60, 400
+# a menu: this many entries, of at most so many characters on average
+MIN_ENTRIES, ENTRY_CHARS = 4, 30
 
 SYMBOLS_RE = r"[#*$%&|<>]+"
 HAS_WORD_RE = r"[^\x20\x09-\x0D]"
 HAS_LETTER_RE = r"[\p{L}\p{N}]"
+SEPARATORS = ("|", "»", "›", "•", "·", "→", "::", ">")
 SEPARATORS_RE = r"(?:\||»|›|•|·|→|::|>)"
 MENU_RE = (
     r"(?i)^\W*(?:(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|"
@@ -60,11 +66,12 @@ def n_symbols_of(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS_RE, ""))
 
 
+def has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in parts])
+
+
 def has_phrase(lower: Column) -> Column:
-    found = F.contains(lower, F.lit(BOILERPLATE[0]))
-    for phrase in BOILERPLATE[1:]:
-        found = found | F.contains(lower, F.lit(phrase))
-    return found
+    return has_any(lower, BOILERPLATE)
 
 
 def repeated_words(words: Column) -> Column:
@@ -110,12 +117,14 @@ def bad_line(line: Column, seen: Column, doc: Column) -> Column:
     """True if the line fails a rule.
 
     ``seen``: an equal line stands before it; ``doc``: whether the whole text has
-    symbols and stock phrases at all, so that most lines skip those searches.
+    symbols, separators and stock phrases at all, so that most lines skip those
+    searches.
     """
     chars = F.length(line)
     symbols = F.when(doc["symbols"], n_symbols_of(line)).otherwise(0)
     punctuation = (symbols > chars * MAX_SYMBOL_SHARE) | ~line.rlike(HAS_LETTER_RE)
-    navigation = ((chars <= MENU_CHARS) & line.rlike(MENU_RE)) | ((chars <= NAVIGATION_CHARS) & (F.size(F.split(line, SEPARATORS_RE)) > 3))
+    entries = let(F.size(F.split(line, SEPARATORS_RE)), lambda n: (n >= MIN_ENTRIES) & (chars <= n * ENTRY_CHARS))
+    navigation = ((chars <= MENU_CHARS) & line.rlike(MENU_RE)) | (doc["separators"] & entries)
     boilerplate = (doc["phrase"] & (chars <= BOILERPLATE_CHARS) & has_phrase(F.lower(line))) | (seen & (chars >= MIN_REPEAT_CHARS))
     return line.rlike(HAS_WORD_RE) & (punctuation | navigation | boilerplate)
 
@@ -167,16 +176,19 @@ def judged(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Dat
 
     def judge(text: Column) -> Column:
         return let(
-            F.struct(n_symbols_of(text).cast("long").alias("n_symbols"), has_phrase(F.lower(text)).alias("phrase")),
+            F.struct(
+                n_symbols_of(text).cast("long").alias("n_symbols"), has_phrase(F.lower(text)).alias("phrase"), has_any(text, SEPARATORS).alias("separators")
+            ),
             lambda d: F.struct(
                 judge_words(words_of(text)).alias("words"),
                 d["n_symbols"].alias("n_symbols"),
-                let(F.struct((d["n_symbols"] > 0).alias("symbols"), d["phrase"].alias("phrase")), lambda doc: let(F.split(text, "\n"), lambda x: judge_lines(x, doc))).alias("lines"),
+                let(F.struct((d["n_symbols"] > 0).alias("symbols"), d["phrase"].alias("phrase"), d["separators"].alias("separators")), lambda doc: let(F.split(text, "\n"), lambda x: judge_lines(x, doc))).alias("lines"),
                 F.length(text).cast("long").alias("chars"),
             ),
         )
 
-    base = docs.withColumn(out, let(text, judge))
+    # a generator of one row: no filter on the verdict is pushed below it, where all of this would run once more
+    base = docs.select(*[c for c in docs.columns if c != out], F.explode(F.array(let(text, judge))).alias(out))
     q = F.col(out)
     words, lines = q["words"], q["lines"]
     failed = (words["n_words"] < MIN_WORDS) | (words["n_repeat_words"] * 100 > words["n_words"] * MAX_REPEAT_PCT)

@@ -88,7 +88,8 @@ judged as (
     regexp_matches(l, '[^\\x20\\x09-\\x0D]') and (
       (n - length(regexp_replace(l, '{_SYMBOLS}', '', 'g')) > n * {op7.MAX_SYMBOL_SHARE}) or not regexp_matches(l, '[\\p{{L}}\\p{{N}}]')
       or (n <= {op7.MENU_CHARS} and regexp_matches(l, {_q(op7.MENU_RE)}))
-      or (n <= {op7.NAVIGATION_CHARS} and len(regexp_split_to_array(l, {_q(op7.SEPARATORS_RE)})) > 3)
+      or (len(regexp_split_to_array(l, {_q(op7.SEPARATORS_RE)})) >= {op7.MIN_ENTRIES}
+          and n <= {op7.ENTRY_CHARS} * len(regexp_split_to_array(l, {_q(op7.SEPARATORS_RE)})))
       or (n <= {op7.BOILERPLATE_CHARS} and ({_PHRASES})) or (seen and n >= {op7.MIN_REPEAT_CHARS})) as bad
   from lines),
 per_doc as (
