@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidepool.llm.common import shared_dir, stored, table, text_of
+from tidepool.llm.common import shared_dir, slices, stored, table, text_of
 from tidepool.llm.tokens import file_digest, pieces
 
 LIMIT = 1024
@@ -48,11 +48,9 @@ def _cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):  # texts of a few rows at a time
-                part = batch.slice(a, ROWS)
-                counts = [p.count(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        for batch in slices(batches, ROWS):
+            counts = [p.count(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return count
 

@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import table, text_of
+from tidepool.llm.common import slices, table, text_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
+TEXTS = 2048  # texts that are searched together
 CHUNK_BYTES = 32 << 20  # benchmark text that one pass holds in memory
 
 # word bytes: digits, letters, all non-ASCII; A-Z in lower case, the rest is white space
@@ -287,7 +288,7 @@ def _pass(sent, text_col: str, out: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Patterns.__new__(Patterns)
         vars(p).update(sent.value)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             names = batch.schema.names
             earlier = batch.column(names.index(out)).to_pylist() if out in names else None
             hits = batch_hits(batch.column(names.index(text_col)).to_pylist(), earlier, p)

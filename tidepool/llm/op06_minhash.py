@@ -38,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import stored, table, text_of
+from tidepool.llm.common import slices, stored, table, text_of
 from tidepool.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 6, 32
 SLOTS = ROWS * BANDS
+TEXTS = 512  # texts whose words are held at once
 CELL_SHINGLES = 2_000_000  # shingles that one task compares at once
 _ELEMENTS = 1 << 15  # elements whose permutations are held at once
 
@@ -138,7 +139,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, TEXTS):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         place = {t: k for k, t in enumerate(dict.fromkeys(texts))}  # equal texts of a batch are computed once
         sets = shingle_sets(list(place))
@@ -153,7 +154,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, TEXTS):
         sets = shingle_sets(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("cell"), batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cell", "id", "set"]

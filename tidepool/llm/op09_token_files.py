@@ -39,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import shared_dir, table, text_of
+from tidepool.llm.common import shared_dir, slices, table, text_of
 from tidepool.llm.tokens import pieces
 
 END_ID = 1
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 19
 MAX_LANES = 2048
+ROWS = 256
 STEPS = 256  # fewer lanes rather than fewer steps in a small block
 LOW = 31  # states lie in [2^LOW, 2^(LOW + 32))
 MAGIC = b"TPA1"
@@ -160,7 +161,7 @@ def _tokenized(tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(tokenizer_file)
         end = np.array([end_id], p.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = pa.array([p.ids(t) + end for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
