@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import shared_dir, slices, table, text_of
 from tidepool.llm.tokens import pieces
+from tidepool.operators.chunking import _binary_parts
 
 END_ID = 1
 SCALE_BITS = 20
@@ -172,7 +173,11 @@ def _counts(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=len(total))
+            if not batch.num_rows:
+                continue
+            # the values lie one after the other: counted where they are
+            ends, data, _ = _binary_parts(batch.column("ids"))
+            found = np.bincount(data[int(ends[0]) : int(ends[-1])].view(dtype), minlength=len(total))
             found[: len(total)] += total
             total = found
         used = np.flatnonzero(total)
