@@ -29,7 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     groups = stored(op06_minhash.grouped(docs).select("doc_id", "kept"), "groups")
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    # as many ids as documents: not to be sent to every task, whatever a small run's estimate says
+    kept = groups.filter("kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeated = groups.groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
