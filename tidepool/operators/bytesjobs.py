@@ -12,6 +12,9 @@ from tidepool.functions import cdc
 from tidepool.operators.chunking import _binary_parts
 
 
+ROWS_OUT = 1 << 22  # fingerprints that a task holds and combines before it passes them on
+
+
 def window_fingerprints(docs: DataFrame, keys: list[str], content: str = "content", window: int = 48) -> DataFrame:
     """``(keys..., pos, fp)`` for every position with a full window of ``window``
     bytes; ``pos`` is the window's end byte."""
@@ -45,34 +48,40 @@ def shared_passages(docs: DataFrame, content: str = "content", window: int = 48)
     """Roll-up of C3: every fingerprint seen in more than one document (row), with
     its documents and occurrences.
 
-    A document is whole in its row, so occurrences are counted in the task, first
-    per document and then per batch; one row per fingerprint and batch is shuffled.
+    A document is whole in its row, so occurrences are counted in the task, first per
+    document and then over some thousands of documents, which takes common passages
+    together before the shuffle; most fingerprints are unique, so a second partial
+    aggregate would only cost.
     """
     src = docs.select(F.col(content).alias("__content"))
 
+    def combined(fps: list, counts: list) -> pa.RecordBatch:
+        fp, n = np.concatenate(fps), np.concatenate(counts)
+        order = np.argsort(fp, kind="stable")
+        fp, n = fp[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+        columns = [fp[first].view(np.int64), np.diff(np.append(first, len(fp))).astype(np.int64), np.add.reduceat(n, first).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "n_docs", "n_occurrences"])
+
     def run(batches):
+        fps, counts, held = [], [], 0
         for rb in batches:
             offsets, data, nulls = _binary_parts(rb.column(0))
             nulls = nulls.to_numpy(zero_copy_only=False)
-            per_doc = [
-                np.unique(cdc.window_fingerprints(data[int(offsets[r]) : int(offsets[r + 1])], window), return_counts=True)
-                for r in range(rb.num_rows) if not nulls[r]
-            ]
-            if not per_doc:
-                continue
-            fps = np.concatenate([f for f, _ in per_doc])
-            counts = np.concatenate([c for _, c in per_doc])
-            order = np.argsort(fps, kind="stable")
-            fps, counts = fps[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, np.int64)
-            n_docs = np.diff(np.append(first, len(fps)))
-            occurrences = np.add.reduceat(counts, first) if len(fps) else counts
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fps[first].view(np.int64)), pa.array(n_docs.astype(np.int64)), pa.array(occurrences.astype(np.int64))],
-                names=["fp", "n_docs", "n_occurrences"],
-            )
+            for r in range(rb.num_rows):
+                if nulls[r]:
+                    continue
+                fp, n = np.unique(cdc.window_fingerprints(data[int(offsets[r]) : int(offsets[r + 1])], window), return_counts=True)
+                fps.append(fp)
+                counts.append(n)
+                held += len(fp)
+                if held >= ROWS_OUT:
+                    yield combined(fps, counts)
+                    fps, counts, held = [], [], 0
+        if held:
+            yield combined(fps, counts)
 
-    counted = src.mapInArrow(run, "fp long, n_docs long, n_occurrences long")
+    counted = src.mapInArrow(run, "fp long, n_docs long, n_occurrences long").repartition("fp")
     return counted.groupBy("fp").agg(
         F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_occurrences").cast("long").alias("n_occurrences")
     ).where(F.col("n_docs") > 1)
