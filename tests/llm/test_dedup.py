@@ -62,6 +62,34 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     assert cut(spark.createDataFrame([], DOCS)) == {}
 
 
+def test_different_windows_at_the_edges_of_a_common_passage_do_not_meet():
+    import collections
+
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [some(150) + LINE + some(150) for _ in range(100)]
+    doc, lo, hi, off, key, _ = op04_suffix_dedup.runs_of([t.encode() for t in texts])
+    edges = [[] for _ in texts]
+    for d, a, b, o, k in zip(doc.tolist(), lo.tolist(), hi.tolist(), off.tolist(), key.tolist()):
+        edges[d].append({"key": k, "lo": a, "n": b - a, "off": o, "level": 2})
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 50)), "ord": [0] * 50, "text": texts[a : a + 50], "edges": edges[a : a + 50]}) for a in (0, 50)]
+    rows = pa.Table.from_batches(list(op04_suffix_dedup._contexts(iter(batches))))
+    # one row of a window and batch at most, whatever the number of documents with the passage
+    assert max(collections.Counter(rows["g"].to_pylist()).values()) <= 2
+    order = [(x, "ascending") for x in rows.column_names[:6]]
+    spans = pa.Table.from_batches(list(op04_suffix_dedup._sorted(iter(rows.sort_by(order).to_batches(max_chunksize=7)))))
+    cut = {(i, s) for i, a, n in zip(*(spans[x].to_pylist() for x in ("id", "lo", "n"))) for s in range(a, a + n + 1)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                want.add((i, s))
+            seen.add(t[s : s + 100])
+    assert cut == want and len(want) >= 99 * (len(LINE) - 99)
+
+
 def test_repeats_query(spark):
     rows = op04_suffix_dedup.op4_suffix_dedup(spark, SF).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == removed(documents())

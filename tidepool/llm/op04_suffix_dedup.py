@@ -19,8 +19,9 @@ suffixes: anchor, digest of the run's bytes, document, first and last start.
 Further digits (one shuffle of the edges' bytes).  A task sorts the suffixes of its
 anchors by 8-byte digits, pass by pass, splitting groups and dropping single ones,
 until depth 100.  In each remaining group all but the earliest start are removed.
-Anchors with more than ``HOT`` kinds are dealt out further by the bytes that blocks
-of 16 neighbouring starts have in common, so that no anchor has to fit a task.
+Anchors with more than ``HOT`` kinds are dealt out start by start, by 128 bits of hash
+of all 100 bytes: only equal windows meet.  Batches settle them among their own starts
+first, and a task holds the earliest start of one window, however many share it.
 
 Cases: null and empty texts, and texts under 100 bytes, keep all bytes; null ids come
 after all others; rows that share an id are documents of their own, ordered by a hash
@@ -45,7 +46,6 @@ GRAM = 32
 _SPAN = DEPTH - GRAM + 1  # grams in a window
 PIECE = 1 << 21  # bytes whose suffixes are looked at together
 HOT = 1024  # kinds of runs at an anchor that one task compares
-BLOCK = 16
 TASK_SUFFIXES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -219,9 +219,9 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(list(zip(*found, strict=True)))
 
 
-RUN = "key long, ctx long, id long, ord int, lo int, n int, off int, done boolean"
 EDGE = "key long, id long, ord int, lo int, n int, off int, level byte"
-CONTEXT = "g long, id long, ord int, lo int, n int, off int, bytes binary"
+CONTEXT = "what byte, g long, ctx long, id long, ord int, lo int, n int, off int, bytes binary"
+REPEAT, EDGE_BYTES, START = range(3)  # what a row of CONTEXT is: a settled span, an edge, a start at a hot anchor
 SPAN = "id long, ord int, lo int, n int"
 
 
@@ -229,36 +229,56 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def _ranges(places: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(id, ord, lo, n) of the stretches of neighbouring starts among rows of (id, ord, start)."""
+    if not len(places):
+        return []
+    places = np.unique(places, axis=0)
+    begins = np.concatenate([[True], (places[1:, :2] != places[:-1, :2]).any(axis=1) | (places[1:, 2] != places[:-1, 2] + 1)])
+    ends = np.concatenate([begins[1:], [True]])
+    return [(a, b, c, int(z - c)) for (a, b, c), z in zip(places[begins].tolist(), places[ends, 2].tolist(), strict=True)]
+
+
+def _starts(edges: list[tuple[int, int, int, int]], hashes: bytes) -> tuple[list[np.ndarray], list[tuple[int, int, int, int]]]:
+    """Earliest start of each window of a batch's hot edges as (g, ctx, id, ord, lo), and the spans of the others."""
+    i, o, lo, n = np.array(edges, np.int64).T
+    row = np.repeat(np.arange(len(n)), n + 1)
+    start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    g, ctx = np.frombuffer(hashes, np.int64).reshape(-1, 2).T
+    order = np.lexsort((start, o[row], i[row], ctx, g))
+    columns = [x[order] for x in (g, ctx, i[row], o[row], start)]
+    same = [np.concatenate([[False], x[1:] == x[:-1]]) for x in columns]
+    like = same[0] & same[1]
+    later = like & ~(same[2] & same[3] & same[4])
+    return [x[~like] for x in columns], _ranges(np.stack([x[later] for x in columns[2:]], axis=1))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the edges of each document; blocks of hot anchors, of which a batch sends the earliest of each kind."""
-    digest = xxhash.xxh3_64_intdigest
+    """Bytes of the edges of each document; starts at hot anchors, of which a batch sends the earliest of each window."""
+    digest = xxhash.xxh3_128_digest
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         out: list[tuple] = []
-        blocks: dict[tuple, tuple] = {}
+        hot: list[tuple[int, int, int, int]] = []
+        hashes: list[bytes] = []
         for i, o, text, edges in zip(*(batch.column(x).to_pylist() for x in ("id", "ord", "text", "edges")), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for e in edges:
                 lo, n, off = e["lo"], e["n"], e["off"]
                 if e["level"] == 1:
-                    out.append((e["key"], i, o, lo, n, off, data[lo : lo + n + DEPTH]))
-                    continue
-                p = lo + off  # the anchor; starts p - 16 b - 15 .. p - 16 b make block b
-                for b in range((off - n) // BLOCK, off // BLOCK + 1):
-                    s1, s2 = max(lo, p - BLOCK * b - BLOCK + 1), min(lo + n, p - BLOCK * b)
-                    core = data[p - BLOCK * b : p - BLOCK * b + DEPTH - BLOCK + 1]
-                    g = digest(core, seed=(e["key"] ^ b) & (1 << 64) - 1) - (1 << 63)
-                    row = (g, i, o, s1, s2 - s1, p - s1, data[s1 : s2 + DEPTH])
-                    kind = (g, row[4], row[5], row[6])
-                    other = blocks.setdefault(kind, row)
-                    if other[1:4] != row[1:4]:
-                        early, late = sorted((other, row), key=lambda r: r[1:4])
-                        blocks[kind] = early
-                        out.append((digest(b"%d %d" % (late[1], late[3])) - (1 << 63), *late[1:6], None))
-        out += blocks.values()
-        if out:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            for a in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 20_000], strict=True), types, strict=True)], names=_names(CONTEXT))
+                    out.append((EDGE_BYTES, e["key"], 0, i, o, lo, n, off, data[lo : lo + n + DEPTH]))
+                else:
+                    hot.append((i, o, lo, n))
+                    hashes.append(b"".join([digest(data[s : s + DEPTH]) for s in range(lo, lo + n + 1)]))
+        if hot:
+            (g, ctx, i, o, lo), spans = _starts(hot, b"".join(hashes))
+            none = np.zeros(len(g), np.int32)
+            columns = (none + START, g, ctx, i, o, lo, none, none)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(columns, types)), pa.nulls(len(g), pa.binary())], names=_names(CONTEXT))
+            # a repeated start needs no partner any more: it is dealt out by its place
+            out += [(REPEAT, xxhash.xxh3_64_intdigest(b"%d %d" % (r[0], r[2])) - (1 << 63), 0, *r, 0, None) for r in spans]
+        for a in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 20_000], strict=True), types, strict=True)], names=_names(CONTEXT))
 
 
 def repeated_suffixes(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
@@ -298,18 +318,17 @@ def repeated_suffixes(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
     group, r, start = group[order], r[order], start[order]
     head = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
     later = (i[r] != i[r[head]]) | (o[r] != o[r[head]]) | (start != start[head])
-    places = np.unique(np.stack([i[r][later], o[r][later], start[later]], axis=1), axis=0)
-    if not len(places):
-        return []
-    begins = np.concatenate([[True], (places[1:, :2] != places[:-1, :2]).any(axis=1) | (places[1:, 2] != places[:-1, 2] + 1)])
-    ends = np.concatenate([begins[1:], [True]])
-    return [(a, b, c, int(z - c)) for (a, b, c), z in zip(places[begins].tolist(), places[ends, 2].tolist(), strict=True)]
+    return _ranges(np.stack([i[r][later], o[r][later], start[later]], axis=1))
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated suffixes; rows come sorted by g, and a task sorts whole groups together."""
+    """Spans of repeated suffixes; rows come sorted by (what, g, ctx, id, ord, lo).
+
+    A task sorts whole groups of edges together; of the starts of one window it holds the earliest.
+    """
     rows: list[tuple] = []
     suffixes = 0
+    head: list[int] | None = None  # (g, ctx, id, ord, lo) of the last window's earliest start
 
     def spans(found: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -317,17 +336,30 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[tuple] = []
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[6] is None:
-                out.append((r[1], r[2], r[3], r[4]))
+        what = batch.column("what").to_numpy()
+        edges = batch.filter(pa.array(what != START))
+        for kind, *r in zip(*(c.to_pylist() for c in edges.columns), strict=True):
+            g, _, i, o, lo, n, off, data = r
+            if kind == REPEAT:
+                out.append((i, o, lo, n))
                 continue
-            if suffixes >= TASK_SUFFIXES and r[0] != rows[-1][0]:
+            if suffixes >= TASK_SUFFIXES and g != rows[-1][0]:
                 out += repeated_suffixes(rows)
                 rows, suffixes = [], 0
-            rows.append(r)
-            suffixes += r[4] + 1
+            rows.append((g, i, o, lo, n, off, data))
+            suffixes += n + 1
         if out:
             yield spans(out)
+        if len(at := np.flatnonzero(what == START)):
+            columns = [batch.column(x).to_numpy()[at].astype(np.int64) for x in ("g", "ctx", "id", "ord", "lo")]
+            if head:
+                columns = [np.concatenate([[h], c]) for h, c in zip(head, columns, strict=True)]
+            new = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            head = [int(c[first[-1]]) for c in columns]
+            later = np.any([c != c[first] for c in columns[2:]], axis=0)
+            if later.any():
+                yield spans(_ranges(np.stack([c[later] for c in columns[2:]], axis=1)))
     if rows and (out := repeated_suffixes(rows)):
         yield spans(out)
 
@@ -374,7 +406,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = stored(runs.mapInArrow(_kinds, EDGE), "edges")
     todo = edges.filter("level > 0").groupBy("id", "ord").agg(F.collect_list(F.struct("key", "lo", "n", "off", "level")).alias("edges"))
     contexts = rows.join(todo, ["id", "ord"]).select("id", "ord", "text", "edges").mapInArrow(_contexts, CONTEXT)
-    sorted_spans = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted, SPAN)
+    sorted_spans = contexts.repartition("g").sortWithinPartitions("what", "g", "ctx", "id", "ord", "lo").mapInArrow(_sorted, SPAN)
     spans = edges.filter("level = 0").select("id", "ord", "lo", "n").unionByName(sorted_spans)
     per_doc = spans.groupBy("id", "ord").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     cut = rows.join(per_doc, ["id", "ord"], "left").select("id", "text", "spans").mapInArrow(
