@@ -81,6 +81,21 @@ def test_battery_finds_random_strings_and_leaves_names_alone(spark):
     assert by_kind[0] >= 140 and by_kind[1] >= 120 and by_kind[2] == 0 and by_kind[3] == 0
 
 
+def test_battery_finds_keys_in_one_case_and_uuids(spark):
+    rnd = random.Random(11)
+    some = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    digits, hexes, az = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    kinds = [
+        lambda: some(az + digits, 30), lambda: some((az + digits).upper(), 30), lambda: some(az + "234567", 40), lambda: some(hexes, 22),
+        lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: some(az + az.upper() + digits, 24),
+    ]
+    rows = [(1000 * k + i, f"key {f()} end") for k, f in enumerate(kinds) for i in range(150)]
+    rows += [(100_000 + i, f"how-to-use-secondhand-bicycles-{i} internationalizationhandbook{2000 + i}v2 CONFIGURATIONOVERVIEWPAGE{i}") for i in range(2000)]
+    found = [r["doc_id"] // 1000 for r in op02_secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s["kind"] == "random" for s in r["spans"])]
+    assert all(found.count(k) >= 50 for k in range(len(kinds))), [found.count(k) for k in range(len(kinds))]
+    assert max(found) < 100
+
+
 def test_secret_query_and_empty_table(spark):
     rows = op02_secrets.op2_secret_scan(spark, SF).collect()
     want = dict(documents())

@@ -2,17 +2,24 @@
 
 Base spans come from three patterns (assignments, access keys, hex digests).  The
 battery adds spans ``random``: runs of code characters are candidates; each gets the
-smallest encoding that holds it (hex in upper case, base32, letters and digits,
-base64) and four figures under that encoding's alphabet of k symbols:
+smallest encoding that holds it (digits, hex, base32, base36, letters and digits,
+base64; the first four in one case of either kind, hex also as a UUID) and three
+figures under that encoding's alphabet of k symbols:
 
 * ``x2``: chi-squared distance of its symbol counts from uniform counts.  A random
   string has mean k - 1; a word of a language, whose letters have the squared
-  frequencies of ``LETTER_EXCESS``, lies higher by excess * (n - 1).  The p-value is
-  the chance that ordinary writing looks as uniform as this;
-* runs above and below the middle of the alphabet, and the serial correlation of
-  neighbouring symbols: under randomness both are normal, and candidates too far
-  from it are no secrets, however even their counts;
-* classes: mixed encodings must show their classes of characters.
+  frequencies of ``LETTER_EXCESS``, lies higher by excess * (n - 1);
+* runs of digits, capitals, small letters and signs (of digits above and below 4.5),
+  which ordinary writing changes at a rate of ``CHANGES`` at most, a random string
+  more often;
+* the serial correlation of neighbouring symbols, at least ``SERIAL`` in writing that
+  keeps to a class for a while, 0 in a random string.
+
+Each gives the p-value of ordinary writing looking as random as this; they are
+combined as normal scores, weighted by how far writing and random strings lie apart
+at that length (runs and serial correlation counted as fully dependent).  Candidates
+whose runs or correlation no random string has, or that lack the classes of their
+encoding, can't be reported and are no tests.
 
 p-values are judged per stratum of encoding and length by Benjamini-Hochberg at
 level ``FDR``: short candidates, where the tests say little, must pass among their
@@ -47,14 +54,32 @@ FDR = 0.01
 MAX_Z = 3.3  # two-sided bound on runs and serial correlation of a random string
 # excess over uniform counts, k * sum of squared symbol frequencies - 1, of the evenest ordinary writing
 # (identifiers of many words in mixed case; running text lies higher)
-LETTER_EXCESS = {"hex": 0.8, "base32": 0.8, "alnum": 1.6, "base64": 1.8}
-# (name, its strings, alphabet in order); the first that fits is taken
+LETTER_EXCESS = {"digits": 0.8, "hex": 0.8, "base32": 0.8, "base36": 1.0, "alnum": 1.6, "base64": 1.8}
+# changes of class per neighbouring pair of the most varied ordinary writing, and its least serial correlation
+CHANGES = {"digits": 0.5, "hex": 0.25, "base32": 0.2, "base36": 0.2, "alnum": 0.45, "base64": 0.5}
+SERIAL = {"digits": 0.0, "hex": 0.1, "base32": 0.0, "base36": 0.0, "alnum": 0.1, "base64": 0.0}
+# (name, its strings in capitals where they have one case, alphabet in order); the first that fits is taken
 ENCODINGS = (
+    ("digits", r"[0-9]+", "0123456789"),
     ("hex", r"[0-9A-F]+", "0123456789ABCDEF"),
     ("base32", r"[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", r"[A-Z0-9]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("alnum", r"[A-Za-z0-9]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
+UUID_RE = r"^(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12})$"
+_CLASSES = (("0", "0123456789"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("a", "abcdefghijklmnopqrstuvwxyz"), ("-", "+/-_"))
+
+
+def _classes(name: str) -> tuple[tuple[str, str], ...]:
+    return (("0", "01234"), ("A", "56789")) if name == "digits" else _CLASSES
+
+
+def random_changes(name: str, letters: str) -> float:
+    """Chance that neighbouring symbols of a random string differ in class."""
+    return 1 - sum((sum(c in own for c in letters) / len(letters)) ** 2 for _, own in _classes(name))
+
+
 BINS = 400  # of -ln p, 0.1 each
 _BLOCK = 128
 
@@ -116,49 +141,61 @@ def _normal_cdf(z: Column) -> Column:
 
 def battery(piece: Column) -> Column:
     """struct(encoding, n, p, runs_z, serial_z, mixed) of a candidate."""
-    core = F.regexp_replace(piece, "=+$", "")
-
-    def figures(s: Column) -> Column:
-        encoding = F.lit(None).cast("string")
-        for name, regex, _ in reversed(ENCODINGS):
-            encoding = F.when(s.rlike(f"^(?:{regex})$"), F.lit(name)).otherwise(encoding)
-        pick = lambda e, of: F.create_map(*[x for name, _, letters in ENCODINGS for x in (F.lit(name), of(name, letters))])[e]
-
-        def test(e: Column) -> Column:
-            alphabet = pick(e, lambda _, a: F.lit(a))
-            k = F.length(alphabet).cast("double")
-            n = F.length(s).cast("double")
-            excess = pick(e, lambda name, _: F.lit(LETTER_EXCESS[name]))
-            symbols = F.split(s, "")
-            squares = F.aggregate(
-                F.array_distinct(symbols), F.lit(0.0), lambda t, c: t + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0))
-            )
-            x2 = k / n * squares - n
-            noncentral = excess * (n - 1)
-            z = (x2 - (k - 1 + noncentral)) / F.sqrt(2 * (k - 1) + 4 * noncentral)
-            values = F.transform(symbols, lambda c: F.instr(alphabet, c) - (k + 1) / 2)
-
-            def series(v: Column) -> Column:
-                pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-                variance = (k * k - 1) / 12
-                changes = F.aggregate(pairs, F.lit(0.0), lambda t, q: t + F.when((q["a"] > 0) != (q["b"] > 0), 1.0).otherwise(0.0))
-                products = F.aggregate(pairs, F.lit(0.0), lambda t, q: t + q["a"] * q["b"])
-                return F.struct(
-                    ((changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs_z"), (products / variance / F.sqrt(n - 1)).alias("serial_z")
-                )
-
-            digits = F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))
-            upper = F.length(s) - F.length(F.regexp_replace(s, "[A-Z]", ""))
-            lower = F.length(s) - F.length(F.regexp_replace(s, "[a-z]", ""))
-            mixed = F.when(e.isin("hex", "base32"), (digits > 0) & (upper > 0)).otherwise((digits > 0) & (upper > 1) & (lower > 1))
-            return let(
-                values,
-                lambda v: let(series(v), lambda q: F.struct(e.alias("encoding"), n.cast("int").alias("n"), _normal_cdf(z).alias("p"), q["runs_z"].alias("runs_z"), q["serial_z"].alias("serial_z"), mixed.alias("mixed"))),
-            )
-
-        return let(encoding, test)
-
-    return let(core, figures)
+
+    def formed(core: Column) -> Column:
+        form = F.when(core.rlike(UUID_RE), F.lit("uuid")).when(core.rlike("^[a-z0-9]*[a-z][a-z0-9]*$"), F.lit("lower")).otherwise(F.lit(""))
+        return F.struct(form.alias("form"), core.alias("core"))
+
+    def figures(x: Column) -> Column:
+        plain = F.when(x["form"] == "uuid", F.upper(F.replace(x["core"], F.lit("-"), F.lit("")))).when(x["form"] == "lower", F.upper(x["core"])).otherwise(x["core"])
+        return let(plain, lambda s: let(_encoding(s), lambda e: _tested(s, e, x["form"])))
+
+    return let(let(F.regexp_replace(piece, "=+$", ""), formed), figures)
+
+
+def _encoding(s: Column) -> Column:
+    encoding = F.lit(None).cast("string")
+    for name, regex, _ in reversed(ENCODINGS):
+        encoding = F.when(s.rlike(f"^(?:{regex})$"), F.lit(name)).otherwise(encoding)
+    return encoding
+
+
+def _tested(s: Column, e: Column, form: Column) -> Column:
+    pick = lambda of: F.create_map(*[x for name, _, letters in ENCODINGS for x in (F.lit(name), F.lit(of(name, letters)))])[e]
+    alphabet = pick(lambda _, a: a)
+    k = F.length(alphabet).cast("double")
+    n = F.length(s).cast("double")
+    excess, often, writing, serial = (pick(of) for of in (lambda x, _: LETTER_EXCESS[x], random_changes, lambda x, _: CHANGES[x], lambda x, _: SERIAL[x]))
+    symbols = F.split(s, "")
+    squares = F.aggregate(
+        F.array_distinct(symbols), F.lit(0.0), lambda t, c: t + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0))
+    )
+    values = F.transform(symbols, lambda c: F.instr(alphabet, c) - (k + 1) / 2)
+    products = let(values, lambda v: F.aggregate(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: a * b), F.lit(0.0), lambda t, q: t + q))
+    fold = lambda name: F.translate(s, "".join(own for _, own in _classes(name)), "".join(c * len(own) for c, own in _classes(name)))
+    runs = F.length(F.regexp_replace(F.when(e == "digits", fold("digits")).otherwise(fold("")), r"(.)\1+", "$1"))
+    counts = F.struct(squares.alias("squares"), (runs - 1).cast("double").alias("changes"), (products / ((k * k - 1) / 12)).alias("products"))
+
+    def scores(q: Column) -> Column:
+        pairs = n - 1
+        noncentral = excess * pairs
+        sd = F.sqrt(2 * (k - 1) + 4 * noncentral)
+        spread = F.sqrt(writing * (1 - writing) * pairs)
+        # scores under ordinary writing, low where it looks random, and how far random strings lie from it
+        of_counts, w_counts = (k / n * q["squares"] - n - (k - 1 + noncentral)) / sd, noncentral / sd
+        of_runs, w_runs = (writing * pairs - q["changes"]) / spread, (often - writing) * pairs / spread
+        of_serial, w_serial = q["products"] / F.sqrt(pairs) - serial * F.sqrt(pairs), serial * F.sqrt(pairs)
+        z = (w_counts * of_counts + w_runs * of_runs + w_serial * of_serial) / F.sqrt(w_counts * w_counts + (w_runs + w_serial) * (w_runs + w_serial))
+        digits = F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))
+        upper = F.length(s) - F.length(F.regexp_replace(s, "[A-Z]", ""))
+        lower = F.length(s) - F.length(F.regexp_replace(s, "[a-z]", ""))
+        mixed = F.when(e == "digits", F.lit(True)).when(e.isin("hex", "base32", "base36"), (digits > 0) & (upper > 0)).otherwise((digits > 0) & (upper > 1) & (lower > 1))
+        return F.struct(
+            F.concat(e, form).alias("encoding"), n.cast("int").alias("n"), _normal_cdf(z).alias("p"),
+            ((q["changes"] - often * pairs) / F.sqrt(often * (1 - often) * pairs)).alias("runs_z"), (q["products"] / F.sqrt(pairs)).alias("serial_z"), mixed.alias("mixed"),
+        )
+
+    return let(counts, scores)
 
 
 def stratum(t: Column) -> Column:
@@ -185,7 +222,7 @@ def candidates(text: Column) -> Column:
 def bars(tested: DataFrame) -> DataFrame:
     """(stratum, bar): the smallest bin of -ln p that Benjamini-Hochberg accepts at FDR.
 
-    All candidates of a stratum count as tests.  One row per stratum and bin: at most
+    ``tested``: the candidates that can be reported, each a test.  One row per stratum and bin: at most
     BINS per stratum, whatever the documents.
     """
     bins = tested.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -199,7 +236,7 @@ def bars(tested: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with an array column ``out`` of struct(start, ord, end, kind), sorted by start, then kind."""
     text = text_of(text_col)
-    tested = docs.select(F.explode(candidates(text)).alias("c")).select("c.stratum", "c.bin")
+    tested = docs.select(F.explode(candidates(text)).alias("c")).filter("c.fits").select("c.stratum", "c.bin")
     # a row per encoding and length class (a factor of 1.5): a few dozen at most
     level = {r["stratum"]: r["bar"] for r in bars(tested).collect()}
     bar = F.lit(BINS)
