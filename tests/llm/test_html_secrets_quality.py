@@ -27,6 +27,22 @@ def test_main_text(html, text):
     assert op01_html.main_text(html) == text
 
 
+BODY = "The article goes on for a while, in whole sentences and without links. " * 5
+
+
+@pytest.mark.parametrize("html", [
+    *(f"<div class='{c}'><article><p>{BODY}</article></div>" for c in ("content has-sidebar", "no-sidebar", "menu-open", "category-social", "post tag-notice", "sidebar")),
+    f"<div class=promo><p>{BODY}<div class=menu>Home</div></div><p>end",
+    f"<td class='tags'><main><p>{BODY}</main></td>",
+    f"<article><div class='widget'><p>{BODY}</div></article>",
+    f"<p data-title='the hidden cost' title=\"a class=menu\">{BODY}",
+    f"<article>{BODY}</article><div class=related><article>Read this, too.</article></div><div class='sidebar-1'>{BODY}</div>",
+])
+def test_class_names_leave_the_article(html):
+    text = op01_html.main_text(html)
+    assert text.split("\n\n")[0] == BODY.strip() and "Home" not in text and "Read" not in text
+
+
 def test_pages_keep_their_article_and_extra_columns(spark):
     pages = rows_of("pages", "page_id", "url", "html")
     df = spark.createDataFrame([(*p, "mine", 7) for p in pages] + [(pages[0][0], None, None, "again", 8)], "page_id long, url string, html string, text string, rows int")

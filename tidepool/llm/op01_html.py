@@ -3,8 +3,10 @@
 Markup is stripped to lines: every block element's text is a line, with its length,
 its characters inside links and the element it stands in.  Elements that never hold
 the article (scripts, styles, navigation, page headers, footers, asides, forms,
-hidden parts, and parts whose class or id says advert, menu, notice, comments, ...)
-give lines of length 0, as do lines that are mostly links.  Where the page marks its
+hidden parts, and parts whose class or id is one for adverts, menus, notices,
+comments, ...) give lines of length 0, as do lines that are mostly links.  A class or
+id counts as a whole word of its value and never takes out an element with most of
+the page's text, or with articles of its own that hold half of the text of all.  Where the page marks its
 article (``article`` or ``main``), lines outside it have length 0, too, and parts
 taken out inside it leave no line at all.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,41 +54,61 @@ _MAIN = frozenset(("article", "main"))
 # an open element of these ends where one of its like begins
 _ENDS = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 _SCOPE = frozenset("ul ol dl table tr td div section article main body blockquote aside nav footer header form".split())
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
-    r"footer|masthead|site-header|page-header|topbar|comments?|comment-list|respond|disqus|cookies?|cookie-\w+|consent|gdpr|notices?|alert|popup|modal|"
+    r"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|user|reader|post|article|entry|blog|cookie|email|social|nav)[-_]+)?"
+    r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
+    r"footer|masthead|site-header|page-header|topbar|comments?|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip-link|sr-only|tags)"
-    r"(?:[\s_-]|\d|$)", re.I,
+    r"(?:[-_]*\d+|[-_]+(?:list|area|section|bar|box|block|wrapper|container|links?|items?|buttons?|icons?|posts?|articles|stories|form|thread|unit|slot|banner|widget|notice|consent|menu|nav))*+",
+    re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _NEVER:
-        return True
-    if name == "header" and not in_article:
-        return True
+def _is_boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element never holds the article, and whether its class or id says so."""
+    if name in _NEVER or name == "header" and not in_article:
+        return True, False
+    named = False
     if not attributes or name in ("html", "body"):
-        return False
+        return False, False
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and name not in _MAIN and _NOT_TEXT.search(value):
-            return True
+        if key in ("class", "id") and name not in _MAIN and any(map(_NOT_TEXT.fullmatch, value.split())):
+            named = True
         if key in ("class", "id") and name in _MAIN and re.search(r"\bcomments?\b", value, re.I):
-            return True
+            return True, False
         if key == "role" and value.lower() in _ROLES:
-            return True
+            return True, False
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return True, False
+    return False, named
+
+
+def _without_named(lines: list[tuple[str, bool, bool, int]], named: list[tuple[int, int, bool]]) -> list[tuple[str, bool, bool, int]]:
+    """``lines`` with those in ``named`` stretches (begin, end, in article) as boilerplate, unless a stretch is the page's text."""
+    if not named:
+        return lines
+    of_text = [0 if boilerplate or link_chars > LINK_SHARE * len(text) else len(text) for text, boilerplate, _, link_chars in lines]
+    text_to = [0, *accumulate(of_text)]
+    article_to = [0, *accumulate(n if article else 0 for n, (_, _, article, _) in zip(of_text, lines, strict=True))]
+    depth = [0] * (len(lines) + 1)
+    for begin, end, in_article in named:
+        most = 2 * (text_to[end] - text_to[begin]) > text_to[-1]
+        articles = 0 if in_article else article_to[end] - article_to[begin]
+        if not most and not (articles and 2 * articles >= article_to[-1]):
+            depth[begin] += 1
+            depth[end] -= 1
+    return [(text, boilerplate or d > 0, article, link_chars) for (text, boilerplate, article, link_chars), d in zip(lines, accumulate(depth[:-1]), strict=True)]
 
 
 def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
     """(text, in boilerplate, in article, characters inside links) of each block, in page order."""
     out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, is boilerplate
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, is boilerplate, first line if named as boilerplate, else -1
+    named: list[tuple[int, int, bool]] = []
     parts: list[str] = []
     link_chars = skip = articles = links = 0
     at = 0
@@ -110,12 +133,14 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
         """Close the open elements from ``upto`` on."""
         nonlocal skip, articles, links
         while len(stack) > upto:
-            name, boilerplate = stack[-1]
+            name, boilerplate, begin = stack[-1]
             if name in _BLOCK:
                 end_line()
             stack.pop()
             skip -= boilerplate
             articles -= name in _MAIN
+            if begin >= 0:
+                named.append((begin, len(out), articles > 0))
             links -= name == "a"
 
     while m := _TOKEN.search(html, at):
@@ -147,15 +172,15 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             parts.append(" ")
         if name in _VOID or m[3].endswith("/"):
             continue
-        boilerplate = _is_boilerplate(name, m[3], articles > 0)
-        stack.append((name, boilerplate))
+        boilerplate, is_named = _is_boilerplate(name, m[3], articles > 0)
+        stack.append((name, boilerplate, len(out) if is_named else -1))
         skip += boilerplate
         articles += name in _MAIN
         links += name == "a"
     add(html[at:])
     close(0)
     end_line()
-    return out
+    return _without_named(out, named)
 
 
 def main_lines(lines: list[tuple[str, bool, bool, int]]) -> list[str]:
