@@ -43,6 +43,11 @@ def test_class_names_leave_the_article(html):
     assert text.split("\n\n")[0] == BODY.strip() and "Home" not in text and "Read" not in text
 
 
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg class='i' viewBox=\"0 0 1 1\"/>", "<svg width=1 focusable/>", "<MATH />", "<svg width=1/>x</svg>", "<svg><path d=''/>x</svg>"])
+def test_self_closed_icons_end_at_once(icon):
+    assert op01_html.main_text(f"<article><p>{icon}{BODY}<p>{BODY}</article>") == f"{BODY.strip()}\n\n{BODY.strip()}"
+
+
 def test_pages_keep_their_article_and_extra_columns(spark):
     pages = rows_of("pages", "page_id", "url", "html")
     df = spark.createDataFrame([(*p, "mine", 7) for p in pages] + [(pages[0][0], None, None, "again", 8)], "page_id long, url string, html string, text string, rows int")

@@ -67,6 +67,12 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends with a slash of its own, not one of an unquoted value."""
+    rest = attributes[:-1]
+    return attributes.endswith("/") and (not rest or rest[-1].isspace() or rest[-1] in "\"'" or "=" not in rest.rsplit(None, 1)[-1])
+
+
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element never holds the article, and whether its class or id says so."""
     if name in _NEVER or name == "header" and not in_article:
@@ -155,6 +161,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
                     close(k)
                     break
             continue
+        if name in ("svg", "math") and _self_closed(m[3]):
+            continue
         if name in _RAW_END:
             stop = _RAW_END[name].search(html, at)
             at = stop.end() if stop else len(html)
