@@ -216,6 +216,17 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_links_from_another_percent_on(spark):
+    words = [f"w{i}" for i in range(200)]
+    # 196 shingles each; 20 changed words at an end leave 176 in common, 176 / 216 = 0.815, and 25 leave 171 / 221 = 0.774
+    rows = [(1, " ".join(words)), (2, " ".join(words[:180] + [f"x{i}" for i in range(20)])), (3, " ".join([f"y{i}" for i in range(25)] + words[25:]))]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = lambda **percent: {r["doc_id"]: r["kept"] for r in op06_minhash.grouped(df, **percent).collect()}
+    assert kept(percent=80) == {1: True, 2: False, 3: True}
+    assert kept() == {1: True, 2: True, 3: True} and kept(percent=75) == {1: True, 2: False, 3: False}
+    assert op06_minhash.banding(85) == (6, 32) and op06_minhash.banding(80) == (5, 38)
+
+
 def test_near_dedup_query(spark):
     docs = documents()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op06_minhash.op6_minhash_near_dedup(spark, SF).collect()}

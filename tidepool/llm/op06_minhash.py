@@ -13,14 +13,15 @@
    every pair that shares a band lies in one cell.
 4. In a cell, overlaps are counted exactly on the full sets through an inverted
    list of shingles; links feed a union-find.  Shingles and documents that cannot
-   matter go first: a document needs 85 % of its shingles in other documents of
-   its cell.  Cells too large for a task are cut by set size (sets of linked
+   matter go first: a document needs 85 % (``percent``) of its shingles in other
+   documents of its cell.  Cells too large for a task are cut by set size (sets of linked
    documents differ by at most 15 % in size) and hash into blocks that are compared
    block by block, exactly.
 5. Components over all links give the smallest reachable id.
 
 With 6 rows in 32 bands a pair at the threshold is missed with probability 2.6e-7,
-a pair at 0.9 with 1e-10.
+a pair at 0.9 with 1e-10.  At another ``percent`` bands have the most rows with which
+a pair at the threshold is missed with at most ``MISSED`` (at 80: 5 rows, 38 bands).
 
 Cases: null or empty texts have empty sets and stay alone; a text of fewer than five
 words is one shingle of all its words; repeated rows are copies of each other (rows
@@ -43,8 +44,8 @@ from tidepool.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 85
-ROWS, BANDS = 6, 32
-SLOTS = ROWS * BANDS
+SLOTS = 192
+MISSED = 1e-6
 TEXTS = 512  # texts whose words are held at once
 CELL_SHINGLES = 2_000_000  # shingles that one task compares at once
 _ELEMENTS = 1 << 15  # elements whose permutations are held at once
@@ -60,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _FACTORS = _mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _G) | np.uint64(1)
-_BAND_FACTORS = _mix(np.arange(101, 101 + ROWS, dtype=np.uint64) * _G) | np.uint64(1)
+_BAND_FACTORS = _mix(np.arange(101, 101 + SLOTS, dtype=np.uint64) * _G) | np.uint64(1)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -133,22 +134,30 @@ def _fill(slots: np.ndarray, elements: np.ndarray, owner: np.ndarray) -> None:
                 perm, row = perm[row], np.arange(len(row))
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    parts = signatures.reshape(len(signatures), BANDS, ROWS)
-    return _mix((parts * _BAND_FACTORS).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _G)
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band and number of bands."""
+    fits = [r for r in range(1, SLOTS + 1) if (1 - (percent / 100) ** r) ** (SLOTS // r) <= MISSED]
+    rows = max(fits, default=1)
+    return rows, SLOTS // rows
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(signatures: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    rows, bands = banding(percent)
+    parts = signatures[:, : rows * bands].reshape(len(signatures), bands, rows)
+    return _mix((parts * _BAND_FACTORS[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _G)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, TEXTS):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         place = {t: k for k, t in enumerate(dict.fromkeys(texts))}  # equal texts of a batch are computed once
         sets = shingle_sets(list(place))
-        keys = band_keys(super_minhash(sets)).view(np.int64)
+        keys = band_keys(super_minhash(sets), percent).view(np.int64)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         at = [place[t] for t in texts]
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([digests[k] for k in at], pa.binary()),
-             pa.FixedSizeListArray.from_arrays(pa.array(keys[at].reshape(-1)), BANDS).cast(pa.list_(pa.int64()))],
+             pa.FixedSizeListArray.from_arrays(pa.array(keys[at].reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))],
             names=["id", "n_shingles", "digest", "bands"],
         )
 
@@ -225,12 +234,12 @@ def links_in(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
     return [(x, min(g)) for g in groups.values() if len(g) > 1 for x in g if x != min(g)]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links per cell; rows arrive sorted by cell."""
     cell, ids, sets = None, [], []
 
     def emit() -> Iterator[pa.RecordBatch]:
-        found = links_in(np.array(ids, np.int64), sets) if len(ids) > 1 else []
+        found = links_in(np.array(ids, np.int64), sets, percent) if len(ids) > 1 else []
         if found:
             u, v = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -253,14 +262,14 @@ def bucket_edges(reps: DataFrame) -> DataFrame:
     return buckets.join(hubs, "bucket").filter("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def placed(cells: DataFrame) -> DataFrame:
+def placed(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, cell) with ``cell`` a name of one comparison task; ``cells``: (id, root, n_shingles).
 
     A cell within CELL_SHINGLES is one task.  A larger one is cut by size class
-    (factor 1 / 0.85, so links join equal or neighbouring classes) and hash into
+    (factor 100 / percent, so links join equal or neighbouring classes) and hash into
     blocks of half that size; each pair of blocks that may hold links is a task.
     """
-    size_class = F.floor(F.log("n_shingles") / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    size_class = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9).cast("int")
     rows = cells.withColumn("g", size_class)
     per_class = rows.groupBy("root", "g").agg(F.sum("n_shingles").alias("s"))
     large = per_class.groupBy("root").agg(F.sum("s").alias("total")).filter(F.col("total") > CELL_SHINGLES).select("root")
@@ -280,20 +289,20 @@ def placed(cells: DataFrame) -> DataFrame:
     return small.unionByName(same).unionByName(with_up).unionByName(with_down)
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document row."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document row; links from a similarity of ``percent`` on."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(_signed, "id long, n_shingles long, digest binary, bands array<long>"), "minhash")
+    signed = stored(rows.mapInArrow(lambda batches: _signed(batches, percent), "id long, n_shingles long, digest binary, bands array<long>"), "minhash")
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = signed.filter("digest is not null").join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
     reps = stored(reps.select("id", "n_shingles", "bands").dropDuplicates(["id"]), "reps")
 
     cells = components(bucket_edges(reps)).withColumnRenamed("node", "id").join(reps.select("id", "n_shingles"), "id")
-    tasks = stored(placed(stored(cells, "cells")), "cell-tasks")
+    tasks = stored(placed(stored(cells, "cells"), percent), "cell-tasks")
     # the text goes to the candidates once; sets go to each task of theirs
     wanted = tasks.groupBy("id").agg(F.collect_set("cell").alias("cells"))
     sets = rows.join(wanted, "id").select(F.explode("cells").alias("cell"), "id", "text").mapInArrow(_with_sets, "cell string, id long, set binary")
-    links = sets.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_linked, "u long, v long")
+    links = sets.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(lambda batches: _linked(batches, percent), "u long, v long")
     roots = components(links)
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
