@@ -6,6 +6,7 @@ from tidepool.llm import op05_decontaminate as op5
 from tidepool.llm import op06_minhash as op6
 from tidepool.llm import op07_quality as op7
 from tidepool.llm.op08_warc import OP8_SQL
+from tidepool.llm.op11_manifest import OP11_SQL
 from tidepool.llm.op13_filter_audit import OP13_SQL
 
 WS = r"[\x20\x09-\x0D]+"
@@ -114,5 +115,6 @@ ORACLE = {
     "op6_minhash_near_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
