@@ -13,6 +13,7 @@ from tidepool.llm.op08_warc import op8_warc
 from tidepool.llm.op09_token_files import op9_token_files
 from tidepool.llm.op10_mixing import op10_entropy_mix
 from tidepool.llm.op11_manifest import op11_merkle_manifest
+from tidepool.llm.op12_hmm import op12_hmm_score
 from tidepool.llm.op13_filter_audit import op13_filter_audit
 from tidepool.llm.oracle import ORACLE
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_entropy_mix": op10_entropy_mix,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hmm_score": op12_hmm_score,
     "op13_filter_audit": op13_filter_audit,
 }
 
