@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import cdc
+from tidepool.sources.files import dealt, pieces
 
 
 def _binary_parts(arr: pa.Array):
@@ -127,6 +128,45 @@ def chunk_stats(files: DataFrame, keys: list[str], content: str = "content", **p
     return src.mapInArrow(run, out_schema)
 
 
+def cdc_file_chunks(listing: DataFrame, with_data: bool = False, **params) -> DataFrame:
+    """C1 over files of any size: ``path, chunk_index, offset, size, hash[, data]`` from a listing.
+
+    A file is read as a stream by one task, since its cuts chain; the task holds the open
+    chunk and ``READ_BYTES`` of the file.  No bytes are shuffled.  An empty file has no chunks.
+    """
+    schema = "path string, chunk_index int, offset long, size int, hash string" + (", data binary" if with_data else "")
+    fields = [("path", pa.string()), ("chunk_index", pa.int32()), ("offset", pa.int64()), ("size", pa.int32()), ("hash", pa.string())]
+    fields += [("data", pa.binary())] if with_data else []
+
+    def run(batches):
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+        for rb in batches:
+            for path in rb.column(0).to_pylist():
+                h, open_len, base, held, rows = 0, 0, 0, [], []
+                for data in pieces(path):
+                    part = np.frombuffer(data, np.uint8)
+                    ends, h, open_len = cdc.scan_cuts(part, **params, h=h, open_len=open_len)
+                    at = 0
+                    for e in ends:
+                        held.append(data[at:e])
+                        chunk = b"".join(held)
+                        rows.append((path, rows[-1][1] + 1 if rows else 0, base, len(chunk), hashlib.sha256(chunk).hexdigest(), chunk))
+                        base, held, at = base + len(chunk), [], e
+                    held.append(data[at:])
+                    if len(rows) > 1:  # the last one numbers what follows
+                        yield table(rows[:-1])
+                        rows = rows[-1:]
+                if open_len:
+                    chunk = b"".join(held)
+                    rows.append((path, rows[-1][1] + 1 if rows else 0, base, len(chunk), hashlib.sha256(chunk).hexdigest(), chunk))
+                if rows:
+                    yield table(rows)
+
+    return dealt(listing).select("path").mapInArrow(run, schema)
+
+
 def cdc_chunks_segmented(
     segments: DataFrame,
     keys: list[str],

@@ -1,9 +1,10 @@
 """Content-addressed chunk store and file reassembly: S4, S5, S6, A5, A6, J6, W3.
 
 The store is parquet partitioned by ``hash_prefix`` (256 folders ``<2 hex>``),
-each file sorted by hash.  New blobs are chosen on ``hash`` and order columns
-alone (S4); bytes are fetched for the chosen rows.  A lookup by hash (S5, J6)
-moves the bytes it reads once to the request, and J6 once more to the file.
+each file sorted by hash, or a table bucketed by hash.  New blobs are chosen on
+``hash`` and order columns alone (S4); bytes are fetched for the chosen rows.  A lookup
+by hash (S5, J6) in the bucketed store leaves the bytes where they are; J6 and S6 move
+them once, to the file.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tidepool.functions.paths import hash_prefix
 from tidepool.operators.chunking import _binary_parts
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import CHUNK_STORE
+from tidepool.sources import client_files
 
 
 def empty_store(spark: SparkSession) -> DataFrame:
@@ -69,11 +71,44 @@ def write_store(rows: DataFrame, path: str) -> None:
     )
 
 
-def fetch_chunks(wanted: DataFrame, store: DataFrame) -> DataFrame:
-    """Bytes per requested hash; a missing hash gives empty bytes and ``found = false``."""
-    req = wanted.select("hash").distinct().withColumn("hash_prefix", hash_prefix("hash"))
-    got = store.select("hash_prefix", "hash", "data")
-    return req.join(got, ["hash_prefix", "hash"], "left").select(
+def write_bucketed_store(rows: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Append new blobs to the store table ``name`` at ``path``, bucketed and sorted by ``hash``.
+
+    Lookups by hash (``fetch_chunks``, ``reassemble``) over ``spark.table(name)`` move the request to
+    the buckets, never the bytes to the request: the scan already is hash-partitioned.  Choose
+    ``buckets`` once, for buckets of a few GB and no fewer than the shuffle partitions
+    of the jobs that read it.
+    """
+    (
+        rows.select("hash_prefix", "hash", "size", "data")
+        .repartition(buckets, "hash")
+        .sortWithinPartitions("hash")
+        .write.mode("append")
+        .bucketBy(buckets, "hash")
+        .sortBy("hash")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
+def attach_store(spark: SparkSession, name: str, path: str, buckets: int) -> DataFrame:
+    """The bucketed store at ``path`` as table ``name`` in a session that doesn't know it yet."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (hash_prefix STRING, hash STRING, size INT, data BINARY) USING parquet "
+        f"CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
+def fetch_chunks(wanted: DataFrame, store: DataFrame, bucketed: bool = False) -> DataFrame:
+    """Bytes per requested hash; a missing hash gives empty bytes and ``found = false``.
+
+    With ``bucketed`` the join is by the bucket column alone, so the bytes stay in their buckets.
+    """
+    keys = ["hash"] if bucketed else ["hash_prefix", "hash"]
+    req = wanted.select("hash").distinct().withColumn("hash_prefix", hash_prefix("hash")).select(*keys)
+    got = store.select(*keys, "data")
+    return req.join(got, keys, "left").select(
         "hash",
         F.col("data").isNotNull().alias("found"),
         F.coalesce("data", F.lit(b"").cast("binary")).alias("data"),
@@ -205,6 +240,25 @@ def finalize_files(
     )
 
 
+def write_client_files(
+    manifest: DataFrame, store: DataFrame, complete: DataFrame, root: str, file_keys: tuple[str, str] = ("client_id", "file_path")
+) -> DataFrame:
+    """Write the files of complete uploads below ``root/clients/<id>/<path>``.
+
+    The chunks of each file stream from the store into it, in order of their index; a file with
+    a missing or empty chunk isn't written, one announced with 0 chunks is written empty.
+    Returns ``(client_id, path, size, hash)`` of the files written (two phases, see
+    ``sources.client_files``); with a bucketed store the bytes move once, to their file.
+    """
+    client, path = file_keys
+    done = complete.where("complete").select(*file_keys, "total_chunks")
+    chunks = manifest.select(*file_keys, "chunk_index", "hash").join(done.where("total_chunks > 0").select(*file_keys), list(file_keys), "left_semi")
+    with_data = chunks.join(store.select("hash", "data"), "hash", "left").select(*file_keys, "chunk_index", "data")
+    empty = done.where("total_chunks = 0").select(*file_keys, F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("binary").alias("data"))
+    rows = with_data.unionByName(empty).select(F.col(client).alias("client_id"), F.col(path).alias("file_path"), "chunk_index", "data")
+    return client_files.publish(manifest.sparkSession, root, client_files.write_files(rows, root))
+
+
 def storage_stats(store: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
     """A5: stored chunks and bytes; plus the two fields the reference leaves at 0:
     live file count and bytes saved by dedup (manifest bytes - stored bytes).

@@ -7,6 +7,7 @@ match the oracle SQL of the same name in ``tidepool.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from tidepool.operators import bytesjobs, chunking, delta, files, metrics, ratel
 from tidepool.plans import params as P
 from tidepool.schemas import FILE_COLS
 from tidepool.session import work_dir
+from tidepool.sources import files as file_source
 from tidepool.sources import tables as V
 from tidepool.streaming import admission as T4
 from tidepool.streaming import changes as T2
@@ -290,6 +292,52 @@ def q_finalize_files(spark, sf):
     return done.withColumnRenamed("file_path", "path").select(*FILE_COLS)
 
 
+def _bucketed(spark, rows, body) -> DataFrame:
+    """``body(store)`` over ``rows`` as a bucketed store table, its result written out."""
+    work, name = work_dir(spark, "bucketed-store"), f"tidepool_store_{uuid.uuid4().hex[:12]}"
+    storage.write_bucketed_store(rows, name, f"{work}/store", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        done = body(spark.table(name))
+        done.write.parquet(f"{work}/result")
+        return spark.read.schema(done.schema).parquet(f"{work}/result")
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the entry; the files stay
+
+
+def q_reassemble_bucketed(spark, sf):
+    """J6 over the store bucketed by hash: no exchange of bytes but the one by file."""
+    conv = V.conv_chunks(spark, sf)
+    return _bucketed(spark, _kept_store(spark, sf), lambda store: storage.reassemble(conv, store, CONV_KEYS))
+
+
+def q_fetch_chunks_bucketed(spark, sf):
+    """S5 over the bucketed store: requests go to the buckets."""
+    wanted = _probe_hashes(spark, sf)
+    got = _bucketed(spark, _conv_store(spark, sf), lambda store: storage.fetch_chunks(wanted, store, bucketed=True))
+    return got.select("hash", "found", F.length("data").cast("int").alias("n_bytes"), F.sha2("data", 256).alias("data_hash"))
+
+
+def q_write_client_files(spark, sf):
+    """Complete uploads written as files, then the tree listed and read back."""
+    conv = V.conv_chunks(spark, sf)
+    complete = storage.upload_complete(conv, V.announced(conv), CONV_KEYS)
+    root = work_dir(spark, "client-files")
+    storage.write_client_files(conv, _kept_store(spark, sf), complete, root)
+    found = file_source.scan(file_source.list_files(spark, f"{root}/clients", hidden=True), "c0")
+    name = F.regexp_extract("path", r"/clients/([^/]+)/(.*)$", 2)
+    return found.select(F.regexp_extract("path", r"/clients/([^/]+)/", 1).alias("client_id"), name.alias("path"), "size", "hash")
+
+
+def q_cdc_file_chunks(spark, sf):
+    """S1 and C1 over files of any size: complete uploads written as files, then chunked as streams."""
+    conv = V.conv_chunks(spark, sf)
+    complete = storage.upload_complete(conv, V.announced(conv), CONV_KEYS)
+    root = work_dir(spark, "client-files")
+    storage.write_client_files(conv, _kept_store(spark, sf), complete, root)
+    chunks = chunking.cdc_file_chunks(file_source.list_files(spark, f"{root}/clients", hidden=True), **P.SMALL)
+    return chunks.select(F.regexp_extract("path", r"/clients/[^/]+/(.*)$", 1).alias("path"), "chunk_index", "offset", "size", "hash")
+
+
 def _held(conv: DataFrame) -> DataFrame:
     return conv.where(F.col("role") == "user").select(*CONV_KEYS, "hash")
 

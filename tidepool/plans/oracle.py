@@ -194,6 +194,12 @@ def _token_admit() -> str:
         "SELECT key, event_id, ts_us, bytes, admitted, tokens AS tokens_after FROM b WHERE rn > 0"
 
 
+FETCHED = _with(CONV, CONV_STORE, PROBE) + """
+SELECT p.hash, s.hash IS NOT NULL AS found,
+       CAST(coalesce(octet_length(s.data), 0) AS INTEGER) AS n_bytes,
+       sha256(coalesce(s.data, ''::BLOB)) AS data_hash
+FROM probe p LEFT JOIN conv_store s ON s.hash = p.hash"""
+
 ORACLE: dict[str, str] = {
     # ------------------------------------------------------------ chunking
     "cdc_chunks": _doc_cdc(False) + 'SELECT client_id, path, chunk_index, "offset", size, hash FROM c_chunks',
@@ -346,11 +352,7 @@ SELECT substring(hash, 1, 2) AS hash_prefix, hash, size, conv_id AS first_conv_i
        chunk_index AS first_chunk_index, sha256(data) = hash AS hash_ok
 FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY conv_id, chunk_index) AS rn FROM conv)
 WHERE rn = 1 AND hash NOT IN (SELECT hash FROM conv WHERE chunk_index = 0)""",
-    "fetch_chunks": _with(CONV, CONV_STORE, PROBE) + """
-SELECT p.hash, s.hash IS NOT NULL AS found,
-       CAST(coalesce(octet_length(s.data), 0) AS INTEGER) AS n_bytes,
-       sha256(coalesce(s.data, ''::BLOB)) AS data_hash
-FROM probe p LEFT JOIN conv_store s ON s.hash = p.hash""",
+    "fetch_chunks": FETCHED,
     "upload_complete": _with(CONV) + """
 SELECT c.client_id, c.file_path, any_value(a.total_chunks) AS total_chunks,
        CAST(count(*) AS INTEGER) AS received_chunks, count(*) = any_value(a.total_chunks) AS complete
@@ -360,7 +362,20 @@ SELECT client_id, file_path, chunks, ok,
        CASE WHEN ok THEN CAST(strlen(content) AS BIGINT) END AS size,
        CASE WHEN ok THEN sha256(content) END AS hash, CASE WHEN ok THEN content END AS content
 FROM rebuilt""",
+    "reassemble_bucketed": _with(CONV, CONV_STORE, _rebuilt("kept_store")) + """
+SELECT client_id, file_path, chunks, ok,
+       CASE WHEN ok THEN CAST(strlen(content) AS BIGINT) END AS size, CASE WHEN ok THEN sha256(content) END AS hash
+FROM rebuilt""",
+    "fetch_chunks_bucketed": FETCHED,
     "finalize_files": _with(CONV, CONV_STORE, _rebuilt("kept_store")) + FINALIZED,
+    "write_client_files": _with(CONV, CONV_STORE, _rebuilt("kept_store")) + """
+SELECT client_id, file_path AS path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS hash
+FROM rebuilt WHERE ok AND chunks = total_chunks""",
+    "cdc_file_chunks": _with(
+        CONV, CONV_STORE, _rebuilt("kept_store"),
+        "written AS (SELECT file_path AS path, encode(content) AS content FROM rebuilt WHERE ok AND chunks = total_chunks)",
+        cdc_cte("written", ["path"], **SMALL), recursive=True,
+    ) + 'SELECT path, chunk_index, "offset", size, hash FROM c_chunks',
     "download_response": _with(CONV)[:-1] + """,
 need AS (
   SELECT c.* FROM conv c
