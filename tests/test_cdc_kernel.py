@@ -169,3 +169,32 @@ def test_property_whole_and_segmented_equal_the_definition(data, min_size, span,
         got, h, open_len = cdc.scan_cuts(buf[i : i + seg], **params, h=h, open_len=open_len)
         ends += [i + e for e in got]
     assert ends + ([len(buf)] if open_len else []) == expect
+
+
+@pytest.mark.parametrize("params", [
+    dict(min_size=64, avg_size=512, max_size=4096, mask_bits=9),
+    dict(min_size=64, avg_size=512, max_size=4096, mask_bits=9, switch=20),
+    dict(min_size=1, avg_size=4, max_size=9, mask_bits=2),
+    dict(min_size=16, avg_size=64, max_size=40, mask_bits=1),
+    {},
+])
+def test_files_side_by_side_equal_files_alone(monkeypatch, params):
+    """Files of all sizes in one buffer, over several runs and groups, with gaps for null rows."""
+    monkeypatch.setattr(cdc, "GROUP", 50_000)
+    monkeypatch.setattr(cdc, "RUN", 9_000)
+    monkeypatch.setattr(cdc, "ROWS", 5)
+    rng = np.random.default_rng(11)
+    sizes = np.concatenate(([0, 1, 2, 63, 64, 65, 0, 4096, 4097, 9000, 9001, 20_000, 0], rng.integers(0, 3000, 60)))
+    gaps = rng.integers(0, 2, len(sizes)) * 7
+    ends = np.cumsum(sizes + gaps)
+    starts = ends - sizes
+    data = rng.integers(0, 256, ends[-1] + 3, dtype=np.uint8)
+    data[starts[11] : starts[11] + 5000] = 0
+    file, end = cdc.cut_many(data, starts, ends, **params)
+    want = [(i, e) for i in range(len(sizes)) for e in cdc.cut_ends(data[starts[i] : ends[i]], **params)]
+    assert list(zip(file.tolist(), end.tolist())) == want
+
+
+def test_no_files_side_by_side():
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in cdc.cut_many(np.empty(0, np.uint8), none, none, 64, 512, 4096, 9)] == [0, 0]

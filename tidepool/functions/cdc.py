@@ -176,6 +176,125 @@ def cut_ends(buf: np.ndarray, min_size: int = DEFAULT_MIN, avg_size: int = DEFAU
     return ends + [n] if open_len else ends
 
 
+GROUP = 1 << 23  # bytes of files that are looked at together
+RUN = 1 << 20  # bytes that share a running sum and the power tables
+ROWS = 512  # files whose open chunks are scanned side by side; their arrays stay in the cache
+SIDE_BY_SIDE = 4096  # expected chunk size up to which that pays; beyond, a scan is long enough by itself
+
+
+def cut_many(
+    data: np.ndarray,
+    starts: np.ndarray,
+    ends: np.ndarray,
+    min_size: int = DEFAULT_MIN,
+    avg_size: int = DEFAULT_AVG,
+    max_size: int = DEFAULT_MAX,
+    mask_bits: int = DEFAULT_MASK_BITS,
+    switch: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(file, end) of all chunks of the files ``data[starts[i]:ends[i]]``, by file and position; ``end``
+    counts from the file's first byte.
+
+    Files lie one behind the other in ``data``, as in an Arrow buffer.  Where chunks are small, the
+    open chunks of many files are scanned side by side, a span of each a round: array operations
+    on a span of one file would cost more in calls than in arithmetic.
+    """
+    params = dict(min_size=min_size, avg_size=avg_size, max_size=max_size, mask_bits=mask_bits, switch=switch)
+    alone = (ends - starts > RUN) | (min(max_size, min_size + (1 << max(0, mask_bits - 1))) > SIDE_BY_SIDE)
+    files, cuts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at, n = 0, len(starts)
+    while at < n:
+        if alone[at]:
+            e = np.array(cut_ends(data[starts[at] : ends[at]], **params), np.int64)
+            f, until = np.zeros(len(e), np.int64), at + 1
+        else:
+            until = max(at + 1, int(np.searchsorted(ends, starts[at] + GROUP, side="right")))
+            until = at + int(alone[at:until].argmax()) if alone[at:until].any() else until
+            lo = starts[at]
+            f, e = _cut_group(data[lo : ends[until - 1]], (starts[at:until] - lo).astype(np.int64), (ends[at:until] - lo).astype(np.int64), **params)
+        files.append(f + at)
+        cuts.append(e)
+        at = until
+    return np.concatenate(files), np.concatenate(cuts)
+
+
+def _running_sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, shift, base): running sums mod p of runs of whole files, each run behind a 0 of its own.
+
+    A file's byte ``i`` has its sum at ``i + shift + 1``; powers count from ``base``, its run's first byte.
+    """
+    runs = [0]
+    while ends[-1] - starts[runs[-1]] > RUN:
+        runs.append(max(runs[-1] + 1, int(np.searchsorted(ends, starts[runs[-1]] + RUN, side="right"))))
+    sums = np.zeros(len(buf) + len(runs) + pad, np.uint32)
+    shift, base = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    _, inv = power_tables(RUN + pad)
+    products, quotient = np.empty((2, min(len(buf), RUN)), np.uint64)
+    for r, (a, b) in enumerate(zip(runs, [*runs[1:], len(starts)])):
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        v, q = products[: hi - lo], quotient[: hi - lo]
+        # b * 31^-j < 2^38: 2^20 terms stay below 2^58; reduced here once, so that a position costs one remainder
+        np.multiply(buf[lo:hi], inv[: hi - lo], out=v)
+        np.cumsum(v, out=v)
+        reduce_mod(v, q)
+        sums[lo + r + 1 : hi + r + 1] = v
+        shift[a:b], base[a:b] = r, lo
+    return sums, shift, base
+
+
+def _cut_group(buf, starts, ends, min_size, avg_size, max_size, mask_bits, switch) -> tuple[np.ndarray, np.ndarray]:
+    """``cut_many`` of up to about ``GROUP`` bytes, no file beyond ``RUN``."""
+    if switch is None:
+        switch = switch_point(min_size, avg_size)
+    least = max(1, min(min_size, switch))
+    span = int(min(max(16, 3 << max(0, mask_bits - 3)), max_size))  # 3/4 of the way to the cut that is expected
+    big = np.uint64((1 << mask_bits) - 1)
+    small = big >> np.uint64(1)
+    sums, shifts, bases = _running_sums(buf, starts, ends, span)
+    rows_of_sums = np.lib.stride_tricks.sliding_window_view(sums[1:], span)
+    powers = np.lib.stride_tricks.sliding_window_view(power_tables(RUN + span)[0][: RUN + span], span)
+
+    out_file, out_end = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    by_size = np.argsort(starts - ends, kind="stable")  # files of like size need as many rounds
+    by_size = by_size[(ends > starts)[by_size]]
+    for k in range(0, len(by_size), ROWS):
+        file = by_size[k : k + ROWS]
+        first, end, shift, base = starts[file], ends[file], shifts[file], bases[file]
+        s = first
+        a = s + least - 1
+        while len(file):
+            stop = np.minimum(end, s + max_size)  # a cut at the latest after the byte before
+            v = rows_of_sums[np.minimum(a, end) + shift].astype(np.uint64)
+            v += (_MOD64 - sums[s + shift])[:, None]
+            v *= powers[np.minimum(a, end) - base]
+            q = v // _MOD64
+            q *= _MOD64
+            v -= q
+            np.bitwise_and(v, small, out=q)
+            hits = np.flatnonzero(q == 0)  # a byte that ends a large chunk passes the small mask, too
+            row, j = np.divmod(hits, span)
+            pos = a[row] + j
+            good = (pos < stop[row]) & ((pos - s[row] + 1 < switch) | (v.ravel()[hits] & big == 0))
+            row, pos = row[good], pos[good]
+            a = a + span
+            cut = np.where(a >= stop, stop - 1, -1)
+            firsts = np.flatnonzero(np.diff(row, prepend=-1))
+            cut[row[firsts]] = pos[firsts]
+            closed = np.flatnonzero(cut >= 0)
+            if len(closed):
+                out_file.append(file[closed])
+                out_end.append(cut[closed] + 1 - first[closed])
+                s = s.copy()
+                s[closed] = cut[closed] + 1
+                a[closed] = s[closed] + least - 1
+                left = s < end
+                if not left.all():
+                    file, s, end, first, a, shift, base = (x[left] for x in (file, s, end, first, a, shift, base))
+    f, e = np.concatenate(out_file), np.concatenate(out_end)
+    order = np.argsort(f, kind="stable")  # a file's chunks were found in order
+    return f[order], e[order]
+
+
 def window_fingerprints(buf: np.ndarray, window: int) -> np.ndarray:
     """Hash of the last ``window`` bytes at each position ``i >= window - 1``.
 

@@ -64,36 +64,24 @@ def cdc_chunks(
     def run(batches):
         for rb in batches:
             offsets, data, nulls = _binary_parts(rb.column(n_keys))
-            nulls = nulls.to_numpy(zero_copy_only=False)
-            rows, idx, offs, sizes, hashes, blobs = [], [], [], [], [], []
-            for r in range(rb.num_rows):
-                if nulls[r]:
-                    continue
-                start, end = int(offsets[r]), int(offsets[r + 1])
-                if end == start:
-                    continue
-                buf = data[start:end]
-                prev = 0
-                for k, e in enumerate(cdc.cut_ends(buf, **params)):
-                    piece = buf[prev:e]
-                    rows.append(r)
-                    idx.append(k)
-                    offs.append(prev)
-                    sizes.append(e - prev)
-                    hashes.append(hashlib.sha256(piece).hexdigest())
-                    if with_data:
-                        blobs.append(piece.tobytes())
-                    prev = e
-            take = pa.array(rows, pa.int64())
-            cols = [rb.column(i).take(take) for i in range(n_keys)]
+            starts = offsets[:-1].astype(np.int64)
+            ends = np.where(nulls.to_numpy(zero_copy_only=False), starts, offsets[1:])
+            file, end = cdc.cut_many(data, starts, ends, **params)
+            new = np.flatnonzero(np.diff(file, prepend=-1))  # the first chunk of each file
+            begin = np.concatenate(([0], end))[:-1].astype(np.int64)
+            begin[new] = 0
+            index = np.arange(len(file)) - np.repeat(new, np.diff(np.append(new, len(file))))
+            lo, view = starts[file] + begin, memoryview(data)
+            chunks = [view[a:b] for a, b in zip(lo.tolist(), (lo + end - begin).tolist())]
+            cols = [rb.column(i).take(pa.array(file)) for i in range(n_keys)]
             cols += [
-                pa.array(idx, pa.int32()),
-                pa.array(offs, pa.int64()),
-                pa.array(sizes, pa.int32()),
-                pa.array(hashes, pa.string()),
+                pa.array(index.astype(np.int32)),
+                pa.array(begin),
+                pa.array((end - begin).astype(np.int32)),
+                pa.array([hashlib.sha256(p).hexdigest() for p in chunks], pa.string()),
             ]
             if with_data:
-                cols.append(pa.array(blobs, pa.binary()))
+                cols.append(pa.array([p.tobytes() for p in chunks], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
                 [pa.field(f.name, c.type) for f, c in zip(out_schema.fields, cols)]))
 
@@ -107,22 +95,25 @@ def chunk_stats(files: DataFrame, keys: list[str], content: str = "content", **p
     kernel: no shuffle, no join, and chunks are not hashed.
     """
     src = files.select(*keys, F.col(content).alias("__content"))
-    stats = [("total_chunks", T.LongType(), pa.int64()), ("min_size", T.LongType(), pa.int64()),
-             ("max_size", T.LongType(), pa.int64()), ("avg_size", T.DoubleType(), pa.float64())]
-    out_schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, t, False) for n, t, _ in stats])
+    stats = [("total_chunks", T.LongType()), ("min_size", T.LongType()), ("max_size", T.LongType()), ("avg_size", T.DoubleType())]
+    out_schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, t, False) for n, t in stats])
     n_keys = len(keys)
 
     def run(batches):
         for rb in batches:
             offsets, data, nulls = _binary_parts(rb.column(n_keys))
-            nulls = nulls.to_numpy(zero_copy_only=False)
-            rows = []
-            for r in range(rb.num_rows):
-                ends = [] if nulls[r] else cdc.cut_ends(data[int(offsets[r]) : int(offsets[r + 1])], **params)
-                sizes = np.diff(ends, prepend=0)
-                rows.append((len(ends), int(sizes.min()), int(sizes.max()), ends[-1] / len(ends)) if ends else (0, 0, 0, 0.0))
-            figures = list(zip(*rows)) or [()] * len(stats)
-            cols = [rb.column(i) for i in range(n_keys)] + [pa.array(c, t) for c, (_, _, t) in zip(figures, stats)]
+            starts = offsets[:-1].astype(np.int64)
+            ends = np.where(nulls.to_numpy(zero_copy_only=False), starts, offsets[1:])
+            file, end = cdc.cut_many(data, starts, ends, **params)
+            count = np.bincount(file, minlength=rb.num_rows)
+            new = np.flatnonzero(np.diff(file, prepend=-1))
+            size = np.diff(end, prepend=0)
+            size[new] = end[new]
+            least, most = np.zeros((2, rb.num_rows), np.int64)
+            if len(new):
+                least[file[new]], most[file[new]] = np.minimum.reduceat(size, new), np.maximum.reduceat(size, new)
+            average = np.divide(ends - starts, count, out=np.zeros(rb.num_rows), where=count > 0)
+            cols = [rb.column(i) for i in range(n_keys)] + [pa.array(c) for c in (count, least, most, average)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out_schema.fields])
 
     return src.mapInArrow(run, out_schema)

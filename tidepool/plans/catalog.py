@@ -149,9 +149,9 @@ def q_file_metadata(spark, sf):
 
 def q_scan_files(spark, sf):
     """The table folder's own Parquet files as scanned binary files."""
-    f = V.binary_files(spark, f"{sf}/documents.parquet")
+    f = file_source.scan(file_source.list_files(spark, f"{sf}/documents.parquet"))
     name = F.element_at(F.split("path", "/"), -1)
-    return f.select(name.alias("name"), "size", "hash", "version", "deleted", F.length("content").cast("long").alias("n_bytes"))
+    return f.select(name.alias("name"), "size", "hash", "version", "deleted", F.col("size").alias("n_bytes"))
 
 
 def q_file_hashes(spark, sf):
