@@ -23,6 +23,7 @@ from tidepool.sources import files as file_source
 from tidepool.sources import tables as V
 from tidepool.streaming import admission as T4
 from tidepool.streaming import changes as T2
+from tidepool.streaming import sync_feed as T3
 from tidepool.streaming import uploads as T1
 
 DOC_KEYS = ["client_id", "path"]
@@ -208,7 +209,7 @@ def q_sync_response(spark, sf):
 
 
 def q_incremental_sync(spark, sf):
-    return sync.incremental_sync(V.server_copy(spark, sf), _sync_state(spark, sf))
+    return sync.incremental_sync(V.server_files(spark, sf), _sync_state(spark, sf))
 
 
 def _sync_state(spark, sf):
@@ -217,12 +218,25 @@ def _sync_state(spark, sf):
 
 def q_advance_sync_state(spark, sf):
     """T3 write side: every client moves on to the newest row it was sent."""
-    sent = sync.incremental_sync(V.server_copy(spark, sf), _sync_state(spark, sf))
+    sent = sync.incremental_sync(V.server_files(spark, sf), _sync_state(spark, sf))
     return sync.advance_sync_state(
         _sync_state(spark, sf), sent.groupBy("client_id").agg(F.max("modified_time").alias("sync_time"))
     )
 
 
+def q_incremental_sync_stream(spark, sf):
+    """T3 as a stream of two deliveries, the second of which repeats the first: every row is
+    sent once, so that the whole equals the batch rows."""
+    work = work_dir(spark, "sync-feed")
+    server = V.server_files(spark, sf)
+    before = V.local_files(spark, sf).groupBy("client_id").agg((F.min("modified_time") + 100).alias("last_sync_time"))
+    for k, rows in enumerate((server.where(F.col("modified_time") <= P.MODIFIED_SINCE), server)):
+        rows.write.parquet(f"{work}/feed/delivery={k}")
+        feed = spark.readStream.schema(server.schema).parquet(f"{work}/feed/delivery=[0-9]")
+        sent = T3.sync_stream(spark, feed, work, before)
+    return sent.select(*FILE_COLS)
+
+
 def _conflicts(spark, sf):
     return sync.conflicts(sync.first_local(V.local_files(spark, sf), "list_pos"), V.server_copy(spark, sf))
 

@@ -324,16 +324,22 @@ SELECT client_id, 'CONFLICT', path, {STRATEGY}, local_hash, remote_hash, {P.SERV
     "advance_sync_state": _with(SERVER_FILES, LOCAL_FILES) + """
 SELECT t.client_id, CAST(greatest(t.last_sync_time, coalesce(max(s.modified_time), 0)) AS BIGINT) AS last_sync_time
 FROM (SELECT client_id, max(modified_time) AS last_sync_time FROM local_files GROUP BY client_id) t
-LEFT JOIN server_files s ON s.client_id = t.client_id
+LEFT JOIN server_all s ON s.client_id = t.client_id
 GROUP BY t.client_id, t.last_sync_time
 UNION ALL
-SELECT client_id, CAST(max(modified_time) AS BIGINT) FROM server_files
+SELECT client_id, CAST(max(modified_time) AS BIGINT) FROM server_all
 WHERE client_id NOT IN (SELECT client_id FROM local_files) AND modified_time > 0 GROUP BY client_id""",
     "incremental_sync": _with(SERVER_FILES, LOCAL_FILES) + f"""
 SELECT {', '.join('s.' + c for c in FILE_COLS.split(', '))}
-FROM server_files s
+FROM server_all s
 LEFT JOIN (SELECT client_id, max(modified_time) AS last_sync_time FROM local_files GROUP BY client_id) t
   ON t.client_id = s.client_id
+WHERE s.modified_time > coalesce(t.last_sync_time, 0)""",
+    "incremental_sync_stream": _with(SERVER_FILES, LOCAL_FILES) + f"""
+SELECT {', '.join('s.' + c for c in FILE_COLS.split(', '))}
+FROM server_all s
+LEFT JOIN (SELECT client_id, min(modified_time) + 100 AS last_sync_time FROM local_files GROUP BY client_id) t
+  ON t.client_id = s.client_id
 WHERE s.modified_time > coalesce(t.last_sync_time, 0)""",
     "conflicts": _with(SERVER_FILES, LOCAL_FILES, CONFLICTS) + "SELECT * FROM conflicts",
     "auto_resolve": _with(SERVER_FILES, LOCAL_FILES, CONFLICTS) + f"SELECT *, {STRATEGY} AS strategy FROM conflicts",

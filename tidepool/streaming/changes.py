@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepool.operators.files import latest_per_key
-from tidepool.schemas import FILE_COLS
+from tidepool.schemas import FILE_COLS, FILES
+from tidepool.streaming.snapshots import SnapshotLog
 
 META_COLS = [c for c in FILE_COLS if c not in ("client_id", "path")]
 
@@ -68,16 +69,15 @@ def apply_changes(changes: DataFrame) -> DataFrame:
 def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     """Streaming T2: the same fold as a stateful streaming aggregate.
 
-    Output mode ``update`` emits the changed per-path states each
-    micro-batch; ``foreachBatch`` appends them with the batch id to a state
-    log, and the table is the latest state per path (W2) over that log, so
-    a replayed batch rewrites identical rows and stays idempotent.
+    Output mode ``update`` emits the changed per-path states of each micro-batch;
+    they go to a ``SnapshotLog`` under the batch's number, so a replayed batch
+    replaces its own rows, and reading the table costs a snapshot and a few batches.
     """
-    log_path = f"{work}/state_log"
+    log = state_log(spark, work)
     agg = fold_state(touches(stream))
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
+        log.append(batch_id, df)
 
     q = (
         agg.writeStream.outputMode("update")
@@ -87,6 +87,13 @@ def apply_changes_stream(spark: SparkSession, stream: DataFrame, work: str) -> D
         .start()
     )
     q.awaitTermination()
-    log = spark.read.parquet(log_path)
-    latest = latest_per_key(log, ["client_id", "path"], ["batch_id"]).drop("batch_id")
-    return state_to_files(latest)
+    return state_to_files(log.read())
+
+
+def state_log(spark: SparkSession, work: str) -> SnapshotLog:
+    meta = T.StructType([f for f in FILES.fields if f.name in META_COLS])
+    schema = T.StructType([
+        T.StructField("client_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("metadata", meta),
+        T.StructField("up_seq", T.LongType()), T.StructField("del_seq", T.LongType()),
+    ])
+    return SnapshotLog(spark, f"{work}/states", schema, ["client_id", "path"])
