@@ -39,7 +39,7 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
 
 
-def components(docs):
+def components(docs, percent=85):
     sets = [shingles(t) for _, t in docs]
     root = list(range(len(docs)))
 
@@ -52,7 +52,7 @@ def components(docs):
     for a, i in enumerate(order):
         for j in order[a + 1 :]:
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * len(sets[i] | sets[j]) and find(i) != find(j):
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]) and find(i) != find(j):
                 x, y = sorted((find(i), find(j)), key=lambda k: docs[k][0])
                 root[y] = x
     return {docs[k][0]: (len(sets[k]), docs[find(k)][0]) for k in range(len(docs))}

@@ -180,6 +180,15 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert op06_minhash.grouped(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shared_and_null_ids_lose_no_link(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    near, other = a.replace("a59", "x"), " ".join(f"b{i}" for i in range(60))
+    group = lambda docs: sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in op06_minhash.grouped(spark.createDataFrame(docs, DOCS)).collect()), key=repr)
+    assert group([(1, a), (5, other), (5, near)]) == [(1, 1, True), (5, 1, False), (5, 5, True)]
+    assert group([(None, a), (7, near), (None, other)]) == sorted([(None, 7, False), (7, 7, True), (None, None, True)], key=repr)
+    assert group([(None, a), (None, near)]) == sorted([(None, None, False), (None, None, True)], key=repr)
+
+
 def test_signatures_estimate_with_less_variance_than_independent_hashes():
     rng = np.random.default_rng(2)
     errors = []

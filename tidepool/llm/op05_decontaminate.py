@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import slices, table, text_of
+from tidepool.llm.common import slices, table, text_of, unused
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -305,7 +305,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Documents of which nothing but hits was left are dropped; columns stay as they are.
     """
-    hits = F.col("_hits")
+    out = unused(docs, "hits")
+    hits = F.col(out)
     spans, text = hits["spans"], F.col(text_col)
     n = (F.size(spans) / 2).cast("int")
     # piece k lies between the end of span k - 1 and the start of span k
@@ -314,8 +315,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         F.substring(text, start(k) + 1, F.get(spans, 2 * k) - start(k))
     )
     cut = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), n), piece), lambda x: F.trim(x) != ""), "\n")
-    found = with_hits(docs, benchmark, text_col, out="_hits").filter((hits["n_hit"] == 0) | (hits["n_hit"] < hits["n_words"]))
-    return found.withColumn(text_col, F.when(hits["n_hit"] > 0, cut).otherwise(text)).drop("_hits")
+    found = with_hits(docs, benchmark, text_col, out=out).filter((hits["n_hit"] == 0) | (hits["n_hit"] < hits["n_words"]))
+    return found.withColumn(text_col, F.when(hits["n_hit"] > 0, cut).otherwise(text)).drop(out)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

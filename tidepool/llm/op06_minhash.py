@@ -6,8 +6,9 @@
    values use each whole number once, so slots are negatively correlated and the
    estimate has less variance than independent hashes; a document stops as soon as
    all its slots hold values below the current step, after 2 to 4 steps for most.
-2. Documents with equal sets are one class, represented by their smallest id; only
-   representatives go on, so exact copies cost one row each.
+2. Documents with equal sets are one class, represented by the row with the smallest id
+   and text digest, under a number of its own; only representatives go on, so exact
+   copies cost one row each.
 3. Signatures are cut into bands; documents that share a band are joined to the
    smallest of their bucket.  The components of these star edges are the cells:
    every pair that shares a band lies in one cell.
@@ -24,9 +25,10 @@ a pair at 0.9 with 1e-10.  At another ``percent`` bands have the most rows with
 a pair at the threshold is missed with at most ``MISSED`` (at 80: 5 rows, 38 bands).
 
 Cases: null or empty texts have empty sets and stay alone; a text of fewer than five
-words is one shingle of all its words; repeated rows are copies of each other (rows
-that share an id are one node); rows with a null id get the component of their
-copies, else null, and are kept if there is none; an empty table gives no rows.
+words is one shingle of all its words; repeated rows are copies of each other; rows that
+share an id but not the text are different documents, each in its own text's group; a row
+with a null id is in its text's group like any other, and if no row of a group has an id,
+its component is null and the rows of one of its texts are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import slices, stored, table, text_of
@@ -149,21 +151,24 @@ def band_keys(signatures: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, TEXTS):
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         place = {t: k for k, t in enumerate(dict.fromkeys(texts))}  # equal texts of a batch are computed once
         sets = shingle_sets(list(place))
         keys = band_keys(super_minhash(sets), percent).view(np.int64)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         at = [place[t] for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([digests[k] for k in at], pa.binary()),
+            [batch.column(0), batch.column(1), pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([digests[k] for k in at], pa.binary()),
              pa.FixedSizeListArray.from_arrays(pa.array(keys[at].reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))],
-            names=["id", "n_shingles", "digest", "bands"],
+            names=["id", "key", "n_shingles", "digest", "bands"],
         )
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, TEXTS):
+        # equal rows arrive one after the other: one of them is enough
+        names = list(zip(batch.column("cell").to_pylist(), batch.column("id").to_pylist()))
+        batch = batch.take(pa.array([k for k, n in enumerate(names) if not k or n != names[k - 1]], pa.int32()))
         sets = shingle_sets(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("cell"), batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cell", "id", "set"]
@@ -291,28 +296,51 @@ def placed(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document row; links from a similarity of ``percent`` on."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(lambda batches: _signed(batches, percent), "id long, n_shingles long, digest binary, bands array<long>"), "minhash")
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = signed.filter("digest is not null").join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    reps = stored(reps.select("id", "n_shingles", "bands").dropDuplicates(["id"]), "reps")
+    return judged(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
-    cells = components(bucket_edges(reps)).withColumnRenamed("node", "id").join(reps.select("id", "n_shingles"), "id")
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``grouped`` with ``text_key`` (SHA-256 of the text) and ``first``: of each group the rows of one text
+    under one id are first, and every row without words; a caller who joins its
+    documents on id and text key keeps one of each group, null and shared ids included.
+    """
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    signed = rows.mapInArrow(lambda batches: _signed(batches, percent), "id long, key binary, n_shingles long, digest binary, bands array<long>")
+    signed = stored(signed, "minhash")
+    # a class is a set of shingles; its node has a number of its own, whatever ids its rows have
+    worded = signed.filter("digest is not null")
+    order = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last(), "key")  # the limit to one row also holds before the shuffle
+    reps = worded.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k").withColumn("node", F.monotonically_increasing_id())
+    reps = stored(reps, "reps")
+
+    nodes = reps.select(F.col("node").alias("id"), "n_shingles", "bands")
+    cells = components(bucket_edges(nodes)).withColumnRenamed("node", "id").join(nodes.select("id", "n_shingles"), "id")
     tasks = stored(placed(stored(cells, "cells"), percent), "cell-tasks")
     # the text goes to the candidates once; sets go to each task of theirs
-    wanted = tasks.groupBy("id").agg(F.collect_set("cell").alias("cells"))
-    sets = rows.join(wanted, "id").select(F.explode("cells").alias("cell"), "id", "text").mapInArrow(_with_sets, "cell string, id long, set binary")
+    wanted = tasks.groupBy("id").agg(F.collect_set("cell").alias("cells")).withColumnRenamed("id", "node")
+    wanted = wanted.join(reps.select("node", F.col("id").alias("rep"), F.col("key").alias("rep_key")), "node")
+    found = rows.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep")))
+    sets = found.select(F.explode("cells").alias("cell"), F.col("node").alias("id"), "text").mapInArrow(_with_sets, "cell string, id long, set binary")
     links = sets.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(lambda batches: _linked(batches, percent), "u long, v long")
-    roots = components(links)
-
-    of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("digest").alias("d"), F.coalesce("root", "rep").alias("component")
+    roots = components(links).withColumnRenamed("node", "member")
+
+    member = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "node", "id", "key", "digest")
+    # of each group the class with the smallest id, null last, and of several with it the first one
+    smallest = member.groupBy("root").agg(F.min("id").alias("component"))
+    chosen = member.join(smallest, "root").withColumn("at", F.when(F.col("id").eqNullSafe(F.col("component")), F.col("node")))
+    winner = chosen.groupBy("root").agg(F.min("at").alias("winner"))
+    of_class = chosen.join(winner, "root").select(
+        F.col("digest").alias("d"), "component", F.when(F.col("node") == F.col("winner"), F.col("id")).alias("first_id"),
+        F.when(F.col("node") == F.col("winner"), F.col("key")).alias("first_key"),
     )
-    joined = signed.select("id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
-    component = F.coalesce("component", "id")
+    joined = signed.select("id", "key", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
+    alone = F.col("digest").isNull()
+    first = alone | (F.col("key").eqNullSafe(F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")))
+    component = F.when(alone, F.col("id")).otherwise(F.col("component"))
     return joined.select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        F.coalesce(F.col("id") == component, component.isNull() & first).alias("kept"), F.col("key").alias("text_key"), first.alias("first"),
     )
 
 
