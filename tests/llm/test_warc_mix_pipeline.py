@@ -1,10 +1,12 @@
 """op8 WARC, op10 mixing, the pipeline."""
 
 import random
+import gzip
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import public_tokenizers
 from helpers import SF, WORD, components, documents, hits, quality, rows_of, sha, targets
 from tokenizers import Tokenizer
@@ -56,6 +58,47 @@ def test_broken_archives_are_errors():
             list(op08_warc.parse_records(bad))
 
 
+FOREIGN = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:i>\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type:response\r\nwarc-record-id:<urn:uuid:r>\r\nWARC-Target-URI: http://a:80/\r\nContent-Length:24\r\n\r\n"
+    b"HTTP/1.1 200 OK\r\n\r\nbody!\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:m>\r\nWARC-Concurrent-To: <urn:uuid:r>\r\nWARC-Concurrent-To: <urn:uuid:q>\r\n"
+    b"X-Folded: one\r\n two\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:b>\r\nContent-Length: 3000000\r\n\r\n" + b"z" * 3_000_000 + b"\r\n\r\n",
+]
+
+
+@pytest.mark.parametrize("how", ["members", "whole", "padded", "plain"])
+def test_archives_of_other_writers(spark, tmp_path, monkeypatch, how):
+    """One gzip member per record, as is usual; headers in any case, without a space, repeated, folded."""
+    monkeypatch.setattr(op08_warc, "STEP", 1 << 16)
+    pack = {"members": lambda: b"".join(map(gzip.compress, FOREIGN)), "whole": lambda: gzip.compress(b"".join(FOREIGN)),
+            "padded": lambda: b"\0\0".join(map(gzip.compress, FOREIGN)), "plain": lambda: b"".join(FOREIGN)}[how]()
+    (tmp_path / "x.warc.gz").write_bytes(pack)
+    got = {r["record_id"]: r for r in op08_warc.read_records(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"<urn:uuid:{x}>" for x in "irmb"}
+    assert bytes(got["<urn:uuid:r>"]["body"]) == b"body!" and got["<urn:uuid:r>"]["uri"] == "http://a:80/" and len(got["<urn:uuid:b>"]["body"]) == 3_000_000
+    assert got["<urn:uuid:m>"]["concurrent"] == ["<urn:uuid:r>", "<urn:uuid:q>"]
+    assert [h["x-folded"] for h, _ in op08_warc.parse_records(b"".join(FOREIGN)) if "x-folded" in h] == [["one two"]]
+
+
+def test_a_member_that_is_cut_off_is_an_error():
+    whole = b"".join(map(gzip.compress, FOREIGN[:3]))
+    assert len(list(op08_warc.parse_records(op08_warc.inflated(whole)))) == 3
+    with pytest.raises(ValueError):
+        list(op08_warc.parse_records(op08_warc.inflated(whole[:-9])))
+
+
+def test_revisits_name_a_record(spark):
+    df = spark.createDataFrame([(k, f"u{k}", "b" * 200) for k in (3, 1, 2, 1)], "page_id long, url string, html string")
+    path = shared_dir(spark, "warc")
+    op08_warc.write_archives(df, path)
+    records = op08_warc.read_records(spark, path).collect()
+    ids = {r["record_id"]: r for r in records}
+    again = [r for r in records if r["type"] == "revisit"]
+    assert len(again) == 2 and all(ids[r["refers_to_record"]]["page_id"] == 1 and ids[r["refers_to_record"]]["type"] == "response" for r in again)
+
+
 # ---------------------------------------------------------------- op10
 def check_mix(rows, docs):
     """``docs``: (doc_id, text, source)."""
@@ -140,7 +183,7 @@ def test_pipeline_stages(spark):
                     assert i not in kept or i == 0
             assert 900_000 not in kept and len(kept) > 100
         elif name == "near_dedup":
-            groups = components(list(dict(before).items()))
+            groups = components(list(dict(before).items()), corpus_pipeline.NEAR_PERCENT)
             assert sorted(r["doc_id"] for r in after) == sorted(i for i, (_, c) in groups.items() if i == c)
         elif name == "decontaminate":
             assert all(v[1] == 0 for v in hits([(r["doc_id"], r["text"]) for r in after], items).values())
@@ -168,12 +211,41 @@ def test_pipeline_stages(spark):
     assert list(seen) == [n for n, _ in corpus_pipeline.STAGES]
 
 
+NEAR_A = " ".join(f"a{i}" for i in range(60))
+OTHER = " ".join(f"b{i}" for i in range(60))
+NEAR_COPY = " ".join([*(f"a{i}" for i in range(58)), "x", "y"])
+
+
+def test_near_copies_with_shared_and_null_ids(spark):
+    """Texts under one id are documents of their own: none is lost, and no link is."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    run = lambda rows: sorted(
+        ((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), SF).collect()),
+        key=repr,
+    )
+    assert run([(1, NEAR_A), (1, OTHER), (2, NEAR_COPY)]) == sorted([(1, NEAR_A), (1, OTHER)], key=repr)
+    assert run([(1, NEAR_A), (5, OTHER), (5, NEAR_COPY)]) == sorted([(1, NEAR_A), (5, OTHER)], key=repr)
+    assert len(run([(None, NEAR_A), (None, NEAR_COPY), (None, OTHER)])) == 2
+    assert run([(None, NEAR_A), (3, NEAR_COPY), (3, NEAR_COPY), (None, OTHER), (None, OTHER)]) == sorted([(3, NEAR_COPY), (None, OTHER)], key=repr)
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named like the stages' own helpers pass through."""
+    docs = table(spark, SF, "documents").limit(40)
+    names = ["_id", "_k", "_hits", "_quality", "hits", "kept_id", "kept_key", "quality", "mix_id", "mix_total", "mix_rows", "mix_copies", "mix_copy", "HITS_", "text_key", "first"]
+    docs = stored(docs.select("*", *[F.lit(n).alias(n) for n in names]), "clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_run_and_registry(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) > 100 and corpus_pipeline.ORACLE_SQL is None
     import __spark_entry__ as entry
 
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
