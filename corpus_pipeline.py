@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import op05_decontaminate, op06_minhash, op07_quality, op09_token_files, op10_mixing
-from tidepool.llm.common import shared_dir, stored, table, text_of
+from tidepool.llm.common import shared_dir, stored, table, text_of, unused
 
 TOKENIZER = "word_bpe_49k.json"
+NEAR_PERCENT = 80  # similarity of five-word shingle sets from which documents are near copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    q = F.col("_quality")
-    judged = op07_quality.judged(docs, out="_quality").filter(q["kept"])
+    out = unused(docs, "quality")
+    q = F.col(out)
+    judged = op07_quality.judged(docs, out=out).filter(q["kept"])
     changed = q["n_bad_lines"] > 0
     return judged.withColumns({
         "text": F.when(changed, q["cleaned"]).otherwise(F.col("text")),
@@ -27,17 +29,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    groups = stored(op06_minhash.grouped(docs).select("doc_id", "kept"), "groups")
-    # as many ids as documents: not to be sent to every task, whatever a small run's estimate says
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
+    """One document of each group of near copies; rows are told apart by id and text, so
+    that texts under a shared id, or under none, are documents of their own."""
+    first = op06_minhash.judged(docs, percent=NEAR_PERCENT).filter("first").select("doc_id", "text_key")
+    first = stored(first, "groups")
+    own_id, key = unused(docs, "kept_id"), unused(docs, "kept_key")
+    # as many rows as documents: not to be sent to every task, whatever a small run's estimate says
+    kept = first.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key)).distinct().hint("merge")
+    text_key = F.unhex(F.sha2(text_of("text"), 256))
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_key == F.col(key)), "left_semi")
+    if first.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         return left
-    # rows that share an id are one document; rows without an id are told apart by their text
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(text_of("text"), 256)))
-    return left.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    return left.withColumn(key, text_key).dropDuplicates(["doc_id", key]).drop(key)  # repeated rows
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +51,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that share an id share its copies."""
-    rows = op10_mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias("_t"), F.count(F.lit(1)).alias("_k")).withColumnRenamed("doc_id", "_id")
-    share = F.floor(F.col("_t") / F.col("_k")) + (F.pmod(F.xxhash64("text"), F.col("_k")) < F.col("_t") % F.col("_k")).cast("long")
-    taken = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", share.cast("int")).filter("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    own_id, total, rows, copies, copy = (unused(docs, n) for n in ("mix_id", "mix_total", "mix_rows", "mix_copies", "mix_copy"))
+    mixed = op10_mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)).withColumnRenamed("doc_id", own_id)
+    share = F.floor(F.col(total) / F.col(rows)) + (F.pmod(F.xxhash64("text"), F.col(rows)) < F.col(total) % F.col(rows)).cast("long")
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(own_id))).withColumn(copies, share.cast("int")).filter(F.col(copies) > 0)
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
