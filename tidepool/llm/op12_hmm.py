@@ -39,6 +39,8 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,11 @@ HELD_OUT = (7, 2)
 END = b" "  # no word holds a space
 
 
+def numbered() -> defaultdict:
+    """Numbers words in order of their first use."""
+    return defaultdict(count().__next__)
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of up to about ``CHUNK_TOKENS`` tokens of whole documents.
 
@@ -82,7 +89,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        index, tokens, doc_ids, lens, held, kind = {END: 0}, [], [], [], [], None
+        index, tokens, doc_ids, lens, held, kind = numbered(), [], [], [], [], None
         n = 0
 
         def flush():
@@ -96,7 +103,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 [pa.array([number]), pa.array([zlib.compress(ids.tobytes(), 1)], pa.binary()), *[wrap(v, t) for v, t in lists]],
                 names=schema.names,
             )
-            index, tokens, doc_ids, lens, held, n = {END: 0}, [], [], [], [], 0
+            index, tokens, doc_ids, lens, held, n = numbered(), [], [], [], [], 0
             number += 1
             return out
 
@@ -105,8 +112,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             for i, h, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
                 words = (t or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
                 words.append(END)
-                seen = index
-                tokens.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint32, len(words)))
+                tokens.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
                 doc_ids.append(i)
                 lens.append(len(words))
                 held.append(h)
