@@ -19,7 +19,8 @@ Cases: null or empty html, or html without text, gives the empty string; broken
 markup is read the way browsers do (open elements end with their parent, stray end
 tags are ignored, a ``<`` that opens no tag is text); character references are
 decoded once; repeated pages are extracted alike; columns other than the html pass
-through.  One pass, a page at a time, in time linear in its length.
+through.  One pass, a page at a time; linear on ordinary pages, but unclosed tags and stray end
+tags are searched again, so a page made of them takes quadratic time.
 """
 
 from __future__ import annotations
