@@ -30,7 +30,8 @@ candidate is moved.
 Cases: null text is empty; a document without spans is returned with an empty list
 and the digest of the empty string; repeated rows are scanned alike; columns other
 than id and text are ignored by the query and passed through by ``scanned``.  Work
-per document is linear in its text but for candidates, each held against all base spans of the text; spans are placed by blocked running sums.
+per document is linear in its text but for candidates, each held against all base
+spans of the text; spans are placed by blocked running sums.
 """
 
 from __future__ import annotations

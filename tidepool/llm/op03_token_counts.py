@@ -2,8 +2,8 @@
 
 Every text is named by the SHA-256 of its content and the tokenizer by the SHA-256
 of its file and library version.  Both digests are joined to the counts stored so
-far; of the texts without one, each distinct text is encoded once (under null ids once a row), and its count is
-appended to the cache (a Parquet table in a folder the caller names).  Later runs,
+far; of the texts without one, each distinct text is encoded once (under null ids
+once a row), and its count is appended to the cache (a Parquet table in a folder the caller names).  Later runs,
 with the same or with overlapping texts, encode only what is new; another tokenizer
 never meets this one's counts.
 
