@@ -27,7 +27,7 @@ def empty_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CHUNK_STORE)
 
 
-def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str]) -> DataFrame:
+def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
     """Chunks to append to the store, each hash once, first writer wins.
 
     ``incoming`` has ``hash, data`` plus the ``order`` columns, which tell its rows
@@ -37,9 +37,12 @@ def new_store_rows(incoming: DataFrame, store: DataFrame, order: list[str]) -> D
     First writers are a top-1 per hash with a map-side partial limit, and the
     anti-join reads hashes only: bytes move once, for the winners, by (hash, order),
     which no hash makes hot.
+
+    ``known`` has the hashes of ``incoming`` that are in the store, where an index gave them
+    (``membership.stored_hashes``); then the store itself is not read.
     """
     first = latest_per_key(incoming.select("hash", *order), ["hash"], order, first=True)
-    fresh = first.join(store.select("hash").distinct(), "hash", "left_anti")
+    fresh = first.join(store.select("hash").distinct() if known is None else known, "hash", "left_anti")
     blobs = incoming.select("hash", *order, "data").join(fresh, ["hash", *order], "left_semi")
     return blobs.select(
         hash_prefix("hash").alias("hash_prefix"),

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import paths
 from tidepool.functions.timeutil import utc_wall_clock
-from tidepool.operators import bytesjobs, chunking, delta, files, metrics, ratelimit, storage, sync
+from tidepool.operators import bytesjobs, chunking, delta, files, membership, metrics, ratelimit, sketches, storage, sync
 from tidepool.plans import params as P
-from tidepool.schemas import FILE_COLS
+from tidepool.schemas import CHUNK_STORE, FILE_COLS
 from tidepool.session import work_dir
 from tidepool.sources import files as file_source
 from tidepool.sources import tables as V
@@ -106,6 +106,21 @@ def q_distinct_hashes(spark, sf):
     return delta.distinct_hashes(_doc_chunks(spark, sf, small=True))
 
 
+def q_distinct_hashes_estimate(spark, sf):
+    """A12 by sketches: one per client and day, stored, united per client and year, beside the exact count."""
+    log = V.manifest_log(spark, sf)
+    root = work_dir(spark, "hash-sketches")
+    by_day = sketches.hash_sketches(log.withColumn("day", F.to_date("l_shipdate")), ["client_id", "day"])
+    sketches.write_sketches(by_day, root, 0)
+    year = F.year("day").alias("year")
+    found = sketches.estimates(sketches.read_sketches(spark, root), ["client_id", year])
+    exact = log.groupBy("client_id", F.year("l_shipdate").alias("year")).agg(F.count_distinct("hash").alias("distinct_hashes"), F.count("hash").alias("n_hashes"))
+    close = F.abs(F.col("estimate") - F.col("distinct_hashes")) <= 0.03 * F.col("distinct_hashes")
+    return found.withColumnRenamed("n_hashes", "n").join(exact, ["client_id", "year"]).select(
+        "client_id", "year", F.col("n").alias("n_hashes"), "distinct_hashes", close.alias("within_3_percent")
+    )
+
+
 # ---------------------------------------------------------------- delta
 def q_delta_new(spark, sf):
     old, new = _version_chunks(spark, sf)
@@ -273,6 +288,20 @@ def q_store_chunks(spark, sf):
     return fresh.select("hash_prefix", "hash", "size", "first_conv_id", "first_chunk_index", "hash_ok")
 
 
+def q_store_chunks_indexed(spark, sf):
+    """S4 against a written store with its membership index."""
+    conv = V.conv_chunks(spark, sf)
+    order = ["conv_id", "chunk_index"]
+    root = work_dir(spark, "indexed-store")
+    existing = storage.new_store_rows(conv.where(F.col("chunk_index") == 0), storage.empty_store(spark), order)
+    membership.write_index(existing, f"{root}/index")
+    storage.write_store(existing, f"{root}/store")
+    store = spark.read.schema(CHUNK_STORE).parquet(f"{root}/store")
+    known = membership.stored_hashes(conv, store, membership.read_index(spark, f"{root}/index"))
+    fresh = storage.new_store_rows(conv, store, order, known)
+    return fresh.select("hash_prefix", "hash", "size", "first_conv_id", "first_chunk_index", "hash_ok")
+
+
 def q_fetch_chunks(spark, sf):
     got = storage.fetch_chunks(_probe_hashes(spark, sf), _conv_store(spark, sf))
     return got.select("hash", "found", F.length("data").cast("int").alias("n_bytes"),

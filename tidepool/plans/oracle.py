@@ -218,6 +218,10 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_chunks, CAST(count(*) AS BIG
 FROM (SELECT hash, count(*) AS n, sum(size) AS bytes, min(size) AS first_size FROM c_chunks GROUP BY hash)""",
     "cdc_chunks_switch": _doc_cdc(True, switch=P.SWITCH) + 'SELECT client_id, path, chunk_index, "offset", size, hash FROM c_chunks',
     "distinct_hashes": _doc_cdc(True) + "SELECT DISTINCT hash FROM c_chunks",
+    "distinct_hashes_estimate": """
+SELECT 'c0' AS client_id, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n_hashes,
+       count(DISTINCT l_partkey) AS distinct_hashes, true AS within_3_percent
+FROM lineitem GROUP BY year(l_shipdate)""",
     # ------------------------------------------------------------ delta
     "delta_new": _ver_cdc() + """
 SELECT n.path, n.chunk_index, n."offset", n.size, n.hash FROM n_chunks n
@@ -504,3 +508,4 @@ FROM full_windows GROUP BY fp HAVING count(DISTINCT doc_id) > 1"""
 
 
 ORACLE["window_fingerprints"] = _fingerprints_sql()
+ORACLE["store_chunks_indexed"] = ORACLE["store_chunks"]

@@ -7,8 +7,9 @@ Per micro-batch (``foreachBatch``):
    whichever batch brought it.  The first messages of the batch are logged
    (``uploads_log``); of several entries of an upload the earliest batch and message
    hold.
-2. S4: the first writer of each hash not yet stored is appended to the store; the
-   anti-join against it makes a replayed batch write nothing twice.
+2. S4: the first writer of each hash not yet stored is appended to the store, so a
+   replayed batch writes nothing twice.  Membership comes from the store's index
+   (``membership``): hashes read follow the batch, not the store.
 3. S11: manifest rows are appended to a log with the batch id; the manifest is the
    latest row per ``(client, file, index)`` (W2), read for the batch's files only.
 4. S6: files whose manifest count over all batches reached the total (A6) are rebuilt
@@ -25,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators import storage
+from tidepool.operators import membership, storage
 from tidepool.operators.files import latest_per_key
 from tidepool.schemas import CHUNK_STORE, FILE_COLS, FILES, UPLOAD
 
@@ -60,6 +61,15 @@ def _headers(spark: SparkSession, work: str, batch: DataFrame) -> DataFrame:
     return latest_per_key(log, ["upload_id"], ["batch_id", "seq"], first=True).drop("seq", "batch_id")
 
 
+def _store_index(spark: SparkSession, path: str, store: DataFrame) -> DataFrame | None:
+    """The store's membership index; a store from before it had one is indexed whole, once."""
+    index = membership.read_index(spark, path)
+    if index is None and not store.isEmpty():
+        membership.write_index(store, path)
+        index = membership.read_index(spark, path)
+    return index
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: str, finalized_at: int) -> None:
     store_path = f"{work}/chunk_store"
     batch = batch.persist()
@@ -71,8 +81,13 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, work: st
     rows = batch.select(
         "upload_id", "seq", F.col("chunk.index").alias("chunk_index"), F.col("chunk.hash").alias("hash"), F.col("chunk.data").alias("data")
     )
-    fresh = storage.new_store_rows(rows.select("hash", "data", "seq", "upload_id"), _log(spark, store_path, CHUNK_STORE), ["seq", "upload_id"])
+    store = _log(spark, store_path, CHUNK_STORE)
+    index = _store_index(spark, f"{work}/chunk_index", store)
+    known = membership.stored_hashes(rows, store, index).persist()
+    fresh = storage.new_store_rows(rows.select("hash", "data", "seq", "upload_id"), store, ["seq", "upload_id"], known)
+    membership.write_index(fresh, f"{work}/chunk_index")
     storage.write_store(fresh, store_path)
+    known.unpersist()
 
     meta = rows.select("upload_id", "seq", "chunk_index", "hash", F.length("data").cast("int").alias("size")).join(headers, "upload_id")
     (
