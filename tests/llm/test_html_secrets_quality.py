@@ -64,6 +64,66 @@ def test_pages_keep_their_article_and_extra_columns(spark):
     assert op01_html.op1_html_text(spark, SF).filter("n_chars != length(text)").count() == 0
 
 
+def test_link_paragraphs_between_prose_stay():
+    link = "<p><a href=x>All of this one paragraph is a link</a>"
+    assert op01_html.main_text(f"<p>{BODY}{link}<p>{BODY}{link}") == f"{BODY.strip()}\n\nAll of this one paragraph is a link\n\n{BODY.strip()}"
+
+
+@pytest.mark.parametrize("html,text", [
+    (f'<p>{BODY}<a href="x title=y>here</a> it goes <a href="z">on</a>.', f"{BODY}here it goes on."),
+    (f"<p title='it>{BODY}", BODY.strip()), (f'<p title="a > b" id=x>{BODY}', BODY.strip()), (f"<p>{BODY}<a b", f"{BODY}<a b"),
+    (f"<!--><p>{BODY}<!---><!-- x --><! y><?z>", BODY.strip()), (f"<p>{BODY}<!-- open", BODY.strip()), (f"<p title = 'a>b' x='' y=\"\"/>{BODY}", BODY.strip()),
+])
+def test_broken_tags(html, text):
+    assert op01_html.main_text(html) == text
+
+
+@pytest.mark.parametrize("unit,after", [
+    ("<a ", ""), ("<div>", "</x>"), ("<b>", "<p></b>"), ("<p><table>", "<h1>"), ("<a b=\"", "'>"), ("<!", ""), ("<script>", ""), ("<a b='x' ", "<"),
+    ("<ul><li>", "<p></ul>"), ("<i class=menu>", "</i>"), ("word <p>", ""), ("&amp", ";"),
+])
+def test_long_pages_of_broken_markup_take_linear_time(unit, after):
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        op01_html.main_text(unit * n + after * n)
+        return time.process_time() - begin
+
+    seconds(100)
+    assert seconds(40000) < 8  # quadratic: minutes
+
+
+def test_main_lines_equal_the_definition():
+    rng = random.Random(9)
+    for _ in range(500):
+        lines = []
+        for _ in range(rng.randint(0, 14)):
+            text = "x" * rng.choice([1, 5, 30, 60, 200])
+            lines.append((text + str(len(lines)), rng.random() < 0.3, False, rng.choice([0, 0, len(text) + 3])))
+        value = [0 if boiler or links > len(t) / 2 else len(t) for t, boiler, _, links in lines]
+        window = [sum(value[k : k + 3]) for k in range(len(lines))]
+        surge = min(86, max(window, default=0))
+
+        def stretch(k):  # the lines around k without a window of 0
+            a = b = k
+            while a and window[a - 1]:
+                a -= 1
+            while b + 1 < len(lines) and window[b + 1]:
+                b += 1
+            return range(a, b + 1)
+
+        expect = []
+        for k, (text, boiler, _, _) in enumerate(lines):
+            if not window[k] or boiler or max(window[j] for j in stretch(k)) < surge:
+                continue
+            before = any(value[j] for j in stretch(k) if j < k)
+            after = any(value[j] for j in stretch(k) if j > k)
+            if value[k] or before and after:
+                expect.append(text)
+        assert op01_html.main_lines(lines) == expect
+
+
 # ---------------------------------------------------------------- op2
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 

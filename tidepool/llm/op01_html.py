@@ -12,15 +12,16 @@ taken out inside it leave no line at all.
 
 Sums of lengths over windows of ``WIDTH`` lines then show the article: sums rise from
 0, surge to at least ``SURGE`` characters (or the page's highest sum, if less), and
-dive to 0 again.  Lines with text between such a rise and its dive are kept, all
-stretches with a surge in page order.
+dive to 0 again.  Lines with text between such a rise and its dive are kept, and so are lines of
+links with text before and after them in the stretch; all stretches with a surge in page order.
 
 Cases: null or empty html, or html without text, gives the empty string; broken
 markup is read the way browsers do (open elements end with their parent, stray end
 tags are ignored, a ``<`` that opens no tag is text); character references are
 decoded once; repeated pages are extracted alike; columns other than the html pass
-through.  One pass, a page at a time; linear on ordinary pages, but unclosed tags and stray end
-tags are searched again, so a page made of them takes quadratic time.
+through.  A tag whose quoted value is never closed ends at its first ``>``; a self-closed tag holds
+nothing.  One forward scan, a page at a time, linear for any markup: nothing is searched twice, and
+stray end tags cost nothing.
 """
 
 from __future__ import annotations
@@ -41,9 +42,8 @@ WIDTH = 3
 SURGE = 86
 LINK_SHARE = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_TAG_STOP = re.compile(r"=\s*([\"'])|>")  # a quote opens a value after an equals sign only
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -68,6 +68,43 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Where the ``>`` of a tag is whose name ends at ``at``; -1 if there is none.
+
+    A quoted value ends at the next quote of its kind, if white space, a slash or the tag's end
+    follows; any other quote opens the value of a later tag, and the tag ends at the first ``>``.
+    """
+    while stop := _TAG_STOP.search(html, at):
+        if not stop[1]:
+            return stop.start()
+        close = html.find(stop[1], stop.end())
+        if close < 0 or not (html[close + 1 : close + 2].isspace() or html[close + 1 : close + 2] in ("/", ">")):
+            return html.find(">", stop.end())
+        at = close + 1
+    return -1
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, is end tag, name, attributes) of each piece of markup, in one scan; comments and
+    declarations have no name.  What follows an end that the caller sends is looked at next."""
+    at, last = 0, html.rfind(">")  # beyond it no tag ends
+    while m := _OPENS.search(html, at):
+        name, attributes = (m[2] or "").lower(), ""
+        if m[0] == "<!--":
+            empty = re.compile(r"-?>").match(html, m.end())
+            stop = empty.end() if empty else html.find("-->", m.end()) + 3
+            at = stop if stop > 2 else len(html)
+        else:
+            stop = -1 if m.start() > last else _tag_end(html, m.end()) if name else html.find(">", m.end())
+            if stop < 0:  # a "<" that opens no tag is text
+                at = m.end()
+                continue
+            at, attributes = stop + 1, html[m.end() : stop]
+        skip_to = yield m.start(), at, bool(m[1]), name, attributes
+        if skip_to is not None:
+            at = skip_to
+
+
 def _self_closed(attributes: str) -> bool:
     """Whether a tag ends with a slash of its own, not one of an unquoted value."""
     rest = attributes[:-1]
@@ -115,10 +152,11 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
     """(text, in boilerplate, in article, characters inside links) of each block, in page order."""
     out: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, is boilerplate, first line if named as boilerplate, else -1
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    scopes: list[int] = []  # where the open containers are
     named: list[tuple[int, int, bool]] = []
     parts: list[str] = []
     link_chars = skip = articles = links = 0
-    at = 0
 
     def end_line() -> None:
         nonlocal link_chars
@@ -144,49 +182,58 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             if name in _BLOCK:
                 end_line()
             stack.pop()
+            places[name].pop()
+            if name in _SCOPE:
+                scopes.pop()
             skip -= boilerplate
             articles -= name in _MAIN
             if begin >= 0:
                 named.append((begin, len(out), articles > 0))
             links -= name == "a"
 
-    while m := _TOKEN.search(html, at):
-        add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            continue
-        if name in ("svg", "math") and _self_closed(m[3]):
-            continue
-        if name in _RAW_END:
-            stop = _RAW_END[name].search(html, at)
-            at = stop.end() if stop else len(html)
-            continue
-        if name in _BLOCK:
-            # a block ends an open paragraph and the open element of its like, within the nearest container
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in _ENDS.get(name, ()):
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-            end_line()
-        if name == "br":
-            parts.append(" ")
-        if name in _VOID or m[3].endswith("/"):
-            continue
-        boilerplate, is_named = _is_boilerplate(name, m[3], articles > 0)
-        stack.append((name, boilerplate, len(out) if is_named else -1))
-        skip += boilerplate
-        articles += name in _MAIN
-        links += name == "a"
-    add(html[at:])
+    def innermost(name: str) -> int:
+        """Where the innermost open element of a name is; -1 if none is open."""
+        return places[name][-1] if places.get(name) else -1
+
+    text_from = 0
+    scan = _tags(html)
+    tag = next(scan, None)
+    while tag is not None:
+        begin, end, is_end, name, attributes = tag
+        add(html[text_from:begin])
+        skip_to = None
+        if not name or not is_end and name in ("svg", "math") and _self_closed(attributes):
+            pass
+        elif is_end:
+            if innermost(name) >= 0:
+                close(innermost(name))
+        elif name in _RAW_END:
+            stop = _RAW_END[name].search(html, end)
+            skip_to = end = stop.end() if stop else len(html)
+        else:
+            if name in _BLOCK:
+                # a block ends an open paragraph and the open element of its like, within the nearest container
+                like = max(map(innermost, ("p", *_ENDS.get(name, ()))))
+                if like >= 0 and like >= (scopes[-1] if scopes else 0):
+                    close(like)
+                end_line()
+            if name == "br":
+                parts.append(" ")
+            if name not in _VOID and not attributes.endswith("/"):
+                boilerplate, is_named = _is_boilerplate(name, attributes, articles > 0)
+                places.setdefault(name, []).append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
+                stack.append((name, boilerplate, len(out) if is_named else -1))
+                skip += boilerplate
+                articles += name in _MAIN
+                links += name == "a"
+        text_from = end
+        try:
+            tag = scan.send(skip_to)
+        except StopIteration:
+            tag = None
+    add(html[text_from:])
     close(0)
     end_line()
     return _without_named(out, named)
@@ -195,23 +242,24 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
 def main_lines(lines: list[tuple[str, bool, bool, int]]) -> list[str]:
     """Lines between surge and dive of the line-block distribution."""
     marked = any(article and not boilerplate for _, boilerplate, article, _ in lines)
-    rows: list[tuple[str, int]] = []
+    rows: list[tuple[str, int, bool]] = []  # text, length, is a line of links
     for text, boilerplate, article, link_chars in lines:
         if marked and article:
             if not boilerplate:
-                rows.append((text, len(text)))
+                rows.append((text, len(text), False))
         else:
-            counts = not boilerplate and not marked and link_chars <= LINK_SHARE * len(text)
-            rows.append((text, len(text) if counts else 0))
-    lengths = [n for _, n in rows]
+            eligible, of_links = not boilerplate and not marked, link_chars > LINK_SHARE * len(text)
+            rows.append((text, len(text) if eligible and not of_links else 0, eligible and of_links))
+    lengths = [n for _, n, _ in rows]
     window = [sum(lengths[k : k + WIDTH]) for k in range(len(lengths))]
     surge = min(SURGE, max(window, default=0))
     kept: list[str] = []
     begin = 0
     for k in range(len(rows) + 1):
         if k == len(rows) or not window[k]:  # a dive: the stretch before it counts if it surged
-            if max(window[begin:k], default=0) >= surge:
-                kept += [text for text, n in rows[begin:k] if n]
+            if begin < k and max(window[begin:k]) >= surge:
+                full = [j for j in range(begin, k) if lengths[j]]
+                kept += [text for text, n, of_links in rows[full[0] : full[-1] + 1] if n or of_links]
             begin = k + 1
     return kept
 
