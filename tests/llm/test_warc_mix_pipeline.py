@@ -2,6 +2,7 @@
 
 import random
 import gzip
+import math
 import zlib
 
 import numpy as np
@@ -136,6 +137,40 @@ def test_mix_meets_targets(spark):
         assert rates == sorted(rates) or rates == sorted(rates, reverse=True)
 
 
+def test_rates_equal_a_plain_solver(spark):
+    """Bisection on each source's dual, row by row."""
+    rows = op10_mixing.mixed(table(spark, SF, "documents")).collect()
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        mean, target = sum(r["size"] for r in own) / len(own), own[0]["target"]
+        worded = [r for r in own if r["size"]]
+        if target >= 2 * own[0]["source_size"]:
+            assert all(r["rate"] == 2.0 for r in worded)
+            continue
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            rates = [2.0 if lam * r["size"] / mean > 1 else min(2.0, math.exp(lam * r["size"] / mean)) for r in worded]
+            taken = sum(w * r["size"] for w, r in zip(rates, worded, strict=True))
+            low, high = (low, lam) if taken > target else (lam, high)
+        assert [r["rate"] for r in worded] == pytest.approx(rates, rel=1e-5)
+
+
+def test_rows_without_an_id_are_ranked_in_parts(spark):
+    docs = [(None, f"w{k} of one size", "hot") for k in range(3000)] + [(7, "a b", "other")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = op10_mixing.mixed(df).collect()
+    check_mix(rows, [(i, t, s) for i, t, s in docs])
+    marks = df.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(op10_mixing.SALTS)).alias("salt")).groupBy("salt").count()
+    assert marks.agg(F.max("count")).first()[0] < 30
+
+
+def test_a_mix_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op10_mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        op10_mixing.mixed(table(spark, SF, "documents")).count()
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert op10_mixing.mixed(spark.createDataFrame([], schema)).count() == 0
