@@ -243,7 +243,7 @@ def write_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = E
     rows.mapInArrow(_tokenized(tokenizer_file, end_id), "id long, ids binary").write.option("compression", "zstd").parquet(packed)
     ids = spark.read.schema("id long, ids binary").parquet(packed)
     counted = ids.mapInArrow(_counts(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted.coalesce(1).write.parquet(f"{path}/frequencies")
+    counted.repartition(1).write.parquet(f"{path}/frequencies")
     sent = spark.sparkContext.broadcast(read_counts(spark, path))
     in_order = ids.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     in_order.mapInArrow(_encoded(sent, dtype), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
