@@ -128,7 +128,7 @@ def _runs(group: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return np.array([d for d, _, _ in group], np.int64)[own], lo + base, hi + base, p[lo] - lo, h[p[lo]].view(np.int64), ctx.view(np.int64)
 
 
-RUN = "key long, ctx long, id long, ord int, lo int, n int, off int, done boolean"
+RUN = "key long, ctx long, id long, ord long, lo int, n int, off int, done boolean"
 _RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
 
 
@@ -147,8 +147,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         like = np.concatenate([[False], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])])
         twice = like & np.concatenate([[False], (i[1:] == i[:-1]) & (o[1:] == o[:-1]) & (lo[1:] == lo[:-1])])
         # a repeated run needs no partner any more: it is dealt out by its place
-        key = np.where(like, _mix((i ^ (lo << 32)).view(np.uint64) + _G).view(np.int64), key)
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, bool)
+        key = np.where(like, _mix((i ^ o ^ (lo << 32)).view(np.uint64) + _G).view(np.int64), key)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
         columns = [x[~twice].astype(t) for x, t in zip((key, ctx, i, o, lo, hi - lo, off, like), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(RUN))
 
@@ -172,7 +172,7 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = 0
 
     def rows_of(columns: list[np.ndarray]) -> pa.RecordBatch:
-        types = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int8)
+        types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int8)
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in zip(columns, types, strict=True)], names=_names(EDGE))
 
     for batch in batches:
@@ -219,10 +219,10 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(list(zip(*found, strict=True)))
 
 
-EDGE = "key long, id long, ord int, lo int, n int, off int, level byte"
-CONTEXT = "what byte, g long, ctx long, id long, ord int, lo int, n int, off int, bytes binary"
+EDGE = "key long, id long, ord long, lo int, n int, off int, level byte"
+CONTEXT = "what byte, g long, ctx long, id long, ord long, lo int, n int, off int, bytes binary"
 REPEAT, EDGE_BYTES, START = range(3)  # what a row of CONTEXT is: a settled span, an edge, a start at a hot anchor
-SPAN = "id long, ord int, lo int, n int"
+SPAN = "id long, ord long, lo int, n int"
 
 
 def _names(schema: str) -> list[str]:
@@ -256,7 +256,7 @@ def _starts(edges: list[tuple[int, int, int, int]], hashes: bytes) -> tuple[list
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the edges of each document; starts at hot anchors, of which a batch sends the earliest of each window."""
     digest = xxhash.xxh3_128_digest
-    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         out: list[tuple] = []
         hot: list[tuple[int, int, int, int]] = []
@@ -276,7 +276,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = (none + START, g, ctx, i, o, lo, none, none)
             yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(columns, types)), pa.nulls(len(g), pa.binary())], names=_names(CONTEXT))
             # a repeated start needs no partner any more: it is dealt out by its place
-            out += [(REPEAT, xxhash.xxh3_64_intdigest(b"%d %d" % (r[0], r[2])) - (1 << 63), 0, *r, 0, None) for r in spans]
+            out += [(REPEAT, xxhash.xxh3_64_intdigest(b"%d %d %d" % r[:3]) - (1 << 63), 0, *r, 0, None) for r in spans]
         for a in range(0, len(out), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 20_000], strict=True), types, strict=True)], names=_names(CONTEXT))
 
@@ -331,7 +331,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head: list[int] | None = None  # (g, ctx, id, ord, lo) of the last window's earliest start
 
     def spans(found: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=_names(SPAN))
 
     for batch in batches:
@@ -387,16 +387,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, text): ``ord`` tells rows apart that share an id but not the text."""
+    """(id, ord, text): ``ord`` tells rows apart that share an id but not the text, however many (null ids are one id)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), text_of(text_col).alias("text"))
-    hashed = rows.select("id", F.xxhash64("text").alias("h"))
-    shared = hashed.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b").select("id")
-    if shared.isEmpty():
-        return rows.select("id", F.lit(0).alias("ord"), "text")
-    order = hashed.join(shared, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    return rows.join(order, "id", "left").select(
-        "id", F.coalesce(F.array_position("hs", F.xxhash64("text")).cast("int"), F.lit(0)).alias("ord"), "text"
-    )
+    h = F.xxhash64("text")
+    shared = rows.select("id", h.alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b")
+    return rows.select("id", (F.lit(0).cast("long") if shared.isEmpty() else h).alias("ord"), "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
