@@ -9,18 +9,26 @@ together.  Rows of a match are walked back with LF steps to a sampled suffix
 position (every 16th word and each stretch's first word); the located occurrences
 are merged into word ranges and character spans to remove.
 
-Documents never shuffle: each row is answered where it is read.  The benchmark is
-sent to the tasks in chunks of a checked size; with more than one chunk the passes
-follow each other in the same task.  A document longer than a shard is cut into
-pieces that overlap by one word less than a window, so no occurrence is lost.
-
-Cases: null or empty texts have no words; items without words have no windows; null
-item ids are read as "null"; repeated rows are answered alike; equal windows of
-several items count for each; an empty benchmark hits nothing.
+Documents never shuffle: each row is answered where it is read.  A document longer
+than a shard is cut into pieces that overlap by one word less than a window, so no
+occurrence is lost.
+
+The benchmark may be of any size, and one item id may hold most of it.  Tasks cut its
+texts into pieces that overlap likewise, repeated pieces of an item meet, and pieces
+are dealt out by hash to chunks that hold ``CHUNK_BYTES`` at most, which is checked.  A
+task builds the windows of a chunk; only one chunk at a time passes through the driver
+to the tasks.  With more than one, the hits of a pass are stored before the next one.
+
+Cases: null or empty texts have no words; items without words have no windows; the
+null item id is an item of its own, listed as "null"; repeated rows are answered
+alike; equal windows of several items count for each; an empty benchmark hits nothing;
+a word of over 64 bytes is held by its SHA-256.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -30,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.llm.common import slices, table, text_of, unused
+from tidepool.llm.common import slices, stored, table, text_of, unused
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
 TEXTS = 2048  # texts that are searched together
-CHUNK_BYTES = 32 << 20  # benchmark text that one pass holds in memory
+CHUNK_BYTES = 16 << 20  # benchmark text that one pass holds in memory
+CHUNK_PIECES = 16  # pieces of long items that fill a chunk
+WORD_BYTES = 64
 
 # word bytes: digits, letters, all non-ASCII; A-Z in lower case, the rest is white space
 _TABLE = bytes(
@@ -50,27 +60,38 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _short(word: bytes) -> bytes:
+    """``word``, or a digest of a long one behind a zero byte, which no word holds."""
+    return word if len(word) <= WORD_BYTES else b"\0" + hashlib.sha256(word).hexdigest().encode()
+
+
+def _listed(name: str | None) -> tuple[str, bool]:
+    """Order of item names: as they are listed, the null id as "null"."""
+    return ("null", True) if name is None else (name, False)
+
+
 class Patterns:
-    """Distinct windows of benchmark items, grouped by length, over their own vocabulary."""
+    """Distinct windows of items (name, words), grouped by length, over their own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.vocab: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _ in items}, key=_listed)
         number = {name: k for k, name in enumerate(self.names)}
-        for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                windows.setdefault(tuple(ids[k : k + WINDOW]), set()).add(number[name])
-        self.shortest = min(map(len, windows), default=0)
+        windows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for name, words in items:
+            if words:
+                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)
+                n = min(WINDOW, len(ids))
+                windows.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), number[name]))
+        self.shortest = min(windows, default=0)
+        self.has_digests = any(w[:1] == b"\0" for w in self.vocab)
         self.groups = []  # (length, matrix of windows, offsets into owners, owners)
-        for n in sorted(set(map(len, windows))):
-            own = [w for w in windows if len(w) == n]
-            counts = [len(windows[w]) for w in own]
-            self.groups.append((
-                n, np.array(own, np.int32).reshape(len(own), n), np.concatenate([[0], np.cumsum(counts)]),
-                np.fromiter((x for w in own for x in sorted(windows[w])), np.int64, sum(counts)),
-            ))
+        for n, own in sorted(windows.items()):
+            rows, which = np.unique(np.concatenate([w for w, _ in own]), axis=0, return_inverse=True)
+            owner = np.repeat(np.array([k for _, k in own], np.int64), [len(w) for w, _ in own])
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(self.names) + owner)
+            at = np.searchsorted(pairs, np.arange(len(rows) + 1, dtype=np.int64) * len(self.names))
+            self.groups.append((n, rows, at, pairs % len(self.names)))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -207,7 +228,7 @@ _ARROW_HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items
 
 def batch_hits(texts: list[str | None], earlier: list[dict] | None, p: Patterns) -> list[dict]:
     """Hits of each text: words, items, merged word ranges and character spans (start, end, start, end, ...)."""
-    lookup = p.vocab.get
+    lookup = (lambda w, none: p.vocab.get(_short(w), none)) if p.has_digests else p.vocab.get
     ids = [np.fromiter((lookup(w, 0) for w in words), np.int32, len(words)) for words in (words_of(t or "") for t in texts)]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     base = np.cumsum(sizes) - sizes
@@ -245,7 +266,7 @@ def batch_hits(texts: list[str | None], earlier: list[dict] | None, p: Patterns)
     if shard:
         run(shard)
 
-    items: dict[int, list[str]] = {}
+    items: dict[int, list[str | None]] = {}
     for x in np.unique(np.concatenate(pairs)) if pairs else ():
         items.setdefault(int(x) // len(p.names), []).append(p.names[int(x) % len(p.names)])
     cover = np.cumsum(hit[:-1]) > 0
@@ -263,25 +284,80 @@ def batch_hits(texts: list[str | None], earlier: list[dict] | None, p: Patterns)
             ranges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]).astype(np.int8))).tolist()
             at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
             spans = [at[x][0] if k % 2 == 0 else at[x - 1][1] for k, x in enumerate(ranges)]
-        out.append({"n_words": n, "n_hit": int(own.sum()), "items": sorted(names), "ranges": ranges, "spans": spans})
+        out.append({"n_words": n, "n_hit": int(own.sum()), "items": sorted(names, key=_listed), "ranges": ranges, "spans": spans})
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the items, in pieces of some ``CHUNK_BYTES / CHUNK_PIECES``; together these hold every window once or more."""
+    for batch in slices(batches, 256):
+        names, pieces = [], []
+        for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = [_short(w) for w in words_of(text)]
+            ends = np.cumsum([len(w) + 1 for w in words])
+            start = 0
+            while words:
+                limit = (int(ends[start - 1]) if start else 0) + CHUNK_BYTES // CHUNK_PIECES
+                stop = max(start + WINDOW, int(np.searchsorted(ends, limit, "right")))
+                names.append(name)
+                pieces.append(b" ".join(words[start:stop]))
+                if stop >= len(words):
+                    break
+                start = stop - WINDOW + 1
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.binary())], names=["name", "words"])
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns of each chunk; rows come sorted by chunk."""
+    held: list[tuple[str | None, list[bytes]]] = []
+    chunk = None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "patterns": pa.array([pickle.dumps(vars(Patterns(held)))], pa.binary())})
+
+    for batch in batches:
+        for k, name, words in zip(*(batch.column(x).to_pylist() for x in ("chunk", "name", "words")), strict=True):
+            if held and k != chunk:
+                yield row()
+                held = []
+            chunk = k
+            held.append((name, words.split(b" ")))
+    if held:
+        yield row()
+
+
+def benchmark_chunks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(chunk, patterns): the benchmark's windows in chunks made of ``CHUNK_BYTES`` of its words at most."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("name"), text_of(item_text_col).alias("text"))
+    pieces = stored(items.mapInArrow(_pieces, "name string, words binary").distinct(), "pieces")
+    size = F.octet_length("words") + 1
+    total, longest = pieces.agg(F.sum(size), F.max(size)).first()
+    n = max(1, -(-int(total or 0) // CHUNK_BYTES))
+    while True:
+        dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("name", "words"), F.lit(n).cast("long")))
+        largest = dealt.groupBy("chunk").agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0] or 0
+        if largest <= max(CHUNK_BYTES, longest or 0):
+            break
+        n *= 2
+    by_chunk = dealt.repartition("chunk").sortWithinPartitions("chunk")
+    return stored(by_chunk.mapInArrow(_built, "chunk long, patterns binary"), "benchmark")
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "hits") -> DataFrame:
     """``docs`` with a struct column ``out`` of its benchmark hits; all other columns pass through."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), text_of(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n_chunks = max(1, -(-int(total) // CHUNK_BYTES))
-    columns = [c for c in docs.columns if c != out]
-    rows = docs.select(*columns)
+    built = benchmark_chunks(benchmark, item_col, item_text_col)
+    chunks = sorted(r[0] for r in built.select("chunk").collect())  # a number per chunk of CHUNK_BYTES
+    rows = docs.select(*[c for c in docs.columns if c != out])
     schema = T.StructType([*rows.schema.fields, T.StructField(out, HITS)])
-    for k in range(n_chunks):
-        # an item is never split: repeated item ids land in one chunk
-        chunk = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("name"), F.lit(n_chunks)) == k).collect()]
-        sent = spark.sparkContext.broadcast(vars(Patterns(chunk)))  # plain values load before any module does
+    for k in chunks or [None]:
+        plain = vars(Patterns([])) if k is None else pickle.loads(built.filter(F.col("chunk") == k).first()["patterns"])
+        if out in rows.columns:
+            rows = stored(rows, "hits")  # one pass at a time holds its patterns
+        sent = spark.sparkContext.broadcast(plain)  # plain values load before any module does
         rows = rows.mapInArrow(_pass(sent, text_col, out), schema)
-    return rows
+    listed = F.transform(F.col(out)["items"], lambda name: F.coalesce(name, F.lit("null")))
+    return rows.withColumn(out, F.col(out).withField("items", listed))
 
 
 def _pass(sent, text_col: str, out: str):
