@@ -1,10 +1,12 @@
 """op4 repeated passages, op5 decontamination, op6 near-dedup."""
 
+import pickle
 import random
 
 import numpy as np
 import pytest
 from helpers import DOCS, SF, components, documents, hits, removed, rows_of, sha, shingles
+from pyspark.sql import functions as F
 
 from tidepool.llm import graph, op04_suffix_dedup, op05_decontaminate, op06_minhash
 
@@ -62,6 +64,19 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     assert cut(spark.createDataFrame([], DOCS)) == {}
 
 
+def test_many_rows_without_an_id(spark):
+    # one id (none) with most rows: texts are still told apart, the earliest by hash keeps what they share
+    rnd = random.Random(5)
+    own = ["".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(300)]
+    docs = [(None, t) for t in own] + [(None, t + LINE) for t in own[:200]] + [(7, LINE), (8, own[0])]
+    df = spark.createDataFrame(docs, DOCS).repartition(5)
+    got = cut(df)
+    ordered = [r["text"] for r in df.filter("doc_id is null").sort(F.xxhash64("text")).collect()]
+    want = removed([(7, LINE), (8, own[0]), *((100 + k, t) for k, t in enumerate(ordered))])
+    assert [got[7], got[8]] == [[want[7]], [want[8]]]
+    assert sorted(got[None]) == sorted(v for k, v in want.items() if k >= 100) and len(got[None]) == 500
+
+
 def test_different_windows_at_the_edges_of_a_common_passage_do_not_meet():
     import collections
 
@@ -114,6 +129,35 @@ def test_hits_equal_brute_force(spark, monkeypatch):
             assert (r["hits"]["n_words"], r["hits"]["n_hit"], r["hits"]["items"]) == want[r["doc_id"]]
 
 
+def test_one_item_with_most_of_the_benchmark(spark, monkeypatch):
+    # an item far above a chunk is cut into pieces that keep every window; its id is listed once
+    monkeypatch.setattr(op05_decontaminate, "CHUNK_BYTES", 30_000)
+    rnd = random.Random(11)
+    book = [f"w{rnd.randrange(3000)}" for _ in range(12_000)]
+    giant = "g" * 5_000  # a word longer than a piece
+    items = [("hot", " ".join(book)), ("hot", " ".join(book[:50])), (None, "one two three"), ("null", "four five six"), ("big", f"a {giant} b")]
+    docs = [(i, "before " + " ".join(book[a : a + 10]) + " after") for i, a in enumerate(range(0, 11_990, 97))]
+    docs += [(1_000, "one two three four five six"), (1_001, f"x a {giant.upper()} b y"), (1_002, f"x a {giant}g b y"), (1_003, " ".join(book[9_000:9_009]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    chunks = op05_decontaminate.benchmark_chunks(bench).count()
+    assert 3 <= chunks <= 12
+    got = {r["doc_id"]: r["hits"] for r in op05_decontaminate.with_hits(spark.createDataFrame(docs, DOCS), bench).collect()}
+    for i, _ in docs[:-4]:
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (12, 10, ["hot"])
+    assert got[1_000]["n_hit"] == 6 and got[1_000]["items"] == ["null", "null"]  # the null id and the item of that name
+    assert (got[1_001]["n_hit"], got[1_001]["items"]) == (3, ["big"])
+    assert got[1_002]["n_hit"] == 0 and got[1_003]["n_hit"] == 0
+
+
+def test_chunks_stay_below_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(op05_decontaminate, "CHUNK_BYTES", 4_000)
+    items = [(None if i % 3 else i, " ".join(f"v{(i * 31 + k) % 997}" for k in range(40))) for i in range(300)]
+    built = op05_decontaminate.benchmark_chunks(spark.createDataFrame(items * 2, "item_id long, text string")).collect()
+    sizes = [sum(len(g[1]) for g in pickle.loads(r["patterns"])["groups"]) for r in built]
+    # repeated rows meet before they are dealt out; a window is 40 bytes of numbers
+    assert max(sizes) <= 4_000 / 5 and sum(sizes) <= 300 * 40
+
+
 def test_removal_leaves_no_window_and_keeps_clean_text(spark):
     items = rows_of("benchmark", "item_id", "text")
     docs = documents() + [(5_000, items[0][1]), (5_001, "Before it. " + items[1][1] + " After it."), (5_002, None)]
